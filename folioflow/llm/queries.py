@@ -9,7 +9,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .language import detect_languages
+from .personal_data import find_personal_data, redact_personal_data
 from .text_quality import text_statistics
+from .visible_form import find_phrases, visible_form
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    rules = table(spark, d, "scanner_rules").filter("NOT raw_only")
+    handoff = find_phrases(table(spark, d, "handoff_inputs"), ["handoff_id"], "markdown", rules)
+    source = find_phrases(table(spark, d, "normalized_sources"), ["source_id"], "text", rules)
+    parts = [
+        x.select(F.lit(o).alias("origin"), F.col(i).cast("bigint").alias("row_id"), F.col("rule_no").cast("int"))
+        for x, o, i in ((handoff, "handoff", "handoff_id"), (source, "source", "source_id"))
+    ]
+    return parts[0].unionByName(parts[1]).distinct()
+
+
+def p2_normalised_sources(spark: SparkSession, d: str) -> DataFrame:
+    return visible_form(table(spark, d, "normalized_sources").select("source_id", "text"), "text").select("source_id", "visible_text")
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +37,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_segments(spark, d).filter("is_case AND counts").select("doc_id", "code").distinct()
 
 
+def p5_findings(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal_data(table(spark, d, "handoff_inputs"), "handoff_id", "markdown")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_findings(spark, d).select("handoff_id", "placeholder", "start_pos").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_personal_data(table(spark, d, "handoff_inputs"), "handoff_id", "markdown")
+
+
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents"), "doc_id", "text")
 
@@ -30,8 +59,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_normalised_sources": p2_normalised_sources,
         "p3_found": p3_found,
         "p3_segments": p3_segments,
+        "p5_found": p5_found,
+        "p5_findings": p5_findings,
+        "p5_redacted": p5_redacted,
         "p8_found": p8_found,
         "p8_statistics": p8_statistics,
     }
