@@ -58,3 +58,13 @@ def map_rows(
                     )
 
     return df.mapInArrow(run, ddl)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names; where none is set, as in tests, in one of our own."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-"))
+    return df.checkpoint()

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut_lineage, table
 from .language import detect_languages
 from .personal_data import find_personal_data, redact_personal_data
+from .scan_repair import Repair
 from .text_quality import text_statistics
 from .visible_form import find_phrases, visible_form
 
@@ -37,6 +38,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_segments(spark, d).filter("is_case AND counts").select("doc_id", "code").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return Repair(table(spark, d, "ocr_words"), cut_lineage).defects()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return Repair(table(spark, d, "ocr_words"), cut_lineage).paragraphs()
+
+
 def p5_findings(spark: SparkSession, d: str) -> DataFrame:
     return find_personal_data(table(spark, d, "handoff_inputs"), "handoff_id", "markdown")
 
@@ -63,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_normalised_sources": p2_normalised_sources,
         "p3_found": p3_found,
         "p3_segments": p3_segments,
+        "p4_found": p4_found,
+        "p4_paragraphs": p4_paragraphs,
         "p5_found": p5_found,
         "p5_findings": p5_findings,
         "p5_redacted": p5_redacted,
