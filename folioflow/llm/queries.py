@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 from .language import detect_languages
+from .leakage import find_leaks
+from .packing import fill_report, pack
 from .personal_data import find_personal_data, redact_personal_data
 from .scan_repair import Repair
+from .splitting import split_oversized
 from .text_quality import text_statistics
 from .visible_form import find_phrases, visible_form
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(table(spark, d, "pii_chunks"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).filter("oversized AND piece_no = 0").select("chunk_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rules = table(spark, d, "scanner_rules").filter("NOT raw_only")
     handoff = find_phrases(table(spark, d, "handoff_inputs"), ["handoff_id"], "markdown", rules)
@@ -58,6 +69,27 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_personal_data(table(spark, d, "handoff_inputs"), "handoff_id", "markdown")
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_windows"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p6_pack(spark, d))
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item with the number of documents that leak it and the longest run."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("longest_run").alias("longest_run"))
+
+
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents"), "doc_id", "text")
 
@@ -68,6 +100,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p2_normalised_sources": p2_normalised_sources,
         "p3_found": p3_found,
@@ -77,6 +111,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_findings": p5_findings,
         "p5_redacted": p5_redacted,
+        "p6_pack": p6_pack,
+        "p6_fill": p6_fill,
+        "p7_found": p7_found,
+        "p7_leaks": p7_leaks,
+        "p7_items": p7_items,
         "p8_found": p8_found,
         "p8_statistics": p8_statistics,
     }
