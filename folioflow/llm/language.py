@@ -34,7 +34,7 @@ ISO2 = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa", "it": "ita", "nl": "
 NONE = "und"
 CLASSES = (*LANGUAGES, NONE)
 
-FRAME, HIDDEN = 4, 20
+FRAME, HIDDEN = 4, 16
 #: A sentence is read in pieces of at most so many bytes; all pieces are pooled.
 PIECE_BYTES = 256
 #: A language counts from so many full sentences on.
@@ -317,40 +317,63 @@ class Reader:
         return np.concatenate([sums, count[:, None]], 1)
 
 
-def _best(logs: np.ndarray) -> tuple[str, float]:
-    """The class of a pooled row (sums, frames), and its confidence: pooled as a mean with a little weight for length."""
-    mean = logs[:-1] / max(logs[-1], 1) * min(4.0, 1 + logs[-1] / 20)
-    p = np.exp(mean - mean.max())
-    p /= p.sum()
-    k = int(p.argmax())
-    return CLASSES[k], float(p[k])
+def _best(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each pooled row (sums, frames) and its confidence: pooled as a mean with a little weight for length."""
+    n = np.maximum(logs[:, -1:], 1)
+    mean = logs[:, :-1] / n * np.minimum(4.0, 1 + n / 20)
+    p = np.exp(mean - mean.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    k = p.argmax(1)
+    return k, p[np.arange(len(k)), k]
 
 
 SEGMENT_DDL = "seg_no int, start_pos int, end_pos int, code string, confidence double, detected boolean, n_sentences int, doc_code string, doc_confidence double, doc_detected boolean"
 
 
-def read_document(spans: list, logs: np.ndarray) -> list[tuple]:
-    """Segments of a document from its sentences and their pooled rows."""
-    if not spans:
-        return [(0, 0, 0, None, 0.0, False, 0, None, 0.0, False)]
-    whole, conf = _best(logs.sum(0))
-    known = whole != NONE and conf >= DETECTED_FROM
-    segs: list[list] = []
-    for (start, end, _, full), row in zip(spans, logs):
-        code, sure = _best(row)
-        # A doubtful sentence goes with the one before it.
-        if segs and (segs[-1][2] == code or not full or sure < SURE):
-            s = segs[-1]
-            s[1], s[3], s[4] = end, s[3] + row, s[4] + full
-        else:
-            segs.append([start, end, code, row.copy(), int(full)])
+def read_documents(spans: list[list], rows: np.ndarray) -> list[list[tuple]]:
+    """The segments of documents from their sentences; ``rows`` has the pooled rows of all sentences in order."""
+    if not len(rows):
+        return [[(0, 0, 0, None, 0.0, False, 0, None, 0.0, False)] for _ in spans]
+    total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, 0)])
+    code, sure = (x.tolist() for x in _best(rows))
+    marks: list[tuple[int, int, int, int, int]] = []  # first and last sentence, start, end, full sentences
+    ends, at = [], 0
+    for doc in spans:
+        begin = len(marks)
+        for i, (start, end, _, full) in enumerate(doc, at):
+            # A sentence that isn't full, or doubtful, goes with the one before it.
+            if len(marks) > begin and (code[i] == of or not full or sure[i] < SURE):
+                m = marks[-1]
+                marks[-1] = (m[0], i, m[2], end, m[4] + full)
+            else:
+                of = code[i]
+                marks.append((i, i, start, end, int(full)))
+        at += len(doc)
+        ends.append((begin, len(marks), at - len(doc), at))
+    first, last = np.array([m[0] for m in marks]), np.array([m[1] for m in marks])
+    seg_code, seg_conf = (x.tolist() for x in _best(total[last + 1] - total[first]))
+    lo, hi = np.array([e[2] for e in ends]), np.array([e[3] for e in ends])
+    doc_code, doc_conf = (x.tolist() for x in _best(total[hi] - total[lo]))
     out = []
-    for i, (start, end, code, row, n) in enumerate(segs):
-        _, c = _best(row)
-        out.append((i, start, end, code, c, code != NONE and c >= DETECTED_FROM, n, whole if known else NONE, conf, known))
+    for d, (a, b, _, _) in enumerate(ends):
+        if a == b:
+            out.append([(0, 0, 0, None, 0.0, False, 0, None, 0.0, False)])
+            continue
+        known = CLASSES[doc_code[d]] != NONE and doc_conf[d] >= DETECTED_FROM
+        whole = CLASSES[doc_code[d]] if known else NONE
+        out.append(
+            [
+                (i - a, marks[i][2], marks[i][3], CLASSES[seg_code[i]], seg_conf[i], CLASSES[seg_code[i]] != NONE and seg_conf[i] >= DETECTED_FROM, marks[i][4], whole, doc_conf[d], known)
+                for i in range(a, b)
+            ]
+        )
     return out
 
 
+#: Sentences whose rows a task keeps; beyond that it begins anew.
+CACHE = 150_000
+
+
 def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
     """Rows of SEGMENT_DDL for each document, with ``text_kind`` and whether its label ``is_case``.
 
@@ -369,15 +392,21 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str |
 
     def make():
         reader = Reader(load_network())
+        keys: dict[str, int] = {}
+        pooled = np.zeros((0, len(CLASSES) + 1))
 
         def fn(cols):
+            nonlocal pooled
             spans = [sentences(clean_newlines(t)) if t else [] for t in cols["body"]]
-            keys: dict[str, int] = {}
-            at = [[keys.setdefault(plain(s[2]), len(keys)) for s in doc] for doc in spans]
-            pooled = reader.pooled([k.encode("utf-8", "replace") for k in keys]) if keys else np.zeros((0, len(CLASSES) + 1))
+            if len(keys) > CACHE:
+                keys.clear()
+                pooled = pooled[:0]
+            at = [keys.setdefault(plain(s[2]), len(keys)) for doc in spans for s in doc]
+            if len(keys) > len(pooled):
+                new = list(keys)[len(pooled) :]
+                pooled = np.concatenate([pooled, reader.pooled([k.encode("utf-8", "replace") for k in new])])
             out: dict[str, list] = {n: [] for n in ("key", *names, "counts", "is_case")}
-            for key, body, label, doc, rows in zip(cols["key"], cols["body"], cols["label"], spans, at):
-                segs = read_document(doc, pooled[rows])
+            for key, body, label, segs in zip(cols["key"], cols["body"], cols["label"], read_documents(spans, pooled[at])):
                 per: dict[str, int] = {}
                 for s in segs:
                     if s[3] and s[3] != NONE:
