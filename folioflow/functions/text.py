@@ -73,7 +73,7 @@ def matches(text: Column, pattern: str) -> Column:
 def luhn_valid(value: Column) -> Column:
     """13 to 19 digits, not all alike, with a valid check digit."""
     d = F.regexp_replace(value, "[^0-9]", "")
-    return F.length(d).between(13, 19) & ~d.rlike(r"^([0-9])\1+\z") & F.luhn_check(d)
+    return F.length(d).between(13, 19) & ~d.rlike(r"^([0-9])\1+\z") & F.call_function("luhn_check", d)
 
 
 def iban_valid(value: Column) -> Column:
@@ -106,12 +106,10 @@ def fingerprint(c: Column) -> Column:
     """
     top = 1 << 32
     times = lambda x, k: F.pmod(F.pmod(x * (k >> 16), F.lit(top)) * 65536 + x * (k & 0xFFFF), F.lit(top))
-    u = F.encode(c, "UTF-16BE")
-    hexes = F.hex(u)
-    units = F.transform(
-        F.when(F.length(hexes) > 0, F.sequence(F.lit(0), (F.length(hexes) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.conv(F.substring(hexes, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
-    )
+    points = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
+    pair = lambda p: F.array(F.floor((p - 0x10000) / 0x400) + 0xD800, (p - 0x10000) % 0x400 + 0xDC00)
+    plain = utf16_length(c) == F.length(c)
+    units = F.when(plain, points).otherwise(F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(pair(p)))))
     # Seeds and multipliers of the lanes.
     start = F.struct(F.lit(0x811C9DC5).cast("bigint").alias("a"), F.lit(0x9E3779B9).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("i"))
     lanes = F.aggregate(

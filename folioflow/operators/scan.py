@@ -87,17 +87,17 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Python only gives rule and span. What the rule says is joined from literals,
     and value, line and fingerprint are made by columns.
     """
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''")
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''").withColumn("doc_fingerprint", fingerprint(F.col("text")))
     schema = T.StructType(
-        [src.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("rule_ord", T.IntegerType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]
+        [src.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("doc_fingerprint", T.StringType()), T.StructField("rule_ord", T.IntegerType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]
     )
-    found = map_batches(src, lambda r: ((r["doc_id"], r["text"], *s) for s in spans(r["text"])), schema)
+    found = map_batches(src, lambda r: ((r["doc_id"], r["text"], r["doc_fingerprint"], *s) for s in spans(r["text"])), schema)
     table = F.array(*[F.struct(*[F.lit(getattr(r, n)).alias(n) for n in ("id", "type", "severity", "title", "detail", "placeholder")]) for r in RULES])
     rule = F.element_at(table, F.col("rule_ord"))
     return found.select(
         "doc_id",
         F.concat_ws("-", F.lit("rule"), rule["id"], "start_pos", "end_pos").alias("id"),
-        fingerprint(F.col("text")).alias("doc_fingerprint"),
+        "doc_fingerprint",
         *[rule[n].alias(n) for n in ("type", "severity", "title", "detail")],
         F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("value"),
         "start_pos",

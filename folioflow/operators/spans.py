@@ -97,12 +97,17 @@ def redaction_groups(findings: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-@F.udf("string", useArrow=True)
-def alias_key(value):
+def alias_key(value: Column) -> Column:
     """How two values are told to be the same: compatibility form and small letters."""
-    import unicodedata
 
-    return None if value is None else unicodedata.normalize("NFKC", value).lower()
+    @F.udf("string", useArrow=True)
+    def fold(v):
+        import unicodedata
+
+        return None if v is None else unicodedata.normalize("NFKC", v).lower()
+
+    # Plain letters need no Python.
+    return F.when(value.rlike(r"^[\x00-\x7f]*\z"), F.lower(value)).otherwise(fold(value))
 
 
 def redact(docs: DataFrame, findings: DataFrame, selected: DataFrame | None = None, key: str = "doc_id", text_col: str = "text", normalise: bool = True) -> DataFrame:
