@@ -53,9 +53,7 @@ _SENTENCE = re.compile(r"[.!?…]+[\"'»”’)\]*_]*(?=\s|$)")
 _END = re.compile(r"[.!?…:;]+[\"'»”’)\]*_]*\s*$")
 #: Characters that show a text decoded wrongly, or not text.
 _ODD = re.compile("[¢-©¬±-¶¼-¾ÂÃ�€™\u0080-\u009f]")
-_SYMBOL = re.compile(r"[^\w\s]")
 _VOWEL = re.compile(r"[aeiouyáàâãäåæéèêëíìîïóòôõöøúùûüœ]", re.I)
-_CELL = re.compile(r"\||\t|;")
 
 #: The counts of a partial, all of which add up.
 COUNTS = (
@@ -75,58 +73,67 @@ def line_kind(line: str, s: str | None = None) -> str:
     s = line.strip() if s is None else s
     if not s:
         return "blank"
-    if s[0] == "#" and s.lstrip("#")[:1] == " ":
+    c0 = s[0]
+    if c0 == "#" and s.lstrip("#")[:1] == " ":
         return "head"
-    while s[:1] == ">" and s[:2] != ">>":
-        s = s[1:].lstrip()
-    if not s:
-        return "blank"
+    if c0 == ">":
+        while s[:1] == ">" and s[:2] != ">>":
+            s = s[1:].lstrip()
+        if not s:
+            return "blank"
+        c0 = s[0]
     n = len(s)
     words = _WORD.findall(s)
-    chars = sum(map(len, words))
-    if _LEADER.search(s):
+    if (".." in s or "…" in s or ". ." in s) and _LEADER.search(s):
         return "list"
     pipes = s.count("|")
-    if len(words) >= 8 and n > 30 and len({w.lower() for w in words}) <= 4:
+    count = len(words)
+    # Few different words: the first words settle it for most lines.
+    if count >= 8 and n > 30 and len(set(words[:20])) <= 12 and len({w.lower() for w in words}) <= 4:
         return "junk"
-    if s[0] == "|" and pipes >= 2:
+    if c0 == "|" and pipes >= 2:
         return "table"
     if not words:
         return "junk" if n > 3 else "blank"
-    symbols = len(_SYMBOL.findall(s))
-    if len(_ODD.findall(s)) > 0.04 * n and n > 20:
+    chars = sum(map(len, words))
+    symbols = n - chars - s.count(" ") - s.count("\t")
+    if n > 20 and not s.isascii() and len(_ODD.findall(s)) > 0.04 * n:
         return "junk"
-    if s.count("{") > 2 and s.count("}") > 2 and symbols > 0.2 * n:
+    if symbols > 0.2 * n and s.count("{") > 2 and s.count("}") > 2:
         return "junk"
-    low = [w.lower() for w in words]
-    common = sum(w in COMMON for w in low)
-    cells = max(s.count(";"), s.count("\t"))
-    if cells >= 1:
-        sep = ";" if s.count(";") >= s.count("\t") else "\t"
+    common = -1
+    semis, tabs = s.count(";"), s.count("\t")
+    if semis or tabs:
+        cells, sep = (semis, ";") if semis >= tabs else (tabs, "\t")
         parts = s.split(sep)
         longest = max(map(len, parts))
         if (cells >= 2 or sep == "\t") and longest <= 45 and not (sep == ";" and len(_SENTENCE.findall(s)) > 1):
             return "table"
-        if sep == ";" and cells == 1 and longest <= 40 and common < 4 and not s.endswith(";") and parts[1][:1] != " ":
+        if sep == ";" and cells == 1 and longest <= 40 and c0 != ";" and s[-1] != ";" and parts[1][:1] != " " and sum(w.lower() in COMMON for w in words) < 4:
             return "table"
-    gaps = _GAPS.findall(s)
-    # Cells padded to a width: a wide gap, or gaps of two among single blanks. Text spaced out evenly is neither.
-    if gaps and (max(map(len, gaps)) >= 3 or (s.count(" ") > 2 * len(gaps) and common < 0.3 * len(words))):
-        return "table"
+    if "  " in s:
+        gaps = _GAPS.findall(s)
+        # Cells padded to a width: a wide gap, or gaps of two among single blanks. Text spaced out evenly is neither.
+        if gaps:
+            common = sum(w.lower() in COMMON for w in words)
+            if max(map(len, gaps)) >= 3 or (s.count(" ") > 2 * len(gaps) and common < 0.3 * count):
+                return "table"
     if _BULLET.match(line):
         return "list"
-    if max(map(len, words)) > 45 and chars > 60 and len(words) < n / 12:
+    if chars > 60 and count < n / 12 and max(map(len, words)) > 45:
         return "junk"
     if n > 20 and symbols > 0.25 * n and pipes < 2:
         return "junk"
-    if n >= 40 and common == 0:
-        if sum(not _VOWEL.search(w) for w in words if len(w) > 1) > 0.5 * len(words):
-            return "junk"
-        if len(set(low)) <= 5 and len(low) >= 10:
+    if n >= 40:
+        if not any(w.lower() in COMMON for w in words):
+            if sum(not _VOWEL.search(w) for w in words if len(w) > 1) > 0.5 * count:
+                return "junk"
+            if count >= 10 and len({w.lower() for w in words}) <= 5:
+                return "junk"
+        few = max(4, count // 12)
+        if count >= 10 and len(set(words[: 4 * few])) <= 3 * few and len({w.lower() for w in words}) <= few and sum(w.lower() in COMMON for w in words) < 0.2 * count:
             return "junk"
-    if n >= 40 and len(words) >= 10 and len(set(low)) <= max(4, len(low) // 12) and common < 0.2 * len(low):
-        return "junk"
-    if n <= 90 and _PAIR.match(s):
+    if n <= 90 and ": " in s and _PAIR.match(s):
         return "list"
     if n <= 64 and not _END.search(s):
         return "bare"
@@ -208,7 +215,7 @@ def partial(text: str) -> Partial:
     c[_AT["n_digits"]] = digits = sum(map(len, _DIGITS.findall(text)))
     c[_AT["n_letters"]] = chars - digits
     c[_AT["n_symbols"]] = len(dense) - chars
-    c[_AT["n_common"]] = sum(map(COMMON.__contains__, map(str.lower, words)))
+    c[_AT["n_common"]] = sum(map(COMMON.__contains__, _WORD.findall(text.lower())))
     w_first, w_last = _FIRST.match(text)[0][:WORD_STATE], _LAST.search(text[-WORD_STATE:])[0]
     lines = text.split("\n")
     if len(lines) == 1:
