@@ -14,7 +14,7 @@ from .packing import fill_report, pack
 from .personal_data import find_personal_data, redact_personal_data
 from .scan_repair import Repair
 from .splitting import split_oversized
-from .text_quality import text_statistics
+from .text_quality import COMMON, text_statistics
 from .visible_form import find_phrases, visible_form
 
 
@@ -98,6 +98,30 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_statistics(spark, d).filter("text_kind IN ('list', 'table', 'junk')").select("doc_id", "text_kind")
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The additive counts alone, which SQL can say too."""
+    return p8_statistics(spark, d).select("doc_id", "n_chars", "n_words", "n_word_chars", "n_common")
+
+
+_NO_UNSEEN = r"regexp_replace(text, '[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')"
+_MARKUP = r"'\]\([^()\s]*\)|\]\[[^\]\n]*\]|</?[A-Za-z][^<>\n]*>'"
+
+
+def _grams(key: str, name: str) -> str:
+    """The runs of ten words of a table's texts."""
+    words = rf"regexp_extract_all(lower(regexp_replace({_NO_UNSEEN}, {_MARKUP}, ' ', 'g')), '[\p{{L}}\p{{N}}]+')"
+    return f"SELECT {key}, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, {words} AS w FROM {name} WHERE text IS NOT NULL))"
+
+
+SQL = {
+    "p1_found": "SELECT DISTINCT chunk_id FROM pii_chunks WHERE len(regexp_extract_all(text, '[\\p{L}\\p{N}]{1,8}')) + len(regexp_extract_all(text, '[^\\p{L}\\p{N} \\t\\r\\n\\x{00A0}]')) > token_budget",
+    "p7_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'heldout_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+    "p8_counts": f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS n_word_chars,
+        CAST(len(list_filter(w, lambda x: x IN ({", ".join("'" + x + "'" for x in sorted(COMMON))}))) AS BIGINT) AS n_common
+        FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents))""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -118,8 +142,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_items": p7_items,
         "p8_found": p8_found,
         "p8_statistics": p8_statistics,
+        "p8_counts": p8_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
