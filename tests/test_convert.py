@@ -70,7 +70,7 @@ def test_convert_table(spark):
     "html, markdown",
     [
         ("<h1>T</h1><p>a <b>b</b> <i>c</i> <a href='u'>d</a> <img src=s alt=t>", "# T\n\na **b** *c* [d](u) ![t](s)"),
-        ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><ol><li>x<li>y</ol>", "- a\n    - b\n- c\n\n1. x\n2. y"),
+        ("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><ol><li>x<li>y</ol>", "- a\n  - b\n- c\n\n1. x\n2. y"),
         ("<table><tr><th>h<td>i</tr><tr><td>1<td>2</table>", "| h | i |\n| 1 | 2 |"),
         ("<pre>x  y\nz</pre><hr><blockquote><p>q</p></blockquote>", "```\nx  y\nz\n```\n\n---\n\n> q"),
         ("<script>var a='</p>'</script><style>p{}</style><!-- c --><p>x<p>y", "x\n\ny"),
