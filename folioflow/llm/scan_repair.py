@@ -35,8 +35,8 @@ DOUBTFUL, TRUSTED = 84.0, 85.0
 LEAD_ONE, LEAD_TWO = 2, 5
 #: A form that is not doubtful by its confidence must be so many times rarer.
 LEAD_SURE = 50
-#: Edge lines of at least so many documents make a running title.
-EDGE_DOCUMENTS = 3
+#: So many different edge lines with the same end make it that of a running title; copies of a page don't.
+EDGE_TEXTS = 3
 
 _HYPHEN = "[-\u2010\u2011\u00ad\u00ac\u2013~]"
 _PAGE_NUMBER = (
@@ -92,7 +92,7 @@ def lines_of(words: DataFrame) -> DataFrame:
     # The last word and the last two without numbers: what a running title ends in, whatever firm or page it has.
     bare = F.regexp_replace(F.lower(F.regexp_replace("text", r"(?<![\p{L}0-9])[0-9lOI]{1,4}(?![\p{L}0-9])", " ")), r"[^\p{L} ]+", " ")
     parts = F.split(F.regexp_replace(F.trim(bare), r"\s+", " "), " ")
-    lines = lines.withColumns({"key1": F.element_at(parts, -1), "key2": F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, -2, 2), " "))})
+    lines = lines.withColumns({"bare": F.trim(bare), "key1": F.element_at(parts, -1), "key2": F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, -2, 2), " "))})
     width = lines.filter("NOT top AND NOT bottom").groupBy("doc_id").agg(F.percentile_approx("len", 0.9).alias("width"))
     apart = F.col("line") - F.col("prev_line") >= 3
     open_end = ~F.col("text").rlike(_END) & ~F.col("text").rlike(_NUMBERED) & ~F.col("text").rlike(f"{_HYPHEN}$")
@@ -101,10 +101,10 @@ def lines_of(words: DataFrame) -> DataFrame:
             lines.filter(F.col(key).isNotNull() & (F.length(key) > 3) & open_end)
             .groupBy(key)
             .agg(
-                F.approx_count_distinct(F.when(F.col("top") | (F.col("bottom") & apart), F.col("doc_id"))).alias("edge_docs"),
+                F.approx_count_distinct(F.when(F.col("top") | (F.col("bottom") & apart), F.col("bare"))).alias("edge_texts"),
                 F.count_if(~F.col("top") & ~F.col("bottom")).alias("body_lines"),
             )
-            .filter(f"edge_docs >= {EDGE_DOCUMENTS} AND edge_docs > 3 * body_lines")
+            .filter(f"edge_texts >= {EDGE_TEXTS} AND edge_texts > 3 * body_lines")
             .select(key, F.lit(True).alias(f"title_{key}"))
         )
         lines = lines.join(edges, key, "left")
@@ -113,7 +113,7 @@ def lines_of(words: DataFrame) -> DataFrame:
     foot = F.col("bottom") & ~F.col("top") & (apart | number)
     had_room = F.col("len") + 3 + F.length("next_first") <= F.col("width")
     head = F.col("top") & ~F.col("bottom") & open_end & (number | F.coalesce(had_room, F.lit(False)) | F.coalesce("title_key1", "title_key2", F.col("text").rlike(r"\s[|—]\s")))
-    return lines.withColumn("running", F.coalesce(foot | head, F.lit(False))).drop("title_key1", "title_key2", "key1", "key2", "width")
+    return lines.withColumn("running", F.coalesce(foot | head, F.lit(False))).drop("title_key1", "title_key2", "key1", "key2", "bare", "width")
 
 
 def body_pairs(lines: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ class Repair:
         gap = (F.col("line") - F.lag("line").over(on_page) > 1) | F.col("text").rlike(_NUMBERED) | F.lag("text").over(on_page).rlike(_NUMBERED)
         lines = lines.withColumns({"new": F.coalesce(gap, F.lit(True)), "end": F.col("text").rlike(_END)})
         lines = lines.withColumn("part", F.sum(F.col("new").cast("int")).over(on_page))
-        joiner = F.when(F.col("cut"), F.regexp_replace("text", f"{_HYPHEN}$", "")).otherwise(F.concat("text", F.lit(" ")))
+        joiner = F.when(F.col("cut"), F.regexp_replace("text", f"{_HYPHEN}$", "")).when(F.col("text").rlike(r"[\p{L}0-9]-$"), F.col("text")).otherwise(F.concat("text", F.lit(" ")))
         parts = lines.groupBy("doc_id", "page", "part").agg(
             F.array_join(F.sort_array(F.collect_list(F.struct("line", joiner.alias("t")))).getField("t"), "").alias("text"), F.max_by("end", "line").alias("end"), F.max_by("text", "line").rlike(_NUMBERED).alias("heading")
         )

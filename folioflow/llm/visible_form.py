@@ -92,7 +92,8 @@ class Transducer:
         self.clusters: dict[str, str] = {}
         foreign = "\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff\u0131\u0261\u0251\u217c\u04cf"
         self.foreign = re.compile(f"[{foreign}]")
-        self.word = re.compile(r"[^\W\d_]+")
+        self.word = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{marks}])*")
+        self.letter = re.compile(rf".[{marks}]*", re.S)
 
     def _cluster(self, source: str) -> str:
         got = self.clusters.get(source)
@@ -101,19 +102,17 @@ class Transducer:
             self.clusters[source] = got
         return got
 
-    def _latin(self, word: str) -> str | None:
-        """The word with its look-alikes replaced, or null if letters of another script are left."""
+    def _latin(self, word: str) -> list[tuple[int, str]] | None:
+        """(place, letter with its marks) of a word with its look-alikes replaced; null if letters of another script are left."""
         out = []
-        for c in word:
-            if self.foreign.match(c):
-                parts = unicodedata.normalize("NFD", c)
-                if parts[0] not in self.alike:
+        for m in self.letter.finditer(word):
+            base, *marks = unicodedata.normalize("NFD", m[0]) if self.foreign.match(m[0]) else m[0]
+            if self.foreign.match(base):
+                if base not in self.alike:
                     return None
-                c = unicodedata.normalize("NFC", self.alike[parts[0]] + parts[1:])
-                if len(c) != 1:
-                    return None
-            out.append(c)
-        return "".join(out)
+                base = self.alike[base]
+            out.append((m.start(), unicodedata.normalize("NFC", base + "".join(marks))))
+        return out
 
     def with_offsets(self, text: str) -> tuple[str, list[int]]:
         out: list[str] = []
@@ -130,9 +129,23 @@ class Transducer:
         out.append(text[at:])
         offsets.extend(range(at, len(text)))
         done = "".join(out)
-        if self.foreign.search(done):
-            done = self.word.sub(lambda m: (self._latin(m[0]) or m[0]) if self.foreign.search(m[0]) else m[0], done)
-        return done, offsets
+        if not self.foreign.search(done):
+            return done, offsets
+        parts: list[str] = []
+        places: list[int] = []
+        at = 0
+        for m in self.word.finditer(done):
+            latin = self._latin(m[0]) if self.foreign.search(m[0]) else None
+            if latin is not None:
+                parts.append(done[at : m.start()])
+                places.extend(offsets[at : m.start()])
+                for i, c in latin:
+                    parts.append(c)
+                    places.extend([offsets[m.start() + i]] * len(c))
+                at = m.end()
+        parts.append(done[at:])
+        places.extend(offsets[at:])
+        return "".join(parts), places
 
     def apply(self, text: str) -> str:
         """As ``with_offsets``, with runs of blanks as one."""
