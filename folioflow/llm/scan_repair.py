@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: What was printed and what is read for it.
 CONFUSIONS = (
     "e>c a>o n>ri o>0 t>f i>! s>5 i>l d>cl l>1 u>ii g>q h>b m>rn b>6 w>vv i>1 l>i c>e o>a f>t q>g b>h l>! l>| i>| "
-    "z>2 g>9 b>8 t>7 ü>u ö>o ä>a é>e è>e ê>e ç>c ñ>n ã>a õ>o á>a à>a í>i ó>o ú>u é>6 in>m n>u u>n m>nn"
+    "z>2 g>9 b>8 t>7 ü>u ö>o ä>a é>e è>e ê>e ç>c ñ>n ã>a õ>o á>a à>a í>i ó>o ú>u é>6 in>m n>u u>n m>nn rn>m cl>d ri>n"
 )
 #: Mean confidence below which a form is doubtful, and from which it is trusted.
 DOUBTFUL, TRUSTED = 84.0, 85.0
@@ -35,6 +35,8 @@ DOUBTFUL, TRUSTED = 84.0, 85.0
 LEAD_ONE, LEAD_TWO = 2, 5
 #: A form that is not doubtful by its confidence must be so many times rarer.
 LEAD_SURE = 50
+#: The same for forms of two or three letters.
+LEAD_SHORT = 300
 #: So many different edge lines with the same end make it that of a running title; copies of a page don't.
 EDGE_TEXTS = 3
 
@@ -163,7 +165,7 @@ def corrections(doubtful: DataFrame, trusted: DataFrame) -> DataFrame:
         (F.col("w") != F.col("c"))
         & (F.levenshtein("w", "c") <= F.col("cost"))
         & (F.col("c_n") >= F.col("n") * F.when(F.col("conf") >= DOUBTFUL, LEAD_SURE).when(two, LEAD_TWO).otherwise(LEAD_ONE))
-        & ((F.col("conf") < DOUBTFUL) | (F.length("w") >= 4))
+        & ((F.col("conf") < DOUBTFUL) | (F.length("w") >= 4) | (F.col("c_n") >= LEAD_SHORT * F.col("n")))
         & ~(two & (F.length("w") < 5))
     )
     return met.groupBy("w").agg(F.max_by("c", F.struct(-two.cast("int"), F.col("c_n"), F.col("c"))).alias("c"))
