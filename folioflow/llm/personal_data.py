@@ -51,7 +51,7 @@ NOT_A_VALUE = (
 _T = r"(?:(?:" + "|".join(sorted(set(TITLES.split()), key=lambda x: -len(x))) + r")\b\.?\s+){1,2}"
 _L = r"[^\W\d_]"
 _W = rf"{_L}{{2,}}(?:-{_L}+)*"
-_SUR = rf"(?:(?:{'|'.join(PARTICLES.split())})\s+){{0,2}}(?:[oOdDlL]['’])?{_W}"
+_SUR = rf"(?:\b(?:{'|'.join(PARTICLES.split())})[ \t]+){{0,2}}(?:[oOdDlL]['’])?{_W}"
 #: "Surname, Given", "Given Surname", "G. Surname" or one of them.
 _N = rf"(?:{_SUR}, (?:{_W}|{_L}\.)|(?:(?:{_W}|{_L}\.)[ ])?{_SUR})"
 _NAME = re.compile(_N, re.I)
@@ -69,10 +69,10 @@ _NAMED_AFTER = [
 ]
 #: What follows a name; the name is looked for in the characters before it.
 _AFTER = re.compile(r"\s(?:asked us\b|wrote:|ist unter\b|est joignable\b|atiende\b|è raggiungibile\b|is bereikbaar\b|atende\b)", re.I)
-_ENDING = re.compile(rf"(?:{_T})?(?P<n>{_N})$", re.I)
+_ENDING = re.compile(rf"(?<!\w)(?:{_T})?(?P<n>{_N})$", re.I)
 _WINDOW = 80
-#: In a French note "M." is a title, if no given name there starts with it.
-_FRENCH = re.compile(r"\b(?:selon|cordialement|madame|monsieur|est joignable|pièce d['’]identité|copie envoyée|veuillez|merci de)\b", re.I)
+#: After these words "M." is a title and not the first letter of a name.
+_SIR = re.compile(r"\b(?:selon|monsieur|cher)\s+$", re.I)
 _NAMED = [re.compile(p, re.I) for p in _NAMED_AFTER]
 _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|Sra|Srta|Sr|Dra|Monsieur|Madame|Señora?|Sig|Dott|Mevrouw|Senhora?)\b\.?\s+(?P<n>" + _N + ")")
 _TITLE_WORD = re.compile(rf"(?:(?:{'|'.join(sorted(set(TITLES.split()), key=lambda x: -len(x)))})\b\.?\s+)+", re.I)
@@ -148,7 +148,7 @@ _NOT = frozenset(NOT_A_VALUE.split())
 #: Words that stand where a name could, but are none.
 _NO_NAME = frozenset(
     "minutes protokoll protocole compte rendu acta verbale verslag ata sir madam team all colleagues customer tenant applicant damen herren "
-    "kolleginnen kollegen mesdames messieurs señores señoras clientes everyone section contact further copy kept later".split()
+    "kolleginnen kollegen mesdames messieurs señores señoras clientes everyone section contact further copy kept later go goes asked lives wrote mit freundlichen kind regards cordialement merci ref atentamente saludos section".split()
 ) | (COMMON - frozenset(PARTICLES.split()) - frozenset(x.lower() for x in TITLES.split()))
 
 
@@ -197,10 +197,6 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
         for m in p.finditer(form):
             if word_before(m.start()) not in _NOT:
                 add(m.start(), m.end(), "IDENTITY_DATA")
-    for p in _STREETS:
-        for m in p.finditer(form):
-            rest = _PLACE_REST.match(form, m.end())
-            add(m.start(), rest.end() if rest else m.end(), "LOCATION")
     for p in _PHONES:
         for m in p.finditer(form):
             if 7 <= sum(c.isdigit() for c in m[0]) <= 15 and word_before(m.start()) not in _NOT and not _is_date(m[0]):
@@ -209,14 +205,13 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
         add(m.start(), m.end(), "PHONE")
 
     names: set[str] = set()
-    french = bool(_FRENCH.search(form))
 
     def person(a: int, b: int) -> None:
         t = _TITLE_WORD.match(form, a, b)
         if t and t.end() < b:
             a = t.end()
         name = form[a:b]
-        if french and name.startswith("M. ") and not re.search(rf"\bM{_L}+ {re.escape(name[3:])}|{re.escape(name[3:])}, M", form, re.I):
+        if name.startswith("M. ") and _SIR.search(form[max(0, a - 12) : a]):
             a += 3
             name = name[3:]
         # A name of more than one word that ends in an ordinary word ends before it.
@@ -236,6 +231,15 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
     for m in _TITLED.finditer(form):
         if m["n"][:1].isupper() or m["n"].split()[0].lower() in PARTICLES.split():
             person(*m.span("n"))
+    # A place ends where a name begins.
+    for p in _STREETS:
+        for m in p.finditer(form):
+            rest = _PLACE_REST.match(form, m.end())
+            end = rest.end() if rest else m.end()
+            met = taken.find(1, m.start(), end)
+            if met < 0 or met >= m.end():
+                end = end if met < 0 else met
+                add(m.start(), m.start() + len(form[m.start() : end].rstrip(" ,\n")), "LOCATION")
     names -= frozenset(PARTICLES.split())
     if names:
         last = -1
