@@ -134,3 +134,14 @@ def layout_rows(items: DataFrame) -> DataFrame:
 def redacted_file_name(name: Column) -> Column:
     base = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^.]+\z", ""))
     return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("image")), F.lit("-redacted.png"))
+
+
+def pages_to_read(page_numbers: Column) -> Column:
+    """The pages to recognise: those given, else the first."""
+    return F.when(F.size(page_numbers) > 0, page_numbers).otherwise(F.array(F.lit(1)))
+
+
+def with_current_boxes(docs: DataFrame, recognised: DataFrame) -> DataFrame:
+    """(doc_id) of documents whose text is still what was recognised, so that offsets belong to boxes; nulls are equal."""
+    a, b = docs.select("doc_id", "text"), recognised.select("doc_id", F.col("text").alias("read"))
+    return a.join(b, "doc_id").filter(F.col("text").eqNullSafe(F.col("read"))).select("doc_id")

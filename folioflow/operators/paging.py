@@ -30,7 +30,7 @@ def text_cursors(df: DataFrame, id_col: str, text_col: str, characters: int = PA
 def _json_length(value) -> int:
     """Length in UTF-16 units of what a browser writes for a value."""
     s = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    return len(s) + sum(c > "￿" for c in s)
+    return len(s) + sum(ord(c) > 0xFFFF for c in s)
 
 
 def page_at(text: str, cursor: int, mode: str, characters: int = PAGE_CHARACTERS, budget: int = PAGE_JSON) -> dict:
@@ -40,6 +40,8 @@ def page_at(text: str, cursor: int, mode: str, characters: int = PAGE_CHARACTERS
         return {"text": text[cursor:end], "cursor": cursor, "nextCursor": end if end < len(text) else None, "totalCharacters": len(text), "mode": mode}
 
     lo, hi = cursor, min(cursor + characters, len(text))
+    if _json_length(page(hi)) <= budget:
+        return page(hi)
     while lo < hi:
         mid = (lo + hi + 1) // 2
         lo, hi = (mid, hi) if _json_length(page(mid)) <= budget else (lo, mid - 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import language, text
+from .functions import editing, language, text
 from .operators import assets, entities, handoff, ocr, paging, spans, usage
 from .operators.convert import convert, references
 from .operators.scan import scan
@@ -401,6 +401,45 @@ def source_language(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").join(s, "source", "left").select("doc_id", "label")
 
 
+@query(
+    rf"""WITH {LATEST}, b AS (SELECT DISTINCT handoff_id, markdown, unnest(broken) AS label FROM h WHERE markdown IS NOT NULL)
+    SELECT handoff_id, label, CAST(instr(markdown, '[' || label || ']') - 1 AS INTEGER) AS start_pos,
+    CAST(length(regexp_replace(markdown, '[{WS_RE2}]+$', '')) + length(label) + length('https://docs.example/') + 8 AS BIGINT) AS fixed_length FROM b WHERE label IS NOT NULL"""
+)
+def broken_references(spark, d):
+    """Where the stored broken labels stand, and the length of the note once each is defined."""
+    b = latest_handoffs(spark, d).filter("markdown IS NOT NULL").select("handoff_id", "markdown", F.explode("broken").alias("label")).filter("label IS NOT NULL").distinct()
+    fixed = editing.fix_reference(F.col("markdown"), F.col("label"), F.lit(" https://docs.example/ "))
+    return b.select("handoff_id", "label", editing.locate_reference(F.col("markdown"), F.col("label")).alias("start_pos"), F.length(fixed).cast("bigint").alias("fixed_length"))
+
+
+@query(
+    rf"""WITH {LATEST}, p AS (SELECT handoff_id, regexp_replace(regexp_replace(markdown, '[{WS_RE2}]+', ' ', 'g'), '^ | $', '', 'g') AS t FROM h WHERE markdown IS NOT NULL)
+    SELECT handoff_id, substr(t, 1, 120) AS preview, length(t) > 120 AS truncated FROM p"""
+)
+def note_previews(spark, d):
+    v = editing.truncated(editing.preview(F.col("markdown")), 120)
+    return latest_handoffs(spark, d).filter("markdown IS NOT NULL").select("handoff_id", v["value"].alias("preview"), v["truncated"].alias("truncated"))
+
+
+@query(
+    rf"""WITH {LATEST}, n AS (SELECT handoff_id, count(*) AS n, count(*) FILTER (origin = 'local-ai') AS m FROM safety_findings WHERE handoff_id IS NOT NULL GROUP BY handoff_id)
+    SELECT h.handoff_id, CAST(length(coalesce(markdown, '')) AS BIGINT) AS markdown_length, CAST(len(regexp_extract_all(coalesce(markdown, ''), '[^{WS_RE2}]+')) AS BIGINT) AS word_count,
+    CAST(length(coalesce(plain_text, '')) AS BIGINT) AS output_length, conversion_mode, coalesce(append_references, false) AS append_references, CAST(coalesce(len(import_warnings), 0) AS BIGINT) AS warning_count,
+    CAST(coalesce(len(broken), 0) AS BIGINT) AS broken_count, CAST(coalesce(n.n, 0) AS BIGINT) AS finding_count, CAST(coalesce(n.m, 0) AS BIGINT) AS model_finding_count, deep_scan_status,
+    coalesce(human_approved, false) AS human_approved FROM h LEFT JOIN n USING (handoff_id)"""
+)
+def document_state(spark, d):
+    """Counts and settings of each note, never its text."""
+    s = handoff.summarise(latest_handoffs(spark, d))
+    f = table(spark, d, "safety_findings").filter("handoff_id IS NOT NULL").groupBy("handoff_id").agg(F.count("*").alias("n"), F.count_if(F.col("origin") == "local-ai").alias("m"))
+    mode = latest_handoffs(spark, d).select("handoff_id", "conversion_mode")
+    return s.join(f, "handoff_id", "left").join(mode, "handoff_id", "left").select(
+        "handoff_id", F.col("input_characters").alias("markdown_length"), "word_count", F.col("output_characters").alias("output_length"), "conversion_mode", F.col("references_appended").alias("append_references"),
+        "warning_count", "broken_count", F.coalesce("n", F.lit(0)).alias("finding_count"), F.coalesce("m", F.lit(0)).alias("model_finding_count"), "deep_scan_status", "human_approved",
+    )
+
+
 # ---- readiness -----------------------------------------------------------------------
 
 _FILLED = lambda c: f"coalesce(regexp_matches({c}, '[^{WS_RE2}]'), false)"

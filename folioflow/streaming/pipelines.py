@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -76,3 +77,27 @@ def approvals(changes: DataFrame) -> DataFrame:
         yield pd.DataFrame({"doc_id": [key[0]], "approved": [bool(snapshot) and snapshot == approved], "snapshot": [snapshot]})
 
     return changes.groupBy("doc_id").applyInPandasWithState(step, APPROVAL, "snapshot string, approved string", "update", GroupStateTimeout.NoTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Keeps, for each query, the rows read so far and whether it has ended; ``told`` is called after each batch."""
+
+    def __init__(self, told=None):
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+        self.told = told
+
+    def onQueryStarted(self, event):
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event):
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+        if self.told:
+            self.told(key, self.rows[key])
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.ended.add(str(event.id))

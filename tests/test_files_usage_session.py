@@ -101,6 +101,19 @@ def test_once_and_settled(spark, tmp_path):
     assert [r.text for r in got] == ["a long enough text, changed"]
 
 
+def test_progress(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"doc_id": 1, "text": "x"}))
+    seen = []
+    listener = pipelines.Progress(lambda key, rows: seen.append(rows))
+    spark.streams.addListener(listener)
+    try:
+        _run(pipelines.document_statistics(pipelines.json_stream(spark, str(tmp_path), "doc_id long, text string")), "progress_stream", "append")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(listener.rows.values()) == 1 and seen
+
+
 def test_document_stream_and_current_results(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"doc_id": 1, "text": "mail a@b.co"}))
     docs = pipelines.json_stream(spark, str(tmp_path), "doc_id long, text string")

@@ -172,3 +172,11 @@ def test_random_page_texts_round_trip():
             p = paging.page_at(s, cursor, "plain")
             out, cursor = out + p["text"], p["nextCursor"]
         assert out == s
+
+
+def test_pages_and_current_boxes(spark):
+    df = spark.createDataFrame([([2, 3],), ([],), (None,)], "p array<int>").select(ocr.pages_to_read(F.col("p"))).collect()
+    assert [r[0] for r in df] == [[2, 3], [1], [1]]
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "doc_id long, text string")
+    read = spark.createDataFrame([(1, "a"), (2, "c"), (3, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ocr.with_current_boxes(docs, read).collect()) == [1, 3]

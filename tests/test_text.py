@@ -68,3 +68,25 @@ def test_luhn_against_definition(s):
         d = int(c) * (2 if i % 2 else 1)
         total += d - 9 if d > 9 else d
     assert scan.luhn(s) == (13 <= len(s) <= 19 and len(set(s)) > 1 and total % 10 == 0)
+
+
+def test_editing(spark):
+    from folioflow.functions import editing
+
+    df = spark.createDataFrame([("see [a b] \n\n", "a b", " http://x "), ("none", "q", "x\ny"), (None, "q", "u")], "t string, l string, u string")
+    rows = df.select(editing.locate_reference(F.col("t"), F.col("l")), editing.fix_reference(F.col("t"), F.col("l"), F.col("u")), editing.preview(F.col("t")), editing.truncated(F.col("t"), 3)).collect()
+    assert tuple(rows[0])[:3] == (4, "see [a b]\n\n[a b]: <http://x>", "see [a b]") and rows[0][3] == ("see", True)
+    assert tuple(rows[1])[:3] == (-1, None, "none") and rows[2][1] is None
+
+
+def test_sql_functions(spark):
+    from folioflow.functions.register import register
+
+    names = register(spark)
+    assert len(names) == 7
+    spark.createDataFrame([(1, "mail a@b.co and more words"), (2, None)], "id long, t string").createOrReplaceTempView("reg_docs")
+    one = spark.sql("SELECT convert_markdown('# T', 'plain') a, html_to_markdown('<p>x') b, nfkc('ｘ') c, language_code('x') d, nfkc(NULL) e").collect()[0]
+    assert tuple(one) == ("T", "x", "x", "eng", None)
+    assert [(r.id, r.rule, r.value) for r in spark.sql("SELECT id, f.* FROM reg_docs, LATERAL scan_findings(t) f").collect()] == [(1, "email", "a@b.co")]
+    assert spark.sql("SELECT c.* FROM reg_docs, LATERAL chunk_text(t, 8, 1) c").count() == 1
+    assert [r.next_cursor for r in spark.sql("SELECT p.* FROM reg_docs, LATERAL text_pages(t) p").collect()] == [None]
