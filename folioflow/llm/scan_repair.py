@@ -79,16 +79,18 @@ def lines_of(words: DataFrame) -> DataFrame:
     """Printed lines with their place on the page and whether they are ``running``."""
     lines = words.groupBy("doc_id", "page", "line").agg(
         F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("ws"),
-        F.min_by("text", F.coalesce("pos", F.lit(-1))).alias("first_word"),
-        F.max_by("text", F.coalesce("pos", F.lit(-1))).alias("last_word"),
+        F.min_by(F.struct("text", "pos", "confidence"), F.coalesce("pos", F.lit(-1))).alias("a"),
+        F.max_by(F.struct("text", "pos", "confidence"), F.coalesce("pos", F.lit(-1))).alias("z"),
     )
     on_page = Window.partitionBy("doc_id", "page").orderBy("line")
     lines = lines.select(
-        "doc_id", "page", "line", "first_word", "last_word",
+        "doc_id", "page", "line",
+        F.col("a.text").alias("first_word"), F.col("a.pos").alias("first_pos"), F.col("a.confidence").alias("first_conf"),
+        F.col("z.text").alias("last_word"), F.col("z.pos").alias("last_pos"), F.col("z.confidence").alias("last_conf"),
         F.array_join(F.col("ws.text"), " ").alias("text"),
         F.lead("line").over(on_page).alias("next_line"),
         F.lag("line").over(on_page).alias("prev_line"),
-        F.lead("first_word").over(on_page).alias("next_first"),
+        F.lead(F.col("a.text")).over(on_page).alias("next_first"),
     )
     lines = lines.withColumns({"len": F.length("text"), "top": F.col("prev_line").isNull(), "bottom": F.col("next_line").isNull()})
     # The last word and the last two without numbers: what a running title ends in, whatever firm or page it has.
@@ -120,14 +122,17 @@ def lines_of(words: DataFrame) -> DataFrame:
 
 def body_pairs(lines: DataFrame) -> DataFrame:
     """Body lines with the body line that follows: on the page, else the first on the next page."""
-    body = lines.filter("NOT running").select("doc_id", "page", "line", "text", "first_word", "last_word")
+    body = lines.filter("NOT running").select("doc_id", "page", "line", "first_word", "first_pos", "first_conf", "last_word", "last_pos", "last_conf")
     on_page = Window.partitionBy("doc_id", "page").orderBy("line")
-    body = body.withColumns({"n_line": F.lead("line").over(on_page), "n_word": F.lead("first_word").over(on_page), "rank": F.row_number().over(on_page)})
-    first = body.filter("rank = 1").select("doc_id", (F.col("page") - 1).alias("page"), F.col("line").alias("p_line"), F.col("first_word").alias("p_word"))
-    last = body.filter("n_line IS NULL").join(first, ["doc_id", "page"], "left")
-    last = last.select(*[c for c in body.columns if c not in ("n_line", "n_word")], F.col("p_line").alias("n_line"), F.col("p_word").alias("n_word"), F.when(F.col("p_line").isNotNull(), F.col("page") + 1).alias("n_page"))
-    rest = body.filter("n_line IS NOT NULL").withColumn("n_page", F.col("page"))
-    return rest.unionByName(last).drop("rank")
+    start = F.struct("page", "line", F.col("first_word").alias("word"), F.col("first_pos").alias("pos"), F.col("first_conf").alias("conf"))
+    body = body.withColumns({"next": F.lead(start).over(on_page), "rank": F.row_number().over(on_page), "start": start})
+    first = body.filter("rank = 1").select("doc_id", (F.col("page") - 1).alias("page"), F.col("start").alias("over"))
+    last = body.filter("next IS NULL").join(first, ["doc_id", "page"], "left").withColumn("next", F.col("over")).drop("over")
+    both = body.filter("next IS NOT NULL").unionByName(last)
+    return both.select(
+        "doc_id", "page", "line", "last_word", "last_pos", "last_conf",
+        F.col("next.page").alias("n_page"), F.col("next.line").alias("n_line"), F.col("next.word").alias("n_word"), F.col("next.pos").alias("n_pos"), F.col("next.conf").alias("n_conf"),
+    )
 
 
 def _forms(tokens: DataFrame) -> DataFrame:
@@ -178,41 +183,32 @@ class Repair:
         self.words = cut(words_of(words))
         self.lines = cut(lines_of(self.words))
         running = self.lines.filter("running").select("doc_id", "page", "line")
-        body = self.words.join(running, ["doc_id", "page", "line"], "left_anti")
-        pairs = body_pairs(self.lines).filter(F.col("last_word").rlike(rf"\p{{L}}{_HYPHEN}$") & F.col("n_word").rlike(r"^\W*[\p{L}0-9!|]"))
+        self.body = body = self.words.join(running, ["doc_id", "page", "line"], "left_anti")
+        pairs = body_pairs(self.lines).filter(F.col("last_word").rlike(rf"\p{{L}}[\p{{L}}0-9!|]*{_HYPHEN}$") & F.col("n_word").rlike(r"^\W*[\p{L}0-9!|]"))
         stem, rest = F.regexp_replace("last_word", f"{_HYPHEN}$", ""), F.col("n_word")
-        pairs = pairs.select(
-            "doc_id", "page", "line", "n_page", "n_line", "last_word", "n_word",
-            _core(F.concat(stem, rest)).alias("joined"), _core(F.concat(stem, F.lit("-"), rest)).alias("compound"),
-            F.length(_core(stem)).alias("cut_at"), rest.rlike(r"^\W*[\p{Lu}0-9]").alias("own"),
+        pairs = cut(
+            pairs.select(
+                "doc_id", "page", "line", "last_pos", "n_page", "n_line", "n_pos",
+                F.least("last_conf", "n_conf").alias("confidence"),
+                _core(F.concat(stem, rest)).alias("joined"), _core(F.concat(stem, F.lit("-"), rest)).alias("compound"),
+                F.length(_core(stem)).alias("cut_at"), rest.rlike(r"^\W*[\p{Lu}0-9]").alias("own"),
+            )
         )
         # The two halves of cut words are no forms of their own.
-        ends = pairs.select("doc_id", "page", "line", F.col("last_word").alias("text"))
-        starts = pairs.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_word").alias("text"))
-        last_pos = body.groupBy("doc_id", "page", "line").agg(F.max("pos").alias("hi"), F.min("pos").alias("lo"))
-        halves = (
-            ends.join(last_pos, ["doc_id", "page", "line"]).select("doc_id", "page", "line", F.col("hi").alias("pos"))
-            .unionByName(starts.join(last_pos, ["doc_id", "page", "line"]).select("doc_id", "page", "line", F.col("lo").alias("pos")))
-            .distinct()
-        )
-        self.body = body
-        self.tokens = cut(body.join(halves, ["doc_id", "page", "line", "pos"], "left_anti").withColumn("w", _core(F.col("text"))))
+        ends = pairs.select("doc_id", "page", "line", F.col("last_pos").alias("pos"))
+        starts = pairs.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"))
+        halves = ends.unionByName(starts).distinct()
+        self.tokens = cut(body.join(halves, ["doc_id", "page", "line", "pos"], "left_anti").select("doc_id", "page", "line", "text", "confidence", _core(F.col("text")).alias("w")))
         self.forms = cut(_forms(self.tokens))
-        known = self.forms.select("w", F.col("n"))
+        known = self.forms.select("w", "n")
         pairs = (
             pairs.join(known.select(F.col("w").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
             .join(known.select(F.col("w").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
             .na.fill(0, ["n_joined", "n_compound"])
         )
-        self.broken = pairs.filter("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)")
+        self.broken = cut(pairs.filter("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)"))
         # Forms of cut words count as doubtful forms too, with the lower confidence of their halves.
-        at = {n: self.words.select("doc_id", F.col("page").alias(p), F.col("line").alias(q), F.col("text").alias(t), F.col("confidence").alias(n)) for n, p, q, t in (("c1", "page", "line", "last_word"), ("c2", "n_page", "n_line", "n_word"))}
-        joined = (
-            self.broken.filter("n_joined = 0")
-            .join(at["c1"].groupBy("doc_id", "page", "line", "last_word").agg(F.min("c1").alias("c1")), ["doc_id", "page", "line", "last_word"])
-            .join(at["c2"].groupBy("doc_id", "n_page", "n_line", "n_word").agg(F.min("c2").alias("c2")), ["doc_id", "n_page", "n_line", "n_word"])
-            .select("doc_id", "page", "line", "n_page", "n_line", "cut_at", F.col("joined").alias("w"), F.least("c1", "c2").alias("confidence"))
-        )
+        joined = self.broken.filter("n_joined = 0").select("doc_id", "page", "line", "n_page", "n_line", "cut_at", F.col("joined").alias("w"), "confidence")
         self.joined = joined
         letters = F.col("w").rlike(r"\p{L}")
         doubtful = (
