@@ -15,7 +15,7 @@ from .personal_data import find_personal_data, redact_personal_data
 from .scan_repair import Repair
 from .splitting import split_oversized
 from .text_quality import COMMON, text_statistics
-from .visible_form import find_phrases, visible_form
+from .visible_form import UNSEEN, default_tables, find_phrases, visible_form
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,20 @@ def _grams(key: str, name: str) -> str:
     return f"SELECT {key}, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, {words} AS w FROM {name} WHERE text IS NOT NULL))"
 
 
+def _visible_sql(column: str) -> str:
+    """The consistent form in SQL, which replaces look-alikes in every word."""
+    singles = {a: b for name, t in default_tables().items() if name != "unseen" for a, b in t.items() if len(b) == 1 and b != "'"}
+    unseen = "".join(c if c == "-" else f"\\x{{{ord(c):04X}}}" for c in UNSEEN)
+    plain = f"translate(regexp_replace({column}, '[{unseen}]', '', 'g'), '{''.join(singles)}', '{''.join(singles.values())}')"
+    return f"regexp_replace(nfc_normalize({plain}), '\\s+', ' ', 'g')"
+
+
+_P2 = f"""WITH t AS (SELECT 'handoff' AS origin, handoff_id AS row_id, markdown AS t FROM handoff_inputs UNION ALL SELECT 'source', source_id, text FROM normalized_sources),
+    v AS (SELECT origin, row_id, t, {_visible_sql("t")} AS f FROM t WHERE t IS NOT NULL), r AS (SELECT rule_no, phrase, {_visible_sql("phrase")} AS p FROM scanner_rules WHERE NOT raw_only AND trim(phrase) <> '')
+    SELECT DISTINCT origin, CAST(row_id AS BIGINT) AS row_id, CAST(rule_no AS INTEGER) AS rule_no FROM v JOIN r ON contains(f, p) AND NOT contains(t, phrase)"""
+
 SQL = {
+    "p2_found": _P2,
     "p1_found": "SELECT DISTINCT chunk_id FROM pii_chunks WHERE len(regexp_extract_all(text, '[\\p{L}\\p{N}]{1,8}')) + len(regexp_extract_all(text, '[^\\p{L}\\p{N} \\t\\r\\n\\x{00A0}]')) > token_budget",
     "p7_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'heldout_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
     "p8_counts": f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS n_word_chars,

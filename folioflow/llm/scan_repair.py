@@ -69,6 +69,7 @@ def words_of(df: DataFrame) -> DataFrame:
             F.col("confidence").cast("double").alias("confidence"),
         )
         .filter("text <> '' AND doc_id IS NOT NULL AND page IS NOT NULL AND line IS NOT NULL")
+        .repartition("doc_id", "page")  # the one shuffle of all words: pages stay together from here on
         .groupBy("doc_id", "page", "line", "pos")
         .agg(F.max(F.struct("text", "confidence")).alias("w"))
         .select("doc_id", "page", "line", "pos", "w.text", "w.confidence")
@@ -76,7 +77,7 @@ def words_of(df: DataFrame) -> DataFrame:
 
 
 def lines_of(words: DataFrame) -> DataFrame:
-    """Printed lines with their place on the page and whether they are ``running``."""
+    """Printed lines with their ends, their neighbours and their place on the page."""
     lines = words.groupBy("doc_id", "page", "line").agg(
         F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("ws"),
         F.min_by(F.struct("text", "pos", "confidence"), F.coalesce("pos", F.lit(-1))).alias("a"),
@@ -92,7 +93,14 @@ def lines_of(words: DataFrame) -> DataFrame:
         F.lag("line").over(on_page).alias("prev_line"),
         F.lead(F.col("a.text")).over(on_page).alias("next_first"),
     )
-    lines = lines.withColumns({"len": F.length("text"), "top": F.col("prev_line").isNull(), "bottom": F.col("next_line").isNull()})
+    return lines.withColumns({"len": F.length("text"), "top": F.col("prev_line").isNull(), "bottom": F.col("next_line").isNull()})
+
+
+def running_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, running): the numbers of the running lines of each page that has any.
+
+    Counts are over all lines; only the two edge lines of a page are judged, so few rows are moved.
+    """
     # The last word and the last two without numbers: what a running title ends in, whatever firm or page it has.
     bare = F.regexp_replace(F.lower(F.regexp_replace("text", r"(?<![\p{L}0-9])[0-9lOI]{1,4}(?![\p{L}0-9])", " ")), r"[^\p{L} ]+", " ")
     parts = F.split(F.regexp_replace(F.trim(bare), r"\s+", " "), " ")
@@ -100,8 +108,9 @@ def lines_of(words: DataFrame) -> DataFrame:
     width = lines.filter("NOT top AND NOT bottom").groupBy("doc_id").agg(F.percentile_approx("len", 0.9).alias("width"))
     apart = F.col("line") - F.col("prev_line") >= 3
     open_end = ~F.col("text").rlike(_END) & ~F.col("text").rlike(_NUMBERED) & ~F.col("text").rlike(f"{_HYPHEN}$")
+    edge = lines.filter("top OR bottom")
     for key in ("key1", "key2"):
-        edges = (
+        titles = (
             lines.filter(F.col(key).isNotNull() & (F.length(key) > 3) & open_end)
             .groupBy(key)
             .agg(
@@ -111,18 +120,22 @@ def lines_of(words: DataFrame) -> DataFrame:
             .filter(f"edge_texts >= {EDGE_TEXTS} AND edge_texts > 3 * body_lines")
             .select(key, F.lit(True).alias(f"title_{key}"))
         )
-        lines = lines.join(edges, key, "left")
-    lines = lines.join(width, "doc_id", "left")
+        edge = edge.join(titles, key, "left")
+    edge = edge.join(width, "doc_id", "left")
     number = F.col("text").rlike(_PAGE_NUMBER)
     foot = F.col("bottom") & ~F.col("top") & (apart | number)
     had_room = F.col("len") + 3 + F.length("next_first") <= F.col("width")
     head = F.col("top") & ~F.col("bottom") & open_end & (number | F.coalesce(had_room, F.lit(False)) | F.coalesce("title_key1", "title_key2", F.col("text").rlike(r"\s[|—]\s")))
-    return lines.withColumn("running", F.coalesce(foot | head, F.lit(False))).drop("title_key1", "title_key2", "key1", "key2", "bare", "width")
+    return edge.filter(foot | head).groupBy("doc_id", "page").agg(F.collect_set("line").alias("running"))
+
+
+def _is_running() -> Column:
+    return F.coalesce(F.array_contains("running", F.col("line")), F.lit(False))
 
 
 def body_pairs(lines: DataFrame) -> DataFrame:
     """Body lines with the body line that follows: on the page, else the first on the next page."""
-    body = lines.filter("NOT running").select("doc_id", "page", "line", "first_word", "first_pos", "first_conf", "last_word", "last_pos", "last_conf")
+    body = lines.select("doc_id", "page", "line", "first_word", "first_pos", "first_conf", "last_word", "last_pos", "last_conf")
     on_page = Window.partitionBy("doc_id", "page").orderBy("line")
     start = F.struct("page", "line", F.col("first_word").alias("word"), F.col("first_pos").alias("pos"), F.col("first_conf").alias("conf"))
     body = body.withColumns({"next": F.lead(start).over(on_page), "rank": F.row_number().over(on_page), "start": start})
@@ -180,11 +193,14 @@ class Repair:
     """The stages of a repair; each is a DataFrame that later ones use."""
 
     def __init__(self, words: DataFrame, cut=lambda df: df):
+        pages = ["doc_id", "page"]
         self.words = cut(words_of(words))
-        self.lines = cut(lines_of(self.words))
-        running = self.lines.filter("running").select("doc_id", "page", "line")
-        self.body = body = self.words.join(running, ["doc_id", "page", "line"], "left_anti")
-        pairs = body_pairs(self.lines).filter(F.col("last_word").rlike(rf"\p{{L}}[\p{{L}}0-9!|]*{_HYPHEN}$") & F.col("n_word").rlike(r"^\W*[\p{L}0-9!|]"))
+        lines = cut(lines_of(self.words))
+        running = cut(running_lines(lines))
+        self.running = running.select(*pages, F.explode("running").alias("line"))
+        self.body = self.words.join(running, pages, "left").filter(~_is_running()).drop("running")
+        body_lines = lines.join(running, pages, "left").filter(~_is_running())
+        pairs = body_pairs(body_lines).filter(F.col("last_word").rlike(rf"\p{{L}}[\p{{L}}0-9!|]*{_HYPHEN}$") & F.col("n_word").rlike(r"^\W*[\p{L}0-9!|]"))
         stem, rest = F.regexp_replace("last_word", f"{_HYPHEN}$", ""), F.col("n_word")
         pairs = cut(
             pairs.select(
@@ -197,8 +213,9 @@ class Repair:
         # The two halves of cut words are no forms of their own.
         ends = pairs.select("doc_id", "page", "line", F.col("last_pos").alias("pos"))
         starts = pairs.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"))
-        halves = ends.unionByName(starts).distinct()
-        self.tokens = cut(body.join(halves, ["doc_id", "page", "line", "pos"], "left_anti").select("doc_id", "page", "line", "text", "confidence", _core(F.col("text")).alias("w")))
+        halves = ends.unionByName(starts).groupBy(*pages).agg(F.collect_set(F.struct("line", "pos")).alias("halves"))
+        whole = self.body.join(halves, pages, "left").filter(~F.coalesce(F.array_contains("halves", F.struct("line", "pos")), F.lit(False)))
+        self.tokens = cut(whole.select("doc_id", "page", "line", "text", "confidence", _core(F.col("text")).alias("w")))
         self.forms = cut(_forms(self.tokens))
         known = self.forms.select("w", "n")
         pairs = (
@@ -225,7 +242,7 @@ class Repair:
     def defects(self) -> DataFrame:
         """(doc_id, page, line, defect): 'running', 'broken' and 'misread' lines."""
         keys = ["doc_id", "page", "line"]
-        running = self.lines.filter("running").select(*keys, F.lit("running").alias("defect"))
+        running = self.running.select(*keys, F.lit("running").alias("defect"))
         broken = self.broken.select(*keys, F.lit("broken").alias("defect"))
         plain = self.tokens.join(self.fixes, "w").select(*keys)
         odd = self.tokens.filter(F.regexp_replace("text", r"^\W+|[.,;:?)\]\"”»!]+$", "").rlike(self.ODD)).select(*keys)
