@@ -29,7 +29,7 @@ class ToolError(ValueError):
 def _bounded(args: dict, name: str, low: int, high: int, default: int) -> int:
     v = args.get(name, default)
     if isinstance(v, bool) or not isinstance(v, int) or not low <= v <= high:
-        raise ToolError(f"{name} must be an integer from {low} to {high}.")
+        raise ToolError(f"{name} has to be a whole number between {low} and {high}.")
     return v
 
 
@@ -145,22 +145,22 @@ class Session:
         self._need_approval()
         cursor, size = _bounded(args, "cursor", 0, CURSOR_MAX, 0), _bounded(args, "maxCharacters", 1, PAGE_CHARACTERS, PAGE_CHARACTERS)
         if cursor > len(self.text):
-            raise ToolError("cursor is beyond the end of the converted text.")
+            raise ToolError("The cursor lies after the last character.")
         return page_at(self.text, cursor, self.mode, size)
 
     def set_document_content(self, text=None, **_) -> dict:
         if not isinstance(text, str) or len(text) > MAX_TEXT:
-            raise ToolError(f"text must be a string of at most {MAX_TEXT} characters.")
+            raise ToolError(f"The text has to be a string of no more than {MAX_TEXT} characters.")
         self._replace(text)
         return {"updated": True, "markdownLength": len(text), "outputLength": len(self.text), "safetyFindingCount": len(self.findings)}
 
     def set_conversion_options(self, **args) -> dict:
         if not {"mode", "appendReferences"} & args.keys():
-            raise ToolError("Provide mode and/or appendReferences.")
+            raise ToolError("Give a mode, or whether to append references.")
         if args.get("mode", "plain") not in MODES:
-            raise ToolError("mode must be plain, readable, or ai.")
+            raise ToolError(f"The mode is one of {', '.join(MODES)}.")
         if not isinstance(args.get("appendReferences", True), bool):
-            raise ToolError("appendReferences must be boolean.")
+            raise ToolError("appendReferences is true or false.")
         self.mode, self.append_references, self._approved = args.get("mode", self.mode), args.get("appendReferences", self.append_references), None
         self._derive()
         return {"updated": True, "conversionMode": self.mode, "appendReferences": self.append_references, "approvalReset": True}
@@ -168,7 +168,7 @@ class Session:
     def _page(self, args: dict, items: list, name: str) -> tuple[list, dict]:
         cursor, limit = _bounded(args, "cursor", 0, CURSOR_MAX, 0), _bounded(args, "limit", 1, PAGE_ITEMS, PAGE_ITEMS)
         if cursor > len(items):
-            raise ToolError(f"cursor is beyond the end of the {name} list.")
+            raise ToolError(f"The cursor lies after the last entry of the {name} list.")
         end = min(cursor + limit, len(items))
         return items[cursor:end], {"cursor": cursor, "nextCursor": end if end < len(items) else None}
 
@@ -214,11 +214,11 @@ class Session:
     def redact_document_findings(self, findingIds=None, **_) -> dict:  # noqa: N803 - the tool's own name for its input
         ids = findingIds
         if not isinstance(ids, list) or not 1 <= len(ids) <= MAX_IDS or not all(isinstance(i, str) and len(i) <= MAX_ID for i in ids):
-            raise ToolError(f"findingIds must be a non-empty array of at most {MAX_IDS} strings.")
+            raise ToolError(f"findingIds has to list between 1 and {MAX_IDS} ids.")
         known = {f["id"]: f for f in self.findings}
         for i in ids:
             if i not in known:
-                raise ToolError(f"Unknown finding ID: {i}")
+                raise ToolError(f"No finding has the id {i}.")
         chosen = sorted((known[i] for i in dict.fromkeys(ids)), key=lambda f: (f["start"], -f["end"]))
         groups: list[list[dict]] = []
         reach = -1
@@ -246,7 +246,7 @@ class Session:
 
     def copy_converted_text(self, **_) -> dict:
         if not self.text:
-            raise ToolError("There is no converted output to copy.")
+            raise ToolError("Nothing has been converted yet.")
         self._need_approval()
         if self.sink is None or not self.sink("clipboard", self.text):
             raise ToolError("The text could not be copied.")
@@ -254,7 +254,7 @@ class Session:
 
     def download_converted_text(self, **_) -> dict:
         if not self.text:
-            raise ToolError("There is no converted output to download.")
+            raise ToolError("Nothing has been converted yet.")
         self._need_approval()
         if self.sink is not None:
             self.sink("converted-text.txt", self.text)

@@ -12,6 +12,7 @@ from .operators import assets, entities, handoff, ocr, paging, spans, usage
 from .operators.convert import convert, references
 from .operators.scan import scan
 from .sources import files, html, sinks
+from .sources.tables import read_table as table
 
 MAIL_JAVA = rf"(?i){text.EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{text.EDGE}"
 MAIL_RE2 = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -19,10 +20,6 @@ IP_BODY = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]
 WS_RE2 = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def latest_handoffs(spark: SparkSession, d: str) -> DataFrame:
     """Each handoff as it was received last."""
     w = Window.partitionBy("handoff_id").orderBy(F.col("received_at").desc_nulls_last(), F.col("markdown").desc_nulls_last())
@@ -172,7 +169,7 @@ def scan_consolidated(spark, d):
 
 @query()
 def scan_documents(spark, d):
-    return spans.consolidate(scan(table(spark, d, "documents"), "doc_id", "text")).select("doc_id", "id", "type", "severity", "start_pos", "end_pos", "line", "placeholder")
+    return spans.consolidate(scan(table(spark, d, "documents", spread=True), "doc_id", "text")).select("doc_id", "id", "type", "severity", "start_pos", "end_pos", "line", "placeholder")
 
 
 @query(
@@ -330,7 +327,7 @@ def label_families(spark, d):
 
 def _converted(mode):
     def run(spark, d):
-        return convert(table(spark, d, "documents"), "doc_id", "text", mode).select("doc_id", "text", F.size("references").alias("n_references"), "broken")
+        return convert(table(spark, d, "documents", spread=True), "doc_id", "text", mode).select("doc_id", "text", F.size("references").alias("n_references"), "broken")
 
     run.__name__ = f"convert_{mode}"
     return query()(run)
@@ -342,12 +339,12 @@ for _mode in ("plain", "readable", "ai"):
 
 @query()
 def document_references(spark, d):
-    return references(convert(table(spark, d, "documents"), "doc_id", "text"))
+    return references(convert(table(spark, d, "documents", spread=True), "doc_id", "text"))
 
 
 @query()
 def document_assets(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
     return assets.assets(docs, convert(docs, "doc_id", "text"))
 
 
@@ -370,25 +367,25 @@ def text_cursors(spark, d):
 
 @query()
 def text_pages(spark, d):
-    return paging.text_pages(table(spark, d, "documents"), "doc_id", "text")
+    return paging.text_pages(table(spark, d, "documents", spread=True), "doc_id", "text")
 
 
 @query()
 def html_pages(spark, d):
     """Documents in the form of a page, back to Markdown."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), "\n\n+", "</p><p>")
-    src = table(spark, d, "documents").select("doc_id", F.concat(F.lit("<html><body><p>"), t, F.lit("</p></body></html>")).alias("html"))
+    src = table(spark, d, "documents", spread=True).select("doc_id", F.concat(F.lit("<html><body><p>"), t, F.lit("</p></body></html>")).alias("html"))
     return html.pages_to_markdown(src, "doc_id", "html")
 
 
 @query()
 def budget_chunks(spark, d):
-    return entities.chunk_documents(table(spark, d, "documents"), "doc_id", "text", budget=128, overlap=16)
+    return entities.chunk_documents(table(spark, d, "documents", spread=True), "doc_id", "text", budget=128, overlap=16)
 
 
 @query()
 def language_guess(spark, d):
-    return language.detect(table(spark, d, "documents"), "doc_id", "text")
+    return language.detect(table(spark, d, "documents", spread=True), "doc_id", "text")
 
 
 @query(

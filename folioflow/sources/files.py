@@ -85,6 +85,7 @@ def docx_to_html(data: bytes) -> str:
     return html.replace("</ul><ul>", "")
 
 
+# What is said about pages without text and about reading order.
 _PDF = "PDF columns and complex tables may not retain their original reading order."
 _IMAGE = "Image text needs OCR before it can be read."
 IMPORTED = T.StructType(
