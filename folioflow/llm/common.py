@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.tables import read_table as table  # noqa: F401 - for the queries
 
 #: Spark DDL types to Arrow types, for the few types the operators emit.
 _ARROW = {
@@ -21,11 +23,6 @@ _ARROW = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table of that name under sf_dir."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def arrow_schema(ddl: str) -> pa.Schema:
     fields = [part.strip().split(" ", 1) for part in ddl.split(",")]
     return pa.schema([(name, _ARROW[kind.strip()]) for name, kind in fields])

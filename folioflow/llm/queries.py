@@ -19,7 +19,7 @@ from .visible_form import UNSEEN, default_tables, find_phrases, visible_form
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(table(spark, d, "pii_chunks"))
+    return split_oversized(table(spark, d, "pii_chunks", spread=True))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,8 +28,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rules = table(spark, d, "scanner_rules").filter("NOT raw_only")
-    handoff = find_phrases(table(spark, d, "handoff_inputs"), ["handoff_id"], "markdown", rules)
-    source = find_phrases(table(spark, d, "normalized_sources"), ["source_id"], "text", rules)
+    handoff = find_phrases(table(spark, d, "handoff_inputs", spread=True), ["handoff_id"], "markdown", rules)
+    source = find_phrases(table(spark, d, "normalized_sources", spread=True), ["source_id"], "text", rules)
     parts = [
         x.select(F.lit(o).alias("origin"), F.col(i).cast("bigint").alias("row_id"), F.col("rule_no").cast("int"))
         for x, o, i in ((handoff, "handoff", "handoff_id"), (source, "source", "source_id"))
@@ -38,11 +38,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_normalised_sources(spark: SparkSession, d: str) -> DataFrame:
-    return visible_form(table(spark, d, "normalized_sources").select("source_id", "text"), "text").select("source_id", "visible_text")
+    return visible_form(table(spark, d, "normalized_sources", spread=True).select("source_id", "text"), "text").select("source_id", "visible_text")
 
 
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
-    return detect_languages(table(spark, d, "documents"), "doc_id", "text", "lang")
+    return detect_languages(table(spark, d, "documents", spread=True), "doc_id", "text", "lang")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_findings(spark: SparkSession, d: str) -> DataFrame:
-    return find_personal_data(table(spark, d, "handoff_inputs"), "handoff_id", "markdown")
+    return find_personal_data(table(spark, d, "handoff_inputs", spread=True), "handoff_id", "markdown")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,11 +66,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redact_personal_data(table(spark, d, "handoff_inputs"), "handoff_id", "markdown")
+    return redact_personal_data(table(spark, d, "handoff_inputs", spread=True), "handoff_id", "markdown")
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents"), table(spark, d, "pack_windows"))
+    return pack(table(spark, d, "documents", spread=True), table(spark, d, "pack_windows"))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    return find_leaks(table(spark, d, "documents", spread=True), table(spark, d, "heldout_items"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return text_statistics(table(spark, d, "documents"), "doc_id", "text")
+    return text_statistics(table(spark, d, "documents", spread=True), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
