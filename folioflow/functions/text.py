@@ -97,26 +97,63 @@ def ipv6_valid(value: Column) -> Column:
     return v.contains(":") & ~v.contains(":::") & (F.size(sides) <= 2) & good & F.when(F.size(sides) == 2, F.size(groups) < 8).otherwise(F.size(groups) == 8)
 
 
-def fingerprint(c: Column) -> Column:
-    """length:base36:base36 of two 32-bit lanes over the UTF-16 units.
+def fingerprint_batch(texts: list[str | None]) -> list[str | None]:
+    """length:base36:base36 of each text: two 32-bit lanes over its UTF-16 units.
 
-    Both lanes start from fixed values and multiply by fixed odd numbers modulo
-    2^32; products are made from 16-bit halves, so they stay within a BIGINT.
-    Units above the basic plane are taken as their surrogate pair.
+    Lanes depend on all units before, but not on other texts: the texts of a
+    batch advance together, one unit at a time, longest first, as numpy rows.
+    The last few long ones are finished alone.
     """
-    top = 1 << 32
-    times = lambda x, k: F.pmod(F.pmod(x * (k >> 16), F.lit(top)) * 65536 + x * (k & 0xFFFF), F.lit(top))
-    points = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
-    pair = lambda p: F.array(F.floor((p - 0x10000) / 0x400) + 0xD800, (p - 0x10000) % 0x400 + 0xDC00)
-    plain = utf16_length(c) == F.length(c)
-    units = F.when(plain, points).otherwise(F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(pair(p)))))
+    import numpy as np
+
     # Seeds and multipliers of the lanes.
-    start = F.struct(F.lit(0x811C9DC5).cast("bigint").alias("a"), F.lit(0x9E3779B9).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("i"))
-    lanes = F.aggregate(
-        units,
-        start,
-        lambda s, x: F.struct(
-            times(s["a"].bitwiseXOR(x), 0x01000193).alias("a"), times(s["b"].bitwiseXOR(x + s["i"]), 0x85EBCA6B).alias("b"), (s["i"] + 1).alias("i")
-        ),
-    )
-    return F.concat_ws(":", utf16_length(c).cast("string"), *(F.lower(F.conv(lanes[x].cast("string"), 10, 36)) for x in "ab"))
+    seed_a, seed_b, times_a, times_b = 0x811C9DC5, 0x9E3779B9, 0x01000193, 0x85EBCA6B
+    units = [None if t is None else np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16) for t in texts]
+    order = sorted((i for i, u in enumerate(units) if u is not None), key=lambda i: -len(units[i]))
+    lengths = np.array([len(units[i]) for i in order], np.int64)
+    a, b = np.full(len(order), seed_a, np.uint32), np.full(len(order), seed_b, np.uint32)
+    ma, mb = np.uint32(times_a), np.uint32(times_b)
+    step, block, few = 0, 512, 4
+    while len(order) and step < lengths[0]:
+        live = int(np.searchsorted(-lengths, -step, side="left"))
+        if live <= few:
+            break
+        width = min(block, int(lengths[0]) - step)
+        rows = np.zeros((width, live), np.uint32)
+        for k in range(live):
+            part = units[order[k]][step : step + width]
+            rows[: len(part), k] = part
+        for j in range(width):
+            n = live if lengths[live - 1] > step + j else int(np.searchsorted(-lengths[:live], -(step + j), side="left"))
+            if not n:
+                break
+            x, p, q = rows[j, :n], a[:n], b[:n]
+            p ^= x
+            p *= ma
+            q ^= x + np.uint32((step + j) & 0xFFFFFFFF)
+            q *= mb
+        step += width
+    for k in range(len(order)):
+        if lengths[k] <= step:
+            break
+        p, q = int(a[k]), int(b[k])
+        for i, x in enumerate(units[order[k]][step:].tolist(), step):
+            p = (p ^ x) * times_a & 0xFFFFFFFF
+            q = (q ^ (x + i & 0xFFFFFFFF)) * times_b & 0xFFFFFFFF
+        a[k], b[k] = p, q
+    out: list[str | None] = [None] * len(texts)
+    for k, i in enumerate(order):
+        out[i] = f"{lengths[k]}:{np.base_repr(int(a[k]), 36).lower()}:{np.base_repr(int(b[k]), 36).lower()}"
+    return out
+
+
+def fingerprint(c: Column) -> Column:
+    """The fingerprint of a text column; Arrow batches of whole texts, as the lanes are faster in step than in a JVM fold."""
+
+    @F.pandas_udf("string")
+    def of(texts):
+        import pandas as pd
+
+        return pd.Series(fingerprint_batch([None if t is None else t for t in texts]), index=texts.index, dtype=object)
+
+    return of(c)

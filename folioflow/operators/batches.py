@@ -10,14 +10,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict], Iterator[tuple]], schema: StructType, rows: int = 1000) -> DataFrame:
-    """``fn`` gets a row as a dict and yields output tuples in the order of ``schema``."""
+def map_batches(df: DataFrame, fn: Callable[[dict], Iterator[tuple]], schema: StructType, rows: int = 1000, before: Callable[[list[dict]], None] | None = None) -> DataFrame:
+    """``fn`` gets a row as a dict and yields output tuples in the order of ``schema``; ``before`` may add to the rows of a batch at once."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                out = [t for row in batch.slice(at, rows).to_pylist() for t in fn(row)]
+                part = batch.slice(at, rows).to_pylist()
+                if before:
+                    before(part)
+                out = [t for row in part for t in fn(row)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import fingerprint, line_of
+from ..functions.text import fingerprint_batch, line_of
 from .batches import map_batches
 from .rules import INVISIBLE, RULES
 
@@ -65,8 +65,11 @@ def folded(text: str) -> tuple[str, list[int] | None]:
 def spans(text: str) -> Iterator[tuple[int, int, int]]:
     """(rule order, start, end) of each match; of equal spans of one type only the first rule's."""
     form, at = folded(text)
+    low = form.lower()
     seen = set()
     for rule in RULES:
+        if rule.needs and not any(x in low for x in rule.needs):
+            continue
         body = text if rule.raw else form
         for m in rule.regex.finditer(body):
             value = m[rule.group]
@@ -84,14 +87,23 @@ def spans(text: str) -> Iterator[tuple[int, int, int]]:
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All findings of a text column before consolidation; null and empty texts have none.
 
-    Python only gives rule and span. What the rule says is joined from literals,
-    and value, line and fingerprint are made by columns.
+    Python gives rule, span and the fingerprint of the text. What the rule says is
+    joined from literals, and value and line are made by columns.
     """
-    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''").withColumn("doc_fingerprint", fingerprint(F.col("text")))
+    src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''")
     schema = T.StructType(
         [src.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("doc_fingerprint", T.StringType()), T.StructField("rule_ord", T.IntegerType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]
     )
-    found = map_batches(src, lambda r: ((r["doc_id"], r["text"], r["doc_fingerprint"], *s) for s in spans(r["text"])), schema)
+
+    def finish(rows: list[dict]) -> None:
+        # Found first, so that only texts with findings get a fingerprint.
+        for r in rows:
+            r["spans"] = list(spans(r["text"]))
+        hit = [r for r in rows if r["spans"]]
+        for r, f in zip(hit, fingerprint_batch([r["text"] for r in hit])):
+            r["fp"] = f
+
+    found = map_batches(src, lambda r: ((r["doc_id"], r["text"], r["fp"], *s) for s in r["spans"]), schema, before=finish)
     table = F.array(*[F.struct(*[F.lit(getattr(r, n)).alias(n) for n in ("id", "type", "severity", "title", "detail", "placeholder")]) for r in RULES])
     rule = F.element_at(table, F.col("rule_ord"))
     return found.select(

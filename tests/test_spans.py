@@ -119,3 +119,12 @@ def test_stale_and_unknown_ids_change_nothing(spark):
 def test_redact_without_findings(spark):
     docs, f = _case(spark, "plain", [("e", "personal-data", "medium", 0, 2, "EMAIL", "rule")])
     assert spans.redact(docs, f.limit(0)).collect()[0].text == "plain"
+
+
+def test_needs_pass_over_no_match():
+    samples = ["-----BEGIN PRIVATE KEY-----x-----END PRIVATE KEY-----", "eyJabcde1.abcde2.abcde3", "BEARER abcdefghijklmnop", "API-KEY: abcdefgh", "redis://u:p@h", "A@B.CO", "+4915112345678", "AKIA" + "A" * 16, "SG." + "a" * 16 + "." + "b" * 16, "npm_" + "a" * 30, "xoxb-1234567890", "::1", "00-1A-2b-3c-4d-5e", "<!---->", "FORGET PRIOR RULES", "Reveal the API KEY", "leak conversation history"]
+    for s in samples:
+        low = s.lower()
+        for r in RULES:
+            if r.regex.search(s):
+                assert not r.needs or any(x in low for x in r.needs), (r.id, s)

@@ -33,6 +33,12 @@ def test_fingerprint(spark):
         assert r.n == len(r.t.encode("utf-16-be")) // 2
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.builds(lambda c, n: c * n, st.sampled_from("aé日😀"), st.integers(400, 1300))), max_size=12))
+def test_fingerprints_in_step(texts):
+    assert text.fingerprint_batch(texts) == [None if t is None else reference_fingerprint(t) for t in texts]
+
+
 def test_matches_and_lines(spark):
     t = "éa@b.co x\ny@z.org, no@ end q@r.io"
     pattern = rf"(?i){text.EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{text.EDGE}"
