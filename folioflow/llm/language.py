@@ -18,8 +18,9 @@ row give equal rows.
 
 from __future__ import annotations
 
+import io
 import re
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,7 +43,6 @@ MIN_SENTENCES = 2
 MIN_WORDS = 4
 DETECTED_FROM = 0.6
 SURE = 0.9
-MODEL = Path(__file__).parent / "models" / "language_gru.npz"
 
 _MARKUP = re.compile(r"^[ \t]*(?:>[ \t]?)+|[*_`\u00ad\u200b-\u200d\u2060\ufeff]{1,3}|\[[ xX]\] |(?<=\])\([^)\s]*\)", re.M)
 _HEADING = re.compile(r"[ \t]*#{1,6} ")
@@ -245,8 +245,10 @@ def train_network(
     return net
 
 
-def load_network(path: Path = MODEL) -> dict[str, np.ndarray]:
-    with np.load(path) as z:
+def load_network() -> dict[str, np.ndarray]:
+    """The weights that come with the package, which may be an archive."""
+    data = resources.files(__package__).joinpath("models/language_gru.npz").read_bytes()
+    with np.load(io.BytesIO(data)) as z:
         return {k: z[k].astype(np.float32) for k in z.files}
 
 
