@@ -82,8 +82,12 @@ def islands(findings: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redaction_groups(findings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per island: its span, the placeholder and type of its weightiest finding, and the ids in it."""
+    """One row per island: its span, the placeholder and type of its weightiest finding, and the ids in it.
+
+    With a column ``fits``, ``stale`` has the ids of findings that don't fit their text.
+    """
     weight = F.struct(priority().alias("p"), (F.col("end_pos") - F.col("start_pos")).alias("l"), (-F.col("start_pos")).alias("s"), F.col("id"))
+    stale = [F.collect_list(F.when(~F.col("fits"), F.col("id"))).alias("stale")] if "fits" in findings.columns else []
     return (
         islands(findings, key)
         .groupBy(key, "island")
@@ -93,6 +97,7 @@ def redaction_groups(findings: DataFrame, key: str = "doc_id") -> DataFrame:
             F.max_by("placeholder", weight).alias("placeholder"),
             F.max_by("type", weight).alias("type"),
             F.sort_array(F.collect_list(F.struct("pos_in_island", "id"))).getField("id").alias("ids"),
+            *stale,
         )
     )
 
@@ -118,28 +123,21 @@ def redact(docs: DataFrame, findings: DataFrame, selected: DataFrame | None = No
     as it is, with those ids as stale. Equal values of a placeholder get equal
     numbers, in the order of their first places; unseen characters are removed.
     """
+    from ..functions.text import fingerprint
+
     docs = docs.select(key, F.col(text_col).alias("text"))
     chosen, unknown = findings, None
     if selected is not None:
         wanted = selected.select(key, "id").distinct()
         chosen = findings.join(wanted, [key, "id"], "left_semi")
-        unknown = wanted.join(findings, [key, "id"], "left_anti")
-    from ..functions.text import fingerprint
-
-    marked = docs.withColumn("__fp", fingerprint(F.col("text")))
-    fits = chosen.join(marked, key).withColumn(
-        "__ok",
-        F.coalesce(
-            (F.col("doc_fingerprint") == F.col("__fp")) & (F.col("start_pos") >= 0) & (F.col("end_pos") <= F.length("text"))
-            & (F.expr("substring(text, start_pos + 1, end_pos - start_pos)") == F.col("value")),
-            F.lit(False),
-        ),
+        unknown = wanted.join(findings, [key, "id"], "left_anti").groupBy(key).agg(F.collect_set("id").alias("unknown"))
+    # The findings are read once: whether they fit goes along, and decides at the end.
+    fits = (
+        (F.col("doc_fingerprint") == F.col("__fp")) & (F.col("start_pos") >= 0) & (F.col("end_pos") <= F.length("text"))
+        & (F.expr("substring(text, start_pos + 1, end_pos - start_pos)") == F.col("value"))
     )
-    stale = fits.filter("NOT __ok").select(key, "id")
-    if unknown is not None:
-        stale = stale.unionByName(unknown)
-    stale = stale.groupBy(key).agg(F.sort_array(F.collect_set("id")).alias("stale_ids"))
-    groups = redaction_groups(chosen.join(stale, key, "left_anti"), key).join(docs, key)
+    marked = docs.withColumn("__fp", fingerprint(F.col("text")))
+    groups = redaction_groups(chosen.join(marked, key).withColumn("fits", F.coalesce(fits, F.lit(False))).drop("text", "__fp"), key).join(docs, key)
     value = F.expr("substring(text, start_pos + 1, end_pos - start_pos)")
     groups = groups.withColumn("alias", alias_key(value) if normalise else F.lower(value)).withColumn("hidden", F.col("type") == "invisible-text")
     first = F.min("start_pos").over(Window.partitionBy(key, "placeholder", "alias", "hidden"))
@@ -149,18 +147,22 @@ def redact(docs: DataFrame, findings: DataFrame, selected: DataFrame | None = No
     before = F.coalesce(F.lag("end_pos").over(Window.partitionBy(key).orderBy("start_pos")), F.lit(0))
     groups = groups.withColumn("piece", F.concat(F.substring("text", before + 1, F.col("start_pos") - before), "put"))
     done = groups.groupBy(key).agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("start_pos", "piece"))).getField("piece"), "").alias("head"),
+        F.sort_array(F.collect_list(F.struct("start_pos", "piece", "ids", "stale"))).alias("g"),
         F.max("end_pos").alias("upto"),
-        F.flatten(F.sort_array(F.collect_list(F.struct("start_pos", "ids"))).getField("ids")).alias("redacted_ids"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start_pos", "ids"))).getField("ids"), lambda x: F.slice(x, 2, 1000000))).alias("overlap_merged_ids"),
     )
+    out = docs.join(done, key, "left")
     none = F.array().cast("array<string>")
-    return (
-        docs.join(done, key, "left")
-        .join(stale, key, "left")
-        .select(
-            key,
-            F.when(F.col("head").isNull(), F.col("text")).otherwise(F.concat("head", F.expr("substring(text, upto + 1)"))).alias("text"),
-            *[F.coalesce(c, none).alias(c) for c in ("redacted_ids", "overlap_merged_ids", "stale_ids")],
-        )
+    stale = F.coalesce(F.flatten(F.col("g.stale")), none)
+    if unknown is not None:
+        out = out.join(unknown, key, "left")
+        stale = F.concat(stale, F.coalesce("unknown", none))
+    out = out.withColumn("stale_ids", F.sort_array(stale)).withColumn("done", F.col("g").isNotNull() & (F.size("stale_ids") == 0))
+    new = F.concat(F.array_join(F.col("g.piece"), ""), F.expr("substring(text, upto + 1)"))
+    merged = F.flatten(F.transform(F.col("g.ids"), lambda x: F.slice(x, 2, 1_000_000)))
+    return out.select(
+        key,
+        F.when(F.col("done"), new).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("done"), F.flatten(F.col("g.ids"))).otherwise(none).alias("redacted_ids"),
+        F.when(F.col("done"), merged).otherwise(none).alias("overlap_merged_ids"),
+        "stale_ids",
     )
