@@ -27,12 +27,12 @@ MODES = ("plain", "readable", "ai")
 S = "[" + re.escape(PY_WS) + "]"
 NS = "[^" + re.escape(PY_WS) + "]"
 _DEFINITION = re.compile(rf"""^{S}{{0,3}}\[([^\]]+)\]:{S}*(?:<([^>]+)>|({NS}+))(?:{S}+(?:"([^"]*)"|'([^']*)'|\(([^)]*)\)))?{S}*\Z""")
-_DIVIDER = re.compile(rf"^{S}*\|?{S}*:?-{{3,}}:?{S}*(?:\|{S}*:?-{{3,}}:?{S}*)+\|?{S}*\Z")
+_DIVIDER = re.compile(rf"^{S}*(?:\|{S}*)?:?-{{3,}}:?{S}*(?:\|{S}*:?-{{3,}}:?{S}*)+\|?{S}*\Z")
 _RULE = re.compile(rf"^{S}{{0,3}}(?:(?:\*{S}*){{3,}}|(?:-{S}*){{3,}}|(?:_{S}*){{3,}})\Z")
 _FENCE = re.compile(rf"^{S}{{0,3}}(?:(`)`{{2,}}|(~)~{{2,}})")
 _LINK = re.compile(rf"""(?P<image>!?)\[(?P<label>[^\]]*)\](?:\({S}*(?:<(?P<angled>[^>]+)>|(?P<url>[^)\s]+))(?:{S}+(?:"(?P<t1>[^"]*)"|'(?P<t2>[^']*)'|\((?P<t3>[^)]*)\)))?{S}*\)|\[(?P<ref>[^\]]*)\])""")
 _SHORTCUT = re.compile(r"(?<!!)\[([^\]]+)\]")
-_HEADING = re.compile(rf"^{S}{{0,3}}#{{1,6}}{S}+(.*?)(?:{S}+#+)?{S}*\Z")
+_HEADING = re.compile(rf"^{S}{{0,3}}#{{1,6}}{S}+(.*)\Z")
 _AI_HEADING = re.compile(rf"^{S}{{0,3}}(#{{1,6}}){S}+")
 _ROW = re.compile(rf"^{S}*\|.*\|{S}*\Z")
 _QUOTE = re.compile(rf"^{S}{{0,3}}>{S}?")
@@ -42,7 +42,8 @@ _ENTITY = re.compile(r"&(#x?[0-9a-f]+|[a-z]+);", re.I)
 _ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 #: Inline marks, in the order in which they are taken off.
 _INLINE = [
-    (re.compile(p, f), to)
+    # What a match of a tag ends in: no text after the last of them is looked at, which keeps unclosed tags cheap.
+    (re.compile(p, f), to, {"<!": "-->", "<[": ">", "<b": ">"}.get(p[:2], ""))
     for p, f, to in (
         (rf"<br{S}*/?>", re.I, "\n"),
         (r"<!--[\S\s]*?-->", 0, ""),
@@ -76,11 +77,23 @@ def decode_entities(text: str) -> str:
 
 def strip_inline(text: str) -> str:
     text = decode_entities(text)
-    for pattern, to in _INLINE:
-        text = pattern.sub(to, text)
+    for pattern, to, closer in _INLINE:
+        if closer:
+            end = text.rfind(closer) + len(closer)
+            if end >= len(closer):
+                text = pattern.sub(to, text[:end]) + text[end:]
+        else:
+            text = pattern.sub(to, text)
     return text
 
 
+def _heading_text(rest: str) -> str:
+    """What a heading says: without the blanks and the closing marks at its end."""
+    rest = rest.rstrip(PY_WS)
+    bare = rest.rstrip("#")
+    return bare.rstrip(PY_WS) if bare != rest and bare and bare[-1] in PY_WS else rest
+
+
 def label_key(label: str) -> str:
     """A label without regard to case and spacing."""
     return re.sub(rf"{S}+", " ", label.strip(PY_WS)).lower()
@@ -151,7 +164,13 @@ class Links:
 
         if "[" not in text:
             return text
-        return _SHORTCUT.sub(shortcut, _LINK.sub(link, text))
+        # Without a place where an address or a second label begins and ends, no link is looked for.
+        inline, second = text.find("]("), text.find("][")
+        if 0 <= inline < text.rfind(")") or 0 <= second < text.rfind("]") - 1:
+            end = max(text.rfind("]"), text.rfind(")")) + 1
+            text = _LINK.sub(link, text[:end]) + text[end:]
+        end = text.rfind("]") + 1
+        return _SHORTCUT.sub(shortcut, text[:end]) + text[end:]
 
     def ordered(self) -> list[Reference]:
         return sorted(self.found.values(), key=lambda r: r.first)
@@ -234,7 +253,7 @@ def convert_text(source: str | None, mode: str = "readable", append_references:
             if mode == "ai":
                 out.append(_AI_HEADING.sub(r"\1 ", line.rstrip(PY_WS)))
             elif heading := _HEADING.match(line):
-                text = strip_inline(heading[1])
+                text = strip_inline(_heading_text(heading[1]))
                 if out and out[-1]:
                     out.append("")
                 out.append(text)

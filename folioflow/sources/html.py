@@ -208,9 +208,13 @@ def html_to_markdown(html: str | None) -> str:
     """Markdown of the body of a page; null and empty pages give an empty text."""
     if not html:
         return ""
-    body = parse(re.sub("\r\n?", "\n", html).replace("\0", ""))
+    html = re.sub("\r\n?", "\n", html).replace("\0", "")
+    # A tag that the page's end cuts off takes what follows with it.
+    last = html.rfind(">") + 1
+    cut = re.search("<[A-Za-z/!?]", html[last:])
+    body = parse(html[: last + cut.start()] if cut else html)
     text = "".join(_block(c) for c in body.children)
-    return _strip(re.sub("\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)))
+    return _strip(re.sub("\n{3,}", "\n\n", re.sub(r"(?<![ \t])[ \t]+\n", "\n", text)))
 
 
 def pages_to_markdown(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
