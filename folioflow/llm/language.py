@@ -47,7 +47,7 @@ SURE = 0.9
 _MARKUP = re.compile(r"^[ \t]*(?:>[ \t]?)+|[*_`\u00ad\u200b-\u200d\u2060\ufeff]{1,3}|\[[ xX]\] |(?<=\])\([^)\s]*\)", re.M)
 _HEADING = re.compile(r"[ \t]*#{1,6} ")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•] |\d{1,4}[.)] )")
-_STOP = re.compile(r"(?<=[^\s.])[.!?…;]+[\"'»”’)\]]*(?=\s|$)")
+_STOP = re.compile(r"(?<=[^\s.!?…;])[.!?…;]++[\"'»”’)\]]*+(?=\s|$)")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 

@@ -78,9 +78,9 @@ _TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Herrn?|Frau|Mme|Mlle|Sra|S
 _TITLE_WORD = re.compile(rf"(?:(?:{'|'.join(sorted(set(TITLES.split()), key=lambda x: -len(x)))})\b\.?\s+)+", re.I)
 
 _EMAIL = re.compile(
-    r"[^\W_](?:[\w.%+-]*\w)?(?:@\s?|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?| at (?=[\w-]+(?: dot |\s?[(\[{]dot)))"
-    r"[^\W_](?:[\w-]*[^\W_])?(?:(?:\.|\s?[(\[{]dot[)\]}]\s?| dot )[^\W_](?:[\w-]*[^\W_])?)*"
-    r"(?:\.|\s?[(\[{]dot[)\]}]\s?| dot )[A-Za-z]{2,}",
+    r"(?<![\w.%+-])[^\W_](?:[\w.%+-]{0,62}\w)?(?:@\s?|\s?\(at\)\s?|\s?\[at\]\s?|\s?\{at\}\s?| at (?=[\w-]{1,63}(?: dot |\s?[(\[{]dot)))"
+    r"[^\W_](?:[\w-]{0,61}[^\W_])?(?:(?:\.|\s?[(\[{]dot[)\]}]\s?| dot )[^\W_](?:[\w-]{0,61}[^\W_])?){0,8}"
+    r"(?:\.|\s?[(\[{]dot[)\]}]\s?| dot )[A-Za-z]{2,24}",
     re.I,
 )
 

@@ -41,7 +41,7 @@ _TOKEN = re.compile(r"[^\W_]{1,%d}|[^\w \t\r\n ]|_" % RUN)
 _WORD = re.compile(r"[^\W\d_]{3,}")
 #: Kinds of boundaries from strong to weak, with their weight; the cut is after the match.
 _BOUNDARY = re.compile(
-    r"(?P<para>\r?\n[ \t]*(?:\r?\n[ \t]*)+)|(?P<sent>[.!?…]+[\"'»”’)\]*_]*(?:[ \t\xa0]*\r?\n|[ \t\xa0]+))|(?P<line>\r?\n)|(?P<clause>[,;:|)\t–—]+[ \t\xa0]*)|(?P<word>[ \t\xa0]+)"
+    r"(?P<para>\r?\n[ \t]*(?:\r?\n[ \t]*)+)|(?P<sent>(?<![.!?…])[.!?…]++[\"'»”’)\]*_]*+(?:[ \t\xa0]*\r?\n|[ \t\xa0]+))|(?P<line>\r?\n)|(?P<clause>[,;:|)\t–—]+[ \t\xa0]*)|(?P<word>[ \t\xa0]+)"
 )
 _WEIGHT = {"para": 1.0, "sent": 0.75, "line": 0.6, "clause": 0.3, "word": 0.0}
 

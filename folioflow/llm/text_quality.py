@@ -46,11 +46,11 @@ _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 _FIRST, _LAST = re.compile(r"[^\W_]*"), re.compile(r"[^\W_]*\Z")
 _BULLET = re.compile(r"\s*(?:[-*+•‣▪◦–]\s+(?:\[[ xX]\]\s*)?|\(?\d{1,4}[.)]\s+|\(?[a-zA-Z][.)]\s+)")
-_LEADER = re.compile(r"(?:\.{4,}|…{2,}|(?:\. ){4,})\s*\d*\s*$")
+_LEADER = re.compile(r"(?:(?<!\.)\.{4,}+|(?<!…)…{2,}+|(?<!\. )(?:\. ){4,}+)\s*\d*\s*$")
 _PAIR = re.compile(r"[^:;.!?]{2,70}:\s+\S+(?:\s+\S+){0,2}$")
 _GAPS = re.compile(r"(?<=\S) {2,}(?=\S)")
-_SENTENCE = re.compile(r"[.!?…]+[\"'»”’)\]*_]*(?=\s|$)")
-_END = re.compile(r"[.!?…:;]+[\"'»”’)\]*_]*\s*$")
+_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'»”’)\]*_]*+(?=\s|$)")
+_END = re.compile(r"(?<![.!?…:;])[.!?…:;]++[\"'»”’)\]*_]*+\s*$")
 #: Characters that show a text decoded wrongly, or not text.
 _ODD = re.compile("[¢-©¬±-¶¼-¾ÂÃ�€™\u0080-\u009f]")
 _VOWEL = re.compile(r"[aeiouyáàâãäåæéèêëíìîïóòôõöøúùûüœ]", re.I)

@@ -88,7 +88,7 @@ class Transducer:
         singles = "".join(re.escape(c) for c in self.plain)
         marks = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
         # The longest cluster first: base, marks and unseen characters with a mark among them; then single characters.
-        self.change = re.compile(f"[^\\s{marks}](?:[{unseen}]*[{marks}])+|[{singles}]")
+        self.change = re.compile(f"[^\\s{marks}{unseen}](?:[{unseen}]{{0,8}}[{marks}])+|[{singles}]")
         self.clusters: dict[str, str] = {}
         foreign = "\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff\u0131\u0261\u0251\u217c\u04cf"
         self.foreign = re.compile(f"[{foreign}]")
