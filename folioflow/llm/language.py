@@ -45,6 +45,8 @@ DETECTED_FROM = 0.6
 SURE = 0.9
 
 _MARKUP = re.compile(r"^[ \t]*(?:>[ \t]?)+|[*_`\u00ad\u200b-\u200d\u2060\ufeff]{1,3}|\[[ xX]\] |(?<=\])\([^)\s]*\)", re.M)
+#: Without one of these a text has no markup.
+_MARKS = re.compile("[>*_`\\[\\]\u00ad\u200b-\u200d\u2060\ufeff]")
 _HEADING = re.compile(r"[ \t]*#{1,6} ")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•] |\d{1,4}[.)] )")
 _STOP = re.compile(r"(?<=[^\s.!?…;])[.!?…;]++[\"'»”’)\]]*+(?=\s|$)")
@@ -103,9 +105,9 @@ def sentences(text: str) -> list[tuple[int, int, str, bool]]:
     ]
 
 
-def plain(sentence: str) -> str:
-    """A sentence as the network reads it: without markup and with single blanks."""
-    return " ".join(_MARKUP.sub("", sentence).split())
+def plain(sentence: str, marked: bool = True) -> str:
+    """A sentence as the network reads it: without markup, if its text may have any, and with single blanks."""
+    return " ".join((_MARKUP.sub("", sentence) if marked else sentence).split())
 
 
 # ---- the network ----------------------------------------------------------
@@ -403,7 +405,7 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str |
             if len(keys) > CACHE:
                 keys.clear()
                 pooled = pooled[:0]
-            at = [keys.setdefault(plain(s[2]), len(keys)) for doc in spans for s in doc]
+            at = [keys.setdefault(plain(s[2], marked), len(keys)) for doc, t in zip(spans, cols["body"]) for marked in [bool(t and _MARKS.search(t))] for s in doc]
             if len(keys) > len(pooled):
                 new = list(keys)[len(pooled) :]
                 pooled = np.concatenate([pooled, reader.pooled([k.encode("utf-8", "replace") for k in new])])
