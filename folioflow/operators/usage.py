@@ -21,7 +21,6 @@ BUTTONS = (
 MAX_BODY = 1024
 PATH = "/api/usage"
 BODY = "event string, feature string, variant string, sizeBucket string, outcome string, button string, _bad string"
-DIMENSIONS = {"feature": FEATURES, "variant": VARIANTS, "size_bucket": SIZES, "outcome": OUTCOMES}
 
 
 def allowed(event: Column, feature: Column, variant: Column, size: Column, outcome: Column, button: Column) -> Column:
