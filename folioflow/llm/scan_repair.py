@@ -224,12 +224,12 @@ class Repair:
             .na.fill(0, ["n_joined", "n_compound"])
         )
         self.broken = cut(pairs.filter("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)"))
-        # Forms of cut words count as doubtful forms too, with the lower confidence of their halves.
-        joined = self.broken.filter("n_joined = 0").select("doc_id", "page", "line", "n_page", "n_line", "cut_at", F.col("joined").alias("w"), "confidence")
-        self.joined = joined
+        self.joined = self.broken.select("doc_id", "page", "line", "n_page", "n_line", "cut_at", F.col("joined").alias("w"), "confidence", "n_joined")
+        # Forms of cut words that stand nowhere whole count as doubtful forms too, with the lower confidence of their halves.
+        cut_only = self.joined.filter("n_joined = 0")
         letters = F.col("w").rlike(r"\p{L}")
         doubtful = (
-            self.forms.select("w", "n", "conf").unionByName(_forms(joined).select("w", "n", "conf"))
+            self.forms.select("w", "n", "conf").unionByName(_forms(cut_only).select("w", "n", "conf"))
             .groupBy("w").agg(F.sum("n").alias("n"), F.min("conf").alias("conf"))
             .filter(F.col("w").rlike(r"\p{L}|[!|]"))
         )

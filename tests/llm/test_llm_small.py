@@ -228,6 +228,14 @@ def test_defects_and_paragraphs(spark):
     assert scan_repair.Repair(df.limit(0), cut_lineage).defects().count() == 0
 
 
+def test_cut_words_misread_elsewhere_too(spark):
+    rows = [r for d in range(1, 9) for r in page_rows(d, 1, [(0, "the archive of the office is kept in"), (1, "the archive of the town and the archive.")])]
+    rows += page_rows(20, 1, [(0, "the arcbive of the office is kept in"), (1, "the archive of the town and the arc-"), (2, "bive of the office is kept in the town.")], low=("arcbive",))
+    repair = scan_repair.Repair(spark.createDataFrame(rows, OCR), cut_lineage)
+    got = {(r.line, r.defect) for r in repair.defects().filter("doc_id = 20").collect()}
+    assert got == {(0, "misread"), (1, "broken"), (2, "misread")}
+
+
 def test_anagram_hash(spark):
     df = spark.createDataFrame([("abc",), ("cab",), ("abd",), ("",)], "w string").select("w", scan_repair.anagram_hash(F.col("w")).alias("h"))
     h = {r.w: r.h for r in df.collect()}
