@@ -59,6 +59,16 @@ def _core(text: Column) -> Column:
     return F.lower(t)
 
 
+def _repaired(text: str) -> Column:
+    """A printed word of form ``w`` with ``c`` in its place, in the case of the print; the word itself where there is no ``c``."""
+    at = F.instr(F.lower(text), F.col("w"))
+    inner = F.substring(text, at, F.length("w"))
+    cased = F.when(inner == F.upper(inner), F.upper("c")).when(inner.rlike(r"^\p{Lu}"), F.initcap("c")).otherwise(F.col("c"))
+    return F.when(F.col("c").isNull() | (at == 0), F.col(text)).otherwise(
+        F.concat(F.expr(f"left({text}, instr(lower({text}), w) - 1)"), cased, F.expr(f"substring({text}, instr(lower({text}), w) + length(w))"))
+    )
+
+
 def words_of(df: DataFrame) -> DataFrame:
     """The words of all pages, each once: doc_id, page, line, pos, text, confidence."""
     return (
@@ -204,7 +214,7 @@ class Repair:
         stem, rest = F.regexp_replace("last_word", f"{_HYPHEN}$", ""), F.col("n_word")
         pairs = cut(
             pairs.select(
-                "doc_id", "page", "line", "last_pos", "n_page", "n_line", "n_pos",
+                "doc_id", "page", "line", "last_pos", "n_page", "n_line", "n_pos", stem.alias("stem"), rest.alias("rest"),
                 F.least("last_conf", "n_conf").alias("confidence"),
                 _core(F.concat(stem, rest)).alias("joined"), _core(F.concat(stem, F.lit("-"), rest)).alias("compound"),
                 F.length(_core(stem)).alias("cut_at"), rest.rlike(r"^\W*[\p{Lu}0-9]").alias("own"),
@@ -224,7 +234,7 @@ class Repair:
             .na.fill(0, ["n_joined", "n_compound"])
         )
         self.broken = cut(pairs.filter("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)"))
-        self.joined = self.broken.select("doc_id", "page", "line", "n_page", "n_line", "cut_at", F.col("joined").alias("w"), "confidence", "n_joined")
+        self.joined = self.broken.withColumnRenamed("joined", "w")
         # Forms of cut words that stand nowhere whole count as doubtful forms too, with the lower confidence of their halves.
         cut_only = self.joined.filter("n_joined = 0")
         letters = F.col("w").rlike(r"\p{L}")
@@ -262,13 +272,24 @@ class Repair:
         heading; across pages it goes on if its last line has no end mark.
         """
         keys = ["doc_id", "page", "line"]
-        fixed = self.body.withColumn("w", _core(F.col("text"))).join(self.fixes, "w", "left")
-        at = F.instr(F.lower("text"), F.col("w"))
-        inner = F.substring("text", at, F.length("w"))
-        cased = F.when(inner == F.upper(inner), F.upper("c")).when(inner.rlike(r"^\p{Lu}"), F.initcap("c")).otherwise(F.col("c"))
-        word = F.when(F.col("c").isNull() | (at == 0), F.col("text")).otherwise(
-            F.concat(F.expr("left(text, instr(lower(text), w) - 1)"), cased, F.expr("substring(text, instr(lower(text), w) + length(w))"))
+        # A cut word is repaired as a whole and cut again, so that each line keeps its part; its halves are no words to be repaired.
+        start = F.size(F.filter(F.sequence(F.lit(1), F.length("w")), lambda i: F.left(F.col("w"), i) == F.left(F.col("c"), i)))
+        cut_words = self.joined.join(self.fixes, "w", "left").withColumn("printed", F.concat("stem", "rest")).withColumns({
+            "whole": _repaired("printed"),
+            "at": F.length("stem") + F.when(start < F.col("cut_at"), F.length("c") - F.length("w")).otherwise(0),
+        })
+        cut_words = cut_words.withColumn("at", F.when(F.col("c").isNull(), F.length("stem")).otherwise(F.greatest(F.lit(1), F.least("at", F.length("whole") - 1))))
+        hyphen = F.lit("-")
+        halves = cut_words.select(*keys, F.col("last_pos").alias("pos"), F.concat(F.expr("left(whole, at)"), hyphen).alias("half")).unionByName(
+            cut_words.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"), F.expr("substring(whole, at + 1)").alias("half"))
         )
+        halves = halves.groupBy("doc_id", "page").agg(F.collect_list(F.struct("line", "pos", "half")).alias("halves"))
+        mine = F.filter("halves", lambda h: (h["line"] == F.col("line")) & h["pos"].eqNullSafe(F.col("pos")))
+        fixed = self.body.join(halves, ["doc_id", "page"], "left").withColumn("mine", mine).drop("halves")
+        fixed = fixed.withColumn("w", _core(F.col("text"))).join(self.fixes, "w", "left")
+        # A word that is all of its line can end one cut word and begin another; it stays as it is.
+        half = F.when(F.size("mine") == 1, F.col("mine")[0]["half"]).when(F.size("mine") > 1, F.col("text"))
+        word = F.coalesce(half, _repaired("text"))
         lines = fixed.select(*keys, "pos", word.alias("text")).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text"))).getField("text"), " ").alias("text"))
         lines = lines.join(self.broken.select(*keys, F.lit(True).alias("cut")), keys, "left").na.fill(False, ["cut"])
         on_page = Window.partitionBy("doc_id", "page").orderBy("line")

@@ -236,6 +236,15 @@ def test_cut_words_misread_elsewhere_too(spark):
     assert got == {(0, "misread"), (1, "broken"), (2, "misread")}
 
 
+def test_paragraphs_repair_cut_words(spark):
+    rows = [r for d in range(1, 9) for r in page_rows(d, 1, [(0, "the archive of the office is kept in"), (1, "the records of the town and the archive.")])]
+    lines = [(0, "tbe office is kept and the (reco-"), (1, "rcls), of the town and of octa-"), (2, "tbe is kept in")]
+    rows += page_rows(20, 1, lines, low=("tbe", "rcls),")) + page_rows(20, 2, [(0, "the town and the Arc-")]) + page_rows(20, 3, [(0, "bive."), (1, "The office.")], low=("bive.",))
+    repair = scan_repair.Repair(spark.createDataFrame(rows, OCR), cut_lineage)
+    text = " ".join(r.text for r in repair.paragraphs().filter("doc_id = 20").orderBy("page", "paragraph").collect())
+    assert text == "the office is kept and the (records), of the town and of octatbe is kept in the town and the Archive. The office."
+
+
 def test_anagram_hash(spark):
     df = spark.createDataFrame([("abc",), ("cab",), ("abd",), ("",)], "w string").select("w", scan_repair.anagram_hash(F.col("w")).alias("h"))
     h = {r.w: r.h for r in df.collect()}
