@@ -233,7 +233,8 @@ class Repair:
             .join(known.select(F.col("w").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
             .na.fill(0, ["n_joined", "n_compound"])
         )
-        self.broken = cut(pairs.filter("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)"))
+        pairs = cut(pairs.withColumn("broken", F.expr("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)")))
+        self.broken, self.compounds = pairs.filter("broken"), pairs.filter("NOT broken")
         self.joined = self.broken.withColumnRenamed("joined", "w")
         # Forms of cut words that stand nowhere whole count as doubtful forms too, with the lower confidence of their halves.
         cut_only = self.joined.filter("n_joined = 0")
@@ -255,14 +256,35 @@ class Repair:
         running = self.running.select(*keys, F.lit("running").alias("defect"))
         broken = self.broken.select(*keys, F.lit("broken").alias("defect"))
         plain = self.tokens.join(self.fixes, "w").select(*keys)
-        odd = self.tokens.filter(F.regexp_replace("text", r"^\W+|[.,;:?)\]\"”»!]+$", "").rlike(self.ODD)).select(*keys)
+        is_odd = lambda t: F.regexp_replace(t, r"^\W+|[.,;:?)\]\"”»!]+$", "").rlike(self.ODD)
+        odd = self.tokens.filter(is_odd(F.col("text"))).select(*keys)
         both = F.sequence(F.lit(1), F.greatest(F.length("w"), F.length("c")))
         same_start = F.size(F.filter(both, lambda i: F.left(F.col("w"), i) == F.left(F.col("c"), i)))
         same_end = F.size(F.filter(both, lambda i: F.right(F.col("w"), i) == F.right(F.col("c"), i)))
         cut = self.joined.join(self.fixes, "w").withColumns({"a": same_start, "z": same_end})
         in_stem = cut.filter("a < cut_at").select(*keys)
         in_rest = cut.filter("z < length(w) - cut_at").select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"))
-        misread = plain.unionByName(odd).unionByName(in_stem).unionByName(in_rest).withColumn("defect", F.lit("misread"))
+        # A part of a cut word or a compound is odd by itself, or has the digit or mark that makes the whole odd.
+        own = F.struct(is_odd(F.col("stem")).alias("stem"), is_odd(F.col("rest")).alias("rest"))
+        whole = is_odd(F.when(F.col("broken"), F.concat("stem", "rest")).otherwise(F.concat("stem", F.lit("-"), "rest")))
+        parts = self.broken.unionByName(self.compounds).withColumns({"odd": own, "whole": whole})
+        mark = lambda t: F.regexp_replace(t, r"[.,;:?)\]\"”»!]+$", "").rlike("[0-9!|]")
+        by_whole = F.col("whole") & ~F.col("odd.stem") & ~F.col("odd.rest")
+        odd_stem = parts.filter(F.col("odd.stem") | (by_whole & mark(F.col("stem")))).select(*keys)
+        next_line = ["doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line")]
+        odd_rest = parts.filter(F.col("odd.rest") | (by_whole & mark(F.col("rest")))).select(*next_line)
+        # Compounds are looked up by their parts and as a whole.
+        forms = F.array(
+            F.struct(_core(F.col("stem")).alias("w"), F.lit("stem").alias("side")), F.struct(_core(F.col("rest")).alias("w"), F.lit("rest").alias("side")),
+            F.struct(F.col("compound").alias("w"), F.lit("whole").alias("side")),
+        )
+        met = self.compounds.select(*keys, "n_page", "n_line", "cut_at", F.explode(forms).alias("f")).select("*", "f.w", "f.side").join(self.fixes, "w").withColumns({"a": same_start, "z": same_end})
+        met_stem = met.filter("side = 'stem' OR (side = 'whole' AND a < cut_at)").select(*keys)
+        met_rest = met.filter("side = 'rest' OR (side = 'whole' AND z < length(w) - cut_at - 1)").select(*next_line)
+        misread = plain.unionByName(odd).unionByName(in_stem).unionByName(in_rest)
+        for more in (odd_stem, odd_rest, met_stem, met_rest):
+            misread = misread.unionByName(more)
+        misread = misread.withColumn("defect", F.lit("misread"))
         return running.unionByName(broken).unionByName(misread).distinct()
 
     def paragraphs(self) -> DataFrame:

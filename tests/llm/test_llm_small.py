@@ -245,6 +245,19 @@ def test_paragraphs_repair_cut_words(spark):
     assert text == "the office is kept and the (records), of the town and of octatbe is kept in the town and the Archive. The office."
 
 
+def test_odd_parts_of_cut_words_and_compounds(spark):
+    rows = [r for d in range(1, 9) for r in page_rows(d, 1, [(0, "the cross-border forms of the border office"), (1, "are kept with the cross-border forms.")])]
+    lines = [(0, "it was for conse-"), (1, "rvaçã0 and for the f0-"), (2, "rm of the cross-"), (3, "bordcr forms and bordcr of cross-bordcr and Sect-"), (4, "2nd of the end.")]
+    rows += page_rows(20, 1, lines, low=("bordcr", "cross-bordcr"))
+    repair = scan_repair.Repair(spark.createDataFrame(rows, OCR), cut_lineage)
+    got = {r.line for r in repair.defects().filter("doc_id = 20 AND defect = 'misread'").collect()}
+    assert got == {1, 3}  # 'f0-' too is on line 1
+    alone = page_rows(21, 1, [(0, "it was for the f0-"), (1, "rm of the cross-"), (2, "bordcr forms."), (3, "see bordcr."), (4, "see cross-bordcr.")], low=("bordcr.", "bordcr", "cross-bordcr."))
+    repair = scan_repair.Repair(spark.createDataFrame(rows + alone, OCR), cut_lineage)
+    got = {r.line for r in repair.defects().filter("doc_id = 21 AND defect = 'misread'").collect()}
+    assert got == {0, 2, 3, 4}
+
+
 def test_anagram_hash(spark):
     df = spark.createDataFrame([("abc",), ("cab",), ("abd",), ("",)], "w string").select("w", scan_repair.anagram_hash(F.col("w")).alias("h"))
     h = {r.w: r.h for r in df.collect()}
