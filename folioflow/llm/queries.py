@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,16 +58,26 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return Repair(table(spark, d, "ocr_words"), cut_lineage).paragraphs()
 
 
+#: Where the key of the pseudonyms comes from.
+KEY_SETTING = "spark.folioflow.pseudonymKey"
+
+
+def _key(spark: SparkSession) -> bytes:
+    """The configured key; without one a new random key, so that pseudonyms link values within the query only and nobody can turn them back."""
+    return spark.conf.get(KEY_SETTING, "").encode() or secrets.token_bytes(32)
+
+
 def p5_findings(spark: SparkSession, d: str) -> DataFrame:
-    return find_personal_data(table(spark, d, "handoff_inputs", spread=True), "handoff_id", "markdown")
+    return find_personal_data(table(spark, d, "handoff_inputs", spread=True), "handoff_id", "markdown", _key(spark))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_findings(spark, d).select("handoff_id", "placeholder", "start_pos").distinct()
+    """The findings of the five stated types; a date of birth is none of them."""
+    return p5_findings(spark, d).filter("placeholder <> 'BIRTH_DATE'").select("handoff_id", "placeholder", "start_pos").distinct()
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redact_personal_data(table(spark, d, "handoff_inputs", spread=True), "handoff_id", "markdown")
+    return redact_personal_data(table(spark, d, "handoff_inputs", spread=True), "handoff_id", "markdown", _key(spark))
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:

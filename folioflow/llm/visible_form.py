@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +115,9 @@ class Transducer:
             out.append((m.start(), unicodedata.normalize("NFC", base + "".join(marks))))
         return out
 
-    def with_offsets(self, text: str) -> tuple[str, list[int]]:
+    def with_offsets(self, text: str) -> tuple[str, Sequence[int]]:
+        if text.isascii() and "\t" not in text:
+            return text, range(len(text))
         out: list[str] = []
         offsets: list[int] = []
         at = 0
