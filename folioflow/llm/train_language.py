@@ -42,9 +42,9 @@ def sample(path: str, limit: int = SAMPLE, seed: int = 11) -> tuple[list[str], l
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def fit(texts: list[str], codes: list[str], epochs: int = 3) -> dict[str, np.ndarray]:
+def fit(texts: list[str], codes: list[str], epochs: int = 6) -> dict[str, np.ndarray]:
     """Fits, leaves out what looks mislabelled, and fits again. Half of the copies are clipped or stripped of accents."""
-    net = train_network(texts, codes, epochs=1)
+    net = train_network(texts, codes, epochs=2)
     got = Reader(net).pooled([t.encode() for t in texts])[:, :-1].argmax(1)
     kept = [(t, c) for t, c, g in zip(texts, codes, got) if CLASSES[g] == c or c == NONE]
     rng = random.Random(3)

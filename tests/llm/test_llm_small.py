@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("folioflow.llm.queries")
 
-from folioflow.llm import language, leakage, packing, personal_data, scan_repair, splitting, text_quality, visible_form
+from folioflow.llm import language, leakage, packing, personal_data, pseudonyms, scan_repair, splitting, text_quality, visible_form
 from folioflow.llm.common import cut_lineage
 
 CLASH = ["key", "body", "text", "idx", "n_words", "code", "h", "w", "value", "__text"]
@@ -134,21 +134,23 @@ PROSE = {
 
 def test_gradients_against_differences():
     net = {k: v.astype(np.float64) for k, v in language.init_network(1, 3).items()}
-    x, n = language.frames([b"abcdefg", b"xy", b"hello there"])
-    y = np.array([0, 1, 2])
-    _, grad = language._gradients(net, x, n, y)
+    texts, y = [b"abcdefg", b"xy", b"hello there"], np.array([0, 1, 2])
+    _, grad = language._gradients(net, texts, y)
+
+    def loss():
+        at = [language.log_probabilities(net, t)[:, c] for t, c in zip(texts, y)]
+        return -np.concatenate(at).mean()
+
     rng = np.random.default_rng(0)
-    for k in ("Uf", "Ub", "W", "b", "Bf", "Bb"):
-        at = tuple(rng.integers(0, s) for s in net[k].shape)
+    for k in ("Uf", "Ub", "W", "b", "Bf", "Bb", "Ef", "Eb"):
+        at = (ord("e"), *rng.integers(0, net[k].shape[1], 1)) if k[0] == "E" else tuple(rng.integers(0, s) for s in net[k].shape)
         old = net[k][at]
         vals = []
-        for d in (1e-3, -1e-3):
+        for d in (1e-4, -1e-4):
             net[k][at] = old + d
-            lp = language.log_probabilities(net, x, n)
-            live = np.arange(x.shape[1]) < n[:, None]
-            vals.append(-(np.take_along_axis(lp, np.broadcast_to(y[:, None, None], (*lp.shape[:2], 1)), 2)[:, :, 0] * live).sum() / live.sum())
+            vals.append(loss())
         net[k][at] = old
-        assert grad[k][at] == pytest.approx((vals[0] - vals[1]) / 2e-3, rel=2e-2, abs=2e-5)
+        assert grad[k][at] == pytest.approx((vals[0] - vals[1]) / 2e-4, rel=1e-3, abs=1e-7)
 
 
 def test_network_learns_in_a_small_fixture():
@@ -158,20 +160,26 @@ def test_network_learns_in_a_small_fixture():
     order = rng.sample(range(300), 300)
     train, held = order[:240], order[240:]
     net = language.train_network([texts[i] for i in train], [codes[i] for i in train], epochs=4, batch=32, hidden=6)
-    got = language.Reader(net).pooled([texts[i].encode() for i in held])[:, :-1].argmax(1)
+    got = language.Reader(net).pooled([texts[i].encode() for i in held], block=7)[:, :-1].argmax(1)
     assert np.mean([language.CLASSES[g] == codes[i] for g, i in zip(got, held)]) > 0.9
 
 
 def test_reader_is_the_network():
     net = language.load_network()
-    texts = [b"The records team keeps the pages.", b"", b"x", "Grüße".encode() * 90]
+    texts = [b"The records team keeps the pages.", b"", b"x", "Grüße".encode() * 300]
     got = language.Reader(net).pooled(texts)
     for t, row in zip(texts, got):
-        want, frames = 0, 0
-        for at in range(0, max(1, len(t)), language.PIECE_BYTES):
-            x, n = language.frames([t[at : at + language.PIECE_BYTES]])
-            want, frames = want + language.log_probabilities(net, x, n)[0, : n[0]].sum(0), frames + n[0]
-        assert row[-1] == frames and np.allclose(row[:-1], want, atol=1e-2 * frames)
+        want = np.zeros(len(language.CLASSES))
+        for at in range(0, len(t), language.PIECE_BYTES):
+            want += language.log_probabilities(net, t[at : at + language.PIECE_BYTES]).sum(0)
+        assert row[-1] == len(t) and np.allclose(row[:-1], want, atol=1e-3 * (1 + len(t)))
+
+
+def test_every_byte_has_a_label():
+    net = language.load_network()
+    text = "Wörter und Namen".encode()
+    got = np.exp(language.log_probabilities(net, text))
+    assert got.shape == (len(text), len(language.CLASSES)) and np.allclose(got.sum(1), 1, atol=1e-4)
 
 
 def test_held_out_sentences():
@@ -287,36 +295,91 @@ def test_disguised_values_keep_their_offsets():
     assert got == [("no​or (at) kontorhaus (dot) test", "EMAIL"), ("＋４４　７７００ ９００１２３", "PHONE")]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abzABZ0189 -./é", max_size=40), st.sampled_from(["PHONE", "x"]))
+def test_values_in_ordinary_sentences():
+    t = visible_form.Transducer()
+    for text, want in (
+        ("Yesterday Peter Jones met Anna Schmidt near John Street.", [("Peter Jones", "PERSON"), ("Anna Schmidt", "PERSON")]),
+        ("Dear Mr Иванов Петров,", [("Иванов Петров", "PERSON")]),
+        ("Maria Rossi, born on 12/03/1975, has the CPF 529.982.247-25.", [("Maria Rossi", "PERSON"), ("12/03/1975", "BIRTH_DATE"), ("529.982.247-25", "IDENTITY_DATA")]),
+        ("The CPF 529.982.247-26 has a wrong check, and 12/03/1975 is no birth.", []),
+        ("_anna@x.example_ and -bob@y.example, " + "a" * 80 + "@z.example", [("anna@x.example", "EMAIL"), ("bob@y.example", "EMAIL"), ("a" * 80 + "@z.example", "EMAIL")]),
+        ("plus one two three four five six seven", [("plus one two three four five six seven", "PHONE")]),
+    ):
+        assert [(text[a:b], k) for a, b, k in personal_data.find_values(text, t)] == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abzABZ0189 -./éÉßøИваньП李小龙عليאबकि٣", max_size=40), st.sampled_from(["PHONE", "x"]))
 def test_feistel_round_trip(v, kind):
-    c = personal_data.Feistel(b"secret")
+    c = pseudonyms.Feistel(b"secret")
     e = c.encrypt(v, kind)
     assert c.decrypt(e, kind) == v and len(e) == len(v)
-    assert all(a == b if not a.isascii() or not a.isalnum() else (a.isdigit(), a.isupper()) == (b.isdigit(), b.isupper()) for a, b in zip(v, e))
+    for a, b in zip(v, e):
+        assert unicodedata.category(a) == unicodedata.category(b)
+        assert a == b or pseudonyms._place(a)
+
+
+@pytest.mark.parametrize("name", ["Иванов Петров", "José Müßig", "Łukasz Żółć", "李小龙", "محمد علي", "Γιώργος Παπάς", "김철수", "נועה כהן", "अनिल कुमार"])
+def test_no_name_stays_in_clear(name):
+    """Every letter has an alphabet, and over many keys a letter stays no more often than by chance."""
+    assert all(pseudonyms._place(c) for c in name if c.isalnum())
+    n = 200
+    same = total = 0
+    for i in range(n):
+        e = pseudonyms.Feistel(b"%d" % i).encrypt(name, "PERSON")
+        assert e != name
+        same += sum(a == b for a, b in zip(name, e) if a.isalnum())
+        total += sum(c.isalnum() for c in name)
+    chance = sum(1 / len(pseudonyms._place(c)[0]) for c in name if c.isalnum()) / sum(c.isalnum() for c in name)
+    assert same / total < chance + 4 * (chance / total) ** 0.5 + 0.005
+
+
+VALID = {"dni": "12345678Z", "codice fiscale": "RSSMRA85T10A562S", "nir": "269054958815780", "cpf": "52998224725", "steuer-id": "86095742719", "pesel": "44051401359", "bsn": "111222333", "pt nif": "501964843"}
+
+
+def test_checked_numbers_stay_valid():
+    names = [s[0] for s in pseudonyms.SCHEMES]
+    assert set(names) == set(VALID)
+    for name, v in VALID.items():
+        assert names[pseudonyms.scheme_of(v)] == name
+        e = pseudonyms.Feistel(b"k").encrypt(v, "IDENTITY_DATA")
+        assert e != v and names[pseudonyms.scheme_of(e)] == name and pseudonyms.Feistel(b"k").decrypt(e, "IDENTITY_DATA") == v
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.from_regex(r"\A(?:[0-9]{9}|[0-9]{11}|[XYZ0-9][0-9]{7}[A-Z])\Z"))
+def test_numbers_turn_back(v):
+    c = pseudonyms.Feistel(b"k")
+    e = c.encrypt(v, "IDENTITY_DATA")
+    assert c.decrypt(e, "IDENTITY_DATA") == v and pseudonyms.scheme_of(e) == pseudonyms.scheme_of(v)
 
 
 def test_feistel_formats():
-    c, other = personal_data.Feistel(b"k"), personal_data.Feistel(b"l")
+    c, other = pseudonyms.Feistel(b"k"), pseudonyms.Feistel(b"l")
     for size in (2, 10, 37, 1000):
         assert sorted(c.permute(i, size, b"t") for i in range(size)) == list(range(size))
-    e = c.encrypt("00819513-W", "ID")
-    assert personal_data._dni_ok(e) and c.decrypt(e, "ID") == "00819513-W" if personal_data._dni_ok("00819513-W") else True
-    d = c.encrypt("2024-02-29", "d")
-    assert re.fullmatch(r"\d{4}-\d\d-\d\d", d) and c.decrypt(d, "d") == "2024-02-29" and c.decrypt(c.encrypt("29.02.2024", "d"), "d") == "29.02.2024"
+    d = c.encrypt("2024-02-29", "BIRTH_DATE")
+    assert re.fullmatch(r"\d{4}-\d\d-\d\d", d) and c.decrypt(d, "BIRTH_DATE") == "2024-02-29"
+    assert personal_data.canonical_value("29.2.2024", "BIRTH_DATE") == personal_data.canonical_value("29/02/2024", "BIRTH_DATE") == "2024-02-29"
     assert c.encrypt("+44 7700 900123", "PHONE") != other.encrypt("+44 7700 900123", "PHONE")
+    # The second block of a long value depends on the first.
+    assert c.encrypt("a" * 16 + "same", "x")[16:] != c.encrypt("b" * 16 + "same", "x")[16:]
+    with pytest.raises(ValueError):
+        pseudonyms.Feistel(b"")
+    with pytest.raises(TypeError):
+        personal_data.redact_personal_data(None, "id", "t")
 
 
 def test_redaction_links_equal_values(spark):
     rows = [(1, "Contact: Noor Zandhurst, noor@x.test, 202-555-0115"), (2, "Dear Noor Zandhurst,\nMail: NOOR@x.test or 202.555.0115"), (3, None), (4, ""), (4, "")]
     df = clashing(spark.createDataFrame(rows, "id long, t string"))
-    out = {r.id: r for r in personal_data.redact_personal_data(df, "id", "t").collect()}
+    out = {r.id: r for r in personal_data.redact_personal_data(df, "id", "t", b"key").collect()}
     find = lambda kind, s: re.search(rf"\[{kind} ([^\]]+)\]", s)[1]
     for kind in ("PERSON", "EMAIL", "PHONE"):
         assert find(kind, out[1].redacted_text) == find(kind, out[2].redacted_text)
     assert "Zandhurst" not in out[1].redacted_text and out[3].redacted_text is None and out[4].redacted_text == "" and out[4].n_values == 0
-    assert personal_data.find_personal_data(df, "id", "t").count() == 6
-    assert personal_data.find_personal_data(df.limit(0), "id", "t").count() == 0
+    assert personal_data.find_personal_data(df, "id", "t", b"key").count() == 6
+    assert personal_data.find_personal_data(df.limit(0), "id", "t", b"key").count() == 0
 
 
 # ---- 6: packing -----------------------------------------------------------------------
