@@ -5,19 +5,26 @@ RUN words holds RUN - SHINGLE + 1 shingles of SHINGLE words, and all of them
 must be in the document. So one shingle of each window is enough as a
 necessary prefix token: the rarest, by its count over all documents.
 
-1. The items' shingles are counted over the whole corpus.
+This is a join of two tables of shingles, whatever the number of items:
+
+1. The items' shingles are counted over the whole corpus (first scan).
 2. Each item's windows choose their rarest shingle; windows next to each other
    mostly choose the same one, which leaves few prefix tokens.
-3. Documents are probed for prefix tokens only. What meets passes a length bound
-   and a bound on the positions (a window must fit on both sides), and then the
-   words themselves are compared outwards over a window as long as the item.
-
-Items are a stated set: they go to the tasks in blocks of at most ITEM_BLOCK,
-each block against all documents. Nothing of the documents goes to the driver
-but the counts of the items' shingles.
+3. The documents' shingles meet the prefix tokens in an equi-join on their hash
+   (second scan). A length and position bound is part of the join: a window
+   must fit around the shingle on both sides.
+4. What meets is verified word by word around the shingle, over at most RUN
+   words to each side, so every window of a run is seen by its own prefix
+   token; overlapping places on one diagonal are one run.
+
+Before a document's shingles leave Python they pass a bitmap of the hashes that
+the other side has at all; it has at most 2 ** FILTER_BITS bits and only saves
+rows, as the join decides. The prefix tokens are broadcast up to BROADCAST_ROWS
+rows; beyond, the join is a shuffle with the documents' rows salted, as one
+shingle may be in a third of all documents.
 
 Defined cases: null or empty texts and items of fewer than RUN words match
-nothing; repeated rows give one result; an item id may have several texts.
+nothing; repeated rows give one result; an id may have several texts.
 """
 
 from __future__ import annotations
@@ -28,14 +35,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import arrow_schema, cut_lineage
 
 RUN, SHINGLE = 10, 5
-ITEM_BLOCK = 20_000
+#: Words to each side of a shingle that a window around it can have.
+SIDE = RUN - SHINGLE
 BATCH_ROWS = 4000
+#: Bounds of the bitmap, as powers of two; between them it has 16 bits for each hash.
+LEAST_BITS, FILTER_BITS = 20, 28
+BROADCAST_ROWS = 100_000
+SALT = 16
+#: Words whose hashes a task keeps.
+KEPT_WORDS = 500_000
 
 _MARKUP = re.compile(r"(?<=\])\([^()\s]*(?:\s+\"[^\"\n]*\")?\)|(?<=\])\[[^\]\n]{0,200}\]|</?[A-Za-z][^<>\n]{0,200}>|&(?:nbsp|shy|amp|quot|#\d{1,6});")
 _UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -55,9 +71,21 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _hashes(ws: list[str]) -> np.ndarray:
+
+
+class _WordHashes(dict):
+    """The hash of each word, the same in every process."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _hashes(ws: list[str], memo: _WordHashes) -> np.ndarray:
     """A hash of the shingle that begins at each word; the last SHINGLE - 1 words have none."""
-    h = np.fromiter(map(hash, ws), np.int64, len(ws)).view(np.uint64)
+    h = np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
     n = len(ws) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -68,128 +96,147 @@ def _hashes(ws: list[str]) -> np.ndarray:
     return out
 
 
-class Table:
-    """Shingles to look up among those of many documents; made anew in each process, as hashes of words are."""
+class Filter:
+    """A bitmap of the leading bits of hashes."""
+
+    def __init__(self, bits: int, data: bytes):
+        self.shift = np.uint64(64 - bits)
+        self.map = np.frombuffer(data, np.uint8)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Where the hashes are that may be in the set."""
+        at = h >> self.shift
+        return np.flatnonzero(self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
 
-    def __init__(self, entries: list[tuple[tuple[str, ...], object]]):
-        by: dict[int, list] = {}
-        for shingle, value in entries:
-            by.setdefault(int(_hashes(list(shingle))[0]), []).append(value)
-        self.by = by
-        self.keys = np.array(sorted(by), np.uint64)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys >> np.uint64(44)] = True
 
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Where the hashes of a text are in the table."""
-        at = np.flatnonzero(self.bits[h >> np.uint64(44)])
-        if len(at):
-            at = at[np.isin(h[at], self.keys)]
-        return at
+def _bitmap(hashes: DataFrame, n: int) -> tuple[int, Broadcast]:
+    """The bitmap of a column ``hash`` of about ``n`` rows: made in the JVM in parts of 4 kB, of which the driver gets at most 2 ** FILTER_BITS bits."""
+    bits = min(FILTER_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    x = F.shiftrightunsigned("hash", 64 - bits) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(x).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("part")).collect()
+    out = bytearray(1 << (bits - 3))
+    for r in parts:
+        at = (r.no - 1) * len(r.part)
+        out[at : at + len(r.part)] = r.part
+    return bits, hashes.sparkSession.sparkContext.broadcast(bytes(out))
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], np.ndarray, np.ndarray]]:
-    """(ids, words of all texts, first word of each text, hashes) of each part of a batch."""
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, twin, body): texts that aren't empty; ``twin`` tells apart the texts of one id."""
+    body = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(body).alias("twin"), body.alias("body")).filter("body <> ''")
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[str], np.ndarray, np.ndarray]]:
+    """(ids, twins, words of all texts, first word of each text, hashes) of each part of a batch."""
+    memo = _WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, BATCH_ROWS):
             part = batch.slice(at, BATCH_ROWS)
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+            ids, twins, texts = (part.column(i).to_pylist() for i in range(3))
             flat: list[str] = []
             starts = [0]
             for t in texts:
                 flat.extend(words(t))
                 starts.append(len(flat))
             if flat:
-                yield ids, flat, np.array(starts), _hashes(flat)
+                yield ids, twins, flat, np.array(starts), _hashes(flat, memo)
 
 
-def _shingles(item_words: list[str]) -> list[tuple[str, ...]]:
-    return [tuple(item_words[i : i + SHINGLE]) for i in range(len(item_words) - SHINGLE + 1)]
+def _within(h: np.ndarray, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places of shingles those that lie in one text, and that text."""
+    owner = np.searchsorted(starts, at, side="right") - 1
+    own = at + SHINGLE <= starts[owner + 1]
+    return at[own], owner[own]
 
 
-def prefix_tokens(item_words: list[str], count: dict[tuple[str, ...], int]) -> list[int]:
-    """Where the shingles begin that the windows of an item choose: the rarest of each, the first of equals."""
-    s = _shingles(item_words)
-    width = RUN - SHINGLE + 1
-    return sorted({min(range(i, i + width), key=lambda j: (count.get(s[j], 0), j)) for i in range(len(item_words) - RUN + 1)})
+SHINGLE_DDL = "id bigint, twin bigint, pos int, hash bigint, n_words int, shingle string, before array<string>, after array<string>"
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[list[tuple[int, list[str]]]]:
-    part: list[tuple[int, list[str]]] = []
-    src = items.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    for r in src.filter("i IS NOT NULL AND t <> ''").distinct().orderBy("i", "t").toLocalIterator():
-        ws = words(r.t)
-        if len(ws) >= RUN:
-            part.append((r.i, ws))
-        if len(part) == block:
-            yield part
-            part = []
-    if part:
-        yield part
+def shingles(texts: DataFrame, only: tuple[int, Broadcast] | None = None) -> DataFrame:
+    """Rows of SHINGLE_DDL: shingles with up to SIDE words before (nearest first) and after; with ``only`` those that pass a bitmap."""
+    schema = arrow_schema(SHINGLE_DDL)
 
-
-def _count_shingles(docs: DataFrame, shingles: list[tuple[str, ...]]) -> dict[tuple[str, ...], int]:
-    """How often the given shingles are in all documents."""
-    ddl = "idx bigint, n bigint"
-    schema = arrow_schema(ddl)
+    def run(batches):
+        keep = Filter(only[0], only[1].value) if only else None
+        for ids, twins, flat, starts, h in _batches(batches):
+            at, owner = _within(h, starts, keep.passing(h) if keep else np.arange(len(h)))
+            for lo in range(0, len(at), 50_000):
+                rows = []
+                for i, d in zip(at[lo : lo + 50_000].tolist(), owner[lo : lo + 50_000].tolist()):
+                    a, b = int(starts[d]), int(starts[d + 1])
+                    rows.append((ids[d], twins[d], i - a, b - a, " ".join(flat[i : i + SHINGLE]), flat[max(a, i - SIDE) : i][::-1], flat[i + SHINGLE : min(b, i + RUN)]))
+                if rows:
+                    c = list(zip(*rows))
+                    hashes = h[at[lo : lo + 50_000]].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((*c[:3], hashes, *c[3:]), schema)], schema=schema)
+
+    return texts.mapInArrow(run, SHINGLE_DDL)
+
+
+def shingle_counts(texts: DataFrame, only: tuple[int, Broadcast]) -> DataFrame:
+    """(hash, n): how often the shingles that pass a bitmap are in all texts."""
+    schema = arrow_schema("hash bigint, n bigint")
 
     def run(batches):
-        t = Table([(s, i) for i, s in enumerate(shingles)])
-        total: dict[int, int] = {}
-        for _, _, _, h in _batches(batches):
-            found, n = np.unique(h[t.hits(h)], return_counts=True)
-            for k, c in zip(found.tolist(), n.tolist()):
-                for i in t.by[k]:
-                    total[i] = total.get(i, 0) + c
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], schema=schema)
+        keep = Filter(only[0], only[1].value)
+        for _, _, _, starts, h in _batches(batches):
+            at, _ = _within(h, starts, keep.passing(h))
+            if len(at):
+                found, n = np.unique(h[at], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], schema=schema)
+
+    return texts.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def prefix_tokens(item_shingles: DataFrame, counts: DataFrame) -> DataFrame:
+    """The shingles that the windows of the items choose: the rarest of each, the first of equals."""
+    counted = item_shingles.join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    own = Window.partitionBy("id", "twin").orderBy("pos")
+    chosen = F.min(F.struct("n", "pos")).over(own.rowsBetween(0, SIDE))
+    # Every row also learns whether one of the windows that hold it has chosen it.
+    by_window = F.when(F.col("pos") <= F.col("n_words") - RUN, F.col("chosen.pos"))
+    picks = F.array_contains(F.collect_list(by_window).over(own.rowsBetween(-SIDE, 0)), F.col("pos"))
+    return counted.withColumn("chosen", chosen).withColumn("picked", picks).filter("picked").drop("chosen", "picked")
+
 
-    rows = docs.mapInArrow(run, ddl).groupBy("idx").agg(F.sum("n").alias("n")).toLocalIterator()
-    return {shingles[r.idx]: r.n for r in rows}
+def _alike(a: Column, b: Column) -> Column:
+    """How many words two lists share from their beginning, up to SIDE."""
+    return sum((((F.size(a) >= k) & (F.slice(a, 1, k) == F.slice(b, 1, k))).cast("int") for k in range(1, SIDE + 1)), F.lit(0))
 
 
 LEAK_DDL = "doc_id bigint, item_id bigint, longest_run int, item_words int, places int"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = ITEM_BLOCK) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS, salt: int = SALT
+) -> DataFrame:
     """Rows of LEAK_DDL: each document and item that share RUN consecutive words, with the longest run and the number of runs."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("body")).filter("body <> ''")
-    schema = arrow_schema(LEAK_DDL)
-    out = None
-    for part in _blocks(items, item_id, item_text, block):
-        count = _count_shingles(src, sorted({s for _, ws in part for s in _shingles(ws)}))
-        prefixes = [(n, j) for n, (_, ws) in enumerate(part) for j in prefix_tokens(ws, count)]
-
-        def run(batches, part=part, prefixes=prefixes):
-            t = Table([(tuple(part[n][1][j : j + SHINGLE]), (n, j)) for n, j in prefixes])
-            for ids, flat, starts, h in _batches(batches):
-                at = t.hits(h)
-                if not len(at):
-                    continue
-                owner = np.searchsorted(starts, at, side="right") - 1
-                best: dict[tuple[int, int], tuple[int, set]] = {}
-                for i, d in zip(at.tolist(), owner.tolist()):
-                    lo, hi = int(starts[d]), int(starts[d + 1])
-                    for n, j in t.by[int(h[i])]:
-                        ws = part[n][1]
-                        # Length and position: RUN words must fit around the shingle in both.
-                        if min(i - lo, j) + min(hi - i, len(ws) - j) < RUN:
-                            continue
-                        a = 0
-                        while a < min(i - lo, j) and flat[i - a - 1] == ws[j - a - 1]:
-                            a += 1
-                        b = 0
-                        while b < min(hi - i, len(ws) - j) and flat[i + b] == ws[j + b]:
-                            b += 1
-                        if a + b >= RUN and b >= SHINGLE:
-                            run_len, places = best.get((d, n), (0, set()))
-                            best[d, n] = max(run_len, a + b), places | {(i - a, j - a)}
-                if best:
-                    rows = [(ids[d], part[n][0], r, len(part[n][1]), len(p)) for (d, n), (r, p) in best.items()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-        found = src.mapInArrow(run, LEAK_DDL)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    corpus = _texts(docs, id_col, text_col)
+    known = shingles(_texts(items, item_id, item_text).filter("id IS NOT NULL").distinct()).filter(f"n_words >= {RUN}")
+    n = known.count()
+    if not n:
         return docs.sparkSession.createDataFrame([], LEAK_DDL)
-    return out.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"), F.max("places").alias("places"))
+    tokens = cut_lineage(prefix_tokens(known, shingle_counts(corpus, _bitmap(known, n))))
+    n = tokens.count()
+    hits = shingles(corpus, _bitmap(tokens, n)).select(F.col("id").alias("doc_id"), F.col("twin").alias("d_twin"), "pos", "hash", F.col("shingle").alias("d_shingle"), F.col("before").alias("d_before"), F.col("after").alias("d_after"))
+    tokens = tokens.select(F.col("id").alias("item_id"), F.col("twin").alias("i_twin"), F.col("pos").alias("i_pos"), "hash", F.col("n_words").alias("item_words"), "shingle", "before", "after")
+    if n <= broadcast_rows:
+        met = hits.join(F.broadcast(tokens), "hash")
+    else:
+        hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "d_twin", "pos"), F.lit(salt)))
+        met = hits.join(tokens.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), ["hash", "salt"])
+    room = F.least(F.size("d_before"), F.size("before")) + F.least(F.size("d_after"), F.size("after")) >= RUN - SHINGLE
+    left, right = _alike(F.col("d_before"), F.col("before")), _alike(F.col("d_after"), F.col("after"))
+    runs = met.filter(room & (F.col("d_shingle") == F.col("shingle"))).withColumns({"left": left, "right": right}).filter(f"left + right >= {RUN - SHINGLE}")
+    diagonal = ["doc_id", "d_twin", "item_id", "i_twin", "shift"]
+    # Copies of a document give the same places: they are dropped before and in the shuffle.
+    places = runs.select(
+        "doc_id", "d_twin", "item_id", "i_twin", (F.col("pos") - F.col("i_pos")).alias("shift"), (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + SHINGLE + F.col("right")).alias("hi"), "item_words"
+    ).distinct()
+    own = Window.partitionBy(*diagonal).orderBy("lo", "hi")
+    before = F.max("hi").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    run_no = F.sum(F.coalesce(F.col("lo") > F.col("before"), F.lit(True)).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    whole = places.withColumn("before", before).withColumn("run", run_no).groupBy(*diagonal, "run").agg((F.max("hi") - F.min("lo")).alias("words"), F.max("item_words").alias("item_words"))
+    per_text = whole.groupBy("doc_id", "d_twin", "item_id", "i_twin").agg(F.max("words").alias("longest_run"), F.max("item_words").alias("item_words"), F.count("*").cast("int").alias("places"))
+    return per_text.groupBy("doc_id", "item_id").agg(F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"), F.max("places").alias("places"))

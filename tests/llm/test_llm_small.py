@@ -444,9 +444,14 @@ def test_leaks_against_brute_force(spark):
         ws[5:5] = src[a : a + rng.randrange(4, 16)]
         docs.append((d, rng.choice([" ", ", ", "\n", " **"]).join(x.upper() if rng.random() < 0.3 else x for x in ws)))
     docs += [(200, None), (201, ""), (202, docs[0][1]), (202, docs[0][1])]
-    want = set()
+    want, longest = set(), {}
     for d, t in docs:
         ws = leakage.words(t or "")
+        for i, t2 in items:
+            w2 = leakage.words(t2 or "")
+            runs = [next((k for k in range(min(len(ws) - a, len(w2) - b)) if ws[a + k] != w2[b + k]), min(len(ws) - a, len(w2) - b)) for a in range(len(ws)) for b in range(len(w2))]
+            if max(runs, default=0) >= 10:
+                longest[d, i] = max(max(runs), longest.get((d, i), 0))
         grams = {tuple(ws[i : i + 10]) for i in range(len(ws) - 9)}
         for i, t2 in items:
             w2 = leakage.words(t2 or "")
@@ -454,10 +459,11 @@ def test_leaks_against_brute_force(spark):
                 want.add((d, i))
     df = clashing(spark.createDataFrame(docs, "doc_id long, t string"))
     it = clashing(spark.createDataFrame(items, "item_id long, t string"))
-    for block in (leakage.ITEM_BLOCK, 4):
-        got = leakage.find_leaks(df, it, text_col="t", item_text="t", block=block).collect()
+    for most in (leakage.BROADCAST_ROWS, 0):  # by broadcast and by a salted shuffle
+        got = leakage.find_leaks(df, it, text_col="t", item_text="t", broadcast_rows=most, salt=3).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want and want
-        assert all(r.longest_run >= 10 for r in got) and len(got) == len(want)
+        assert len(got) == len(want)
+        assert {(r.doc_id, r.item_id): r.longest_run for r in got} == longest
     assert leakage.find_leaks(df, it.limit(0), text_col="t", item_text="t").count() == 0 == leakage.find_leaks(df.limit(0), it, text_col="t", item_text="t").count()
 
 
@@ -465,10 +471,31 @@ def test_words_ignore_markup():
     assert leakage.words("**The** [choir](https://x.test/a) of​ R­osa <b>is</b> [x][y-1] Été") == ["the", "choir", "of", "rosa", "is", "x", unicodedata.normalize("NFC", "été")]
 
 
-def test_prefix_tokens_meet_every_window():
+def test_prefix_tokens_meet_every_window(spark):
     ws = [f"a{i}" for i in range(40)]
-    at = leakage.prefix_tokens(ws, {tuple(ws[i : i + 5]): i * 7 % 5 for i in range(36)})
-    assert all(any(i <= j <= i + 5 for j in at) for i in range(31))
+    known = leakage.shingles(spark.createDataFrame([(1, 1, " ".join(ws)), (2, 1, " ".join(ws[:10]))], "id long, twin long, body string"))
+    counts = known.filter("id = 1").select("hash", (F.col("pos") * 7 % 5).cast("long").alias("n"))
+    at = {(r.id, r.pos) for r in leakage.prefix_tokens(known, counts).collect()}
+    assert all(any((1, j) in at for j in range(i, i + 6)) for i in range(31)) and len(at) < 20
+    want = {min(range(i, i + 6), key=lambda j: (j * 7 % 5, j)) for i in range(31)}
+    assert {j for i, j in at if i == 1} == want and {j for i, j in at if i == 2} == {0}
+
+
+def test_the_filter_passes_what_is_in_it(spark):
+    known = leakage.shingles(spark.createDataFrame([(1, 1, " ".join(f"a{i}" for i in range(3000)))], "id long, twin long, body string"))
+    bits, data = leakage._bitmap(known, known.count())
+    h = np.array([r.hash for r in known.select("hash").collect()], np.int64).view(np.uint64)
+    f = leakage.Filter(bits, data.value)
+    assert len(f.passing(h)) == len(h) and len(f.passing(h * np.uint64(0x9E3779B97F4A7C15))) < 600
+
+
+def test_many_items(spark):
+    """A hundred thousand items take the same two scans; one shingle is in a third of all documents."""
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(c), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5000))) for k, c in enumerate("abcdefghijkl")]).alias("text"))
+    hot = items.filter("item_id = 7").first().text
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("before it " + hot)).otherwise(F.lit("nothing of the kind is here")).alias("text"))
+    got = leakage.find_leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.longest_run) for r in got} == {(i, 7, 12) for i in range(0, 900, 3)}
 
 
 # ---- 8: statistics --------------------------------------------------------------------
