@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
-from .text_quality import clean_newlines, finish, partial, verdict
+from .text_quality import clean_newlines, text_kind
 
 #: The languages, the two-letter forms, and the class of text in none of them.
 LANGUAGES = ("eng", "fra", "deu", "spa", "ita", "nld", "por")
@@ -35,11 +35,11 @@ ISO2 = {"en": "eng", "fr": "fra", "de": "deu", "es": "spa", "it": "ita", "nl": "
 NONE = "und"
 CLASSES = (*LANGUAGES, NONE)
 
-HIDDEN = 20
+HIDDEN = 24
 #: A sentence is read in pieces of at most so many bytes; all pieces are pooled.
 PIECE_BYTES = 1024
-#: Pieces that are read in step; few enough for their states to stay in the processor's cache.
-BLOCK_ROWS = 512
+#: Pieces that are read in step.
+BLOCK_ROWS = 2048
 #: A language counts from so many full sentences on.
 MIN_SENTENCES = 2
 MIN_WORDS = 4
@@ -254,38 +254,43 @@ class Reader:
     """Pools the network's positions over whole texts; texts are read in pieces, all of them."""
 
     def __init__(self, net: dict[str, np.ndarray]):
-        # Both directions run in step as one stack of arrays. The halves of the gates' sigmoid, 0.5 tanh(v / 2) + 0.5, go into the weights.
-        self.h = h = net["Uf"].shape[0]
-        half = np.ones(3 * h, np.float32)
-        half[: 2 * h] = 0.5
-        self.e = np.stack([(net[f"E{d}"] + net[f"B{d}"]) * half for d in "fb"])
-        self.u = np.stack([net[f"U{d}"] * half for d in "fb"])
-        self.w, self.b = net["W"], net["b"]
+        # Each gate has tables of its own, so that all arrays of a step are contiguous. The halves of the sigmoid, 0.5 tanh(v / 2) + 0.5, go into them.
+        h = net["Uf"].shape[0]
+        cut = [slice(0, h), slice(h, 2 * h), slice(2 * h, 3 * h)]
+        self.e = [[np.ascontiguousarray(((net[f"E{d}"] + net[f"B{d}"])[:, c]) * f) for c, f in zip(cut, (0.5, 0.5, 1))] for d in "fb"]
+        self.u = [[np.ascontiguousarray(net[f"U{d}"][:, c] * f) for c, f in zip(cut, (0.5, 0.5, 1))] for d in "fb"]
+        self.w, self.b, self.h = net["W"], net["b"], h
 
     def _direction(self, x: np.ndarray, live: np.ndarray, d: int, scores: np.ndarray) -> None:
-        """Adds the scores of one direction to (steps, rows, classes)."""
-        h, e, u, w = self.h, self.e[d], self.u[d], self.w[d * self.h : (d + 1) * self.h]
+        """Adds the scores of one direction to (classes, steps, rows)."""
+        (ez, er, ec), (uz, ur, uc) = self.e[d], self.u[d]
+        w = np.ascontiguousarray(self.w[d * self.h : (d + 1) * self.h].T)
         rows = x.shape[1]
-        state = np.zeros((rows, h), np.float32)
-        a_all, g_all, c_all = np.empty((rows, 3 * h), np.float32), np.empty((rows, 3 * h), np.float32), np.empty((rows, h), np.float32)
-        out = np.empty((rows, len(CLASSES)), np.float32)
+        state = np.zeros((rows, self.h), np.float32)
+        work = np.empty((4, rows, self.h), np.float32)
         for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
             k = live[t]
-            s, a, g, c = state[:k], a_all[:k], g_all[:k], c_all[:k]
-            np.take(e, x[t, :k], 0, out=g, mode="clip")
-            np.matmul(s, u, out=a)
-            gates = g[:, : 2 * h]
-            gates += a[:, : 2 * h]
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            np.multiply(gates[:, h:], a[:, 2 * h :], out=c)
-            c += g[:, 2 * h :]
+            xt, s = x[t, :k], state[:k]
+            z, r, c, a = work[:, :k]
+            # c = tanh(ec + r * (s uc)), s += z * (c - s)
+            np.take(er, xt, 0, out=r, mode="clip")
+            r += np.matmul(s, ur, out=a)
+            np.tanh(r, out=r)
+            r *= 0.5
+            r += 0.5
+            r *= np.matmul(s, uc, out=a)
+            np.take(ec, xt, 0, out=c, mode="clip")
+            c += r
             np.tanh(c, out=c)
+            np.take(ez, xt, 0, out=z, mode="clip")
+            z += np.matmul(s, uz, out=a)
+            np.tanh(z, out=z)
+            z *= 0.5
+            z += 0.5
             c -= s
-            c *= gates[:, :h]
+            c *= z
             s += c
-            scores[t, :k] += np.matmul(s, w, out=out[:k])
+            scores[:, t, :k] += w @ s.T
 
     def pooled(self, texts: list[bytes], block: int = BLOCK_ROWS) -> np.ndarray:
         """Sum over a text's bytes of the classes' log-probabilities, and the bytes, for each text."""
@@ -300,13 +305,14 @@ class Reader:
         for at in range(0, len(by_length), block):
             part = by_length[at : at + block]
             x, live, _ = steps_of([pieces[i] for i in part])
-            scores = np.broadcast_to(self.b, (*x.shape, len(CLASSES))).copy()
+            scores = np.empty((len(CLASSES), *x.shape), np.float32)
+            scores[:] = self.b[:, None, None]
             for d in (0, 1):
                 self._direction(x, live, d, scores)
-            scores -= scores.max(2, keepdims=True)
-            scores -= np.log(np.exp(scores).sum(2, keepdims=True))
-            scores *= (np.arange(x.shape[1]) < live[:, None])[:, :, None]
-            np.add.at(sums, np.array([owner[i] for i in part]), scores.sum(0))
+            scores -= scores.max(0)
+            scores -= np.log(np.exp(scores).sum(0))
+            scores *= np.arange(x.shape[1]) < live[:, None]
+            np.add.at(sums, np.array([owner[i] for i in part]), scores.sum(1).T)
         return np.concatenate([sums, count[:, None]], 1)
 
 
@@ -407,7 +413,7 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str |
                 counted = {c for c, n in per.items() if n >= MIN_SENTENCES}
                 case = bool(counted) and (len(counted) > 1 or language_code(label) not in counted)
                 if case:
-                    case = verdict(finish(partial(clean_newlines(body)))) == "prose"
+                    case = text_kind(clean_newlines(body)) == "prose"
                 for s in segs:
                     out["key"].append(key)
                     for n, v in zip(names, s):

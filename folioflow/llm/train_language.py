@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from .language import CLASSES, LANGUAGES, NONE, Reader, language_code, plain, sentences, train_network
-from .text_quality import clean_newlines, finish, partial, verdict
+from .text_quality import clean_newlines, text_kind
 
 SAMPLE = 64_000
 
@@ -27,7 +27,7 @@ def sample(path: str, limit: int = SAMPLE, seed: int = 11) -> tuple[list[str], l
         if not text:
             continue
         text = clean_newlines(text)
-        kind = verdict(finish(partial(text)))
+        kind = text_kind(text)
         if kind == "junk":
             by[NONE] += [text[i : i + 120] for i in range(0, min(len(text), 360), 120)]
         elif kind == "prose" and (code := language_code(lang)):
@@ -53,7 +53,7 @@ def fit(texts: list[str], codes: list[str], epochs: int = 6) -> dict[str, np.nda
         if c in LANGUAGES:
             i = rng.randrange(max(1, len(t) // 2))
             t = t[i : i + rng.randrange(25, 120)]
-            more.append((t.upper() if rng.random() < 0.1 else t, c))
+            more.append((t.upper() if rng.random() < 0.3 else t, c))
     rows = kept + more
     rng.shuffle(rows)
     return train_network([r[0] for r in rows], [r[1] for r in rows], epochs=epochs)
