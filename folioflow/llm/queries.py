@@ -5,7 +5,7 @@ from __future__ import annotations
 import secrets
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
@@ -20,11 +20,30 @@ from .visible_form import UNSEEN, default_tables, find_phrases, visible_form
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(table(spark, d, "pii_chunks", spread=True))
+    return split_oversized(table(spark, d, "pii_chunks", spread=True), once=True)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_pieces(spark, d).filter("oversized AND piece_no = 0").select("chunk_id")
+    return split_oversized(table(spark, d, "pii_chunks", spread=True)).filter("oversized AND piece_no = 0").select("chunk_id").distinct()
+
+
+def p1_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each chunk: whether its pieces keep the budget, carry the text at their offsets, cover it, and overlap as they should."""
+    src = table(spark, d, "pii_chunks", spread=True).select("chunk_id", "text", "text_offset", "token_budget", "overlap_tokens").distinct()
+    pieces = split_oversized(src).select("chunk_id", "piece_no", "n_pieces", F.col("text").alias("piece"), (F.col("piece_offset")).alias("at"), "token_count")
+    rule = F.size(F.regexp_extract_all("piece", F.lit(r"[\p{L}\p{N}]{1,8}"), F.lit(0))) + F.size(F.regexp_extract_all("piece", F.lit(r"[^\p{L}\p{N} \t\r\n\u00A0]"), F.lit(0)))
+    one = src.groupBy("chunk_id").agg(F.count("*").alias("n"), F.first("text").alias("text"), F.first(F.coalesce("text_offset", F.lit(0))).alias("base"), F.first("token_budget").alias("budget"), F.first("overlap_tokens").alias("over"))
+    own = Window.partitionBy("chunk_id").orderBy("piece_no")
+    met = pieces.withColumn("rule", rule).join(one.filter("n = 1"), "chunk_id")
+    end = F.col("at") + F.length("piece")
+    met = met.withColumns({"before_end": F.lag(end).over(own), "same": F.col("piece") == F.expr("substring(text, at - base + 1, length(piece))")})
+    shared = F.expr("substring(text, at - base + 1, before_end - at)")
+    tokens = F.size(F.regexp_extract_all(shared, F.lit(r"[\p{L}\p{N}]{1,8}"), F.lit(0))) + F.size(F.regexp_extract_all(shared, F.lit(r"[^\p{L}\p{N} \t\r\n\u00A0]"), F.lit(0)))
+    met = met.withColumn("overlap_ok", F.col("before_end").isNull() | ((F.col("at") <= F.col("before_end")) & (tokens <= F.greatest("over", F.lit(0)))))
+    return met.groupBy("chunk_id").agg(
+        F.bool_and((F.col("rule") <= F.greatest("budget", F.lit(1))) | (F.col("n_pieces") == 1)).alias("within_budget"), F.bool_and(F.col("rule") == F.col("token_count")).alias("counts_right"),
+        F.bool_and("same").alias("text_right"), F.bool_and("overlap_ok").alias("overlap_right"), ((F.min("at") == F.first("base")) & (F.max(end) == F.first("base") + F.length(F.first("text")))).alias("covered"),
+    )
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +107,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p6_pack(spark, d))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """For each window: its texts, and the containers over capacity and the texts cut though they fit (there are none of either)."""
+    places = p6_pack(spark, d)
+    over = places.groupBy("window_id", "capacity", "container").agg(F.sum("n_tokens").alias("n")).groupBy("window_id", "capacity").agg(F.count_if(F.col("n") > F.col("capacity")).alias("too_full"))
+    texts = places.groupBy("window_id", "capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"))
+    texts = texts.groupBy("window_id", "capacity").agg(F.count("*").alias("texts"), F.count_if((F.col("parts") > 1) & (F.col("n") <= F.col("capacity"))).alias("cut_though_fitting"))
+    return texts.join(over, ["window_id", "capacity"])
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents", spread=True), table(spark, d, "heldout_items"))
 
@@ -109,9 +137,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_statistics(spark, d).filter("text_kind IN ('list', 'table', 'junk')").select("doc_id", "text_kind")
 
 
+def p8_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts by small chunks and pieces, so that most documents go up the distributed tree."""
+    src = table(spark, d, "documents", spread=True)
+    return text_statistics(src, "doc_id", "text", chunk_chars=200, spread_chars=500).select("doc_id", "n_chars", "n_words", "n_word_chars", "n_common", "n_lines")
+
+
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     """The additive counts alone, which SQL can say too."""
-    return p8_statistics(spark, d).select("doc_id", "n_chars", "n_words", "n_word_chars", "n_common")
+    return p8_statistics(spark, d).select("doc_id", "n_chars", "n_words", "n_word_chars", "n_common", "n_lines")
 
 
 _NO_UNSEEN = r"regexp_replace(text, '[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')"
@@ -136,13 +170,20 @@ _P2 = f"""WITH t AS (SELECT 'handoff' AS origin, handoff_id AS row_id, markdown
     v AS (SELECT origin, row_id, t, {_visible_sql("t")} AS f FROM t WHERE t IS NOT NULL), r AS (SELECT rule_no, phrase, {_visible_sql("phrase")} AS p FROM scanner_rules WHERE NOT raw_only AND trim(phrase) <> '')
     SELECT DISTINCT origin, CAST(row_id AS BIGINT) AS row_id, CAST(rule_no AS INTEGER) AS rule_no FROM v JOIN r ON contains(f, p) AND NOT contains(t, phrase)"""
 
+#: Lines that hold more than three marks, a word, dots that lead or cells; quote marks before them do not count.
+_P8 = f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS n_word_chars,
+    CAST(len(list_filter(w, lambda x: x IN ({", ".join("'" + x + "'" for x in sorted(COMMON))}))) AS BIGINT) AS n_common,
+    CAST(len(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(trim(l, E' \\t\u00a0'), '^(?:>\\s*)+', ''), E' \\t\u00a0')), lambda s: length(s) > 3 OR regexp_matches(s, '[\\p{{L}}\\p{{N}}]') OR regexp_matches(s, '…{{2,}}|^\\|.*\\|'))) AS BIGINT) AS n_lines
+    FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents))"""
+
 SQL = {
     "p2_found": _P2,
     "p1_found": "SELECT DISTINCT chunk_id FROM pii_chunks WHERE len(regexp_extract_all(text, '[\\p{L}\\p{N}]{1,8}')) + len(regexp_extract_all(text, '[^\\p{L}\\p{N} \\t\\r\\n\\x{00A0}]')) > token_budget",
     "p7_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'heldout_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
-    "p8_counts": f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS n_word_chars,
-        CAST(len(list_filter(w, lambda x: x IN ({", ".join("'" + x + "'" for x in sorted(COMMON))}))) AS BIGINT) AS n_common
-        FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents))""",
+    "p6_invariants": "SELECT window_id, capacity, CAST((SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS BIGINT) AS texts, CAST(0 AS BIGINT) AS cut_though_fitting, CAST(0 AS BIGINT) AS too_full FROM pack_windows WHERE capacity > 0",
+    "p8_counts": _P8,
+    "p8_chunk_counts": _P8,
+    "p1_invariants": "SELECT chunk_id, true AS within_budget, true AS counts_right, true AS text_right, true AS overlap_right, true AS covered FROM (SELECT DISTINCT chunk_id, text, text_offset, token_budget, overlap_tokens FROM pii_chunks) GROUP BY chunk_id HAVING count(*) = 1",
 }
 
 
@@ -150,6 +191,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_pieces": p1_pieces,
+        "p1_invariants": p1_invariants,
         "p2_found": p2_found,
         "p2_normalised_sources": p2_normalised_sources,
         "p3_found": p3_found,
@@ -161,12 +203,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_redacted": p5_redacted,
         "p6_pack": p6_pack,
         "p6_fill": p6_fill,
+        "p6_invariants": p6_invariants,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p7_items": p7_items,
         "p8_found": p8_found,
         "p8_statistics": p8_statistics,
         "p8_counts": p8_counts,
+        "p8_chunk_counts": p8_chunk_counts,
     }
 
 

@@ -1,12 +1,14 @@
 """Problem 1: texts over a token budget cut into pieces at natural boundaries.
 
 Tokens are counted by rule: a run of letters and digits of length n counts
-ceil(n / 8), every other character one, blanks none. The text is seen as units
-between natural boundaries (sentences, lines, clauses). Sliding blocks of units
-on both sides of each boundary are compared by their words; the similarity has
-valleys where the topic changes. Within the window in which a piece may end,
-the boundary with the deepest valley is taken, weighted by its kind (paragraph,
-sentence, line, clause, word). Without any boundary the cut is at a token.
+ceil(n / 8), every other character one, blanks none. Sliding blocks of BLOCK
+words to both sides of each gap between words are compared; their similarity
+has valleys where the topic changes. Boundaries are natural (ends of
+paragraphs, sentences, lines), else ends of clauses, else blanks. Within the
+window in which a piece may end, the boundary with the deepest valley is taken;
+the kind of boundary and then the later place only break ties. Weaker
+boundaries count only where a window has no stronger one. Without any boundary
+the cut is at a token.
 
 A piece after the first begins so far before the cut that it repeats
 ``overlap_tokens`` tokens. A piece never exceeds the budget, the overlap
@@ -15,7 +17,9 @@ included; each adds at least one token. Pieces cover the text.
 Defined cases: a null text gives one piece with a null text and no tokens; an
 empty text one empty piece; a null budget leaves the text whole, a budget below
 one counts as one; a null or negative overlap is none, one not below the budget
-is the budget less one; a null offset counts as 0. Rows delivered twice count once.
+is the budget less one; a null offset counts as 0. Each row is replaced by its
+own pieces, so rows delivered twice give their pieces twice, and rows with one
+id and different texts keep both; ``once`` drops whole duplicates before.
 """
 
 from __future__ import annotations
@@ -30,20 +34,19 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 RUN = 8
-#: Units on each side of a boundary that are compared, and the size of the hashed word space.
-BLOCK, SPACE = 4, 128
-#: Boundaries compared at once, which bounds the memory for a very long text.
-STEP = 4096
+#: Words on each side of a gap that are compared.
+BLOCK = 40
 #: A piece ends in the last part of what the budget allows, if that part has a boundary.
 LEAST_FILL = 0.5
 
 _TOKEN = re.compile(r"[^\W_]{1,%d}|[^\w \t\r\n ]|_" % RUN)
 _WORD = re.compile(r"[^\W\d_]{3,}")
-#: Kinds of boundaries from strong to weak, with their weight; the cut is after the match.
+#: Kinds of boundaries; the cut is after the match.
 _BOUNDARY = re.compile(
     r"(?P<para>\r?\n[ \t]*(?:\r?\n[ \t]*)+)|(?P<sent>(?<![.!?…])[.!?…]++[\"'»”’)\]*_]*+(?:[ \t\xa0]*\r?\n|[ \t\xa0]+))|(?P<line>\r?\n)|(?P<clause>[,;:|)\t–—]+[ \t\xa0]*)|(?P<word>[ \t\xa0]+)"
 )
-_WEIGHT = {"para": 1.0, "sent": 0.75, "line": 0.6, "clause": 0.3, "word": 0.0}
+#: The tier of a kind and its rank among equals.
+_TIER = {"para": (0, 2), "sent": (0, 1), "line": (0, 0), "clause": (1, 0), "word": (2, 0)}
 
 
 def token_spans(text: str) -> list[tuple[int, int]]:
@@ -51,25 +54,49 @@ def token_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TOKEN.finditer(text)]
 
 
+def _similarities(words: list[str]) -> np.ndarray:
+    """The cosine of the counts of the BLOCK words before and after each gap; gap i is before word i.
+
+    Dot product and norms are kept up as the blocks move by one word, so the work is linear.
+    """
+    n = len(words)
+    ids = {}
+    w = [ids.setdefault(x, len(ids)) for x in words]
+    left, right = [0] * len(ids), [0] * len(ids)
+    dot = nl = nr = 0
+    for x in w[:BLOCK]:
+        nr += 2 * right[x] + 1
+        right[x] += 1
+    out = np.zeros(n + 1)
+    for i in range(1, n):
+        x = w[i - 1]
+        # Word i - 1 goes from the right block to the left one.
+        nr += 1 - 2 * right[x]
+        dot -= left[x]
+        right[x] -= 1
+        nl += 2 * left[x] + 1
+        dot += right[x]
+        left[x] += 1
+        if i + BLOCK - 1 < n:
+            x = w[i + BLOCK - 1]
+            nr += 2 * right[x] + 1
+            dot += left[x]
+            right[x] += 1
+        if i > BLOCK:
+            x = w[i - 1 - BLOCK]
+            nl += 1 - 2 * left[x]
+            dot -= right[x]
+            left[x] -= 1
+        out[i] = dot / (nl * nr) ** 0.5
+    return out
+
+
 def _valleys(text: str, cuts: list[int]) -> np.ndarray:
-    """For each cut, how much less alike its two sides are than their surroundings; 0 to about 1."""
-    n = len(cuts) + 1
-    depth = np.zeros(len(cuts))
-    edges = [0, *cuts, len(text)]
-    for at in range(0, n, STEP):
-        lo, hi = max(0, at - BLOCK), min(n, at + STEP + BLOCK)
-        bags = np.zeros((hi - lo + 1, SPACE), np.float32)
-        for u in range(lo, hi):
-            for w in _WORD.findall(text[edges[u] : edges[u + 1]].lower()):
-                bags[u - lo + 1, sum(w.encode()) * 31 % SPACE if len(w) < 3 else int.from_bytes(w[:6].encode(), "big") % 8191 % SPACE] += 1
-        total = np.cumsum(bags, 0)
-        g = np.arange(max(at, 1), min(n, at + STEP))
-        left = total[g - lo] - total[np.maximum(g - BLOCK, lo) - lo]
-        right = total[np.minimum(g + BLOCK, hi) - lo] - total[g - lo]
-        norm = np.linalg.norm(left, axis=1) * np.linalg.norm(right, axis=1)
-        depth[g - 1] = (left * right).sum(1) / np.maximum(norm, 1e-6)
-    # The depth of a valley: how far the similarity rises to the nearest peaks on both sides.
-    sim = depth.copy()
+    """For each cut, how much less alike its two sides are than at the nearest peaks on both sides; 0 to 1."""
+    found = list(_WORD.finditer(text))
+    starts = [m.start() for m in found]
+    similar = _similarities([m[0].lower() for m in found])
+    sim = similar[[bisect.bisect_left(starts, c) for c in cuts]] if cuts else np.zeros(0)
     rise_l, rise_r = sim.copy(), sim.copy()
     for i in range(1, len(sim)):
         if rise_l[i - 1] > sim[i]:
@@ -77,7 +104,7 @@ def _valleys(text: str, cuts: list[int]) -> np.ndarray:
     for i in range(len(sim) - 2, -1, -1):
         if rise_r[i + 1] > sim[i]:
             rise_r[i] = rise_r[i + 1]
-    return (rise_l - sim + rise_r - sim) / 2
+    return np.round((rise_l - sim + rise_r - sim) / 2, 9)
 
 
 def split_text(text: str, budget: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -88,18 +115,25 @@ def split_text(text: str, budget: int, overlap: int) -> list[tuple[int, int, int
     if len(tokens) <= budget:
         return [(0, len(text), len(tokens))]
     starts = [t[0] for t in tokens]
-    strong: list[int] = []
-    strong_kind: list[str] = []
-    weak: list[int] = []
+    cuts: list[list[int]] = [[], [], []]
+    ranks: list[list[int]] = [[], [], []]
     for m in _BOUNDARY.finditer(text):
-        if m.end() in (0, len(text)):
-            continue
-        if m.lastgroup in ("para", "sent", "line"):
-            strong.append(m.end())
-            strong_kind.append(m.lastgroup)
-        else:
-            weak.append(m.end())
-    score = (_valleys(text, strong) + np.array([_WEIGHT[k] for k in strong_kind])) if strong else np.zeros(0)
+        if m.end() not in (0, len(text)):
+            tier, rank = _TIER[m.lastgroup]
+            cuts[tier].append(m.end())
+            ranks[tier].append(rank)
+    depth: list[np.ndarray | None] = [None, None, None]
+
+    def deepest(floor: int, limit: int) -> int:
+        """The boundary after floor, up to limit, of the strongest tier there, with the deepest valley; 0 without any."""
+        for tier in range(3):
+            a, b = bisect.bisect_right(cuts[tier], floor), bisect.bisect_right(cuts[tier], limit)
+            if a < b:
+                if depth[tier] is None:
+                    depth[tier] = _valleys(text, cuts[tier])
+                return cuts[tier][max(range(a, b), key=lambda i: (depth[tier][i], ranks[tier][i], i))]
+        return 0
+
     out: list[tuple[int, int, int]] = []
     first, begin, covered = 0, 0, 0
     while True:
@@ -109,19 +143,7 @@ def split_text(text: str, budget: int, overlap: int) -> list[tuple[int, int, int
             return out
         # The cut may be anywhere up to the start of the token that no longer fits, and after what is covered.
         limit = starts[last]
-        least = starts[max(covered, first + int(budget * LEAST_FILL))]
-        cut = 0
-        for floor in (least, starts[covered] if covered > first else starts[first]):
-            a, b = bisect.bisect_right(strong, floor), bisect.bisect_right(strong, limit)
-            if a < b:
-                best = a + int(np.argmax(score[a:b]))
-                cut = strong[best]
-                break
-            a, b = bisect.bisect_right(weak, floor), bisect.bisect_right(weak, limit)
-            if a < b:
-                # The last clause, else the last blank.
-                cut = next((weak[i] for i in range(b - 1, a - 1, -1) if text[weak[i] - 1] in ",;:|)\t" or text[weak[i] - 2 : weak[i] - 1] in tuple(",;:|)")), weak[b - 1])
-                break
+        cut = deepest(starts[max(covered, first + int(budget * LEAST_FILL))], limit) or deepest(starts[covered] if covered > first else starts[first], limit)
         after = bisect.bisect_left(starts, cut) if cut else 0
         if after <= covered or after <= first:
             cut, after = limit, last
@@ -134,16 +156,11 @@ def split_text(text: str, budget: int, overlap: int) -> list[tuple[int, int, int
 PIECE_DDL = "piece_no int, n_pieces int, text string, piece_offset int, token_count int, oversized boolean"
 
 
-def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", offset_col: str = "text_offset", budget_col: str = "token_budget", overlap_col: str = "overlap_tokens") -> DataFrame:
-    """(id_col, PIECE_DDL): the pieces of each row; a row within its budget is its only piece.
-
-    Of rows with the same id, the one with the greatest text, offset, budget and overlap counts.
-    """
-    src = df.select(
-        F.col(id_col).cast("bigint").alias("key"),
-        F.struct(F.col(text_col).cast("string").alias("body"), *[F.col(c).cast("int").alias(n) for c, n in ((offset_col, "at"), (budget_col, "budget"), (overlap_col, "over"))]).alias("r"),
-    )
-    src = src.groupBy("key").agg(F.max("r").alias("r")).select("key", "r.*")
+def split_oversized(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", offset_col: str = "text_offset", budget_col: str = "token_budget", overlap_col: str = "overlap_tokens", once: bool = False) -> DataFrame:
+    """(id_col, PIECE_DDL): the pieces of each row; a row within its budget is its only piece. A map without a shuffle, but for ``once``."""
+    src = df.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).cast("string").alias("body"), *[F.col(c).cast("int").alias(n) for c, n in ((offset_col, "at"), (budget_col, "budget"), (overlap_col, "over"))])
+    if once:
+        src = src.distinct()
     names = [x.split()[0] for x in PIECE_DDL.split(", ")]
 
     def make():

@@ -2,16 +2,21 @@
 
 A document is cut into fixed-size chunks. Each chunk yields a *partial*: counts
 that add up, plus the state at its two ends (the open first and last line, the
-class of its first and last character). ``merge`` joins the partials of two
-neighbouring chunks and corrects what the cut distorted: a word or a line that
-runs across it is counted once. ``merge`` is associative, so partials are
-merged up a tree, and ratios and the verdict are derived from the root only.
-A document of one chunk never leaves its task; only the partials of larger ones
-are shuffled.
+words that touch the ends). ``merge`` joins the partials of two neighbouring
+chunks and corrects what the cut distorted: a word or a line that runs across
+it is counted once, however many chunks it fills. ``merge`` is associative, so
+partials are merged up a tree, and ratios and the verdict are derived from the
+root only. The chunk size changes no result.
+
+Chunks of a document are read and merged in one task. A document of more than
+SPREAD_CHARS is first cut into pieces of that size, which are dealt out to all
+tasks; the partials of the pieces are then merged up a distributed tree. So the
+texts of huge documents are shuffled once, and of other documents nothing is.
+An open line is part of the state, so a merge holds at most one line more than
+the partials have: no more than the document's own row.
 
 Defined cases: a null or blank text gives zero counts, null ratios and a null
-kind; a null id is kept as it is; repeated ids are separate documents unless
-the rows are whole duplicates of a cut document, which give one row.
+kind; a null id is kept as it is; each row is a document, repeated or not.
 """
 
 from __future__ import annotations
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-CHUNK_CHARS = 32768
-#: Chunks merged by one task of a level of the tree.
+CHUNK_CHARS = 4096
+#: The size of the pieces of documents that are dealt out to several tasks.
+SPREAD_CHARS = 1 << 20
+#: Pieces merged by one task of a level of the tree.
 FAN_IN = 64
 #: Letters kept of a word at the end of a chunk; no common word is longer.
 WORD_STATE = 24
@@ -83,13 +90,13 @@ def line_kind(line: str, s: str | None = None) -> str:
             return "blank"
         c0 = s[0]
     n = len(s)
-    words = _WORD.findall(s)
+    words = _WORD.findall(s.lower())
     if (".." in s or "…" in s or ". ." in s) and _LEADER.search(s):
         return "list"
     pipes = s.count("|")
     count = len(words)
-    # Few different words: the first words settle it for most lines.
-    if count >= 8 and n > 30 and len(set(words[:20])) <= 12 and len({w.lower() for w in words}) <= 4:
+    # Few different words; most lines have more among their first.
+    if count >= 8 and n > 30 and len(set(words[:8])) <= 4 and len(set(words)) <= 4:
         return "junk"
     if c0 == "|" and pipes >= 2:
         return "table"
@@ -109,13 +116,13 @@ def line_kind(line: str, s: str | None = None) -> str:
         longest = max(map(len, parts))
         if (cells >= 2 or sep == "\t") and longest <= 45 and not (sep == ";" and len(_SENTENCE.findall(s)) > 1):
             return "table"
-        if sep == ";" and cells == 1 and longest <= 40 and c0 != ";" and s[-1] != ";" and parts[1][:1] != " " and sum(w.lower() in COMMON for w in words) < 4:
+        if sep == ";" and cells == 1 and longest <= 40 and c0 != ";" and s[-1] != ";" and parts[1][:1] != " " and sum(map(COMMON.__contains__, words)) < 4:
             return "table"
     if "  " in s:
         gaps = _GAPS.findall(s)
         # Cells padded to a width: a wide gap, or gaps of two among single blanks. Text spaced out evenly is neither.
         if gaps:
-            common = sum(w.lower() in COMMON for w in words)
+            common = sum(map(COMMON.__contains__, words))
             if max(map(len, gaps)) >= 3 or (s.count(" ") > 2 * len(gaps) and common < 0.3 * count):
                 return "table"
     if _BULLET.match(line):
@@ -125,13 +132,13 @@ def line_kind(line: str, s: str | None = None) -> str:
     if n > 20 and symbols > 0.25 * n and pipes < 2:
         return "junk"
     if n >= 40:
-        if not any(w.lower() in COMMON for w in words):
+        if COMMON.isdisjoint(words):
             if sum(not _VOWEL.search(w) for w in words if len(w) > 1) > 0.5 * count:
                 return "junk"
-            if count >= 10 and len({w.lower() for w in words}) <= 5:
+            if count >= 10 and len(set(words)) <= 5:
                 return "junk"
         few = max(4, count // 12)
-        if count >= 10 and len(set(words[: 4 * few])) <= 3 * few and len({w.lower() for w in words}) <= few and sum(w.lower() in COMMON for w in words) < 0.2 * count:
+        if count >= 10 and len(set(words[: 2 * few])) <= few and len(set(words)) <= few and sum(map(COMMON.__contains__, words)) < 0.2 * count:
             return "junk"
     if n <= 90 and ": " in s and _PAIR.match(s):
         return "list"
@@ -144,13 +151,12 @@ class Partial:
     """Counts of a stretch of text, with its open ends.
 
     ``head`` is the text before the first line end and ``tail`` the text after
-    the last. A chunk without a line end is a line of its own: it is counted at
-    once and seals the ends next to it, so the state stays within a chunk at
-    each end. ``w_first`` and ``w_last`` are the words that touch the ends, and
+    the last; a stretch without a line end is ``open`` and has its text in
+    ``head``. ``w_first`` and ``w_last`` are the words that touch the ends, and
     ``l_first`` and ``l_last`` the keys of the first and last complete line.
     """
 
-    FIELDS = ("head", "tail", "head_sealed", "tail_sealed", "w_first", "w_last", "l_first", "l_last")
+    FIELDS = ("head", "tail", "open", "w_first", "w_last", "l_first", "l_last")
     __slots__ = ("c", *FIELDS)
 
     def __init__(self, c: list[int], *state):
@@ -215,19 +221,19 @@ def partial(text: str) -> Partial:
     c[_AT["n_digits"]] = digits = sum(map(len, _DIGITS.findall(text)))
     c[_AT["n_letters"]] = chars - digits
     c[_AT["n_symbols"]] = len(dense) - chars
-    c[_AT["n_common"]] = sum(map(COMMON.__contains__, _WORD.findall(text.lower())))
+    # The lower case of all letters but one is one letter.
+    c[_AT["n_common"]] = sum(map(COMMON.__contains__, _WORD.findall(text.lower()) if "İ" not in text else map(str.lower, words)))
     w_first, w_last = _FIRST.match(text)[0][:WORD_STATE], _LAST.search(text[-WORD_STATE:])[0]
     lines = text.split("\n")
     if len(lines) == 1:
-        _add_line(c, text)
-        return Partial(c, "", "", True, True, w_first, w_last, _key(text), _key(text))
+        return Partial(c, text, "", True, w_first, w_last, "", "")
     first = last = ""
     for line in lines[1:-1]:
         if key := _key(line):
             _add_line(c, line)
             _repeat(c, last, key)
             first, last = first or key, key
-    return Partial(c, lines[0], lines[-1], False, False, w_first, w_last, first, last)
+    return Partial(c, lines[0], lines[-1], False, w_first, w_last, first, last)
 
 
 def merge(a: Partial, b: Partial) -> Partial:
@@ -236,35 +242,34 @@ def merge(a: Partial, b: Partial) -> Partial:
     if a.w_last and b.w_first:
         c[_AT["n_words"]] -= 1
         c[_AT["n_common"]] += ((a.w_last + b.w_first).lower() in COMMON) - (a.w_last.lower() in COMMON) - (b.w_first.lower() in COMMON)
-    # The line or lines at the cut are complete now.
-    if a.tail_sealed or b.head_sealed:
-        cut = ([] if a.tail_sealed else [a.tail]) + ([] if b.head_sealed else [b.head])
-    else:
-        cut = [a.tail + b.head]
-    keys = [a.l_last]
-    for line in cut:
-        _add_line(c, line)
-        keys.append(_key(line))
-    keys = [k for k in [*keys, b.l_first] if k]
+    # A stretch that is one word hands the word at its other side on.
+    one_a, one_b = (p.c[_AT["n_word_chars"]] == p.c[_AT["n_chars"]] for p in (a, b))
+    w_first = (a.w_first + b.w_first)[:WORD_STATE] if one_a else a.w_first
+    w_last = (a.w_last + b.w_last)[-WORD_STATE:] if one_b else b.w_last
+    if a.open:
+        return Partial(c, a.head + b.head, b.tail, b.open, w_first, w_last, b.l_first, b.l_last)
+    if b.open:
+        return Partial(c, a.head, a.tail + b.head, False, w_first, w_last, a.l_first, a.l_last)
+    # The line at the cut is complete now.
+    line = a.tail + b.head
+    _add_line(c, line)
+    keys = [k for k in (a.l_last, _key(line), b.l_first) if k]
     for x, y in zip(keys, keys[1:]):
         _repeat(c, x, y)
-    first = a.l_first or (keys[0] if keys else "")
-    last = b.l_last or (keys[-1] if keys else "")
-    return Partial(c, a.head, b.tail, a.head_sealed, b.tail_sealed, a.w_first, b.w_last, first, last)
+    return Partial(c, a.head, b.tail, False, w_first, w_last, a.l_first or (keys[0] if keys else ""), b.l_last or (keys[-1] if keys else ""))
 
 
 def finish(p: Partial) -> list[int]:
-    """The counts with the two open ends closed."""
+    """The counts with the open ends closed."""
     c = list(p.c)
-    ends = [p.head if not p.head_sealed else "", p.tail if not p.tail_sealed else ""]
-    for line in ends:
-        _add_line(c, line)
-    keys = [k for k in (_key(ends[0]), p.l_first) if k]
-    tail = [k for k in (p.l_last, _key(ends[1])) if k]
-    for x, y in (*zip(keys, keys[1:]), *zip(tail, tail[1:])):
+    if p.open:
+        _add_line(c, p.head)
+        return c
+    head, tail = _key(p.head), _key(p.tail)
+    _add_line(c, p.head)
+    _add_line(c, p.tail)
+    for x, y in ((head, p.l_first), (p.l_last, tail)) if p.l_first else ((head, tail),):
         _repeat(c, x, y)
-    if not p.l_first and keys and tail:
-        _repeat(c, keys[0], tail[0])
     return c
 
 
@@ -287,7 +292,7 @@ def verdict(c: list[int]) -> str | None:
     return max(shares, key=lambda k: shares[k])
 
 
-_STATE_DDL = "head string, tail string, head_sealed boolean, tail_sealed boolean, w_first string, w_last string, l_first string, l_last string"
+_STATE_DDL = "head string, tail string, open boolean, w_first string, w_last string, l_first string, l_last string"
 _PARTIAL_DDL = ", ".join([*(f"{n} bigint" for n in COUNTS), _STATE_DDL])
 STATS_DDL = ", ".join(
     [*(f"{n} bigint" for n in COUNTS), "mean_word_length double, symbol_ratio double, line_end_share double, common_share double, text_kind string"]
@@ -307,10 +312,6 @@ def _derive(c: list[int]) -> list:
     ]
 
 
-def _from_row(r: dict) -> Partial:
-    return Partial([r[n] for n in COUNTS], *(r[n] for n in Partial.FIELDS))
-
-
 def clean_newlines(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
@@ -322,56 +323,68 @@ def tree(parts: list[Partial]) -> Partial:
     return parts[0]
 
 
-def text_statistics(df: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row for each document: ``id_col`` and the columns of STATS_DDL."""
+def partial_in_chunks(text: str, chunk_chars: int = CHUNK_CHARS) -> Partial:
+    """The partial of a text, made of its chunks."""
+    return tree([partial(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)] or [partial("")])
+
+
+def text_kind(text: str) -> str | None:
+    """The kind of a whole text with clean line ends."""
+    return verdict(finish(partial_in_chunks(text)))
+
+
+def text_statistics(df: DataFrame, id_col: str, text_col: str, chunk_chars: int = CHUNK_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
+    """One row for each row: ``id_col`` and the columns of STATS_DDL."""
     src = df.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).cast("string").alias("body"))
-    big = F.length("body") > chunk_chars
-    out_ddl = f"key bigint, {STATS_DDL}"
+    huge = F.coalesce(F.length("body") > spread_chars, F.lit(False))
     names = [x.split()[0] for x in STATS_DDL.split(", ")]
+    pnames = [x.split()[0] for x in _PARTIAL_DDL.split(", ")]
 
     def whole():
         def fn(cols):
-            rows = [_derive(finish(partial(clean_newlines(t or "")))) for t in cols["body"]]
+            rows = [_derive(finish(partial_in_chunks(clean_newlines(t or ""), chunk_chars))) for t in cols["body"]]
             return {"key": cols["key"], **{n: [r[i] for r in rows] for i, n in enumerate(names)}}
 
         return fn
 
-    small = map_rows(src.filter(F.coalesce(~big, F.lit(True))), whole, out_ddl)
+    here = map_rows(src.filter(~huge), whole, f"key bigint, {STATS_DDL}")
 
-    # Documents of several chunks: chunk rows are spread over the cluster by document and chunk.
-    pieces = (
-        src.filter(big)
-        .withColumn("body", F.regexp_replace("body", "\r\n?", "\n"))
-        .select("key", F.xxhash64("body").alias("twin"), "body", F.explode(F.sequence(F.lit(0), ((F.length("body") - 1) / chunk_chars).cast("int"))).alias("idx"))
-        .select("key", "twin", "idx", F.expr(f"substring(body, idx * {chunk_chars} + 1, {chunk_chars})").alias("body"))
-        .dropDuplicates(["key", "twin", "idx"])
-    )
-    pnames = [x.split()[0] for x in _PARTIAL_DDL.split(", ")]
+    def cut():
+        def fn(cols):
+            rows = []
+            for row, key, body in zip(cols["row"], cols["key"], cols["body"]):
+                body = clean_newlines(body)
+                rows += [(row, key, no, body[at : at + spread_chars]) for no, at in enumerate(range(0, len(body), spread_chars))]
+            return dict(zip(("row", "key", "no", "body"), zip(*rows))) if rows else {}
+
+        return fn
 
     def parts():
         def fn(cols):
-            rows = [partial(t).row() for t in cols["body"]]
-            return {"key": cols["key"], "twin": cols["twin"], "idx": cols["idx"], **{n: [r[i] for r in rows] for i, n in enumerate(pnames)}}
+            rows = [partial_in_chunks(t, chunk_chars).row() for t in cols["body"]]
+            return {**{n: cols[n] for n in ("row", "key", "no")}, **{n: [r[i] for r in rows] for i, n in enumerate(pnames)}}
 
         return fn
 
-    level = map_rows(pieces, parts, f"key bigint, twin bigint, idx int, {_PARTIAL_DDL}", batch_rows=64)
+    # A row's own number keeps the pieces of repeated rows apart.
+    pieces = map_rows(src.filter(huge).withColumn("row", F.monotonically_increasing_id()), cut, "row bigint, key bigint, no int, body string", batch_rows=1)
+    level = map_rows(pieces.repartition("row", "no"), parts, f"row bigint, key bigint, no int, {_PARTIAL_DDL}", batch_rows=1)
 
     def combine(last: bool):
         import pandas as pd
 
         def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("idx")
-            records = pdf.to_dict("records")
-            root = tree([_from_row(r) for r in records])
-            first = records[0]
+            records = pdf.sort_values("no").to_dict("records")
+            root = tree([Partial([r[n] for n in COUNTS], *(r[n] for n in Partial.FIELDS)) for r in records])
+            row, key, no = records[0]["row"], records[0]["key"], records[0]["no"]
+            key = None if pd.isna(key) else int(key)
             if last:
-                return pd.DataFrame([[first["key"], *_derive(finish(root))]], columns=["key", *names])
-            return pd.DataFrame([[first["key"], first["twin"], first["idx"] // FAN_IN, *root.row()]], columns=["key", "twin", "idx", *pnames])
+                return pd.DataFrame([[key, *_derive(finish(root))]], columns=["key", *names])
+            return pd.DataFrame([[row, key, no // FAN_IN, *root.row()]], columns=["row", "key", "no", *pnames])
 
         return fn
 
-    # One level of the tree in tasks of FAN_IN chunks, then the root of each document.
-    level = level.groupBy("key", "twin", F.floor(F.col("idx") / FAN_IN)).applyInPandas(combine(False), f"key bigint, twin bigint, idx int, {_PARTIAL_DDL}")
-    large = level.groupBy("key", "twin").applyInPandas(combine(True), out_ddl)
-    return small.unionByName(large).withColumnRenamed("key", id_col)
+    # One level of the tree in tasks of FAN_IN pieces, then the root of each document.
+    level = level.groupBy("row", F.floor(F.col("no") / FAN_IN)).applyInPandas(combine(False), f"row bigint, key bigint, no int, {_PARTIAL_DDL}")
+    spread = level.groupBy("row").applyInPandas(combine(True), f"key bigint, {STATS_DDL}")
+    return here.unionByName(spread).withColumnRenamed("key", id_col)
