@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 from .pseudonyms import Feistel, scheme_of
 from .text_quality import COMMON
-from .visible_form import Transducer
+from .visible_form import Transducer, default_transducer
 
 # Words by which letters in several languages name people, streets and numbers.
 TITLES = (
@@ -435,7 +435,7 @@ def find_personal_data(df: DataFrame, id_col: str, text_col: str, key: bytes) ->
     src = df.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).cast("string").alias("body")).filter("body <> ''")
 
     def make():
-        t, pseudonym = Transducer(), _pseudonyms(key)
+        t, pseudonym = default_transducer(), _pseudonyms(key)
 
         def fn(cols):
             out: dict[str, list] = {n: [] for n in ("key", "placeholder", "start_pos", "end_pos", "value", "pseudonym")}
@@ -455,7 +455,7 @@ def redact_personal_data(df: DataFrame, id_col: str, text_col: str, key: bytes)
     src = df.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).cast("string").alias("body"))
 
     def make():
-        t, pseudonym = Transducer(), _pseudonyms(key)
+        t, pseudonym = default_transducer(), _pseudonyms(key)
 
         def fn(cols):
             texts, counts = [], []

@@ -130,19 +130,32 @@ def test_forms():
             assert t.apply(f) == want, ascii(f)
     for kept in ("Северный мост", "Νέα Γέφυρα", "x²½", "北橋商会", "a–b", "CAFE"):
         assert t.apply(kept) == kept
+    for text, want in (
+        ("кey τoken Ꭺpple օrder ﬁle Ⅳ", "key token Apple order file IV"), ("\u212bå \u212a ﾊﾞｽ ｶﾞ", "Åå K バス ガ"), ("e" + "\u200b" * 9 + "\u0301" + "e" + "\u200b" * 500 + "\u0301", "éé"), ("a\u0323\u0302 a\u0302\u0323", "ậ ậ"), ("1\u0301 ;", "1\u0301 ;"), ("ﾡￂ", "가"),
+    ):
+        assert t.apply(text) == want, ascii(t.apply(text))
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="aé́​Ａ　 ‑сoαй北²-", max_size=30))
+@given(st.text(alphabet="aé\u0301\u0323\u200b\u0308Ａ\u3000 \u2011сoαйё北²-1_Å\uff9e\uff76\uffa1\uffc2\u1100\u1161\u11a8ﬁⅣк\u3099\u212a", max_size=30))
 def test_form_is_stable_and_offsets_hold(s):
     t = visible_form.Transducer()
     once = t.apply(s)
     assert t.apply(once) == once
     form, at = t.with_offsets(s)
-    assert len(form) == len(at) and at == sorted(at)
+    assert len(form) == len(at) and list(at) == sorted(at)
     assert all(s[i] == c for i, c in zip(at, form) if c.isascii() and s[i].isascii())
 
 
+def test_a_second_pass_changes_nothing():
+    t = visible_form.Transducer()
+    chars = [*t.plain, *visible_form._MARKS, *t.alike, *"abe1 _", *map(chr, range(0x370, 0x590))]
+    rng = random.Random(1)
+    for _ in range(20_000):
+        once = t.apply("".join(rng.choice(chars) for _ in range(rng.randrange(1, 9))))
+        assert t.apply(once) == once, ascii(once)
+
+
 def test_conflicts_are_found():
     with pytest.raises(visible_form.Conflict):
         visible_form.Transducer({"a": {"x": "y"}, "b": {"x": "z"}})
