@@ -7,9 +7,9 @@ Cyrillic stays Cyrillic and no such character stays in clear. Marks, blanks and
 punctuation stay. The places of a value are one number of mixed radix, in
 blocks of sixteen places whose tweak holds the blocks before.
 
-Numbers with check digits (``SCHEMES``) stay valid: the payload is permuted and
-its check made anew. Numbers without a valid check stay without. Dates stay
-dates: their day is permuted within ``DAYS``. Each of these three is a
+Identity numbers with check digits (``SCHEMES``) stay valid: the payload is
+permuted and its check made anew. Those without a valid check stay without.
+Dates of birth stay dates: their day is permuted within ``DAYS``. Each of these three is a
 permutation of its own set, reached by walking on until the set is met again,
 so ``decrypt`` turns all of them back.
 """
@@ -147,7 +147,7 @@ SCHEMES: tuple[tuple[str, re.Pattern, Callable[[str], str | None]], ...] = tuple
 
 def scheme_of(value: str) -> int | None:
     """The place in SCHEMES of the first scheme whose check a number without separators keeps."""
-    if not value.isascii():
+    if not value.isascii() or not value[-9:-1].isalnum() or not 9 <= len(value) <= 16:
         return None
     for i, (_, pattern, check) in enumerate(SCHEMES):
         m = pattern.fullmatch(value)
@@ -191,23 +191,23 @@ class Feistel:
             left, right = divmod(value, a)
             for i in range(_ROUNDS - 1, -1, -1) if back else range(_ROUNDS):
                 h = base.copy()
-                h.update(b"%d|%d" % (i, right if i % 2 == 0 else left))
+                h.update(b"%d|%d" % (i, left if i & 1 else right))
                 f = int.from_bytes(h.digest(), "big")
-                if i % 2 == 0:
-                    left = (left - f if back else left + f) % a
+                if back:
+                    f = -f
+                if i & 1:
+                    right = (right + f) % a
                 else:
-                    right = (right - f if back else right + f) % a
+                    left = (left + f) % a
             value = left * a + right
             if value < size:
                 return value
 
     def _text(self, value: str, kind: str, back: bool) -> str:
-        at = [(i, p) for i, c in enumerate(value) if (p := _place(c))]
+        places = list(map(_place, value))
+        at = [(i, p) for i, p in enumerate(places) if p]
         out = list(value)
-        shape = list(value)
-        for i, p in at:
-            shape[i] = p[2]
-        base = f"{kind}|{''.join(shape)}|"
+        base = f"{kind}|{''.join([p[2] if p else c for p, c in zip(places, value)])}|"
         for b in range(0, len(at), _BLOCK):
             block = at[b : b + _BLOCK]
             size, n = 1, 0
@@ -235,14 +235,21 @@ class Feistel:
                 return payload + new
 
     def _run(self, value: str, kind: str, back: bool) -> str:
-        day = _day_of(value)
-        if day is not None:
-            return str(FIRST_DAY + datetime.timedelta(self.permute(day, DAYS, b"date", back)))
+        if kind == "BIRTH_DATE":
+            day = _day_of(value)
+            if day is not None:
+                return str(FIRST_DAY + datetime.timedelta(self.permute(day, DAYS, b"date", back)))
+            out = self._text(value, kind, back)
+            while _day_of(out) is not None:
+                out = self._text(out, kind, back)
+            return out
+        if kind != "IDENTITY_DATA":
+            return self._text(value, kind, back)
         scheme = scheme_of(value)
         out = value
         while True:
             out = self._step(out, kind, scheme, back)
-            if scheme_of(out) == scheme and _day_of(out) is None:
+            if scheme_of(out) == scheme:
                 return out
 
     def encrypt(self, value: str, kind: str) -> str:

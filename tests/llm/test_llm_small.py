@@ -362,7 +362,7 @@ def test_values_in_ordinary_sentences():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abzABZ0189 -./éÉßøИваньП李小龙عليאबकि٣", max_size=40), st.sampled_from(["PHONE", "x"]))
+@given(st.text(alphabet="abzABZ0189 -./éÉßøИваньП李小龙عليאबकि٣", max_size=40), st.sampled_from(["PHONE", "IDENTITY_DATA", "BIRTH_DATE"]))
 def test_feistel_round_trip(v, kind):
     c = pseudonyms.Feistel(b"secret")
     e = c.encrypt(v, kind)
