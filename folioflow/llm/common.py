@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table as table  # noqa: F401 - for the queries
 
@@ -20,6 +28,7 @@ _ARROW = {
     "array<int>": pa.list_(pa.int32()),
     "array<bigint>": pa.list_(pa.int64()),
     "array<string>": pa.list_(pa.string()),
+    "array<double>": pa.list_(pa.float64()),
 }
 
 
@@ -57,11 +66,75 @@ def map_rows(
     return df.mapInArrow(run, ddl)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; where none is set, as in tests, in one of our own."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is set a local session, as in tests, gets one of its own until it ends; a cluster has to name one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="folioflow-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, by: str) -> DataFrame:
+    """The table written to the shared folder, in parts by a column, and read again: each use reads its part and columns only."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    df.write.partitionBy(by).parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder's owner clears it then
+            return
+
+
+# ---- filters by hash ------------------------------------------------------
+
+#: Bounds of a bitmap, as powers of two; between them it has 16 bits for each hash.
+LEAST_BITS, FILTER_BITS = 20, 28
+
+
+class Filter:
+    """A bitmap of the leading bits of hashes: what does not pass isn't in the set."""
+
+    def __init__(self, bits: int, data: bytes):
+        self.shift = np.uint64(64 - bits)
+        self.map = np.frombuffer(data, np.uint8)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        """Where the hashes are that may be in the set."""
+        at = h >> self.shift
+        return np.flatnonzero(self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def bitmap(hashes: DataFrame, n: int) -> tuple[int, Broadcast]:
+    """The bitmap of a column ``hash`` of about ``n`` rows: made in the JVM in parts of 4 kB, of which the driver gets at most 2 ** FILTER_BITS bits."""
+    bits = min(FILTER_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    x = F.shiftrightunsigned("hash", 64 - bits) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(x).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("part")).collect()
+    out = bytearray(1 << (bits - 3))
+    for r in parts:
+        at = (r.no - 1) * len(r.part)
+        out[at : at + len(r.part)] = r.part
+    return bits, hashes.sparkSession.sparkContext.broadcast(bytes(out))

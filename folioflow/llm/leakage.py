@@ -40,14 +40,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut_lineage
+from .common import Filter, arrow_schema, bitmap, cut_lineage
 
 RUN, SHINGLE = 10, 5
 #: Words to each side of a shingle that a window around it can have.
 SIDE = RUN - SHINGLE
 BATCH_ROWS = 4000
-#: Bounds of the bitmap, as powers of two; between them it has 16 bits for each hash.
-LEAST_BITS, FILTER_BITS = 20, 28
 BROADCAST_ROWS = 100_000
 SALT = 16
 #: Words whose hashes a task keeps.
@@ -96,31 +94,6 @@ def _hashes(ws: list[str], memo: _WordHashes) -> np.ndarray:
     return out
 
 
-class Filter:
-    """A bitmap of the leading bits of hashes."""
-
-    def __init__(self, bits: int, data: bytes):
-        self.shift = np.uint64(64 - bits)
-        self.map = np.frombuffer(data, np.uint8)
-
-    def passing(self, h: np.ndarray) -> np.ndarray:
-        """Where the hashes are that may be in the set."""
-        at = h >> self.shift
-        return np.flatnonzero(self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-
-
-def _bitmap(hashes: DataFrame, n: int) -> tuple[int, Broadcast]:
-    """The bitmap of a column ``hash`` of about ``n`` rows: made in the JVM in parts of 4 kB, of which the driver gets at most 2 ** FILTER_BITS bits."""
-    bits = min(FILTER_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    x = F.shiftrightunsigned("hash", 64 - bits) + 1
-    parts = hashes.groupBy(F.bitmap_bucket_number(x).alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("part")).collect()
-    out = bytearray(1 << (bits - 3))
-    for r in parts:
-        at = (r.no - 1) * len(r.part)
-        out[at : at + len(r.part)] = r.part
-    return bits, hashes.sparkSession.sparkContext.broadcast(bytes(out))
-
-
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, twin, body): texts that aren't empty; ``twin`` tells apart the texts of one id."""
     body = F.col(text_col).cast("string")
@@ -217,9 +190,9 @@ def find_leaks(
     n = known.count()
     if not n:
         return docs.sparkSession.createDataFrame([], LEAK_DDL)
-    tokens = cut_lineage(prefix_tokens(known, shingle_counts(corpus, _bitmap(known, n))))
+    tokens = cut_lineage(prefix_tokens(known, shingle_counts(corpus, bitmap(known, n))))
     n = tokens.count()
-    hits = shingles(corpus, _bitmap(tokens, n)).select(F.col("id").alias("doc_id"), F.col("twin").alias("d_twin"), "pos", "hash", F.col("shingle").alias("d_shingle"), F.col("before").alias("d_before"), F.col("after").alias("d_after"))
+    hits = shingles(corpus, bitmap(tokens, n)).select(F.col("id").alias("doc_id"), F.col("twin").alias("d_twin"), "pos", "hash", F.col("shingle").alias("d_shingle"), F.col("before").alias("d_before"), F.col("after").alias("d_after"))
     tokens = tokens.select(F.col("id").alias("item_id"), F.col("twin").alias("i_twin"), F.col("pos").alias("i_pos"), "hash", F.col("n_words").alias("item_words"), "shingle", "before", "after")
     if n <= broadcast_rows:
         met = hits.join(F.broadcast(tokens), "hash")

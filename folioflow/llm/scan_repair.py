@@ -1,6 +1,10 @@
 """Problem 4: repair of text from scanned pages.
 
-Everything is relational. Words are grouped to printed lines, lines to pages.
+The words of all pages are shuffled once, by page. One pass over the pages
+(``layout``) does what looks at single words and lines and writes a table of
+small facts: edge lines, ends of lines, cut lines, counts of word forms, odd
+words, and the words of each page as one row. All else is joins and counts of
+such facts; only the fixes and the paragraphs read the pages again.
 
 * Edge lines: the first and the last line of a page are running lines if they
   stand apart, are page numbers, break off although the next word had room, or
@@ -10,9 +14,14 @@ Everything is relational. Words are grouped to printed lines, lines to pages.
   with and without its hyphen, tells a cut word from a compound.
 * Misread words: each word form has an anagram hash, the sum of the hashes of
   its characters, so a confusion such as "rn" for "m" changes it by a fixed
-  difference. Doubtful forms (low mean confidence, or far rarer) and trusted forms meet in an
-  equi-join on the hash after up to two differences; edit distance and counts
-  verify and rank what meets.
+  difference. Doubtful forms (low mean confidence, or far rarer) and trusted
+  forms meet in an equi-join on the hash after up to two differences; edit
+  distance and counts verify and rank what meets. Words whose form has a fix are
+  found through a bitmap of the fixed forms and an equi-join on the form, so
+  frequent words are never shuffled.
+
+Forms are counted over all words; running lines and the halves of cut words,
+which are few, are then taken off.
 
 Defined cases: blank words and rows without document, page or line are left
 out; rows delivered twice count once; a null confidence says nothing; pages
@@ -21,9 +30,18 @@ without words give nothing.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Filter, arrow_schema, bitmap, map_rows, written
+
 #: What was printed and what is read for it.
 CONFUSIONS = (
     "e>c a>o n>ri o>0 t>f i>! s>5 i>l d>cl l>1 u>ii g>q h>b m>rn b>6 w>vv i>1 l>i c>e o>a f>t q>g b>h l>! l>| i>| "
@@ -48,244 +66,407 @@ _NUMBERED = r"^[0-9lO]{1,3}\.\s"
 _END = r"[.!?;:,…][\"'»”’)\]]*$"
 
 
-def anagram_hash(word: Column) -> Column:
-    """The sum of the hashes of a word's characters, in BIGINT."""
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.when(c == "", F.lit(0)).otherwise(F.pmod(F.xxhash64(c), F.lit(1 << 44))))
+
+#: Fixes that are broadcast; more are met in a shuffle.
+BROADCAST_ROWS = 200_000
+#: Word forms a task of the layout counts before it writes them.
+KEPT_FORMS = 200_000
+#: Confidences are summed as whole millionths, so that sums can be taken off again.
+MILLION = 1_000_000
+
+
+# ---- words ----------------------------------------------------------------
+
+_AROUND = re.compile(r"^[(\[\"“„«¿¡*'‘]+|[.,;:!?)\]\"”»…*'’]+$")
+#: Digits or marks among letters, letters among digits; codes such as "AB-123" are neither.
+_ODD = regex.compile(
+    r"(?!\p{L}{1,4}-?[0-9]+$|[0-9]+(?:st|nd|rd|th|er|re|e|ème|te[nr]?|de)$)(?:.*\p{Ll}[0-9!|]\p{Ll}.*|[0-9!|]\p{Ll}{2,}.*|.*\p{Ll}{2,}[0-9|].*|(?=.*[0-9])[0-9.,:/]*[lOI][0-9lOI.,:/]*)"
+)
+_ODD_MARKS = re.compile(r"[0-9!|lOI]")
+_ODD_AROUND = re.compile(r"^\W+|[.,;:?)\]\"”»!]+$")
+_TAIL_MARKS = re.compile(r"[.,;:?)\]\"”»!]+$")
+_CUT = regex.compile(rf"\p{{L}}[\p{{L}}0-9!|]*{_HYPHEN}$")
+_GOES_ON = regex.compile(r"^\W*[\p{L}0-9!|]")
+_OWN = regex.compile(r"^\W*[\p{Lu}0-9]")
 
 
-def _core(text: Column) -> Column:
+def core(text: str) -> str:
     """A printed word without the marks around it, in small letters; marks inside stay."""
-    t = F.regexp_replace(text, r"^[(\[\"“„«¿¡*'‘]+|[.,;:!?)\]\"”»…*'’]+$", "")
-    return F.lower(t)
+    return _AROUND.sub("", text).lower()
 
 
-def _repaired(text: str) -> Column:
-    """A printed word of form ``w`` with ``c`` in its place, in the case of the print; the word itself where there is no ``c``."""
-    at = F.instr(F.lower(text), F.col("w"))
-    inner = F.substring(text, at, F.length("w"))
-    cased = F.when(inner == F.upper(inner), F.upper("c")).when(inner.rlike(r"^\p{Lu}"), F.initcap("c")).otherwise(F.col("c"))
-    return F.when(F.col("c").isNull() | (at == 0), F.col(text)).otherwise(
-        F.concat(F.expr(f"left({text}, instr(lower({text}), w) - 1)"), cased, F.expr(f"substring({text}, instr(lower({text}), w) + length(w))"))
-    )
+def is_odd(text: str) -> bool:
+    """Whether digits or marks stand among a word's letters, or letters among its digits."""
+    return bool(_ODD_MARKS.search(text)) and bool(_ODD.fullmatch(_ODD_AROUND.sub("", text)))
 
 
-def words_of(df: DataFrame) -> DataFrame:
-    """The words of all pages, each once: doc_id, page, line, pos, text, confidence."""
-    return (
-        df.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"),
-            *[F.col(c).cast("int").alias(c) for c in ("page", "line", "pos")],
-            F.trim(F.col("text").cast("string")).alias("text"),
-            F.col("confidence").cast("double").alias("confidence"),
-        )
-        .filter("text <> '' AND doc_id IS NOT NULL AND page IS NOT NULL AND line IS NOT NULL")
-        .repartition("doc_id", "page")  # the one shuffle of all words: pages stay together from here on
-        .groupBy("doc_id", "page", "line", "pos")
-        .agg(F.max(F.struct("text", "confidence")).alias("w"))
-        .select("doc_id", "page", "line", "pos", "w.text", "w.confidence")
-    )
+class _Words(dict):
+    """(form, whether it is odd) of each printed word."""
 
+    def __missing__(self, text: str) -> tuple[str, bool]:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[text] = (core(text), is_odd(text))
+        return got
 
-def lines_of(words: DataFrame) -> DataFrame:
-    """Printed lines with their ends, their neighbours and their place on the page."""
-    lines = words.groupBy("doc_id", "page", "line").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("ws"),
-        F.min_by(F.struct("text", "pos", "confidence"), F.coalesce("pos", F.lit(-1))).alias("a"),
-        F.max_by(F.struct("text", "pos", "confidence"), F.coalesce("pos", F.lit(-1))).alias("z"),
-    )
-    on_page = Window.partitionBy("doc_id", "page").orderBy("line")
-    lines = lines.select(
-        "doc_id", "page", "line",
-        F.col("a.text").alias("first_word"), F.col("a.pos").alias("first_pos"), F.col("a.confidence").alias("first_conf"),
-        F.col("z.text").alias("last_word"), F.col("z.pos").alias("last_pos"), F.col("z.confidence").alias("last_conf"),
-        F.array_join(F.col("ws.text"), " ").alias("text"),
-        F.lead("line").over(on_page).alias("next_line"),
-        F.lag("line").over(on_page).alias("prev_line"),
-        F.lead(F.col("a.text")).over(on_page).alias("next_first"),
-    )
-    return lines.withColumns({"len": F.length("text"), "top": F.col("prev_line").isNull(), "bottom": F.col("next_line").isNull()})
-
-
-def running_lines(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, running): the numbers of the running lines of each page that has any.
-
-    Counts are over all lines; only the two edge lines of a page are judged, so few rows are moved.
-    """
-    # The last word and the last two without numbers: what a running title ends in, whatever firm or page it has.
-    bare = F.regexp_replace(F.lower(F.regexp_replace("text", r"(?<![\p{L}0-9])[0-9lOI]{1,4}(?![\p{L}0-9])", " ")), r"[^\p{L} ]+", " ")
-    parts = F.split(F.regexp_replace(F.trim(bare), r"\s+", " "), " ")
-    lines = lines.withColumns({"bare": F.trim(bare), "key1": F.element_at(parts, -1), "key2": F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, -2, 2), " "))})
-    width = lines.filter("NOT top AND NOT bottom").groupBy("doc_id").agg(F.percentile_approx("len", 0.9).alias("width"))
-    apart = F.col("line") - F.col("prev_line") >= 3
-    open_end = ~F.col("text").rlike(_END) & ~F.col("text").rlike(_NUMBERED) & ~F.col("text").rlike(f"{_HYPHEN}$")
-    edge = lines.filter("top OR bottom")
-    for key in ("key1", "key2"):
-        titles = (
-            lines.filter(F.col(key).isNotNull() & (F.length(key) > 3) & open_end)
-            .groupBy(key)
-            .agg(
-                F.approx_count_distinct(F.when(F.col("top") | (F.col("bottom") & apart), F.col("bare"))).alias("edge_texts"),
-                F.count_if(~F.col("top") & ~F.col("bottom")).alias("body_lines"),
-            )
-            .filter(f"edge_texts >= {EDGE_TEXTS} AND edge_texts > 3 * body_lines")
-            .select(key, F.lit(True).alias(f"title_{key}"))
-        )
-        edge = edge.join(titles, key, "left")
-    edge = edge.join(width, "doc_id", "left")
-    number = F.col("text").rlike(_PAGE_NUMBER)
-    foot = F.col("bottom") & ~F.col("top") & (apart | number)
-    had_room = F.col("len") + 3 + F.length("next_first") <= F.col("width")
-    head = F.col("top") & ~F.col("bottom") & open_end & (number | F.coalesce(had_room, F.lit(False)) | F.coalesce("title_key1", "title_key2", F.col("text").rlike(r"\s[|—]\s")))
-    return edge.filter(foot | head).groupBy("doc_id", "page").agg(F.collect_set("line").alias("running"))
-
-
-def _is_running() -> Column:
-    return F.coalesce(F.array_contains("running", F.col("line")), F.lit(False))
-
-
-def body_pairs(lines: DataFrame) -> DataFrame:
-    """Body lines with the body line that follows: on the page, else the first on the next page."""
-    body = lines.select("doc_id", "page", "line", "first_word", "first_pos", "first_conf", "last_word", "last_pos", "last_conf")
-    on_page = Window.partitionBy("doc_id", "page").orderBy("line")
-    start = F.struct("page", "line", F.col("first_word").alias("word"), F.col("first_pos").alias("pos"), F.col("first_conf").alias("conf"))
-    body = body.withColumns({"next": F.lead(start).over(on_page), "rank": F.row_number().over(on_page), "start": start})
-    first = body.filter("rank = 1").select("doc_id", (F.col("page") - 1).alias("page"), F.col("start").alias("over"))
-    last = body.filter("next IS NULL").join(first, ["doc_id", "page"], "left").withColumn("next", F.col("over")).drop("over")
-    both = body.filter("next IS NOT NULL").unionByName(last)
-    return both.select(
-        "doc_id", "page", "line", "last_word", "last_pos", "last_conf",
-        F.col("next.page").alias("n_page"), F.col("next.line").alias("n_line"), F.col("next.word").alias("n_word"), F.col("next.pos").alias("n_pos"), F.col("next.conf").alias("n_conf"),
+
+def anagram_hash(word: str) -> int:
+    """The sum of the hashes of a word's characters."""
+    return sum(map(_CHAR_HASHES.__getitem__, word))
+
+
+class _CharHashes(dict):
+    def __missing__(self, c: str) -> int:
+        h = self[c] = xxhash.xxh3_64_intdigest(c) % (1 << 44)
+        return h
+
+
+_CHAR_HASHES = _CharHashes()
+
+
+# ---- layout ---------------------------------------------------------------
+
+#: The facts of a page; ``kind`` says which columns a row has. Lists are those of a line's or a page's words.
+FACT_DDL = (
+    "kind string, doc_id bigint, page int, line int, pos int, text string, conf double, key string, n bigint, conf_sum bigint, conf_n bigint, "
+    "top boolean, bottom boolean, next_line int, next_pos int, next_text string, next_conf double, next_bottom boolean, flag boolean, lines array<int>, poss array<int>, texts array<string>, confs array<double>"
+)
+_NAMES = [x.split()[0] for x in FACT_DDL.split(", ")]
+
+_NUMBER_RE, _NUMBERED_RE, _END_RE, _HYPHEN_RE = re.compile(_PAGE_NUMBER), re.compile(_NUMBERED), re.compile(_END), re.compile(f"{_HYPHEN}$")
+_SHORT_NUMBERS = regex.compile(r"(?<![\p{L}0-9])[0-9lOI]{1,4}(?![\p{L}0-9])")
+_NO_LETTERS = regex.compile(r"[^\p{L}]+")
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int], list, list[str], list]]:
+    """(document, page, and the lines, positions, texts and confidences of its words) of rows sorted by these."""
+    open_page: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, page = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        cols = [batch.column(i).to_pylist() for i in range(2, 6)]
+        edges = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1).tolist(), len(doc)]
+        for a, b in zip(edges, edges[1:]):
+            key, part = (int(doc[a]), int(page[a])), [c[a:b] for c in cols]
+            if open_page and open_page[0] == key:
+                for x, y in zip(open_page[1], part):
+                    x += y
+            else:
+                if open_page:
+                    yield *open_page[0], *open_page[1]
+                open_page = [key, part]
+    if open_page:
+        yield *open_page[0], *open_page[1]
+
+
+def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema(FACT_DDL)
+    memo = _Words()
+    forms: dict[str, list[int]] = {}
+    rows: list[dict] = []
+
+    def ready() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], f.type) for n, f in zip(_NAMES, schema)], schema=schema)
+        rows.clear()
+        return batch
+
+    def count() -> None:
+        rows.extend({"kind": "form", "key": w, "n": n, "conf_sum": s, "conf_n": k} for w, (n, s, k) in forms.items() if w)
+        forms.clear()
+
+    for doc, page, lines, poss, texts, confs in _pages(batches):
+        # Of rows with one place the last counts, which has the greatest text.
+        at = [i for i in range(len(lines)) if i + 1 == len(lines) or lines[i] != lines[i + 1] or poss[i] != poss[i + 1]]
+        if len(at) < len(lines):
+            lines, poss, texts, confs = ([c[i] for i in at] for c in (lines, poss, texts, confs))
+        base = {"doc_id": doc, "page": page}
+        for line, pos, text, conf in zip(lines, poss, texts, confs):
+            w, odd = memo[text]
+            f = forms.get(w)
+            if f is None:
+                f = forms[w] = [0, 0, 0]
+            f[0] += 1
+            if conf is not None:
+                f[1] += round(conf * MILLION)
+                f[2] += 1
+            if odd:
+                rows.append({"kind": "odd", **base, "line": line, "pos": pos})
+        starts = [i for i in range(len(lines)) if not i or lines[i] != lines[i - 1]] + [len(lines)]
+        spans = list(zip(starts, starts[1:]))
+        widths: dict[int, int] = {}
+        for no, (a, b) in enumerate(spans):
+            top, bottom = no == 0, no == len(spans) - 1
+            text = " ".join(texts[a:b])
+            c, d = spans[no + 1] if not bottom else (None, None)
+            after = {} if bottom else {"next_line": lines[c], "next_pos": poss[c], "next_text": texts[c], "next_conf": confs[c], "next_bottom": no == len(spans) - 2}
+            own = {**base, "line": lines[a], "top": top, "bottom": bottom}
+            cut = _HYPHEN_RE.search(text)
+            if cut and _CUT.search(texts[b - 1]):
+                rows.append({"kind": "cut", **own, **after, "pos": poss[b - 1], "text": texts[b - 1], "conf": confs[b - 1]})
+            if no < 2:
+                rows.append({"kind": "start", **own, "pos": poss[a], "text": texts[a], "conf": confs[a]})
+            apart = not top and lines[a] - lines[spans[no - 1][0]] >= 3
+            opens = not (cut or _END_RE.search(text) or _NUMBERED_RE.search(text))
+            if top or bottom:
+                keys: list[str] = []
+            else:
+                widths[len(text)] = widths.get(len(text), 0) + 1
+            if opens:
+                # The last word and the last two without numbers: what a running title ends in, whatever firm or page it has.
+                parts = _NO_LETTERS.sub(" ", _SHORT_NUMBERS.sub(" ", text).lower()).split()
+                mine = [k for k in (" ".join(parts[-1:]), " ".join(parts[-2:]) if len(parts) > 1 else "") if len(k) > 3]
+                bare = " ".join(parts)
+                if top or bottom:
+                    keys = mine
+                if top or not bottom or apart:
+                    rows.extend({"kind": "title", "key": k, "text": bare, "flag": top or bottom} for k in mine)
+            if top or bottom:
+                number = bool(_NUMBER_RE.search(text))
+                sure = (bottom and not top and (apart or number)) or (top and not bottom and opens and (number or bool(re.search(r"\s[|—]\s", text))))
+                maybe = top and not bottom and opens
+                rows.append({"kind": "edge", **own, **after, "flag": sure, "n": len(text) + 3 + len(after.get("next_text", "")) if maybe else None, "texts": keys if maybe else []})
+                rows.append({"kind": "edge words", **own, "texts": [memo[t][0] for t in texts[a:b]], "confs": confs[a:b]})
+        rows.extend({"kind": "width", "doc_id": doc, "pos": k, "n": n} for k, n in widths.items())
+        rows.append({"kind": "page", **base, "lines": lines, "poss": poss, "texts": texts})
+        if len(forms) > KEPT_FORMS:
+            count()
+        if len(rows) > 20_000:
+            yield ready()
+    count()
+    if rows:
+        yield ready()
+
+
+def layout(words: DataFrame) -> DataFrame:
+    """The facts of all pages (FACT_DDL), from words with doc_id, page, line, pos, text and confidence."""
+    src = words.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in ("page", "line", "pos")],
+        F.trim(F.col("text").cast("string")).alias("text"), F.col("confidence").cast("double").alias("confidence"),
     )
+    src = src.filter("text <> '' AND doc_id IS NOT NULL AND page IS NOT NULL AND line IS NOT NULL")
+    # The one shuffle of all words.
+    return src.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line", "pos", "text", "confidence").mapInArrow(_layout, FACT_DDL)
+
+
+PAGE, LINE, PLACE = ["doc_id", "page"], ["doc_id", "page", "line"], ["doc_id", "page", "line", "pos"]
+
+
+def running_lines(facts: DataFrame) -> DataFrame:
+    """(doc_id, page, line): the running lines."""
+    edge = facts.filter("kind = 'edge'").select(*LINE, "flag", "n", F.col("texts").alias("keys"))
+    # Different texts of edge lines against different texts of body lines with the same end.
+    titles = facts.filter("kind = 'title'").select("key", "text", "flag").distinct().groupBy("key").agg(F.count_if("flag").alias("edges"), F.count_if(~F.col("flag")).alias("bodies"))
+    titles = titles.filter(f"edges >= {EDGE_TEXTS} AND edges > 3 * bodies").select("key")
+    titled = edge.select(*LINE, F.explode("keys").alias("key")).join(titles, "key").select(*LINE)
+    # The width of a document: nine in ten of its lines within a page are no longer.
+    widths = facts.filter("kind = 'width'").groupBy("doc_id", F.col("pos").alias("len")).agg(F.sum("n").alias("n"))
+    by_doc = Window.partitionBy("doc_id")
+    widths = widths.withColumns({"so_far": F.sum("n").over(by_doc.orderBy("len")), "all": F.sum("n").over(by_doc)}).filter("so_far >= 0.9 * all").groupBy("doc_id").agg(F.min("len").alias("width"))
+    had_room = edge.filter("n IS NOT NULL").join(widths, "doc_id").filter("n <= width").select(*LINE)
+    return edge.filter("flag").select(*LINE).unionByName(titled).unionByName(had_room).distinct()
+
+
+def cut_pairs(facts: DataFrame, running: DataFrame) -> DataFrame:
+    """Lines whose last word is cut, with the first word of the body line that follows: on the page, else the first on the next page."""
+    body = facts.filter("kind IN ('cut', 'start')").join(running, LINE, "left_anti")
+    bottoms = running.withColumnRenamed("line", "next_line").withColumn("next_runs", F.lit(True))
+    cut = body.filter("kind = 'cut'").join(bottoms, [*PAGE, "next_line"], "left")
+    stays = F.col("next_line").isNotNull() & F.col("next_runs").isNull()
+    here = F.struct("page", F.col("next_line").alias("line"), F.col("next_pos").alias("pos"), F.col("next_text").alias("text"), F.col("next_conf").alias("conf"))
+    cut = cut.select(*PLACE, "text", "conf", F.when(stays, here).alias("next"))
+    first = body.filter("kind = 'start'").groupBy(*PAGE).agg(F.min_by(F.struct("page", "line", "pos", "text", "conf"), "line").alias("over")).select("doc_id", (F.col("page") - 1).alias("page"), "over")
+    pairs = cut.join(first, PAGE, "left").withColumn("next", F.coalesce("next", "over")).filter("next IS NOT NULL")
+    pairs = pairs.select(
+        *PLACE, F.col("text").alias("last"), "conf", F.col("next.page").alias("n_page"), F.col("next.line").alias("n_line"), F.col("next.pos").alias("n_pos"), F.col("next.text").alias("rest"), F.col("next.conf").alias("n_conf")
+    )
+    return _with_words(pairs)
+
+
+PAIR_DDL = "doc_id bigint, page int, line int, pos int, n_page int, n_line int, n_pos int, stem string, rest string, conf double, n_conf double, joined string, compound string, stem_form string, rest_form string, cut_at int, own boolean, odd_stem boolean, odd_rest boolean, odd_joined boolean, odd_compound boolean, mark_stem boolean, mark_rest boolean, last_form string"
 
 
-def _forms(tokens: DataFrame) -> DataFrame:
-    """Word forms with their count and mean confidence."""
-    return tokens.filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"), F.coalesce(F.avg("confidence"), F.lit(DOUBTFUL - 1)).alias("conf"))
+def _with_words(pairs: DataFrame) -> DataFrame:
+    """PAIR_DDL: what the two halves give, joined and as a compound."""
+
+    def make():
+        def fn(cols):
+            out: dict[str, list] = {x.split()[0]: [] for x in PAIR_DDL.split(", ")}
+            for i, (last, rest) in enumerate(zip(cols["last"], cols["rest"])):
+                if not _GOES_ON.search(rest):
+                    continue
+                stem = _HYPHEN_RE.sub("", last)
+                row = {n: cols[n][i] for n in (*PLACE, "n_page", "n_line", "n_pos", "conf", "n_conf")}
+                row |= {"stem": stem, "rest": rest, "joined": core(stem + rest), "compound": core(f"{stem}-{rest}"), "stem_form": core(stem), "rest_form": core(rest), "cut_at": len(core(stem)), "own": bool(_OWN.search(rest)), "last_form": core(last)}
+                row |= {"odd_stem": is_odd(stem), "odd_rest": is_odd(rest), "odd_joined": is_odd(stem + rest), "odd_compound": is_odd(f"{stem}-{rest}")}
+                row |= {f"mark_{k}": bool(re.search("[0-9!|]", _TAIL_MARKS.sub("", v))) for k, v in (("stem", stem), ("rest", rest))}
+                for n, v in row.items():
+                    out[n].append(v)
+            return out
+
+        return fn
+
+    return map_rows(pairs, make, PAIR_DDL)
+
+
+def word_forms(facts: DataFrame, running: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(w, n, conf): how often each form stands in body lines as a whole word, and its mean confidence."""
+    counts = facts.filter("kind = 'form'").select(F.col("key").alias("w"), "n", "conf_sum", "conf_n")
+    off = facts.filter("kind = 'edge words'").join(running, LINE).select(F.explode(F.arrays_zip("texts", "confs")).alias("x")).select(F.col("x.texts").alias("w"), F.col("x.confs").alias("conf"))
+    ends = pairs.select(*PLACE, F.col("last_form").alias("w"), "conf")
+    starts = pairs.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"), F.col("rest_form").alias("w"), F.col("n_conf").alias("conf"))
+    halves = ends.unionByName(starts).dropDuplicates(PLACE).select("w", "conf")
+    off = off.unionByName(halves).select("w", F.lit(-1).cast("bigint").alias("n"), (-F.coalesce(F.round(F.col("conf") * MILLION), F.lit(0))).cast("bigint").alias("conf_sum"), (-F.col("conf").isNotNull().cast("bigint")).alias("conf_n"))
+    both = counts.unionByName(off).filter("w <> ''").groupBy("w").agg(*[F.sum(c).alias(c) for c in ("n", "conf_sum", "conf_n")])
+    return both.filter("n > 0").select("w", "n", F.when(F.col("conf_n") > 0, F.col("conf_sum") / F.col("conf_n") / MILLION).otherwise(DOUBTFUL - 1).alias("conf"))
+
+
+def _differences(df: DataFrame, reverse: bool) -> DataFrame:
+    """(w, n, conf, key, cost): each form under its anagram hash and under those that one confusion of it leads to."""
+    ddl = "w string, n bigint, conf double, key bigint, cost int"
+
+    def make():
+        moves = []
+        for printed, read in (x.split(">") for x in CONFUSIONS.split()):
+            d = anagram_hash(printed) - anagram_hash(read)
+            moves.append((printed if reverse else read, -d if reverse else d, max(len(printed), len(read))))
+
+        def fn(cols):
+            out: dict[str, list] = {x.split()[0]: [] for x in ddl.split(", ")}
+            w_out, key_out, cost_out = out["w"], out["key"], out["cost"]
+            for w, n, conf in zip(cols["w"], cols["n"], cols["conf"]):
+                h = anagram_hash(w)
+                own = {(h, 0): None, **{(h + d, cost): None for has, d, cost in moves if has in w}}
+                for key, cost in own:
+                    w_out.append(w)
+                    key_out.append(key)
+                    cost_out.append(cost)
+                out["n"] += [n] * len(own)
+                out["conf"] += [conf] * len(own)
+            return out
+
+        return fn
+
+    return map_rows(df.select("w", "n", "conf"), make, ddl)
 
 
 def corrections(doubtful: DataFrame, trusted: DataFrame) -> DataFrame:
     """(w, c): the best trusted form for each doubtful form, by the differences of their anagram hashes."""
-    pairs = [x.split(">") for x in CONFUSIONS.split()]
-    h = lambda s: anagram_hash(F.lit(s))
-    none = F.struct(F.lit(0).cast("bigint").alias("d"), F.lit("").alias("has"), F.lit(0).alias("cost"))
-
-    def moves(reverse: bool) -> Column:
-        out = [none]
-        for printed, read in pairs:
-            d = h(printed) - h(read)
-            out.append(F.struct((-d if reverse else d).cast("bigint").alias("d"), F.lit(printed if reverse else read).alias("has"), F.lit(max(len(printed), len(read))).alias("cost")))
-        return F.array(*out)
-
-    def explode(df: DataFrame, word: str, reverse: bool) -> DataFrame:
-        fits = F.filter(F.col("moves"), lambda m: (m["has"] == "") | (F.instr(F.col(word), m["has"]) > 0))
-        return (
-            df.withColumn("moves", moves(reverse))
-            .select("*", F.explode(fits).alias("m"))
-            .select(*df.columns, (F.col("h") + F.col("m.d")).alias("key"), F.col("m.cost").alias("cost"))
-            .drop("h", "moves")
-        )
-
-    a = explode(doubtful.filter("length(w) >= 2").select("w", "n", "conf", anagram_hash(F.col("w")).alias("h")), "w", False).withColumnRenamed("cost", "cost_a")
-    b = explode(trusted.select(F.col("w").alias("c"), F.col("n").alias("c_n"), anagram_hash(F.col("w")).alias("h")), "c", True).withColumnRenamed("cost", "cost_b")
-    met = a.join(b, "key").withColumn("cost", F.col("cost_a") + F.col("cost_b"))
+    a = _differences(doubtful.filter("length(w) >= 2"), False).withColumnRenamed("cost", "cost_a")
+    b = _differences(trusted, True).select(F.col("w").alias("c"), F.col("n").alias("c_n"), "key", F.col("cost").alias("cost_b"))
+    sure = F.col("conf") >= DOUBTFUL
     two = (F.col("cost_a") > 0) & (F.col("cost_b") > 0)
-    met = met.filter(
-        (F.col("w") != F.col("c"))
-        & (F.levenshtein("w", "c") <= F.col("cost"))
-        & (F.col("c_n") >= F.col("n") * F.when(F.col("conf") >= DOUBTFUL, LEAD_SURE).when(two, LEAD_TWO).otherwise(LEAD_ONE))
-        & ((F.col("conf") < DOUBTFUL) | (F.length("w") >= 4) | (F.col("c_n") >= LEAD_SHORT * F.col("n")))
-        & ~(two & (F.length("w") < 5))
-    )
+    lead = F.when(sure, LEAD_SURE).when(two, LEAD_TWO).otherwise(LEAD_ONE)
+    # The cheap tests are part of the join; the edit distance is worked out for what is left.
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("w") != F.col("c")) & (F.col("c_n") >= F.col("n") * lead) & (~sure | (F.length("w") >= 4) | (F.col("c_n") >= LEAD_SHORT * F.col("n"))) & ~(two & (F.length("w") < 5)))
+    met = met.filter(F.levenshtein("w", "c", 4) <= F.col("cost_a") + F.col("cost_b")).filter(F.levenshtein("w", "c", 4) >= 0)
     return met.groupBy("w").agg(F.max_by("c", F.struct(-two.cast("int"), F.col("c_n"), F.col("c"))).alias("c"))
 
 
+def _same(side: Callable[[str, Column], Column]) -> Column:
+    """How many characters w and c share from one end."""
+    both = F.sequence(F.lit(1), F.greatest(F.length("w"), F.length("c")))
+    return F.size(F.filter(both, lambda i: side("w", i) == side("c", i)))
+
+
+def _left(c: str, i: Column) -> Column:
+    return F.left(F.col(c), i)
+
+
+def _right(c: str, i: Column) -> Column:
+    return F.right(F.col(c), i)
+
+
 class Repair:
     """The stages of a repair; each is a DataFrame that later ones use."""
 
-    def __init__(self, words: DataFrame, cut=lambda df: df):
-        pages = ["doc_id", "page"]
-        self.words = cut(words_of(words))
-        lines = cut(lines_of(self.words))
-        running = cut(running_lines(lines))
-        self.running = running.select(*pages, F.explode("running").alias("line"))
-        self.body = self.words.join(running, pages, "left").filter(~_is_running()).drop("running")
-        body_lines = lines.join(running, pages, "left").filter(~_is_running())
-        pairs = body_pairs(body_lines).filter(F.col("last_word").rlike(rf"\p{{L}}[\p{{L}}0-9!|]*{_HYPHEN}$") & F.col("n_word").rlike(r"^\W*[\p{L}0-9!|]"))
-        stem, rest = F.regexp_replace("last_word", f"{_HYPHEN}$", ""), F.col("n_word")
-        pairs = cut(
-            pairs.select(
-                "doc_id", "page", "line", "last_pos", "n_page", "n_line", "n_pos", stem.alias("stem"), rest.alias("rest"),
-                F.least("last_conf", "n_conf").alias("confidence"),
-                _core(F.concat(stem, rest)).alias("joined"), _core(F.concat(stem, F.lit("-"), rest)).alias("compound"),
-                F.length(_core(stem)).alias("cut_at"), rest.rlike(r"^\W*[\p{Lu}0-9]").alias("own"),
-            )
-        )
-        # The two halves of cut words are no forms of their own.
-        ends = pairs.select("doc_id", "page", "line", F.col("last_pos").alias("pos"))
-        starts = pairs.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"))
-        halves = ends.unionByName(starts).groupBy(*pages).agg(F.collect_set(F.struct("line", "pos")).alias("halves"))
-        whole = self.body.join(halves, pages, "left").filter(~F.coalesce(F.array_contains("halves", F.struct("line", "pos")), F.lit(False)))
-        self.tokens = cut(whole.select("doc_id", "page", "line", "text", "confidence", _core(F.col("text")).alias("w")))
-        self.forms = cut(_forms(self.tokens))
-        known = self.forms.select("w", "n")
+    def __init__(self, words: DataFrame, cut=lambda df: df, broadcast_rows: int = BROADCAST_ROWS):
+        self.facts = written(layout(words), "kind")
+        self.running = cut(running_lines(self.facts))
+        pairs = cut(cut_pairs(self.facts, self.running))
+        forms = cut(word_forms(self.facts, self.running, pairs))
+        known = forms.select("w", "n")
         pairs = (
             pairs.join(known.select(F.col("w").alias("joined"), F.col("n").alias("n_joined")), "joined", "left")
             .join(known.select(F.col("w").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
             .na.fill(0, ["n_joined", "n_compound"])
+            .withColumn("broken", F.expr("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)"))
         )
-        pairs = cut(pairs.withColumn("broken", F.expr("n_joined > n_compound OR (n_joined = 0 AND n_compound = 0 AND NOT own)")))
-        self.broken, self.compounds = pairs.filter("broken"), pairs.filter("NOT broken")
-        self.joined = self.broken.withColumnRenamed("joined", "w")
+        self.pairs = cut(pairs)
+        self.broken, self.compounds = self.pairs.filter("broken"), self.pairs.filter("NOT broken")
         # Forms of cut words that stand nowhere whole count as doubtful forms too, with the lower confidence of their halves.
-        cut_only = self.joined.filter("n_joined = 0")
-        letters = F.col("w").rlike(r"\p{L}")
-        doubtful = (
-            self.forms.select("w", "n", "conf").unionByName(_forms(cut_only).select("w", "n", "conf"))
-            .groupBy("w").agg(F.sum("n").alias("n"), F.min("conf").alias("conf"))
-            .filter(F.col("w").rlike(r"\p{L}|[!|]"))
-        )
-        trusted = self.forms.filter((F.col("conf") >= TRUSTED) & letters & (F.col("n") >= 2) & ~F.col("w").rlike(r"[0-9!|]"))
-        self.fixes = cut(corrections(doubtful, trusted))
-
-    #: Digits or marks among letters, letters among digits; codes such as "AB-123" are neither.
-    ODD = r"^(?!\p{L}{1,4}-?[0-9]+$|[0-9]+(?:st|nd|rd|th|er|re|e|ème|te[nr]?|de)$)(?:.*\p{Ll}[0-9!|]\p{Ll}.*|[0-9!|]\p{Ll}{2,}.*|.*\p{Ll}{2,}[0-9|].*|(?=.*[0-9])[0-9.,:/]*[lOI][0-9lOI.,:/]*)$"
+        cut_only = self.broken.filter("n_joined = 0 AND joined <> ''").groupBy(F.col("joined").alias("w")).agg(F.count("*").alias("n"), F.coalesce(F.avg(F.least("conf", "n_conf")), F.lit(DOUBTFUL - 1)).alias("conf"))
+        doubtful = forms.unionByName(cut_only.select("w", "n", "conf")).filter(F.col("w").rlike(r"\p{L}|[!|]"))
+        trusted = forms.filter((F.col("conf") >= TRUSTED) & F.col("w").rlike(r"\p{L}") & (F.col("n") >= 2) & ~F.col("w").rlike(r"[0-9!|]"))
+        fixes = cut(corrections(doubtful, trusted))
+        self.n_fixes = fixes.count()
+        self.fixes = fixes
+        self._met = F.broadcast(fixes) if self.n_fixes <= broadcast_rows else fixes
+
+    def halves(self) -> DataFrame:
+        """The places of the halves of cut words and compounds: no words of their own."""
+        starts = self.pairs.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"))
+        return self.pairs.select(*PLACE).unionByName(starts).distinct()
+
+    def _of_body(self, places: DataFrame) -> DataFrame:
+        """Places that are neither in running lines nor halves of cut words."""
+        halves = self.halves().withColumn("p", F.coalesce("pos", F.lit(-1))).drop("pos")
+        return places.join(self.running, LINE, "left_anti").withColumn("p", F.coalesce("pos", F.lit(-1))).join(halves, [*LINE, "p"], "left_anti").drop("p")
+
+    def fixed_words(self) -> DataFrame:
+        """(doc_id, page, line, pos, w, c): the whole words of body lines whose form has a fix."""
+        only = bitmap(self.fixes.select(F.xxhash64("w").alias("hash")), self.n_fixes)
+
+        def make():
+            keep = Filter(only[0], only[1].value)
+            memo: dict[str, str | None] = {}
+
+            def fn(cols):
+                new = list({t for texts in cols["texts"] for t in texts if t not in memo})
+                if len(memo) > 500_000:
+                    memo.clear()
+                    new = list({t for texts in cols["texts"] for t in texts})
+                forms = [core(t) for t in new]
+                memo.update(dict.fromkeys(new))
+                for i in keep.passing(np.array([xxhash.xxh64_intdigest(w, 42) for w in forms], np.uint64)).tolist() if new else ():
+                    memo[new[i]] = forms[i]
+                out: dict[str, list] = {n: [] for n in (*PLACE, "w")}
+                for doc, page, lines, poss, texts in zip(*(cols[c] for c in (*PAGE, "lines", "poss", "texts"))):
+                    for i, t in enumerate(texts):
+                        w = memo[t]
+                        if w is not None:
+                            for n, v in zip(out, (doc, page, lines[i], poss[i], w)):
+                                out[n].append(v)
+                return out
+
+            return fn
+
+        pages = self.facts.filter("kind = 'page'").select(*PAGE, "lines", "poss", "texts")
+        words = map_rows(pages, make, "doc_id bigint, page int, line int, pos int, w string", batch_rows=500)
+        return self._of_body(words.join(self._met, "w"))
 
     def defects(self) -> DataFrame:
         """(doc_id, page, line, defect): 'running', 'broken' and 'misread' lines."""
-        keys = ["doc_id", "page", "line"]
-        running = self.running.select(*keys, F.lit("running").alias("defect"))
-        broken = self.broken.select(*keys, F.lit("broken").alias("defect"))
-        plain = self.tokens.join(self.fixes, "w").select(*keys)
-        is_odd = lambda t: F.regexp_replace(t, r"^\W+|[.,;:?)\]\"”»!]+$", "").rlike(self.ODD)
-        odd = self.tokens.filter(is_odd(F.col("text"))).select(*keys)
-        both = F.sequence(F.lit(1), F.greatest(F.length("w"), F.length("c")))
-        same_start = F.size(F.filter(both, lambda i: F.left(F.col("w"), i) == F.left(F.col("c"), i)))
-        same_end = F.size(F.filter(both, lambda i: F.right(F.col("w"), i) == F.right(F.col("c"), i)))
-        cut = self.joined.join(self.fixes, "w").withColumns({"a": same_start, "z": same_end})
-        in_stem = cut.filter("a < cut_at").select(*keys)
-        in_rest = cut.filter("z < length(w) - cut_at").select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"))
-        # A part of a cut word or a compound is odd by itself, or has the digit or mark that makes the whole odd.
-        own = F.struct(is_odd(F.col("stem")).alias("stem"), is_odd(F.col("rest")).alias("rest"))
-        whole = is_odd(F.when(F.col("broken"), F.concat("stem", "rest")).otherwise(F.concat("stem", F.lit("-"), "rest")))
-        parts = self.broken.unionByName(self.compounds).withColumns({"odd": own, "whole": whole})
-        mark = lambda t: F.regexp_replace(t, r"[.,;:?)\]\"”»!]+$", "").rlike("[0-9!|]")
-        by_whole = F.col("whole") & ~F.col("odd.stem") & ~F.col("odd.rest")
-        odd_stem = parts.filter(F.col("odd.stem") | (by_whole & mark(F.col("stem")))).select(*keys)
         next_line = ["doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line")]
-        odd_rest = parts.filter(F.col("odd.rest") | (by_whole & mark(F.col("rest")))).select(*next_line)
-        # Compounds are looked up by their parts and as a whole.
-        forms = F.array(
-            F.struct(_core(F.col("stem")).alias("w"), F.lit("stem").alias("side")), F.struct(_core(F.col("rest")).alias("w"), F.lit("rest").alias("side")),
-            F.struct(F.col("compound").alias("w"), F.lit("whole").alias("side")),
-        )
-        met = self.compounds.select(*keys, "n_page", "n_line", "cut_at", F.explode(forms).alias("f")).select("*", "f.w", "f.side").join(self.fixes, "w").withColumns({"a": same_start, "z": same_end})
-        met_stem = met.filter("side = 'stem' OR (side = 'whole' AND a < cut_at)").select(*keys)
-        met_rest = met.filter("side = 'rest' OR (side = 'whole' AND z < length(w) - cut_at - 1)").select(*next_line)
-        misread = plain.unionByName(odd).unionByName(in_stem).unionByName(in_rest)
-        for more in (odd_stem, odd_rest, met_stem, met_rest):
+        running = self.running.select(*LINE, F.lit("running").alias("defect"))
+        broken = self.broken.select(*LINE, F.lit("broken").alias("defect"))
+        odd = self._of_body(self.facts.filter("kind = 'odd'").select(*PLACE)).select(*LINE)
+        # Cut words are looked up as a whole, compounds by their parts too; the difference tells in which half the fault is.
+        whole = F.when(F.col("broken"), F.col("joined")).otherwise(F.col("compound"))
+        form = lambda w, side: F.struct(w.alias("w"), F.lit(side).alias("side"))
+        looked_up = F.when(F.col("broken"), F.array(form(whole, "whole"))).otherwise(F.array(form(F.col("stem_form"), "stem"), form(F.col("rest_form"), "rest"), form(whole, "whole")))
+        met = self.pairs.select(*LINE, "n_page", "n_line", "cut_at", "broken", F.explode(looked_up).alias("f")).select("*", "f.w", "f.side").join(self._met, "w").withColumns({"a": _same(_left), "z": _same(_right)})
+        hyphen = F.when(F.col("broken"), 0).otherwise(1)
+        in_stem = met.filter("side = 'stem' OR (side = 'whole' AND a < cut_at)").select(*LINE)
+        in_rest = met.filter((F.col("side") == "rest") | ((F.col("side") == "whole") & (F.col("z") < F.length("w") - F.col("cut_at") - hyphen))).select(*next_line)
+        # A half is odd by itself, or has the digit or mark that makes the whole odd.
+        by_whole = F.when(F.col("broken"), F.col("odd_joined")).otherwise(F.col("odd_compound")) & ~F.col("odd_stem") & ~F.col("odd_rest")
+        odd_stem = self.pairs.filter(F.col("odd_stem") | (by_whole & F.col("mark_stem"))).select(*LINE)
+        odd_rest = self.pairs.filter(F.col("odd_rest") | (by_whole & F.col("mark_rest"))).select(*next_line)
+        misread = self.fixed_words().select(*LINE)
+        for more in (odd, in_stem, in_rest, odd_stem, odd_rest):
             misread = misread.unionByName(more)
-        misread = misread.withColumn("defect", F.lit("misread"))
-        return running.unionByName(broken).unionByName(misread).distinct()
+        return running.unionByName(broken).unionByName(misread.withColumn("defect", F.lit("misread"))).distinct()
 
     def paragraphs(self) -> DataFrame:
         """(doc_id, page, paragraph, text): paragraphs by the page they begin on, with repairs made.
@@ -293,35 +474,19 @@ class Repair:
         A paragraph ends before a gap between lines and before a numbered
         heading; across pages it goes on if its last line has no end mark.
         """
-        keys = ["doc_id", "page", "line"]
+        edit = lambda kind, text: F.struct(F.lit(kind).alias("kind"), "line", "pos", text.alias("w"), F.col("c") if kind == "fix" else F.lit(None).cast("string").alias("c")).alias("e")
+        runs = self.running.withColumn("pos", F.lit(None).cast("int")).select(*PAGE, edit("run", F.lit("")))
+        fixed = self.fixed_words().select(*PAGE, edit("fix", F.col("w")))
         # A cut word is repaired as a whole and cut again, so that each line keeps its part; its halves are no words to be repaired.
-        start = F.size(F.filter(F.sequence(F.lit(1), F.length("w")), lambda i: F.left(F.col("w"), i) == F.left(F.col("c"), i)))
-        cut_words = self.joined.join(self.fixes, "w", "left").withColumn("printed", F.concat("stem", "rest")).withColumns({
-            "whole": _repaired("printed"),
-            "at": F.length("stem") + F.when(start < F.col("cut_at"), F.length("c") - F.length("w")).otherwise(0),
-        })
-        cut_words = cut_words.withColumn("at", F.when(F.col("c").isNull(), F.length("stem")).otherwise(F.greatest(F.lit(1), F.least("at", F.length("whole") - 1))))
-        hyphen = F.lit("-")
-        halves = cut_words.select(*keys, F.col("last_pos").alias("pos"), F.concat(F.expr("left(whole, at)"), hyphen).alias("half")).unionByName(
-            cut_words.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"), F.expr("substring(whole, at + 1)").alias("half"))
-        )
-        halves = halves.groupBy("doc_id", "page").agg(F.collect_list(F.struct("line", "pos", "half")).alias("halves"))
-        mine = F.filter("halves", lambda h: (h["line"] == F.col("line")) & h["pos"].eqNullSafe(F.col("pos")))
-        fixed = self.body.join(halves, ["doc_id", "page"], "left").withColumn("mine", mine).drop("halves")
-        fixed = fixed.withColumn("w", _core(F.col("text"))).join(self.fixes, "w", "left")
-        # A word that is all of its line can end one cut word and begin another; it stays as it is.
-        half = F.when(F.size("mine") == 1, F.col("mine")[0]["half"]).when(F.size("mine") > 1, F.col("text"))
-        word = F.coalesce(half, _repaired("text"))
-        lines = fixed.select(*keys, "pos", word.alias("text")).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "text"))).getField("text"), " ").alias("text"))
-        lines = lines.join(self.broken.select(*keys, F.lit(True).alias("cut")), keys, "left").na.fill(False, ["cut"])
-        on_page = Window.partitionBy("doc_id", "page").orderBy("line")
-        gap = (F.col("line") - F.lag("line").over(on_page) > 1) | F.col("text").rlike(_NUMBERED) | F.lag("text").over(on_page).rlike(_NUMBERED)
-        lines = lines.withColumns({"new": F.coalesce(gap, F.lit(True)), "end": F.col("text").rlike(_END)})
-        lines = lines.withColumn("part", F.sum(F.col("new").cast("int")).over(on_page))
-        joiner = F.when(F.col("cut"), F.regexp_replace("text", f"{_HYPHEN}$", "")).when(F.col("text").rlike(r"[\p{L}0-9]-$"), F.col("text")).otherwise(F.concat("text", F.lit(" ")))
-        parts = lines.groupBy("doc_id", "page", "part").agg(
-            F.array_join(F.sort_array(F.collect_list(F.struct("line", joiner.alias("t")))).getField("t"), "").alias("text"), F.max_by("end", "line").alias("end"), F.max_by("text", "line").rlike(_NUMBERED).alias("heading")
-        )
+        cut = self.broken.withColumnRenamed("joined", "w").join(self._met, "w", "left")
+        cut = map_rows(cut.select(*PLACE, "n_page", "n_line", "n_pos", "stem", "rest", "w", "c", "cut_at"), _cut_again, "doc_id bigint, page int, line int, pos int, n_page int, n_line int, n_pos int, first string, second string")
+        firsts = cut.select(*PAGE, "line", "pos", "first").select(*PAGE, edit("half", F.col("first")))
+        seconds = cut.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"), "second").select(*PAGE, edit("half", F.col("second")))
+        ends = cut.select(*PAGE, "line", "pos").select(*PAGE, edit("cut", F.lit("")))
+        edits = runs.unionByName(fixed).unionByName(firsts).unionByName(seconds).unionByName(ends).groupBy(*PAGE).agg(F.collect_list("e").alias("e"))
+        pages = self.facts.filter("kind = 'page'").select(*PAGE, "lines", "poss", "texts").join(edits, PAGE, "left")
+        of = lambda name: F.coalesce(F.col(f"e.{name}"), F.array()).alias(f"e_{name}")
+        parts = map_rows(pages.select(*PAGE, "lines", "poss", "texts", *[of(n) for n in ("kind", "line", "pos", "w", "c")]), _parts, "doc_id bigint, page int, part int, text string, end boolean, heading boolean", batch_rows=500)
         # A page whose last part is open is continued by the first part of the next; chains are followed over small rows.
         pages = parts.groupBy("doc_id", "page").agg(F.max("part").alias("last"), F.max_by("end", "part").alias("end"), F.max_by("heading", "part").alias("heading"))
         before = pages.select("doc_id", (F.col("page") + 1).alias("page"), F.col("last").alias("p_last"), (~F.col("end") & ~F.col("heading")).alias("open"))
@@ -334,3 +499,92 @@ class Repair:
         carried = (F.col("part") == 1) & F.col("from").isNotNull()
         starts = starts.select("doc_id", F.when(carried, F.col("from.page")).otherwise(F.col("page")).alias("at"), F.when(carried, F.col("from.last")).otherwise(F.col("part")).alias("paragraph"), "page", "text")
         return starts.groupBy("doc_id", "at", "paragraph").agg(F.rtrim(F.array_join(F.sort_array(F.collect_list(F.struct("page", "text"))).getField("text"), "")).alias("text")).withColumnRenamed("at", "page")
+
+
+# ---- repairs --------------------------------------------------------------
+
+
+def repaired(text: str, w: str, c: str | None) -> str:
+    """A printed word of form ``w`` with ``c`` in its place, in the case of the print; the word itself where there is no ``c``."""
+    at = text.lower().find(w)
+    if c is None or at < 0:
+        return text
+    inner = text[at : at + len(w)]
+    if inner == inner.upper():
+        c = c.upper()
+    elif inner[:1].isupper():
+        c = c[:1].upper() + c[1:]
+    return text[:at] + c + text[at + len(w) :]
+
+
+def _cut_again() -> Callable:
+    def fn(cols):
+        names = [*PLACE, "n_page", "n_line", "n_pos"]
+        out: dict[str, list] = {n: [] for n in (*names, "first", "second")}
+        for i, (stem, rest, w, c, cut_at) in enumerate(zip(*(cols[n] for n in ("stem", "rest", "w", "c", "cut_at")))):
+            whole, at = repaired(stem + rest, w, c), len(stem)
+            if c is not None:
+                start = next((k for k, (a, b) in enumerate(zip(w, c)) if a != b), min(len(w), len(c)))
+                at = max(1, min(at + (len(c) - len(w) if start < cut_at else 0), len(whole) - 1))
+            for n in names:
+                out[n].append(cols[n][i])
+            out["first"].append(whole[:at] + "-")
+            out["second"].append(whole[at:])
+        return out
+
+    return fn
+
+
+def _parts() -> Callable:
+    """The paragraphs of a page, from its words and its edits."""
+
+    def fn(cols):
+        out: dict[str, list] = {n: [] for n in ("doc_id", "page", "part", "text", "end", "heading")}
+        for doc, page, lines, poss, texts, kinds, e_lines, e_poss, ws, cs in zip(*(cols[c] for c in (*PAGE, "lines", "poss", "texts", "e_kind", "e_line", "e_pos", "e_w", "e_c"))):
+            runs, cuts, fixes, halves = set(), set(), {}, {}
+            for kind, line, pos, w, c in zip(kinds, e_lines, e_poss, ws, cs):
+                if kind == "run":
+                    runs.add(line)
+                elif kind == "cut":
+                    cuts.add(line)
+                elif kind == "fix":
+                    fixes[line, pos] = (w, c)
+                else:
+                    halves.setdefault((line, pos), []).append(w)
+            printed: dict[int, list[str]] = {}
+            for line, pos, text in zip(lines, poss, texts):
+                if line in runs:
+                    continue
+                mine = halves.get((line, pos))
+                if mine:
+                    # A word that is all of its line can end one cut word and begin another; it stays as it is.
+                    text = mine[0] if len(mine) == 1 else text
+                elif (line, pos) in fixes:
+                    text = repaired(text, *fixes[line, pos])
+                printed.setdefault(line, []).append(text)
+            before, after_heading, part, joined = None, False, 0, []
+            for line, ws_ in printed.items():
+                text = " ".join(ws_)
+                heading = bool(_NUMBERED_RE.search(text))
+                if before is None or line - before > 1 or heading or after_heading:
+                    part += 1
+                    joined.append([part, "", False, False])
+                if line in cuts:
+                    add = _HYPHEN_RE.sub("", text)
+                elif _ENDS_IN_HYPHEN.search(text):
+                    add = text
+                else:
+                    add = text + " "
+                own = joined[-1]
+                own[1] += add
+                own[2], own[3] = bool(_END_RE.search(text)), heading
+                before, after_heading = line, heading
+            for row in joined:
+                for n, v in zip(out, (doc, page, *row)):
+                    out[n].append(v)
+        return out
+
+    return fn
+
+
+_ENDS_IN_HYPHEN = regex.compile(r"[\p{L}0-9]-$")

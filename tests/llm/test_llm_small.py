@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("folioflow.llm.queries")
 
-from folioflow.llm import language, leakage, packing, personal_data, pseudonyms, scan_repair, splitting, text_quality, visible_form
+from folioflow.llm import common, language, leakage, packing, personal_data, pseudonyms, scan_repair, splitting, text_quality, visible_form
 from folioflow.llm.common import cut_lineage
 
 CLASH = ["key", "body", "text", "idx", "n_words", "code", "h", "w", "value", "__text"]
@@ -319,10 +319,18 @@ def test_odd_parts_of_cut_words_and_compounds(spark):
     assert got == {0, 2, 3, 4}
 
 
-def test_anagram_hash(spark):
-    df = spark.createDataFrame([("abc",), ("cab",), ("abd",), ("",)], "w string").select("w", scan_repair.anagram_hash(F.col("w")).alias("h"))
-    h = {r.w: r.h for r in df.collect()}
-    assert h["abc"] == h["cab"] != h["abd"] and h[""] == 0
+def test_anagram_hash():
+    h = scan_repair.anagram_hash
+    assert h("abc") == h("cab") != h("abd") and h("") == 0
+
+
+def test_the_bitmap_of_forms_has_the_hashes_of_spark(spark):
+    """Forms pass by a hash in Python what the JVM put in by its own."""
+    import xxhash
+
+    words = ["", "a", "größe", "acc0rdance", "北橋", "x" * 100]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    assert all(r.h & (1 << 64) - 1 == xxhash.xxh64_intdigest(r.w, 42) for r in rows)
 
 
 # ---- 5: personal data -----------------------------------------------------------------
@@ -546,9 +554,9 @@ def test_prefix_tokens_meet_every_window(spark):
 
 def test_the_filter_passes_what_is_in_it(spark):
     known = leakage.shingles(spark.createDataFrame([(1, 1, " ".join(f"a{i}" for i in range(3000)))], "id long, twin long, body string"))
-    bits, data = leakage._bitmap(known, known.count())
+    bits, data = common.bitmap(known, known.count())
     h = np.array([r.hash for r in known.select("hash").collect()], np.int64).view(np.uint64)
-    f = leakage.Filter(bits, data.value)
+    f = common.Filter(bits, data.value)
     assert len(f.passing(h)) == len(h) and len(f.passing(h * np.uint64(0x9E3779B97F4A7C15))) < 600
 
 
