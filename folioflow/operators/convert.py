@@ -46,7 +46,7 @@ _INLINE = [
     (re.compile(p, f), to, {"<!": "-->", "<[": ">", "<b": ">"}.get(p[:2], ""))
     for p, f, to in (
         (rf"<br{S}*/?>", re.I, "\n"),
-        (r"<!--[\S\s]*?-->", 0, ""),
+        (r"<!--[\s\S]*?-->", 0, ""),
         (r"<[^>]+>", 0, ""),
         (r"(`+)([^\n\r]*?)\1", 0, r"\2"),
         (r"~~([^~]+)~~", 0, r"\1"),
