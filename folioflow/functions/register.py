@@ -14,10 +14,11 @@ from ..operators.rules import RULES
 from ..operators.scan import spans
 from ..sources.html import html_to_markdown
 from .language import guess
+from .text import fingerprint_batch
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers convert_markdown, html_to_markdown, nfkc and language_code, and the table functions
+    """Registers doc_fingerprint, convert_markdown, html_to_markdown, nfkc and language_code, and the table functions
     scan_findings(text), chunk_text(text, budget, overlap) and text_pages(text); returns the names.
 
     Nulls give nulls, or no rows.
@@ -35,7 +36,10 @@ def register(spark: SparkSession) -> list[str]:
     def language_code(text: str) -> str:
         return None if text is None else guess(" ".join("".join(c if c.isalpha() else " " for c in text).split()))[0]
 
-    scalars = {"convert_markdown": convert_markdown, "html_to_markdown": markdown, "nfkc": nfkc, "language_code": language_code}
+    def doc_fingerprint(text: str) -> str:
+        return fingerprint_batch([text])[0]
+
+    scalars = {"doc_fingerprint": doc_fingerprint, "convert_markdown": convert_markdown, "html_to_markdown": markdown, "nfkc": nfkc, "language_code": language_code}
     for name, fn in scalars.items():
         spark.udf.register(name, F.udf(fn, "string", useArrow=True))
 

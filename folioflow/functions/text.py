@@ -9,9 +9,6 @@ from pyspark.sql import types as T
 #: Fixed value: the characters a browser takes for white space, for use inside a class.
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 PY_WS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-#: An ASCII word boundary; Java's own follows Unicode.
-EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-
 #: From how many characters on a text is small, medium and large.
 SIZE_BUCKETS = ((1_000, "tiny"), (10_000, "small"), (100_000, "medium"))
 
@@ -52,49 +49,14 @@ def size_bucket(length: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start_pos, value) of the matches of a pattern, by the gaps between them; stays in the JVM."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast(T.ArrayType(T.StructType([T.StructField("start_pos", T.IntegerType()), T.StructField("value", T.StringType())])))
-    # One pass: the running offset and the matches so far.
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.aggregate(
-        F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))),
-        zero,
-        lambda acc, x: F.when(x["v"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + x["g"] + F.length(x["v"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start_pos"), x["v"].alias("value")))).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
-
-
-def luhn_valid(value: Column) -> Column:
-    """13 to 19 digits, not all alike, with a valid check digit."""
-    d = F.regexp_replace(value, "[^0-9]", "")
-    return F.length(d).between(13, 19) & ~d.rlike(r"^([0-9])\1+\z") & F.call_function("luhn_check", d)
-
-
-def iban_valid(value: Column) -> Column:
-    """The mod-97 check of an account number; the remainder stays within an INT."""
-    c = F.upper(F.regexp_replace(value, f"[{WS}-]", ""))
-    turned = F.concat(F.substring(c, 5, 100), F.substring(c, 1, 4))
-    number = F.aggregate(
-        F.split(turned, ""),
-        F.lit(0),
-        lambda r, x: F.when(x == "", r).when(x.rlike("[0-9]"), (r * 10 + F.ascii(x) - 48) % 97).otherwise((r * 100 + F.ascii(x) - 55) % 97),
-    )
-    return c.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\z") & (number == 1)
-
-
-def ipv6_valid(value: Column) -> Column:
-    """Eight groups of one to four hex digits, or fewer around one "::"."""
-    v = F.lower(value)
-    sides = F.split(v, "::", -1)
-    groups = F.filter(F.flatten(F.transform(sides, lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":", -1)))), lambda g: g.isNotNull())
-    good = F.forall(groups, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
-    return v.contains(":") & ~v.contains(":::") & (F.size(sides) <= 2) & good & F.when(F.size(sides) == 2, F.size(groups) < 8).otherwise(F.size(groups) == 8)
+    """Array of (start_pos, value) of the matches of a pattern; one pass over each text, as a running offset in columns would copy the list for each match."""
+    import re
+
+    @F.udf(T.ArrayType(T.StructType([T.StructField("start_pos", T.IntegerType()), T.StructField("value", T.StringType())])), useArrow=True)
+    def run(t):
+        return None if t is None else [(m.start(), m[0]) for m in re.finditer(pattern, t)]
+
+    return run(text)
 
 
 def fingerprint_batch(texts: list[str | None]) -> list[str | None]:

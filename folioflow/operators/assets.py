@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import matches
+from ..functions.text import PY_WS, matches
 from .convert import references
 
-# What a bare address and a mail address look like. Java's classes are ASCII here.
-URL = r"""(?<!["'(])https?://[^\s)>\x{00A0}\x{2028}\x{2029}\x{3000}\x{FEFF}]+(?![^<]*>)"""
+# What a bare address and a mail address look like, with white space as a browser has it.
+URL = rf"""(?<!["'(])https?://[^{re.escape(PY_WS)})>]+(?![^<]*>)"""
 MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 

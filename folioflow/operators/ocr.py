@@ -103,10 +103,10 @@ def verification(pages: DataFrame, findings: DataFrame, values: DataFrame) -> Da
     return out.select("doc_id", "remaining", F.coalesce("titles", F.array().cast("array<string>")).alias("titles"), "still_visible", "has_text", ((F.col("remaining") == 0) & (F.col("still_visible") == 0)).alias("passed"))
 
 
-def low_confidence_warnings(results: DataFrame) -> DataFrame:
-    """(doc_id, page, warning) of pages recognised with little confidence."""
+def low_confidence_warnings(results: DataFrame, below: float = LOW_CONFIDENCE) -> DataFrame:
+    """(doc_id, page, warning) of pages recognised with less confidence than a bound."""
     pct = F.floor(F.col("confidence") + 0.5).cast("bigint")
-    return results.filter(F.col("confidence") < LOW_CONFIDENCE).select("doc_id", "page", F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" OCR confidence was "), pct.cast("string"), F.lit("%")).alias("warning"))
+    return results.filter(F.col("confidence") < below).select("doc_id", "page", F.concat(F.lit("Page "), F.col("page").cast("string"), F.lit(" OCR confidence was "), pct.cast("string"), F.lit("%")).alias("warning"))
 
 
 def merge_pages(page_texts: DataFrame, recognised: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import fingerprint_batch, line_of
+from ..functions.checks import iban, ipv6, luhn
+from ..functions.text import fingerprint_batch
 from .batches import map_batches
 from .rules import INVISIBLE, RULES
 
@@ -18,29 +20,6 @@ from .rules import INVISIBLE, RULES
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 
 
-def luhn(value: str) -> bool:
-    digits = [int(c) for c in value if "0" <= c <= "9"]
-    if not 13 <= len(digits) <= 19 or len(set(digits)) == 1:
-        return False
-    doubled = [divmod(2 * d, 10) for d in digits[-2::-2]]
-    return (sum(digits[-1::-2]) + sum(a + b for a, b in doubled)) % 10 == 0
-
-
-def iban(value: str) -> bool:
-    compact = re.sub(r"[\s-]", "", value).upper()
-    if not re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", compact):
-        return False
-    return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
-
-
-def ipv6(value: str) -> bool:
-    sides = value.lower().split("::")
-    groups = [g for side in sides if side for g in side.split(":")]
-    if ":" not in value or ":::" in value or len(sides) > 2 or not all(re.fullmatch("[0-9a-f]{1,4}", g) for g in groups):
-        return False
-    return len(groups) < 8 if len(sides) == 2 else len(groups) == 8
-
-
 _CHECKS = {"": lambda v: True, "luhn": luhn, "iban": iban, "ipv6": ipv6}
 
 
@@ -84,15 +63,26 @@ def spans(text: str) -> Iterator[tuple[int, int, int]]:
                 yield rule.order, a, b
 
 
+class Lines:
+    """The line, from 1, of each offset of a text."""
+
+    def __init__(self, text: str):
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    def of(self, offset: int) -> int:
+        return bisect.bisect_right(self.starts, offset)
+
+
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All findings of a text column before consolidation; null and empty texts have none.
 
-    Python gives rule, span and the fingerprint of the text. What the rule says is
-    joined from literals, and value and line are made by columns.
+    A map without a shuffle: texts go into Python and spans, values and lines
+    come back, never the text. What the rule says is joined from literals.
     """
     src = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text <> ''")
+    text, number = T.StringType(), T.IntegerType()
     schema = T.StructType(
-        [src.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("doc_fingerprint", T.StringType()), T.StructField("rule_ord", T.IntegerType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType())]
+        [src.schema["doc_id"], *[T.StructField(n, t) for n, t in (("doc_fingerprint", text), ("rule_ord", number), ("start_pos", number), ("end_pos", number), ("value", text), ("line", number))]]
     )
 
     def finish(rows: list[dict]) -> None:
@@ -103,7 +93,13 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for r, f in zip(hit, fingerprint_batch([r["text"] for r in hit])):
             r["fp"] = f
 
-    found = map_batches(src, lambda r: ((r["doc_id"], r["text"], r["fp"], *s) for s in r["spans"]), schema, before=finish)
+    def one(r: dict) -> Iterator[tuple]:
+        if r["spans"]:
+            lines = Lines(r["text"])
+            for order, a, b in r["spans"]:
+                yield r["doc_id"], r["fp"], order, a, b, r["text"][a:b], lines.of(a)
+
+    found = map_batches(src, one, schema, before=finish)
     table = F.array(*[F.struct(*[F.lit(getattr(r, n)).alias(n) for n in ("id", "type", "severity", "title", "detail", "placeholder")]) for r in RULES])
     rule = F.element_at(table, F.col("rule_ord"))
     return found.select(
@@ -111,10 +107,10 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.concat_ws("-", F.lit("rule"), rule["id"], "start_pos", "end_pos").alias("id"),
         "doc_fingerprint",
         *[rule[n].alias(n) for n in ("type", "severity", "title", "detail")],
-        F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("value"),
+        "value",
         "start_pos",
         "end_pos",
-        line_of(F.col("text"), F.col("start_pos")).alias("line"),
+        "line",
         rule["placeholder"].alias("placeholder"),
         F.lit("rule").alias("source"),
         F.lit(None).cast("double").alias("confidence"),

@@ -7,23 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import editing, language, text
+from . import fixtures, oracles
+from .functions import checks, editing, language, text
 from .operators import assets, entities, handoff, ocr, paging, spans, usage
 from .operators.convert import convert, references
 from .operators.scan import scan
 from .sources import files, html, sinks
 from .sources.tables import read_table as table
 
-MAIL_JAVA = rf"(?i){text.EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{text.EDGE}"
 MAIL_RE2 = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 IP_BODY = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WS_RE2 = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
-def latest_handoffs(spark: SparkSession, d: str) -> DataFrame:
-    """Each handoff as it was received last."""
-    w = Window.partitionBy("handoff_id").orderBy(F.col("received_at").desc_nulls_last(), F.col("markdown").desc_nulls_last())
-    return table(spark, d, "handoff_inputs").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+def latest_handoffs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each handoff as it was received last, with the columns named; older deliveries are dropped before the shuffle."""
+    t = table(spark, d, "handoff_inputs")
+    names = [c for c in t.columns if c != "handoff_id" and (not columns or c in columns)]
+    last = t.groupBy("handoff_id").agg(F.max_by(F.struct(*names), F.struct("received_at", "markdown")).alias("h"))
+    return last.select("handoff_id", "h.*")
 
 
 LATEST = "h AS (SELECT * FROM handoff_inputs QUALIFY row_number() OVER (PARTITION BY handoff_id ORDER BY received_at DESC NULLS LAST, markdown DESC NULLS LAST) = 1)"
@@ -131,19 +133,23 @@ def _matches_sql(pattern: str, columns: str = "") -> str:
     {columns or "SELECT handoff_id, value, start_pos, CAST(start_pos + length(value) AS INTEGER) AS end_pos, CAST(length(t[1:start_pos]) - length(replace(t[1:start_pos], chr(10), '')) + 1 AS INTEGER) AS line FROM y"}"""
 
 
-def _native(spark, d, pattern: str) -> DataFrame:
-    h = latest_handoffs(spark, d).filter("markdown IS NOT NULL").select("handoff_id", "markdown", F.explode(text.matches(F.col("markdown"), pattern)).alias("m"))
-    return h.select("handoff_id", "m.value", "m.start_pos", (F.col("m.start_pos") + F.length("m.value")).alias("end_pos"), text.line_of(F.col("markdown"), F.col("m.start_pos")).alias("line"))
+def _scanned(spark, d):
+    """All findings of the notes, by handoff_id."""
+    return scan(latest_handoffs(spark, d, "markdown"), "handoff_id", "markdown").withColumnRenamed("doc_id", "handoff_id")
 
 
-@query(_matches_sql(MAIL_RE2))
+def _of_rule(spark, d, rule: str) -> DataFrame:
+    return _scanned(spark, d).filter(F.col("id").startswith(f"rule-{rule}-")).select("handoff_id", "value", "start_pos", "end_pos", "line")
+
+
+@query(oracles.rule_findings("email"))
 def email_findings(spark, d):
-    return _native(spark, d, MAIL_JAVA)
+    return _of_rule(spark, d, "email")
 
 
-@query(_matches_sql(rf"\b{IP_BODY}\b"))
+@query(oracles.rule_findings("ipv4"))
 def ipv4_findings(spark, d):
-    return _native(spark, d, text.EDGE + IP_BODY + text.EDGE)
+    return _of_rule(spark, d, "ipv4")
 
 
 @query(
@@ -154,20 +160,20 @@ def ipv4_findings(spark, d):
 )
 def digit_runs_luhn(spark, d):
     v = F.explode(F.regexp_extract_all("markdown", F.lit("[0-9](?:[ -]?[0-9])+"), F.lit(0))).alias("value")
-    return latest_handoffs(spark, d).filter("markdown IS NOT NULL").select("handoff_id", v).select("handoff_id", "value", text.luhn_valid(F.col("value")).alias("valid"))
+    return latest_handoffs(spark, d, "markdown").filter("markdown IS NOT NULL").select("handoff_id", v).select("handoff_id", "value", checks.luhn_valid(F.col("value")).alias("valid"))
 
 
-@query()
+@query(oracles.all_findings("h", "handoff_id", "markdown", fingerprint=True))
 def scan_all_rules(spark, d):
-    return scan(latest_handoffs(spark, d), "handoff_id", "markdown").drop("rule_ord")
+    return _scanned(spark, d).drop("rule_ord")
 
 
-@query()
+@query(oracles.consolidated("h", "handoff_id", "markdown"))
 def scan_consolidated(spark, d):
-    return spans.consolidate(scan(latest_handoffs(spark, d), "handoff_id", "markdown")).drop("rule_ord")
+    return spans.consolidate(_scanned(spark, d), "handoff_id").select("handoff_id", "id", "type", "severity", "start_pos", "end_pos", "line", "placeholder")
 
 
-@query()
+@query(oracles.consolidated("documents", "doc_id", "text"))
 def scan_documents(spark, d):
     return spans.consolidate(scan(table(spark, d, "documents", spread=True), "doc_id", "text")).select("doc_id", "id", "type", "severity", "start_pos", "end_pos", "line", "placeholder")
 
@@ -223,9 +229,8 @@ _ISLANDS = f"""{VALID}, o AS (SELECT *, max(end_pos) OVER (PARTITION BY handoff_
     arg_max(id, {{'p': {PRIO}, 'l': end_pos - start_pos, 's': -start_pos, 'i': id}}) AS top_id FROM i GROUP BY handoff_id, island"""
 )
 def finding_islands(spark, d):
-    g = spans.islands(findings(spark, d), "handoff_id")
-    weight = F.struct(spans.priority().alias("p"), (F.col("end_pos") - F.col("start_pos")).alias("l"), (-F.col("start_pos")).alias("s"), F.col("id"))
-    return g.groupBy("handoff_id", "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n"), F.max_by("id", weight).alias("top_id"))
+    g = spans.redaction_groups(findings(spark, d), "handoff_id")
+    return g.select("handoff_id", "island", "start_pos", "end_pos", F.size("ids").cast("bigint").alias("n"), "top_id")
 
 
 @query(
@@ -236,22 +241,12 @@ def overlap_merged_ids(spark, d):
     return spans.islands(findings(spark, d), "handoff_id").filter("pos_in_island > 1").select("handoff_id", "id")
 
 
-@query(
-    _matches_sql(
-        MAIL_RE2,
-        """, a AS (SELECT *, lower(value) AS k, min(start_pos) OVER (PARTITION BY handoff_id, lower(value)) AS f FROM y),
-    b AS (SELECT *, dense_rank() OVER (PARTITION BY handoff_id ORDER BY f) AS n, coalesce(lag(start_pos + length(value)) OVER (PARTITION BY handoff_id ORDER BY start_pos), 0) AS p FROM a)
-    SELECT handoff_id, string_agg(t[p + 1:start_pos] || '[EMAIL_' || n || ']', '' ORDER BY start_pos) || any_value(t)[max(start_pos + length(value)) + 1:] AS text FROM b GROUP BY handoff_id""".lstrip(),
-    ).replace("FROM x)\n    , a AS", "FROM x), a AS")
-)
+@query(oracles.redacted("email"))
 def email_redaction(spark, d):
-    docs = latest_handoffs(spark, d).filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("text"))
-    found = _native(spark, d, MAIL_JAVA).join(docs, "handoff_id").select(
-        "handoff_id", F.concat_ws("-", F.lit("rule-email"), "start_pos", "end_pos").alias("id"), text.fingerprint(F.col("text")).alias("doc_fingerprint"), "value", "start_pos", "end_pos",
-        F.lit("EMAIL").alias("placeholder"), F.lit("personal-data").alias("type"), F.lit("medium").alias("severity"), F.lit("rule").alias("source"),
-    )
-    done = spans.redact(docs, found, key="handoff_id")
-    return done.filter("size(redacted_ids) > 0").select("handoff_id", "text")
+    """The addresses of each note replaced by numbered placeholders."""
+    docs = latest_handoffs(spark, d, "markdown").filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("text"))
+    found = scan(docs, "handoff_id", "text").withColumnRenamed("doc_id", "handoff_id").filter("id LIKE 'rule-email-%'")
+    return spans.redact(docs, found, key="handoff_id").filter("size(redacted_ids) > 0").select("handoff_id", "text")
 
 
 @query(
@@ -260,23 +255,33 @@ def email_redaction(spark, d):
     SELECT f.handoff_id, f.id FROM f JOIN c ON f.handoff_id = c.k WHERE coalesce(NOT (f.doc_fingerprint = c.fp AND f.end_pos <= length(c.t) AND c.t[f.start_pos + 1:f.end_pos] = f.finding_value), true)"""
 )
 def stale_findings(spark, d):
-    docs = latest_handoffs(spark, d).filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("t"), text.fingerprint(F.col("markdown")).alias("fp"))
-    fits = (F.col("doc_fingerprint") == F.col("fp")) & (F.col("end_pos") <= F.length("t")) & (F.expr("substring(t, start_pos + 1, end_pos - start_pos)") == F.col("value"))
-    return findings(spark, d).join(docs, "handoff_id").filter(F.coalesce(~fits, F.lit(True))).select("handoff_id", "id")
+    docs = latest_handoffs(spark, d, "markdown").filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("text"))
+    return spans.stale_findings(docs, findings(spark, d), "handoff_id")
 
 
-@query()
+@query(oracles.redact_stored())
 def redact_findings(spark, d):
     """The stored findings of each note put into effect; notes with a stale finding stay as they are."""
-    docs = latest_handoffs(spark, d).filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("text"))
-    return spans.redact(docs, findings(spark, d), key="handoff_id")
+    docs = latest_handoffs(spark, d, "markdown").filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("text"))
+    out = spans.redact(docs, findings(spark, d), key="handoff_id")
+    return out.select("handoff_id", "text", *[F.array_join(c, " ").alias(c) for c in ("redacted_ids", "overlap_merged_ids", "stale_ids")])
 
 
-@query()
+@query(oracles.redact_stored(selected=True))
+def redact_selected(spark, d):
+    """Only the findings that a note's own list names; notes whose list has an unknown id stay as they are."""
+    docs = latest_handoffs(spark, d, "markdown").filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("text"))
+    wanted = table(spark, d, "handoff_inputs").select("handoff_id", F.explode("findings").alias("f")).select("handoff_id", "f.id").filter("handoff_id IS NOT NULL AND id IS NOT NULL")
+    out = spans.redact(docs, findings(spark, d), selected=wanted, key="handoff_id")
+    return out.select("handoff_id", "text", *[F.array_join(c, " ").alias(c) for c in ("redacted_ids", "overlap_merged_ids", "stale_ids")])
+
+
+@query(oracles.redacted())
 def scan_and_redact(spark, d):
     """Scan, consolidate and redact in one plan."""
-    h = latest_handoffs(spark, d).filter("markdown IS NOT NULL").select(F.col("handoff_id").alias("doc_id"), F.col("markdown").alias("text"))
-    return spans.redact(h, spans.consolidate(scan(h, "doc_id", "text"))).select("doc_id", "text", "redacted_ids")
+    h = latest_handoffs(spark, d, "markdown").filter("markdown IS NOT NULL").select("handoff_id", F.col("markdown").alias("text"))
+    found = spans.consolidate(scan(h, "handoff_id", "text")).withColumnRenamed("doc_id", "handoff_id")
+    return spans.redact(h, found, key="handoff_id").filter("size(redacted_ids) > 0").select("handoff_id", "text")
 
 
 @query(
@@ -289,12 +294,13 @@ def selected_id_lists(spark, d):
 
 
 @query(
-    """SELECT s.handoff_id, s.id FROM (SELECT DISTINCT handoff_id, unnest(findings).id AS id FROM handoff_inputs) s
-    WHERE s.id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM safety_findings f WHERE f.handoff_id = s.handoff_id AND f.id = s.id)"""
+    f"""WITH {VALID}, s AS (SELECT DISTINCT handoff_id, id FROM safety_findings WHERE handoff_id IS NOT NULL AND id IS NOT NULL)
+    SELECT handoff_id, id FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.handoff_id = s.handoff_id AND f.id = s.id AND f.origin = 'rule')"""
 )
 def unknown_ids(spark, d):
-    wanted = table(spark, d, "handoff_inputs").select("handoff_id", F.explode("findings").alias("f")).select("handoff_id", "f.id").filter("id IS NOT NULL").distinct()
-    return wanted.join(table(spark, d, "safety_findings").select("handoff_id", "id"), ["handoff_id", "id"], "left_anti")
+    """Ids of all stored findings that aren't those of a valid rule finding."""
+    wanted = table(spark, d, "safety_findings").filter("handoff_id IS NOT NULL AND id IS NOT NULL")
+    return spans.unknown_ids(wanted, findings(spark, d).filter("source = 'rule'"), "handoff_id")
 
 
 @query(
@@ -370,7 +376,10 @@ def text_pages(spark, d):
     return paging.text_pages(table(spark, d, "documents", spread=True), "doc_id", "text")
 
 
-@query()
+@query(
+    rf"""WITH p AS (SELECT doc_id, list_transform(string_split_regex(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n\n+'), lambda x: regexp_replace(x, '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')) AS ps FROM documents)
+    SELECT doc_id, CASE WHEN ps IS NULL THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(array_to_string(ps, chr(10) || chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g') END AS text FROM p"""
+)
 def html_pages(spark, d):
     """Documents in the form of a page, back to Markdown."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), "\n\n+", "</p><p>")
@@ -383,6 +392,20 @@ def budget_chunks(spark, d):
     return entities.chunk_documents(table(spark, d, "documents", spread=True), "doc_id", "text", budget=128, overlap=16)
 
 
+@query(
+    "SELECT doc_id, true AS within_budget, true AS text_right, true AS overlaps, true AS covered FROM documents WHERE text <> ''"
+)
+def chunk_invariants(spark, d):
+    """Whether the chunks of each document keep the budget, carry the text at their offsets, overlap and cover it."""
+    c = entities.chunk_documents(table(spark, d, "documents", spread=True).filter("text <> ''"), "doc_id", "text", budget=128, overlap=16)
+    own = Window.partitionBy("doc_id").orderBy("text_offset")
+    c = c.withColumn("before", F.lag(F.col("text_offset") + F.length("text")).over(own)).withColumnRenamed("text", "chunk").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return c.groupBy("doc_id").agg(
+        F.bool_and(F.col("token_count") <= 128).alias("within_budget"), F.bool_and(F.expr("substring(text, text_offset + 1, length(chunk)) = chunk")).alias("text_right"),
+        F.bool_and(F.col("before").isNull() | (F.col("text_offset") <= F.col("before"))).alias("overlaps"), ((F.min("text_offset") == 0) & (F.max(F.col("text_offset") + F.length("chunk")) == F.first(F.length("text")))).alias("covered"),
+    )
+
+
 @query()
 def language_guess(spark, d):
     return language.detect(table(spark, d, "documents", spread=True), "doc_id", "text")
@@ -471,7 +494,30 @@ def handoff_steps(spark, d):
     return handoff.summarise(latest_handoffs(spark, d)).select("handoff_id", F.size("next_steps").cast("bigint").alias("n_steps"))
 
 
-@query()
+_MANY = lambda n, one: f"'Review ' || {n} || ' {one}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END"
+
+
+@query(
+    f"""WITH {LATEST}, s AS (SELECT handoff_id, {_FILLED("markdown")} AS doc, {_FILLED("plain_text")} AS outp, coalesce(conversion_mode = 'ai', false) AS ai, coalesce(deep_scan_status = 'complete', false) AS deep,
+    coalesce(human_approved, false) AS ok, coalesce(len(broken), 0) AS b, coalesce(len(import_warnings), 0) AS w, coalesce(len(findings), 0) AS f FROM h), c AS (SELECT *, doc AND outp AND ai AND deep AND f = 0 AND b = 0 AS pass FROM s)
+    SELECT handoff_id, array_to_string(list_filter([CASE WHEN NOT doc THEN 'Paste or import a document.' END, CASE WHEN doc AND NOT outp THEN 'Check the converted output before handing it to an agent.' END,
+    CASE WHEN doc AND NOT ai THEN 'Set AI-ready mode for structured, clearly delimited context.' END, CASE WHEN doc AND NOT deep THEN 'Run the deep local privacy scan and review its findings.' END,
+    CASE WHEN f > 0 THEN {_MANY("f", "local safety finding")} || ' before sharing.' END, CASE WHEN b > 0 THEN {_MANY("b", "broken reference")} || '.' END, CASE WHEN w > 0 THEN 'Review import warnings for reading-order or OCR limitations.' END,
+    CASE WHEN pass AND NOT ok THEN 'Review the visible output, then approve the handoff in Insights before an agent can read content, copy, or export.' END,
+    CASE WHEN ok AND NOT pass THEN 'Human approval was granted with unresolved checks; the agent may access this exact version, but readiness remains in review.' END,
+    CASE WHEN pass AND ok THEN 'The visible document is approved for agent-assisted access and export.' END], lambda x: x IS NOT NULL), chr(10)) AS steps FROM c"""
+)
+def handoff_step_texts(spark, d):
+    return handoff.summarise(latest_handoffs(spark, d)).select("handoff_id", F.array_join("next_steps", "\n").alias("steps"))
+
+
+_FIELD = lambda c, value: f"""CASE WHEN {c} IS NOT NULL THEN '"{c}":' || {value} END"""
+
+
+@query(
+    f"""WITH {LATEST} SELECT handoff_id, '{{' || array_to_string(list_filter([{", ".join([*(_FIELD(c, f"CAST(to_json({c}) AS VARCHAR)") for c in ("markdown", "plain_text", "conversion_mode", "append_references", "broken")),
+    """'"finding_ids":' || CAST(to_json(list_transform(coalesce(findings, []), lambda f: f.id)) AS VARCHAR)""", *(_FIELD(c, f"CAST(to_json({c}) AS VARCHAR)") for c in ("deep_scan_status", "import_warnings"))])}], lambda x: x IS NOT NULL), ',') || '}}' AS snapshot FROM h"""
+)
 def handoff_snapshots(spark, d):
     return handoff.approval_snapshot(latest_handoffs(spark, d))
 
@@ -506,20 +552,30 @@ def ocr_line_boxes(spark, d):
     return boxes.select("doc_id", "page", "line", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
 
 
-@query()
+_PAGES = f"(WITH {_VISIBLE}, l AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY pos) AS t FROM v GROUP BY ALL) SELECT doc_id || ':' || page AS key, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY doc_id, page)"
+
+
+@query(
+    f"""WITH {oracles._found(_PAGES, "key", "text")}, {_VISIBLE}, u AS (SELECT *, sum(length(text) + 1) OVER (PARTITION BY doc_id, page ORDER BY line, pos) - 1 AS z FROM v),
+    x AS (SELECT u.doc_id, u.page, fd.id, u.line, least(1, greatest(0, x0 / image_width)) AS l, least(1, greatest(0, y0 / image_height)) AS t, least(1, greatest(0, x1 / image_width)) AS r, least(1, greatest(0, y1 / image_height)) AS b
+        FROM fd JOIN u ON fd.k = u.doc_id || ':' || u.page AND u.z - length(u.text) < fd.end_pos AND fd.start_pos < u.z WHERE image_width > 0 AND image_height > 0),
+    g AS (SELECT doc_id, page, id, line, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM x WHERE r > l AND b > t GROUP BY ALL)
+    SELECT doc_id, page, id, line, round(greatest(0, l - 0.004), 6) AS x, round(greatest(0, t - 0.004), 6) AS y, round(least(1, r + 0.004) - greatest(0, l - 0.004), 6) AS width, round(least(1, b + 0.004) - greatest(0, t - 0.004), 6) AS height FROM g"""
+)
 def ocr_suggestions(spark, d):
     """Boxes for what the scanner finds on recognised pages."""
     words = ocr.mapped_words(table(spark, d, "ocr_words"))
     pages = ocr.page_text(table(spark, d, "ocr_words")).withColumn("key", F.struct("doc_id", "page"))
     found = scan(pages, "key", "text").select("doc_id.doc_id", "doc_id.page", "id", "start_pos", "end_pos")
-    return ocr.suggestions(found, words)
+    return ocr.suggestions(found, words).select("doc_id", "page", "id", "line", *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
 
 
 @query(
-    """SELECT DISTINCT doc_id, page, 'Page ' || page || ' OCR confidence was ' || CAST(floor(confidence + 0.5) AS BIGINT) || '%' AS warning FROM ocr_results WHERE confidence < 55"""
+    """SELECT DISTINCT doc_id, page, 'Page ' || page || ' OCR confidence was ' || CAST(floor(confidence + 0.5) AS BIGINT) || '%' AS warning FROM ocr_results WHERE confidence < 88"""
 )
 def ocr_warnings(spark, d):
-    return ocr.low_confidence_warnings(table(spark, d, "ocr_results")).distinct()
+    """Pages below 88: the test pages have none below the usual bound."""
+    return ocr.low_confidence_warnings(table(spark, d, "ocr_results"), 88).distinct()
 
 
 @query(
@@ -536,27 +592,41 @@ def layout_rows(spark, d):
 
 
 def _requests(spark, d) -> DataFrame:
-    """The events table as usage requests: each event type stands for a usage event, some for none."""
+    """The events table as usage requests: each event type stands for a usage event, some for none; some come the wrong way."""
     names = {"view": "page_view", "click": "button_click", "purchase": "export_file", "signup": "document_import"}
     event = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
     body = F.to_json(F.struct(F.coalesce(event, F.col("event_type")).alias("event"), F.when(F.col("event_type") == "click", F.lit("export_docx")).alias("button"), F.when(F.col("user_id") % 2 == 0, "import").alias("feature")))
-    return table(spark, d, "events").select("event_id", "ts", F.lit("POST").alias("method"), F.lit("https://app.example/api/usage").alias("url"), F.lit("https://app.example").alias("origin"), F.lit("application/json").alias("content_type"), body.alias("body"))
+    wrong = lambda n, bad, good: F.when(F.col("event_id") % n == 1, bad).otherwise(good)
+    return table(spark, d, "events").select(
+        "event_id", "ts", wrong(11, "GET", "POST").alias("method"), F.concat(F.lit("https://app.example"), wrong(13, "/api/other", "/api/usage")).alias("url"),
+        wrong(17, "https://other.example", "https://app.example").alias("origin"), wrong(19, "text/plain", "application/json").alias("content_type"), body.alias("body"),
+    )
+
+
+_STATUS = "CASE WHEN event_id % 13 = 1 THEN 404 WHEN event_id % 11 = 1 THEN 405 WHEN event_id % 17 = 1 THEN 403 WHEN event_id % 19 = 1 THEN 415 WHEN event_type = 'error' THEN 400 ELSE 204 END"
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 400 ELSE 204 END AS status FROM events")
+@query(f"SELECT event_id, {_STATUS} AS status FROM events")
 def usage_admission(spark, d):
     return usage.admit(_requests(spark, d)).select("event_id", "status")
 
 
 @query(
-    """SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'button_click' WHEN 'purchase' THEN 'export_file' ELSE 'document_import' END AS event,
-    CASE WHEN user_id % 2 = 0 THEN 'import' ELSE 'none' END AS feature, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL"""
+    f"""SELECT CAST(ts AS DATE) AS day, CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'button_click' WHEN 'purchase' THEN 'export_file' ELSE 'document_import' END AS event,
+    CASE WHEN user_id % 2 = 0 THEN 'import' ELSE 'none' END AS feature, CAST(count(*) AS BIGINT) AS n FROM events WHERE {_STATUS} = 204 GROUP BY ALL"""
 )
 def usage_daily(spark, d):
     ok = usage.admit(_requests(spark, d)).filter("status = 204")
     return usage.counts(ok.select(F.to_date("ts").alias("day"), "event", F.coalesce("feature", F.lit("none")).alias("feature")), "day", "event", "feature")
 
 
-@query()
+@query(
+    f"""SELECT event AS index, event || ',' || feature || ',none,none,none,' || CASE WHEN event = 'button_click' THEN 'export_docx' ELSE 'none' END AS blobs, CAST(1.0 AS DOUBLE) AS double
+    FROM (SELECT CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'button_click' WHEN 'purchase' THEN 'export_file' ELSE 'document_import' END AS event, CASE WHEN user_id % 2 = 0 THEN 'import' ELSE 'none' END AS feature FROM events WHERE {_STATUS} = 204)"""
+)
 def usage_points(spark, d):
-    return usage.data_points(usage.admit(_requests(spark, d)))
+    return usage.data_points(usage.admit(_requests(spark, d))).select("index", F.array_join("blobs", ",").alias("blobs"), F.col("doubles")[0].alias("double"))
+
+
+QUERIES |= fixtures.QUERIES
+SQL |= fixtures.SQL

@@ -85,9 +85,12 @@ def docx_to_html(data: bytes) -> str:
     return html.replace("</ul><ul>", "")
 
 
-# What is said about pages without text and about reading order.
+# What is said about reading order, images, sizes and types.
 _PDF = "PDF columns and complex tables may not retain their original reading order."
-_IMAGE = "Image text needs OCR before it can be read."
+_IMAGE = "This image is ready for local OCR and redaction. No image data leaves your device."
+_GIF = "Animated GIFs are handled as a single still frame and export as PNG."
+_TOO_LARGE = "This file is larger than the 30 MB local import limit."
+_UNKNOWN = "Unsupported file type. Use Markdown, TXT, HTML, DOCX, PDF, PNG, JPG, or WEBP."
 IMPORTED = T.StructType(
     [
         *[T.StructField(n, T.StringType()) for n in ("path", "file_name", "format", "text")],
@@ -107,7 +110,7 @@ def import_files(files: DataFrame) -> DataFrame:
         kind, data, text, warnings, error = r["format"], r["content"], "", [], None
         try:
             if r["size"] > MAX_BYTES:
-                error = "The file is larger than 30 MB."
+                error = _TOO_LARGE
             elif kind in ("markdown", "text"):
                 text = re.sub("\r\n?", "\n", data.decode("utf-8-sig", "replace")).replace("\0", "")
             elif kind == "html":
@@ -117,9 +120,9 @@ def import_files(files: DataFrame) -> DataFrame:
             elif kind == "pdf":
                 warnings = [_PDF]
             elif kind == "image":
-                warnings = [_IMAGE]
+                warnings = [_IMAGE, _GIF] if r["file_name"].lower().endswith(".gif") else [_IMAGE]
             else:
-                error = "The file type is not supported."
+                error = _UNKNOWN
         except Exception as e:  # noqa: BLE001 - a broken file is a row, not the end of the job
             error = f"The file could not be read: {type(e).__name__}"
         yield r["path"], r["file_name"], kind, None if error else text, warnings, kind in ("pdf", "image"), error

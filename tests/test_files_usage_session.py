@@ -198,4 +198,4 @@ def test_entry_points(spark):
 
     queries, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(queries) and len(sql) >= 30
-    assert set(e.entry(spark).columns) == {"doc_id", "text", "redacted_ids"}
+    assert set(e.entry(spark).columns) == {"handoff_id", "text"}

@@ -128,3 +128,41 @@ def test_needs_pass_over_no_match():
         for r in RULES:
             if r.regex.search(s):
                 assert not r.needs or any(x in low for x in r.needs), (r.id, s)
+
+
+def test_spans_meet_by_stretches(spark):
+    """Against comparing all pairs, with long spans, touching ones and copies."""
+    import random
+
+    from folioflow.operators import spans as S
+
+    rng = random.Random(4)
+    rows = []
+    for d in range(6):
+        for n in range(60):
+            a = rng.randrange(0, 600)
+            rows.append((d, f"f{n}", a, a + rng.choice([1, 2, 5, 20, 63, 64, 65, 300]), "personal-data", rng.choice(["high", "low"]), "rule", rng.choice([0.7, 0.8, 0.9])))
+    df = spark.createDataFrame(rows, "doc_id int, id string, start_pos int, end_pos int, type string, severity string, source string, confidence double")
+    prio = {"high": 531, "low": 511}
+
+    def brute(rank, share):
+        kept = set()
+        for d in range(6):
+            mine = sorted((r for r in rows if r[0] == d), key=rank)
+            for i, a in enumerate(mine):
+                over = lambda b: min(a[3], b[3]) - max(a[2], b[2])  # noqa: B023, E731
+                if not any(over(b) > 0 and share(a, b, over(b)) for b in mine[:i]):
+                    kept.add((d, a[1]))
+        return kept
+
+    got = {(r.doc_id, r.id) for r in S.consolidate(df).collect()}
+    assert got == brute(lambda r: (-prio[r[5]], r[2] - r[3], r[2], r[1]), lambda a, b, o: o / (a[3] - a[2]) >= 0.8)
+    got = {(r.doc_id, r.id) for r in S.dedupe_model(df).collect()}
+    assert got == brute(lambda r: (-r[7], r[2], r[3], r[1]), lambda a, b, o: o / min(a[3] - a[2], b[3] - b[2]) >= 0.6)
+    left, right = df.filter("id < 'f3'"), df.filter("id >= 'f3'")
+    merged = {(r.doc_id, r.id) for r in S.merge_findings(right, left).collect()}
+    want = {(r[0], r[1]) for r in rows if r[1] >= "f3"}
+    for a in rows:
+        if a[1] < "f3" and not any(b[0] == a[0] and b[1] >= "f3" and min(a[3], b[3]) - max(a[2], b[2]) >= 0.6 * min(a[3] - a[2], b[3] - b[2]) for b in rows):
+            want.add((a[0], a[1]))
+    assert merged == want
