@@ -112,6 +112,7 @@ _BORN_WORDS = frozenset("born birth dob geboren geburtsdatum geb né née naissa
 
 #: What joins the two parts of an address, and the part after it; the part before is read backwards.
 _AT = re.compile(r"@\s?|\s?(?:\(at\)|\[at\]|\{at\})\s?| at (?=[\w-]{1,63}(?: dot |\s?[(\[{]dot))", re.I)
+_SIGN, _SPELT = re.compile(r"@\s?"), re.compile(r"[(\[{]at[)\]}]| dot |[(\[{]dot", re.I)
 _LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?"
 _DOT = r"(?:\.|\s?[(\[{]dot[)\]}]\s?| dot )"
 _DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL}){{0,8}}{_DOT}[A-Za-z]{{2,24}}", re.I)
@@ -158,6 +159,8 @@ _ANY_NUMBER = re.compile("|".join(f"(?:{p.pattern})" for p in (*_IDS, *_PHONES))
 _STRETCH = re.compile(r"\d(?:[\d ./()–-]|[A-Za-z] ?\d)*(?:[-– ]?[A-Za-z])?")
 #: Letters and marks of a number that may stand before its first digit.
 _AHEAD = 6
+#: The rank of numbers by their check digits: after all formats.
+_LAST = len(_IDS) + len(_PHONES)
 #: Numbers whose check digits alone say what they are.
 _BY_CHECK = re.compile(r"(?<![\w.,/-])(?:\d{3}\.\d{3}\.\d{3}-\d{2}|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])(?![\w/]|[.,-]\d)")
 _ID_CUE = re.compile(
@@ -193,8 +196,9 @@ _BEFORE = re.compile(r"([^\W\d_]+)\.?(?:\s+(?:no|nr|number|n°|n\.º|#)\.?)?[ :#
 _NOT = frozenset(NOT_A_VALUE.split())
 _PARTICLES = frozenset(PARTICLES.split())
 _NO_SURNAME = frozenset([*_STREETS, *_FIRMS.split()])
+_ID_WORDS = frozenset("id passport ausweisnummer reisepass personalausweis pièce passeport documento pasaporte dni nif nino ssn identity carta paspoort".split())
 #: Every word that begins a pattern or counts in one, so that most words cost one look-up.
-_CUES = frozenset([*_NAMED, *_STREETS, *_AFTER_WORDS, *_BORN_WORDS, *_SPELLED, *(w.lower() for w in (*_TITLED_WORDS, *GIVEN))])
+_CUES = frozenset([*_NAMED, *_STREETS, *_AFTER_WORDS, *_BORN_WORDS, *_ID_WORDS, *_SPELLED, *(w.lower() for w in (*_TITLED_WORDS, *GIVEN))])
 #: Words that stand where a name could, but are none.
 _NO_NAME = frozenset(
     "minutes protokoll protocole compte rendu acta verbale verslag ata sir madam team all colleagues customer tenant applicant damen herren "
@@ -221,6 +225,9 @@ def _numbers(form: str) -> Iterator[tuple[int, int, int, str]]:
         if len(near) < _AHEAD or _DATE.fullmatch(near.strip(" .,-–")):
             continue
         a, b = max(0, s.start() - _AHEAD), min(len(form), s.end() + 4)
+        for m in _BY_CHECK.finditer(form, a, b):
+            if scheme_of(re.sub(r"\W", "", m[0])) is not None:
+                yield _LAST, m.start(), m.end(), "IDENTITY_DATA"
         if not _ANY_NUMBER.search(form, a, b):
             continue
         for rank, p in enumerate(_IDS):
@@ -234,7 +241,7 @@ def _numbers(form: str) -> Iterator[tuple[int, int, int, str]]:
 
 def _addresses(form: str) -> Iterator[tuple[int, int]]:
     """E-mail addresses, looked for around what joins their parts."""
-    for m in _AT.finditer(form):
+    for m in (_AT if _SPELT.search(form) else _SIGN).finditer(form):
         a = m.start()
         while a and (form[a - 1].isalnum() or form[a - 1] in "_.%+-"):
             a -= 1
@@ -269,19 +276,18 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
     low = form.lower()
     if len(low) != len(form):
         low = form
-    words = _WORD.findall(low)
-    if low is form:
-        words = [w.lower() for w in words]
-    places = [m.span() for m in _WORD.finditer(low)]
+    tokens = list(_WORD.finditer(low))
+    words = [m[0].lower() for m in tokens] if low is form else [m[0] for m in tokens]
     marked = [i for i, w in enumerate(words) if w in _CUES or w[-3:] in _STREET_ENDS]
     names_at: list[tuple[int, int, re.Pattern]] = []
     streets_at: list[tuple[int, int, int, re.Pattern]] = []
     titled_at: list[int] = []
+    id_at: list[int] = []
     given_at: list[int] = []
     after = born = False
     spoken, run, before = [], 0, -2
     for i in marked:
-        w, (a, b) = words[i], places[i]
+        w, (a, b) = words[i], tokens[i].span()
         for rank, p in _NAMED.get(w, ()):
             names_at.append((rank, a, p))
         for rank, back, p in _STREETS.get(w, ()):
@@ -290,9 +296,11 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
             streets_at.append((rank, a, a, p))
         after = after or w in _AFTER_WORDS
         born = born or w in _BORN_WORDS
+        if w in _ID_WORDS:
+            id_at.append(a)
         if w in _SPELLED:
             # Digit words with nothing but blanks and hyphens between them.
-            run = run + 1 if before == i - 1 and not form[places[i - 1][1] : a].strip(" \t\r\n-") else 1
+            run = run + 1 if before == i - 1 and not form[tokens[i - 1].end() : a].strip(" \t\r\n-") else 1
             before = i
             if run == _LEAST_SPOKEN:
                 spoken.append([i - run + 1, i])
@@ -308,21 +316,18 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
         add(a, b, "EMAIL")
     for m in _BORN.finditer(form) if born else ():
         add(*m.span("v"), "BIRTH_DATE")
-    for m in _ID_CUE.finditer(form):
+    for m in filter(None, (_ID_CUE.match(form, a) for a in id_at)):
         v = m["v"].rstrip(" /-")
         if sum(c.isdigit() for c in v) >= 5 and not _is_date(v):
             add(m.start("v"), m.start("v") + len(v), "IDENTITY_DATA")
     for _, a, b, kind in sorted(_numbers(form)):
         if word_before(a) not in _NOT:
             add(a, b, kind)
-    for m in _BY_CHECK.finditer(form):
-        if scheme_of(re.sub(r"\W", "", m[0])) is not None and word_before(m.start()) not in _NOT:
-            add(m.start(), m.end(), "IDENTITY_DATA")
     for first, last in spoken:
-        a = places[first][0]
-        if first and words[first - 1] == "plus" and form[places[first - 1][1] : a].isspace():
-            a = places[first - 1][0]
-        add(a, places[last][1], "PHONE")
+        a = tokens[first].start()
+        if first and words[first - 1] == "plus" and form[tokens[first - 1].end() : a].isspace():
+            a = tokens[first - 1].start()
+        add(a, tokens[last].end(), "PHONE")
 
     names: set[str] = set()
 
@@ -380,7 +385,7 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
     if names:
         last = -1
         for i in [i for i, w in enumerate(words) if w in names]:
-            w, (a, end) = words[i], places[i]
+            w, (a, end) = words[i], tokens[i].span()
             if a >= last and not taken[a] and (form[a].isupper() or len(w) > 4):
                 full = _NAME.match(form, a)
                 if full and all(w.lower() in names or w.lower() in _PARTICLES for w in _WORD.findall(full[0])):

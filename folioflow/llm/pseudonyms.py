@@ -45,7 +45,6 @@ def _class_of(c: str) -> tuple | None:
     return (script, kind, ord(c) >> 7) if kind in ("Lu", "Ll", "Nd") else (script, kind)
 
 
-@lru_cache(maxsize=4096)
 def _place(c: str) -> tuple[str, int, str] | None:
     """(alphabet, index, sign of the class) of a character."""
     for first, radix in (("0", 10), ("A", 26), ("a", 26)):
@@ -58,6 +57,17 @@ def _place(c: str) -> tuple[str, int, str] | None:
     return (a, a.index(c), a[0]) if len(a) > 1 else None
 
 
+class _Places(dict):
+    """The place of each character, worked out once."""
+
+    def __missing__(self, c: str) -> tuple[str, int, str] | None:
+        got = self[c] = _place(c)
+        return got
+
+
+_PLACES = _Places()
+
+
 @lru_cache(maxsize=8)
 def _ascii(first: str, radix: int) -> str:
     return "".join(chr(ord(first) + i) for i in range(radix))
@@ -185,8 +195,8 @@ class Feistel:
         if size < 2:
             return value
         a = _root(size)
-        # A round's function: 64 bytes of keyed hash, far longer than the halves of a block, modulo their size.
-        base = hashlib.blake2b(tweak, key=self.key, digest_size=64)
+        # A round's function: 48 bytes of keyed hash, far longer than the halves of a block, modulo their size.
+        base = hashlib.blake2b(tweak, key=self.key, digest_size=48)
         while True:
             left, right = divmod(value, a)
             for i in range(_ROUNDS - 1, -1, -1) if back else range(_ROUNDS):
@@ -204,7 +214,7 @@ class Feistel:
                 return value
 
     def _text(self, value: str, kind: str, back: bool) -> str:
-        places = list(map(_place, value))
+        places = list(map(_PLACES.__getitem__, value))
         at = [(i, p) for i, p in enumerate(places) if p]
         out = list(value)
         base = f"{kind}|{''.join([p[2] if p else c for p, c in zip(places, value)])}|"
@@ -212,8 +222,9 @@ class Feistel:
             block = at[b : b + _BLOCK]
             size, n = 1, 0
             for _, (alphabet, index, _) in block:
-                n = n * len(alphabet) + index
-                size *= len(alphabet)
+                radix = len(alphabet)
+                n = n * radix + index
+                size *= radix
             # The tweak holds the pseudonym so far, which both directions know.
             before = value if back else out
             n = self.permute(n, size, (base + "".join(before[: block[0][0]])).encode("utf-8", "replace"), back)
