@@ -90,7 +90,14 @@ def written(df: DataFrame, by: str) -> DataFrame:
     """The table written to the shared folder, in parts by a column, and read again: each use reads its part and columns only."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4()}"
-    df.write.partitionBy(by).parquet(path)
+    # A few parts are written side by side, without sorting the rows by part.
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "32")
+    try:
+        df.write.partitionBy(by).parquet(path)
+    finally:
+        spark.conf.set(name, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

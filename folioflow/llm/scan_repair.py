@@ -138,26 +138,52 @@ _SHORT_NUMBERS = regex.compile(r"(?<![\p{L}0-9])[0-9lOI]{1,4}(?![\p{L}0-9])")
 _NO_LETTERS = regex.compile(r"[^\p{L}]+")
 
 
+#: What a line without a next line says of it.
+_NOTHING = dict.fromkeys(("next_line", "next_pos", "next_text", "next_conf", "next_bottom"))
+
+
+def _list(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count or pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[int], list, list[str], list]]:
-    """(document, page, and the lines, positions, texts and confidences of its words) of rows sorted by these."""
-    open_page: list | None = None
+    """(document, page, and the lines, positions, texts and confidences of its words, in order and each place once) of rows sorted by the hash of their page."""
+    last, rows = None, [[] for _ in range(6)]
     for batch in batches:
         if not batch.num_rows:
             continue
-        doc, page = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        cols = [batch.column(i).to_pylist() for i in range(2, 6)]
-        edges = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1).tolist(), len(doc)]
+        hashes = batch.column(0).to_numpy(zero_copy_only=False)
+        cols = [_list(batch.column(i)) for i in range(1, 7)]
+        edges = [0, *(np.flatnonzero(hashes[1:] != hashes[:-1]) + 1).tolist(), len(hashes)]
         for a, b in zip(edges, edges[1:]):
-            key, part = (int(doc[a]), int(page[a])), [c[a:b] for c in cols]
-            if open_page and open_page[0] == key:
-                for x, y in zip(open_page[1], part):
-                    x += y
-            else:
-                if open_page:
-                    yield *open_page[0], *open_page[1]
-                open_page = [key, part]
-    if open_page:
-        yield *open_page[0], *open_page[1]
+            if last is not None and hashes[a] != last:
+                yield from _ordered(rows)
+                rows = [[] for _ in range(6)]
+            last = hashes[a]
+            for x, y in zip(rows, cols):
+                x += y[a:b]
+    if last is not None:
+        yield from _ordered(rows)
+
+
+def _ordered(rows: list[list]) -> Iterator[tuple]:
+    docs, pages, lines, poss, texts, confs = rows
+    keys = list(zip(docs, pages, lines, [-1 if p is None else p for p in poss]))
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    at: list[int] = []
+    for i in order:
+        if at and keys[at[-1]] == keys[i]:
+            # Of rows with one place the greatest text counts, then the greatest confidence.
+            j = at[-1]
+            if (texts[i], -1.0 if confs[i] is None else confs[i]) > (texts[j], -1.0 if confs[j] is None else confs[j]):
+                at[-1] = i
+        else:
+            at.append(i)
+    # Nearly always one page; two whose hashes are the same come apart here.
+    cuts = [0, *(k for k in range(1, len(at)) if keys[at[k]][:2] != keys[at[k - 1]][:2]), len(at)] if keys[at[0]][:2] != keys[at[-1]][:2] else [0, len(at)]
+    for a, b in zip(cuts, cuts[1:]):
+        part = at[a:b]
+        yield docs[part[0]], pages[part[0]], *([c[i] for i in part] for c in (lines, poss, texts, confs))
 
 
 def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,20 +192,20 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forms: dict[str, list[int]] = {}
     rows: list[dict] = []
 
-    def ready() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], f.type) for n, f in zip(_NAMES, schema)], schema=schema)
+    def ready() -> Iterator[pa.RecordBatch]:
+        """The rows so far, a batch for each kind: columns that a kind hasn't are nulls without being looked at."""
+        by_kind: dict[str, list[dict]] = {}
+        for r in rows:
+            by_kind.setdefault(r["kind"], []).append(r)
         rows.clear()
-        return batch
+        for part in by_kind.values():
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in part], f.type) if any(n in r for r in (part[0], part[-1])) else pa.nulls(len(part), f.type) for n, f in zip(_NAMES, schema)], schema=schema)
 
     def count() -> None:
         rows.extend({"kind": "form", "key": w, "n": n, "conf_sum": s, "conf_n": k} for w, (n, s, k) in forms.items() if w)
         forms.clear()
 
     for doc, page, lines, poss, texts, confs in _pages(batches):
-        # Of rows with one place the last counts, which has the greatest text.
-        at = [i for i in range(len(lines)) if i + 1 == len(lines) or lines[i] != lines[i + 1] or poss[i] != poss[i + 1]]
-        if len(at) < len(lines):
-            lines, poss, texts, confs = ([c[i] for i in at] for c in (lines, poss, texts, confs))
         base = {"doc_id": doc, "page": page}
         for line, pos, text, conf in zip(lines, poss, texts, confs):
             w, odd = memo[text]
@@ -199,7 +225,7 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top, bottom = no == 0, no == len(spans) - 1
             text = " ".join(texts[a:b])
             c, d = spans[no + 1] if not bottom else (None, None)
-            after = {} if bottom else {"next_line": lines[c], "next_pos": poss[c], "next_text": texts[c], "next_conf": confs[c], "next_bottom": no == len(spans) - 2}
+            after = _NOTHING if bottom else {"next_line": lines[c], "next_pos": poss[c], "next_text": texts[c], "next_conf": confs[c], "next_bottom": no == len(spans) - 2}
             own = {**base, "line": lines[a], "top": top, "bottom": bottom}
             cut = _HYPHEN_RE.search(text)
             if cut and _CUT.search(texts[b - 1]):
@@ -225,17 +251,16 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number = bool(_NUMBER_RE.search(text))
                 sure = (bottom and not top and (apart or number)) or (top and not bottom and opens and (number or bool(re.search(r"\s[|—]\s", text))))
                 maybe = top and not bottom and opens
-                rows.append({"kind": "edge", **own, **after, "flag": sure, "n": len(text) + 3 + len(after.get("next_text", "")) if maybe else None, "texts": keys if maybe else []})
+                rows.append({"kind": "edge", **own, **after, "flag": sure, "n": len(text) + 3 + len(after["next_text"] or "") if maybe else None, "texts": keys if maybe else []})
                 rows.append({"kind": "edge words", **own, "texts": [memo[t][0] for t in texts[a:b]], "confs": confs[a:b]})
         rows.extend({"kind": "width", "doc_id": doc, "pos": k, "n": n} for k, n in widths.items())
         rows.append({"kind": "page", **base, "lines": lines, "poss": poss, "texts": texts})
         if len(forms) > KEPT_FORMS:
             count()
         if len(rows) > 20_000:
-            yield ready()
+            yield from ready()
     count()
-    if rows:
-        yield ready()
+    yield from ready()
 
 
 def layout(words: DataFrame) -> DataFrame:
@@ -245,8 +270,9 @@ def layout(words: DataFrame) -> DataFrame:
         F.trim(F.col("text").cast("string")).alias("text"), F.col("confidence").cast("double").alias("confidence"),
     )
     src = src.filter("text <> '' AND doc_id IS NOT NULL AND page IS NOT NULL AND line IS NOT NULL")
-    # The one shuffle of all words.
-    return src.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "line", "pos", "text", "confidence").mapInArrow(_layout, FACT_DDL)
+    # The one shuffle of all words; one number to sort by needs no comparisons.
+    src = src.select(F.xxhash64("doc_id", "page").alias("at"), "doc_id", "page", "line", "pos", "text", "confidence")
+    return src.repartition("at").sortWithinPartitions("at").mapInArrow(_layout, FACT_DDL)
 
 
 PAGE, LINE, PLACE = ["doc_id", "page"], ["doc_id", "page", "line"], ["doc_id", "page", "line", "pos"]
