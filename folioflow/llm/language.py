@@ -53,6 +53,7 @@ _HEADING = re.compile(r"[ \t]*#{1,6} ")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•] |\d{1,4}[.)] )")
 _STOP = re.compile(r"(?<=[^\s.!?…;])[.!?…;]++[\"'»”’)\]]*+(?=\s|$)")
 _WORDS = re.compile(r"[^\W\d_]+")
+_ENOUGH = re.compile(r"(?:[\W\d_]*+[^\W\d_]++){%d}" % MIN_WORDS)
 
 
 def language_code(label: str | None) -> str | None:
@@ -100,11 +101,8 @@ def sentences(text: str) -> list[tuple[int, int, str, bool]]:
             block.append(line)
         at += len(line) + 1
     flush()
-    return [
-        (s, e, t, full and n >= MIN_WORDS)
-        for s, e, t, full in out
-        if (n := len(_WORDS.findall(t))) >= 2
-    ]
+    # Most have enough words, which their beginning shows.
+    return [(s, e, t, full and n >= MIN_WORDS) for s, e, t, full in out if (n := MIN_WORDS if _ENOUGH.match(t) else len(_WORDS.findall(t))) >= 2]
 
 
 def plain(sentence: str, marked: bool = True) -> str:
