@@ -16,6 +16,7 @@ from .operators import assets, entities, ocr, paging, spans, usage
 from .operators.convert import convert, references
 from .operators.rules import RULES
 from .operators.scan import scan
+from .plans.samples import SAMPLES
 from .sources import files, html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,9 +254,13 @@ def _docx() -> bytes:
     return out.getvalue()
 
 
-@case("case_id int, text string", [(1, "a b & ü"), (2, None), (3, "")])
+@case("case_id int, text string", [(1, "a b & ü"), (2, None), (3, None), (4, SAMPLES["readme"]), (5, "x"), (6, None), (7, SAMPLES["finance-invoice"])])
 def fixture_addresses(spark, d):
-    rows = [(1, "https://app.example/?text=a%20b%20%26%20%C3%BC&x=1"), (2, "https://app.example/?x=1"), (3, "https://app.example/?text=")]
+    """A text in an address goes before a sample; samples are named without regard to case."""
+    rows = [
+        (1, "https://app.example/?text=a%20b%20%26%20%C3%BC&x=1"), (2, "https://app.example/?x=1"), (3, "https://app.example/?text="), (4, "https://app.example/?sample=ReadMe"), (5, "https://app.example/?sample=readme&text=x"),
+        (6, "https://app.example/?sample=none"), (7, "https://app.example/?text=&sample=finance-invoice"),
+    ]
     return spark.createDataFrame(rows, "case_id int, url string").select("case_id", files.text_from_url(F.col("url")).alias("text"))
 
 

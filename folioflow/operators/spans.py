@@ -22,6 +22,11 @@ def priority() -> Column:
     return _case("type", TYPE_RANK) + _case("severity", SEVERITY_RANK) + F.coalesce(F.col("source") == "rule", F.lit(False)).cast("int")
 
 
+def weight(finding: dict) -> int:
+    """As ``priority``, of one finding."""
+    return TYPE_RANK.get(finding["type"], 0) + SEVERITY_RANK.get(finding["severity"], 0) + (finding["source"] == "rule")
+
+
 def _overlap(a: str, b: str) -> Column:
     return F.greatest(F.lit(0), F.least(F.col(f"{a}.end_pos"), F.col(f"{b}.end_pos")) - F.greatest(F.col(f"{a}.start_pos"), F.col(f"{b}.start_pos")))
 
@@ -153,7 +158,7 @@ def alias_key(value: Column) -> Column:
     return F.when(value.rlike(r"^[\x00-\x7f]*\z"), F.lower(value)).otherwise(fold(value))
 
 
-def _put_together(text: str, spans: list[dict], normalise: bool) -> tuple[str, list[str], list[str]]:
+def put_together(text: str, spans: list[dict], normalise: bool) -> tuple[str, list[str], list[str]]:
     """The text with each island of spans replaced, and the ids of all spans and of those that were merged into others."""
     import unicodedata
 
@@ -211,7 +216,7 @@ def _marked(docs: DataFrame, findings: DataFrame, unknown: DataFrame | None, key
         if stale or not spans:
             yield r[key], text, [], [], stale
         else:
-            yield r[key], *_put_together(text, spans, normalise), []
+            yield r[key], *put_together(text, spans, normalise), []
 
     return map_batches(joined, one, schema, before=before)
 

@@ -9,14 +9,19 @@ the snapshot covers takes the approval back.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from ..functions.text import PY_WS
 from ..operators.convert import MODES, convert_text
 from ..operators.paging import CURSOR_MAX, PAGE_CHARACTERS, PAGE_ITEMS, page_at, truncate_json
-from ..operators.rules import RULES, SEVERITY_RANK, TYPE_RANK
-from ..operators.scan import spans
+from ..operators.assets import MAIL, URL
+from ..operators.entities import LEAST_SCORE, family_of
+from ..operators.rules import RULES
+from ..operators.scan import Lines, spans
+from ..operators.spans import SAME_MODEL, SAME_RULE, put_together, weight
+from .samples import SAMPLES
 
 # Bounds of inputs.
 MAX_TEXT, MAX_IDS, MAX_ID = 200_000, 100, 100
@@ -33,16 +38,12 @@ def _bounded(args: dict, name: str, low: int, high: int, default: int) -> int:
     return v
 
 
-def _priority(f: dict) -> int:
-    return TYPE_RANK[f["type"]] + SEVERITY_RANK[f["severity"]] + (f["source"] == "rule")
-
-
 def _consolidated(found: list[dict]) -> list[dict]:
-    ranked = sorted(found, key=lambda f: (-_priority(f), f["start"] - f["end"], f["start"]))
+    ranked = sorted(found, key=lambda f: (-weight(f), f["start"] - f["end"], f["start"]))
     kept = []
     for i, f in enumerate(ranked):
         share = max((min(f["end"], g["end"]) - max(f["start"], g["start"]) for g in ranked[:i]), default=0)
-        if share < 0.8 * (f["end"] - f["start"]) or share <= 0:
+        if share < SAME_RULE * (f["end"] - f["start"]) or share <= 0:
             kept.append(f)
     return sorted(kept, key=lambda f: (f["start"], -f["end"]))
 
@@ -56,7 +57,7 @@ class Session:
     append_references: bool = True
     file_name: str | None = None
     warnings: list[str] = field(default_factory=list)
-    sample: str = "# Sample\n\nA short note with a [link](https://example.com).\n"
+    sample: str = SAMPLES["chatgpt"]
     detector: Callable[[str], list[tuple[int, int, str, float]]] | None = None
     sink: Callable[[str, str], bool] | None = None
 
@@ -71,16 +72,17 @@ class Session:
     def _derive(self) -> None:
         self.text, self.references, self.broken = convert_text(self.markdown, self.mode, self.append_references)
         rows = []
+        lines = Lines(self.markdown)
         for order, a, b in spans(self.markdown):
             r = RULES[order - 1]
             rows.append(
                 {"id": f"rule-{r.id}-{a}-{b}", "type": r.type, "severity": r.severity, "title": r.title, "detail": r.detail, "placeholder": r.placeholder, "start": a, "end": b,
-                 "line": self.markdown.count("\n", 0, a) + 1, "source": "rule", "confidence": None}
+                 "line": lines.of(a), "source": "rule", "confidence": None}
             )
         rules = _consolidated(rows)
 
         def apart(m: dict) -> bool:
-            return all(min(m["end"], r["end"]) - max(m["start"], r["start"]) < 0.6 * min(m["end"] - m["start"], r["end"] - r["start"]) for r in rules)
+            return all(min(m["end"], r["end"]) - max(m["start"], r["start"]) < SAME_MODEL * min(m["end"] - m["start"], r["end"] - r["start"]) for r in rules)
 
         self.findings = sorted([*rules, *filter(apart, self._deep)], key=lambda f: (f["start"], -f["end"]))
 
@@ -110,15 +112,13 @@ class Session:
             raise ToolError("Add document content first.")
 
     def assets(self) -> list[dict]:
-        import re
-
         rows = [{"type": "image" if r.kind == "image" else "link", "value": r.url, "label": r.label} for r in self.references]
         seen = {r["value"] for r in rows}
-        for m in re.finditer(r"""(?<!["'(])https?://[^\s)>]+(?![^<]*>)""", self.markdown):
+        for m in re.finditer(URL, self.markdown):
             if m[0] not in seen:
                 seen.add(m[0])
                 rows.append({"type": "link", "value": m[0], "label": None})
-        rows += [{"type": "email", "value": m[0], "label": None} for m in re.finditer(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", self.markdown)]
+        rows += [{"type": "email", "value": m[0], "label": None} for m in re.finditer(MAIL, self.markdown)]
         return rows
 
     def readiness(self) -> dict:
@@ -200,13 +200,11 @@ class Session:
 
     def run_deep_privacy_scan(self, **_) -> dict:
         self._need_text()
-        rows = []
+        rows, lines = [], Lines(self.markdown)
         for a, b, label, score in self.detector(self.markdown) if self.detector else []:
-            if 0 <= a < b <= len(self.markdown) and score >= 0.65:
-                rows.append(
-                    {"id": f"local-ai-{a}-{b}-{label}", "type": "personal-data", "severity": "medium", "title": "Possible personal information", "detail": "", "placeholder": label,
-                     "start": a, "end": b, "line": self.markdown.count("\n", 0, a) + 1, "source": "local-ai", "confidence": score}
-                )
+            f = family_of(label)
+            if f and 0 <= a < b <= len(self.markdown) and score >= LEAST_SCORE:
+                rows.append({"id": f"local-ai-{a}-{b}-{f.pop('key')}", **f, "start": a, "end": b, "line": lines.of(a), "source": "local-ai", "confidence": score})
         self._deep, self.deep_status, self._approved = rows, "complete", None
         self._derive()
         return {"status": "complete", "findingCount": len(self.findings), "privacy": "local-only", "nextTool": "get_handoff_readiness"}
@@ -220,29 +218,10 @@ class Session:
             if i not in known:
                 raise ToolError(f"No finding has the id {i}.")
         chosen = sorted((known[i] for i in dict.fromkeys(ids)), key=lambda f: (f["start"], -f["end"]))
-        groups: list[list[dict]] = []
-        reach = -1
-        for f in chosen:
-            if f["start"] < reach:
-                groups[-1].append(f)
-            else:
-                groups.append([f])
-            reach = max(reach, f["end"])
-        import unicodedata
-
-        numbers: dict[str, dict[str, int]] = {}
-        out, at = [], 0
-        for g in groups:
-            top = min(g, key=lambda f: (-_priority(f), f["start"] - f["end"], f["start"]))
-            a, b = g[0]["start"], max(f["end"] for f in g)
-            put = ""
-            if top["type"] != "invisible-text":
-                names = numbers.setdefault(top["placeholder"], {})
-                put = f"[{top['placeholder']}_{names.setdefault(unicodedata.normalize('NFKC', self.markdown[a:b]).lower(), len(names) + 1)}]"
-            out += [self.markdown[at:a], put]
-            at = b
-        self._replace("".join([*out, self.markdown[at:]]))
-        return {"redacted": len(chosen), "overlapMerged": len(chosen) - len(groups), "updated": True, "remainingFindingCount": len(self.findings), "approvalReset": True}
+        rows = [{"id": f["id"], "start_pos": f["start"], "end_pos": f["end"], "placeholder": f["placeholder"], "type": f["type"], "prio": weight(f)} for f in chosen]
+        text, _, merged = put_together(self.markdown, rows, True)
+        self._replace(text)
+        return {"redacted": len(chosen), "overlapMerged": len(merged), "updated": True, "remainingFindingCount": len(self.findings), "approvalReset": True}
 
     def copy_converted_text(self, **_) -> dict:
         if not self.text:

@@ -142,5 +142,9 @@ def pdf_document(page_rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def text_from_url(url: Column) -> Column:
-    """The text that an address carries in its ``text`` parameter; null without one."""
-    return F.url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("text")))
+    """The text that an address carries in its ``text`` parameter, else the sample that its ``sample`` parameter names; null without either."""
+    from ..plans.samples import SAMPLES
+
+    text = F.nullif(F.url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("text"))), F.lit(""))
+    samples = F.create_map(*[F.lit(x) for kv in SAMPLES.items() for x in kv])
+    return F.coalesce(text, F.try_element_at(samples, F.lower(F.url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("sample"))))))
