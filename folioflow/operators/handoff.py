@@ -20,18 +20,20 @@ def _severity(name: str) -> Column:
     return F.when(F.col("findings").isNull(), 0).otherwise(F.size(F.filter("findings", lambda f: f["severity"] == name))).cast("bigint")
 
 
-def summarise(inputs: DataFrame) -> DataFrame:
+def summarise(inputs: DataFrame, *keep: str) -> DataFrame:
     """A summary row for each input row.
 
     Inputs have handoff_id, markdown, plain_text, conversion_mode,
     append_references, reference_count, broken, findings, deep_scan_status,
     import_warnings and human_approved; nulls count as empty, not done, not approved.
+    ``keep`` names columns of the input that go along.
     """
     yes = lambda c: F.coalesce(c, F.lit(False))
     n_findings, n_broken, n_warnings = _count(F.col("findings")), _count(F.col("broken")), _count(F.col("import_warnings"))
     has_doc, has_out = _filled(F.col("markdown")), _filled(F.col("plain_text"))
     s = inputs.select(
         "handoff_id",
+        *keep,
         has_doc.alias("has_document"),
         has_out.alias("has_converted_output"),
         yes(F.col("conversion_mode") == "ai").alias("ai_ready_mode"),

@@ -17,14 +17,13 @@ PAGE_CHARACTERS, PAGE_JSON, PAGE_ITEMS, CURSOR_MAX = 1000, 1400, 2, 500_000
 
 def text_cursors(df: DataFrame, id_col: str, text_col: str, characters: int = PAGE_CHARACTERS) -> DataFrame:
     """Pages of a fixed number of characters: (doc_id, page_no, cursor, next_cursor, total, text); an empty text is one empty page."""
-    src = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("total", F.length("t"))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("total") - 1), F.lit(characters))).alias("cursor")
-    pages = src.select("doc_id", "t", "total", at)
+    src = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # All pages of a text by one pass over it; a substring for each would begin at the text's start each time.
+    pages = F.posexplode_outer(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{characters}}}"), F.lit(0))).alias("page_no", "text")
+    pages = src.select("doc_id", F.length("t").alias("total"), pages).na.fill({"page_no": 0, "text": ""})
+    pages = pages.withColumn("cursor", F.col("page_no") * characters)
     end = F.col("cursor") + characters
-    return pages.select(
-        "doc_id", (F.col("cursor") / characters).cast("int").alias("page_no"), "cursor",
-        F.when(end < F.col("total"), end).alias("next_cursor"), "total", F.substring("t", F.col("cursor") + 1, F.lit(characters)).alias("text"),
-    )
+    return pages.select("doc_id", "page_no", "cursor", F.when(end < F.col("total"), end).alias("next_cursor"), "total", "text")
 
 
 def _json_length(value) -> int:

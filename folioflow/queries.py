@@ -451,10 +451,9 @@ def note_previews(spark, d):
 )
 def document_state(spark, d):
     """Counts and settings of each note, never its text."""
-    s = handoff.summarise(latest_handoffs(spark, d))
+    s = handoff.summarise(latest_handoffs(spark, d), "conversion_mode")
     f = table(spark, d, "safety_findings").filter("handoff_id IS NOT NULL").groupBy("handoff_id").agg(F.count("*").alias("n"), F.count_if(F.col("origin") == "local-ai").alias("m"))
-    mode = latest_handoffs(spark, d).select("handoff_id", "conversion_mode")
-    return s.join(f, "handoff_id", "left").join(mode, "handoff_id", "left").select(
+    return s.join(f, "handoff_id", "left").select(
         "handoff_id", F.col("input_characters").alias("markdown_length"), "word_count", F.col("output_characters").alias("output_length"), "conversion_mode", F.col("references_appended").alias("append_references"),
         "warning_count", "broken_count", F.coalesce("n", F.lit(0)).alias("finding_count"), F.coalesce("m", F.lit(0)).alias("model_finding_count"), "deep_scan_status", "human_approved",
     )
