@@ -95,6 +95,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_findings(spark, d).filter("placeholder <> 'BIRTH_DATE'").select("handoff_id", "placeholder", "start_pos").distinct()
 
 
+def p5_emails(spark: SparkSession, d: str) -> DataFrame:
+    """The addresses of each note in their visible form, with how often each stands there."""
+    found = p5_findings(spark, d).filter("placeholder = 'EMAIL'")
+    shown = visible_form(found, "value", "email").select("handoff_id", "start_pos", "email").distinct()
+    return shown.groupBy("handoff_id", F.regexp_replace("email", r"\s+", " ").alias("email")).agg(F.count("*").alias("places"))
+
+
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_personal_data(table(spark, d, "handoff_inputs", spread=True), "handoff_id", "markdown", _key(spark))
 
@@ -155,7 +162,7 @@ _MARKUP = r"'\]\([^()\s]*\)|\]\[[^\]\n]*\]|</?[A-Za-z][^<>\n]*>'"
 def _grams(key: str, name: str) -> str:
     """The runs of ten words of a table's texts."""
     words = rf"regexp_extract_all(lower(regexp_replace({_NO_UNSEEN}, {_MARKUP}, ' ', 'g')), '[\p{{L}}\p{{N}}]+')"
-    return f"SELECT {key}, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, {words} AS w FROM {name} WHERE text IS NOT NULL))"
+    return f"SELECT {key}, array_to_string(w[i:i + 9], ' ') AS g, i, len(w) AS n FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, {words} AS w FROM {name} WHERE text IS NOT NULL))"
 
 
 def _visible_sql(column: str) -> str:
@@ -176,7 +183,22 @@ _P8 = f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(len(w) AS BI
     CAST(len(list_filter(list_transform(string_split(t, chr(10)), lambda l: trim(regexp_replace(trim(l, E' \\t\u00a0'), '^(?:>\\s*)+', ''), E' \\t\u00a0')), lambda s: length(s) > 3 OR regexp_matches(s, '[\\p{{L}}\\p{{N}}]') OR regexp_matches(s, '…{{2,}}|^\\|.*\\|'))) AS BIGINT) AS n_lines
     FROM (SELECT doc_id, t, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS t FROM documents))"""
 
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}_-]*[\p{L}\p{N}])?"
+_DOT = r"(?:\.| ?[(\[{]dot[)\]}] ?| dot )"
+_MAIL = rf"(?i)[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{N}}_.%+-]*[\p{{L}}\p{{N}}_])?(?:@ ?| ?\(at\) ?| ?\[at\] ?| ?\{{at\}} ?){_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,24}}"
+#: Each delivery of a note counts, but whole copies of its text once.
+_P5_MAILS = f"""WITH t AS (SELECT DISTINCT handoff_id, markdown FROM handoff_inputs WHERE markdown IS NOT NULL), m AS (SELECT handoff_id, markdown, unnest(regexp_extract_all({_visible_sql("markdown")}, '{_MAIL}')) AS email FROM t)
+    SELECT handoff_id, email, CAST(max(n) AS BIGINT) AS places FROM (SELECT handoff_id, markdown, email, count(*) AS n FROM m GROUP BY ALL) GROUP BY handoff_id, email"""
+
+#: Runs of shared words: places that follow each other in both texts are one run.
+_LEAKS = f"""d AS ({_grams('doc_id', 'documents')}), t AS ({_grams('item_id', 'heldout_items')}), m AS (SELECT DISTINCT doc_id, item_id, d.i AS p, d.i - t.i AS shift, t.n FROM d JOIN t USING (g)),
+    r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS run FROM m), w AS (SELECT doc_id, item_id, n, shift, run, count(*) + 9 AS words FROM r GROUP BY ALL),
+    lk AS (SELECT doc_id, item_id, CAST(max(words) AS INTEGER) AS longest_run, CAST(max(n) AS INTEGER) AS item_words, CAST(count(*) AS INTEGER) AS places FROM w GROUP BY doc_id, item_id)"""
+
 SQL = {
+    "p7_leaks": f"WITH {_LEAKS} SELECT * FROM lk",
+    "p7_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs, max(longest_run) AS longest_run FROM lk GROUP BY item_id",
+    "p5_emails": _P5_MAILS,
     "p2_found": _P2,
     "p1_found": "SELECT DISTINCT chunk_id FROM pii_chunks WHERE len(regexp_extract_all(text, '[\\p{L}\\p{N}]{1,8}')) + len(regexp_extract_all(text, '[^\\p{L}\\p{N} \\t\\r\\n\\x{00A0}]')) > token_budget",
     "p7_found": f"WITH d AS ({_grams('doc_id', 'documents')}), i AS ({_grams('item_id', 'heldout_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
@@ -201,6 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_findings": p5_findings,
         "p5_redacted": p5_redacted,
+        "p5_emails": p5_emails,
         "p6_pack": p6_pack,
         "p6_fill": p6_fill,
         "p6_invariants": p6_invariants,
