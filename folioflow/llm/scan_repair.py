@@ -242,11 +242,12 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # The last word and the last two without numbers: what a running title ends in, whatever firm or page it has.
                 parts = _NO_LETTERS.sub(" ", _SHORT_NUMBERS.sub(" ", text).lower()).split()
                 mine = [k for k in (" ".join(parts[-1:]), " ".join(parts[-2:]) if len(parts) > 1 else "") if len(k) > 3]
-                bare = " ".join(parts)
                 if top or bottom:
                     keys = mine
-                if top or not bottom or apart:
-                    rows.extend({"kind": "title", "key": k, "text": bare, "flag": top or bottom} for k in mine)
+                if mine and (top or not bottom or apart):
+                    # Texts are only told apart, which their hashes do.
+                    bare = xxhash.xxh3_64_intdigest(" ".join(parts)) - (1 << 63)
+                    rows.extend({"kind": "title", "key": k, "n": bare, "flag": top or bottom} for k in mine)
             if top or bottom:
                 number = bool(_NUMBER_RE.search(text))
                 sure = (bottom and not top and (apart or number)) or (top and not bottom and opens and (number or bool(re.search(r"\s[|—]\s", text))))
@@ -282,7 +283,7 @@ def running_lines(facts: DataFrame) -> DataFrame:
     """(doc_id, page, line): the running lines."""
     edge = facts.filter("kind = 'edge'").select(*LINE, "flag", "n", F.col("texts").alias("keys"))
     # Different texts of edge lines against different texts of body lines with the same end.
-    titles = facts.filter("kind = 'title'").select("key", "text", "flag").distinct().groupBy("key").agg(F.count_if("flag").alias("edges"), F.count_if(~F.col("flag")).alias("bodies"))
+    titles = facts.filter("kind = 'title'").select("key", "n", "flag").distinct().groupBy("key").agg(F.count_if("flag").alias("edges"), F.count_if(~F.col("flag")).alias("bodies"))
     titles = titles.filter(f"edges >= {EDGE_TEXTS} AND edges > 3 * bodies").select("key")
     titled = edge.select(*LINE, F.explode("keys").alias("key")).join(titles, "key").select(*LINE)
     # The width of a document: nine in ten of its lines within a page are no longer.
