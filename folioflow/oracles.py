@@ -123,6 +123,8 @@ def rule_findings(rule: str) -> str:
 
 
 def all_findings(source: str, key: str, column: str, fingerprint: bool = False) -> str:
+    if not fingerprint:
+        return f"WITH {_found(source, key, column)} SELECT k AS {key}, id, type, severity, value, start_pos, end_pos, line, placeholder FROM fd"
     return f"""WITH {_found(source, key, column)}, {FINGERPRINT.format(source=_NOTES)}
     SELECT k AS {key}, id, fp AS doc_fingerprint, type, severity, title, detail, value, start_pos, end_pos, line, placeholder, 'rule' AS source, CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS model_label FROM fd JOIN fps USING (k)"""
 

@@ -13,7 +13,10 @@ from .operators import assets, entities, handoff, ocr, paging, spans, usage
 from .operators.convert import convert, references
 from .operators.scan import scan
 from .sources import files, html, sinks
+from .sources.shared import drained
 from .sources.tables import read_table as table
+from .sources.tables import stream_table
+from .streaming import pipelines
 
 MAIL_RE2 = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 IP_BODY = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -591,12 +594,16 @@ def layout_rows(spark, d):
 
 
 def _requests(spark, d) -> DataFrame:
+    return _as_requests(table(spark, d, "events"))
+
+
+def _as_requests(events: DataFrame) -> DataFrame:
     """The events table as usage requests: each event type stands for a usage event, some for none; some come the wrong way."""
     names = {"view": "page_view", "click": "button_click", "purchase": "export_file", "signup": "document_import"}
     event = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
     body = F.to_json(F.struct(F.coalesce(event, F.col("event_type")).alias("event"), F.when(F.col("event_type") == "click", F.lit("export_docx")).alias("button"), F.when(F.col("user_id") % 2 == 0, "import").alias("feature")))
     wrong = lambda n, bad, good: F.when(F.col("event_id") % n == 1, bad).otherwise(good)
-    return table(spark, d, "events").select(
+    return events.select(
         "event_id", "ts", wrong(11, "GET", "POST").alias("method"), F.concat(F.lit("https://app.example"), wrong(13, "/api/other", "/api/usage")).alias("url"),
         wrong(17, "https://other.example", "https://app.example").alias("origin"), wrong(19, "text/plain", "application/json").alias("content_type"), body.alias("body"),
     )
@@ -627,5 +634,83 @@ def usage_points(spark, d):
     return usage.data_points(usage.admit(_requests(spark, d))).select("index", F.array_join("blobs", ",").alias("blobs"), F.col("doubles")[0].alias("double"))
 
 
+# ---- streams -------------------------------------------------------------------------
+#
+# Each reads a table as a stream to its end; what a watermark still holds back is not given, and SQL leaves it out too.
+
+
+
+def _events_stream(spark, d) -> DataFrame:
+    return stream_table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_END = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+_USAGE_EVENT = "CASE event_type WHEN 'view' THEN 'page_view' WHEN 'click' THEN 'button_click' WHEN 'purchase' THEN 'export_file' ELSE 'document_import' END"
+
+
+@query(
+    f"""WITH u AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, {_USAGE_EVENT} AS event, CASE WHEN user_id % 2 = 0 THEN 'import' ELSE 'none' END AS feature, CASE WHEN event_type = 'click' THEN 'export_docx' ELSE 'none' END AS button FROM events WHERE {_STATUS} = 204)
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, event, feature, button, CAST(count(*) AS BIGINT) AS n FROM u WHERE window_start + INTERVAL 5 MINUTE <= {_END} GROUP BY u.window_start, event, feature, button"""
+)
+def stream_usage_counts(spark, d):
+    got = drained(pipelines.usage_counts(_as_requests(_events_stream(spark, d))))
+    return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event", "feature", "button", "n")
+
+
+@query("SELECT DISTINCT user_id AS session, event_type AS event FROM events")
+def stream_first_events(spark, d):
+    """Each event of a session once."""
+    e = _events_stream(spark, d).select(F.col("user_id").alias("session"), F.col("event_type").alias("event"), "ts")
+    return drained(pipelines.once_per_session(e, late="4000 days")).select("session", "event")
+
+
+@query(
+    f"""WITH e AS (SELECT user_id AS doc_id, ts, event_type || ' edit ' || event_id AS text FROM events), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY doc_id ORDER BY ts) <= INTERVAL 1200 MILLISECOND THEN 0 ELSE 1 END AS new FROM e),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY ts) AS burst FROM s) SELECT doc_id, arg_max(text, ts) AS text FROM b GROUP BY doc_id, burst HAVING max(ts) + INTERVAL 1200 MILLISECOND <= {_END}"""
+)
+def stream_settled_edits(spark, d):
+    """The last text of each burst of edits; each user's events stand for edits of a document."""
+    e = _events_stream(spark, d).select(F.col("user_id").alias("doc_id"), F.concat_ws(" ", "event_type", F.lit("edit"), "event_id").alias("text"), "ts")
+    return drained(pipelines.settled_edits(e)).select("doc_id", "text")
+
+
+@query(
+    rf"""SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{WS_RE2}]+')) AS BIGINT) AS n_words,
+    CASE WHEN length(coalesce(text, '')) < 1000 THEN 'tiny' WHEN length(text) < 10000 THEN 'small' WHEN length(text) < 100000 THEN 'medium' ELSE 'large' END AS size_bucket FROM documents"""
+)
+def stream_document_statistics(spark, d):
+    return drained(pipelines.document_statistics(stream_table(spark, d, "documents"))).drop("doc_fingerprint")
+
+
+@query(oracles.all_findings("documents", "doc_id", "text"))
+def stream_document_findings(spark, d):
+    return drained(pipelines.document_findings(stream_table(spark, d, "documents"))).select("doc_id", "id", "type", "severity", "value", "start_pos", "end_pos", "line", "placeholder")
+
+
+@query(
+    f"""WITH {LATEST}, {oracles.FINGERPRINT.format(source="(SELECT handoff_id AS k, markdown AS x FROM h WHERE markdown IS NOT NULL)")}
+    SELECT finding_no, handoff_id FROM safety_findings s WHERE EXISTS (SELECT 1 FROM fps WHERE fps.k = s.handoff_id AND fps.fp = s.doc_fingerprint)"""
+)
+def stream_current_results(spark, d):
+    """Stored findings, arriving late, that belong to the present text of their note."""
+    now = latest_handoffs(spark, d, "markdown").filter("markdown IS NOT NULL").select(F.col("handoff_id").alias("doc_id"), text.fingerprint(F.col("markdown")).alias("doc_fingerprint"))
+    late = stream_table(spark, d, "safety_findings").select("finding_no", F.col("handoff_id").alias("doc_id"), "doc_fingerprint")
+    return drained(pipelines.current_results(late, now)).select("finding_no", F.col("doc_id").alias("handoff_id"))
+
+
+@query(
+    """WITH c AS (SELECT user_id AS doc_id, event_id, event_type = 'purchase' AS approve, CAST(event_id % 3 AS VARCHAR) AS snapshot FROM events),
+    l AS (SELECT doc_id, coalesce(arg_max(snapshot, event_id) FILTER (NOT approve), '') AS snapshot, coalesce(arg_max(snapshot, event_id) FILTER (approve), '') AS given FROM c GROUP BY doc_id)
+    SELECT doc_id, snapshot <> '' AND snapshot = given AS approved, snapshot FROM l"""
+)
+def stream_approvals(spark, d):
+    """Whether the present version of each document is approved; each user's events stand for edits and approvals."""
+    c = stream_table(spark, d, "events").select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "approve").otherwise("edit").alias("kind"), (F.col("event_id") % 3).cast("string").alias("snapshot")
+    )
+    got = drained(pipelines.approvals(c), "update")
+    return got.groupBy("doc_id").agg(F.max_by("approved", "batch").alias("approved"), F.max_by("snapshot", "batch").alias("snapshot"))
+
+
 QUERIES |= fixtures.QUERIES
 SQL |= fixtures.SQL
