@@ -17,7 +17,8 @@ from .operators.convert import convert, references
 from .operators.rules import RULES
 from .operators.scan import scan
 from .plans.samples import SAMPLES
-from .sources import files, html
+from .plans.session import run_calls
+from .sources import files, html, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -479,3 +480,58 @@ def fixture_points(spark, d):
     df = spark.createDataFrame([r[:5] for r in REQUESTS], "method string, url string, origin string, content_type string, body string")
     p = usage.data_points(usage.admit(df))
     return p.select(F.concat_ws("|", "index", F.array_join("blobs", ","), F.array_join(F.col("doubles").cast("array<string>"), ",")).alias("point"))
+
+
+# ---- sessions and files out ----------------------------------------------------------
+
+_NOTE = "Mail ada@example.com and see [x](https://a.example)."
+_APPROVE = "A person has to approve this version first."
+#: Tool, arguments, result, error.
+PLAYED = [
+    ("set_document_content", '{"text":"' + _NOTE + '"}', '{"updated":true,"markdownLength":52,"outputLength":68,"safetyFindingCount":1}', None),
+    (
+        "get_document_state", None,
+        '{"markdownLength":52,"wordCount":5,"outputLength":68,"conversionMode":"readable","appendReferences":true,"hasImportedFile":false,"importWarningCount":0,"imageRedactionActive":false,"imageOcrCoordinatesReady":false,'
+        '"imageRedactionSuggestionCount":0,"referenceCount":1,"brokenReferenceCount":0,"assetCount":2,"safetyFindingCount":1,"deepScanStatus":"idle","humanApprovalGranted":false}', None,
+    ),
+    ("get_converted_text", "{}", None, _APPROVE),
+    (
+        "get_safety_findings", "{}",
+        '{"findings":[{"id":"rule-email-5-20","type":"personal-data","severity":"medium","line":1,"source":"rule","confidence":null,"title":"Email address","detail":"Review personal contact information before sharing this document.","placeholder":"EMAIL"}],'
+        '"cursor":0,"nextCursor":null,"totalFindings":1}', None,
+    ),
+    ("redact_document_findings", '{"findingIds":["rule-email-5-20"]}', '{"redacted":1,"overlapMerged":0,"updated":true,"remainingFindingCount":0,"approvalReset":true}', None),
+    ("redact_document_findings", '{"findingIds":["rule-email-5-20"]}', None, "No finding has the id rule-email-5-20."),
+    ("prepare_agent_handoff", "{}", '{"updated":true,"conversionMode":"ai","appendReferences":true,"approvalReset":true,"nextTool":"get_handoff_readiness"}', None),
+    ("run_deep_privacy_scan", "{}", '{"status":"complete","findingCount":0,"privacy":"local-only","nextTool":"get_handoff_readiness"}', None),
+    ("approve", None, '{"approved":true}', None),
+    (
+        "get_handoff_readiness", "{}",
+        '{"readiness":"ready","contentChecksPass":true,"humanApprovalGranted":true,"checks":{"hasDocument":true,"hasConvertedOutput":true,"aiReadyMode":true,"deepPrivacyScanComplete":true,"noSafetyFindings":true,"noBrokenReferences":true}}', None,
+    ),
+    ("get_converted_text", '{"maxCharacters":20}', '{"text":"<untrusted_document>","cursor":0,"nextCursor":20,"totalCharacters":105,"mode":"ai"}', None),
+    ("list_document_assets", '{"limit":1}', '{"items":[{"category":"asset","type":"link","value":"https://a.example","valueTruncated":false,"label":"x","labelTruncated":false}],"cursor":0,"nextCursor":1,"totalItems":2}', None),
+    ("set_conversion_options", '{"mode":"plain"}', '{"updated":true,"conversionMode":"plain","appendReferences":true,"approvalReset":true}', None),
+    ("copy_converted_text", "{}", None, _APPROVE),
+    ("approve", None, '{"approved":true}', None),
+    ("copy_converted_text", "{}", '{"copied":true,"characters":62}', None),
+    ("download_converted_text", "{}", '{"downloadStarted":true,"filename":"converted-text.txt"}', None),
+    ("clear_document", "{}", '{"cleared":true,"approvalReset":true}', None),
+    ("insert_sample_document", "{}", f'{{"inserted":true,"markdownLength":{len(SAMPLES["chatgpt"])},"approvalReset":true}}', None),
+    ("no_such_tool", "{}", None, "Unknown tool: no_such_tool"),
+]
+
+
+@case("session_id bigint, seq int, tool string, result string, error string", [(s, n, tool, result, error) for s in (1, 2) for n, (tool, _, result, error) in enumerate(PLAYED)])
+def fixture_tools(spark, d):
+    """Two sessions through all tools; neither sees the other."""
+    rows = [(s, n, tool, arguments) for s in (1, 2) for n, (tool, arguments, *_) in enumerate(PLAYED)]
+    return run_calls(spark.createDataFrame(rows, "session_id long, seq int, tool string, arguments string"))
+
+
+@case("doc_id bigint, text string", [(1, "Title\n\na & b\n\n<c>"), (2, "one")])
+def fixture_exports(spark, d):
+    """Word-processor files written and read again; empty texts give none."""
+    texts = spark.createDataFrame([(1, "Title\na & b\n<c>"), (2, "one"), (3, ""), (4, None)], "doc_id long, text string")
+    made = sinks.docx_files(texts).select(F.format_string("%d.docx", "doc_id").alias("path"), F.length("content").cast("long").alias("length"), "content")
+    return files.import_files(made).select(F.regexp_extract("file_name", "^[0-9]+", 0).cast("long").alias("doc_id"), "text")

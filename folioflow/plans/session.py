@@ -13,6 +13,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 from ..functions.text import PY_WS
 from ..operators.convert import MODES, convert_text
 from ..operators.paging import CURSOR_MAX, PAGE_CHARACTERS, PAGE_ITEMS, page_at, truncate_json
@@ -278,3 +280,32 @@ def register(add: Callable[[str, Callable], None], remove: Callable[[str], None]
             remove(name)
         return 0
     return len(done)
+
+
+CALLS = "session_id long, seq int, tool string, result string, error string"
+
+
+def run_calls(calls: DataFrame, detector: Callable[[str], list[tuple[int, int, str, float]]] | None = None) -> DataFrame:
+    """Rows of CALLS: the result of each call, as JSON, or its error; ``calls`` has session_id, seq, tool and arguments (JSON).
+
+    Each session is played in one task, in the order of seq. The tool "approve" is a person's decision.
+    """
+    import pandas as pd
+
+    def play(pdf: pd.DataFrame) -> pd.DataFrame:
+        session, rows = Session(detector=detector, sink=lambda kind, text: True), []
+        for r in pdf.sort_values("seq").itertuples():
+            result = error = None
+            try:
+                arguments = json.loads(r.arguments) if r.arguments else {}
+                if r.tool == "approve":
+                    session.approve()
+                    result = {"approved": session.approved}
+                else:
+                    result = call(session, r.tool, arguments)
+            except (ToolError, json.JSONDecodeError) as e:
+                error = str(e)
+            rows.append((r.session_id, r.seq, r.tool, None if result is None else json.dumps(result, ensure_ascii=False, separators=(",", ":")), error))
+        return pd.DataFrame(rows, columns=["session_id", "seq", "tool", "result", "error"])
+
+    return calls.groupBy("session_id").applyInPandas(play, CALLS)
