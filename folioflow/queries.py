@@ -346,6 +346,78 @@ for _mode in ("plain", "readable", "ai"):
     _converted(_mode)
 
 
+_LINK_RE2 = r"""(!?)\[([^\]]*)\](?:\(\s*(?:<([^>]+)>|([^)\s]+))(?:\s+(?:"[^"]*"|''[^'']*''|\([^)]*\)))?\s*\)|\[([^\]]*)\])"""
+_DEFINED = r"""^\s{0,3}\[([^\]]+)\]:\s*(?:<([^>]+)>|(\S+))(?:\s+(?:"[^"]*"|''[^'']*''|\([^)]*\)))?\s*$"""
+_LABEL = lambda c: f"lower(regexp_replace(trim({c}, E' \\t\\n\\r'), '\\s+', ' ', 'g'))"
+#: Links of documents without fenced code: u has the place, kind and address of each use, bad the labels that lead nowhere.
+_LINKS = f"""ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents WHERE text <> '')),
+    df AS (SELECT doc_id, {_LABEL(f"regexp_extract(line, '{_DEFINED}', 1)")} AS label, arg_max(regexp_extract(line, '{_DEFINED}', 2) || regexp_extract(line, '{_DEFINED}', 3), n) AS url FROM ln WHERE regexp_matches(line, '{_DEFINED}') GROUP BY ALL),
+    tx AS (SELECT * FROM ln WHERE NOT regexp_matches(line, '{_DEFINED}')),
+    mt AS (SELECT doc_id, n, i, ms[i] AS m FROM (SELECT doc_id, n, ms, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, n, regexp_extract_all(line, '{_LINK_RE2}') AS ms FROM tx))),
+    pt AS (SELECT doc_id, n, i, CASE WHEN regexp_extract(m, '{_LINK_RE2}', 1) = '!' THEN 'image' ELSE 'link' END AS kind, regexp_extract(m, '{_LINK_RE2}', 2) AS label, regexp_extract(m, '{_LINK_RE2}', 3) || regexp_extract(m, '{_LINK_RE2}', 4) AS url, regexp_extract(m, '{_LINK_RE2}', 5) AS ref FROM mt),
+    wt AS (SELECT *, CASE WHEN ref <> '' THEN ref WHEN label <> '' THEN label WHEN kind = 'image' THEN 'Image' ELSE 'Link' END AS wanted FROM pt),
+    rs AS (SELECT wt.*, df.url AS found FROM wt LEFT JOIN df ON df.doc_id = wt.doc_id AND df.label = {_LABEL("wanted")}),
+    sc AS (SELECT doc_id, 'link' AS kind, df.url FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(line, '{_LINK_RE2}', ' ', 'g'), '\\[([^\\]]+)\\]', 1)) AS l FROM tx) x JOIN df USING (doc_id) WHERE df.label = {_LABEL("x.l")}),
+    u AS (SELECT doc_id, kind, trim(coalesce(nullif(rs.url, ''), found)) AS url FROM rs WHERE rs.url <> '' OR found IS NOT NULL UNION SELECT doc_id, kind, trim(url) FROM sc),
+    bad AS (SELECT DISTINCT doc_id, wanted FROM rs WHERE url = '' AND found IS NULL)"""
+
+
+@query(
+    f"""WITH {_LINKS} SELECT doc_id, CAST(coalesce((SELECT count(*) FROM u WHERE u.doc_id = d.doc_id), 0) AS INTEGER) AS n_references, coalesce((SELECT string_agg(wanted, '|' ORDER BY wanted) FROM bad WHERE bad.doc_id = d.doc_id), '') AS broken,
+    coalesce(text <> '', false) AS wrapped FROM documents d"""
+)
+def document_links(spark, d):
+    """How many targets each document has, its labels that lead nowhere, and whether its agent form is wrapped."""
+    c = convert(table(spark, d, "documents", spread=True), "doc_id", "text", "ai")
+    wrapped = F.col("text").startswith("<untrusted_document>\n") & F.col("text").endswith("\n</untrusted_document>")
+    return c.select("doc_id", F.size("references").alias("n_references"), F.array_join(F.sort_array("broken"), "|").alias("broken"), wrapped.alias("wrapped"))
+
+
+def _inline(x: str) -> str:
+    """Inline marks off a line, in their order, for text without code marks and entities. Marks of emphasis in runs begin and end nothing; other signs stand for them meanwhile."""
+    steps = [("(?i)<br\\s*/?>", "\n"), ("<!--.*?-->", ""), ("<[^>]+>", ""), ("~~([^~]+)~~", "\\1"), ("\\*\\*([^*]+)\\*\\*", "\\1"), ("__([^_]+)__", "\\1")]
+    for mark, sign in (("\\*", "\x01"), ("_", "\x02")):
+        steps += [(mark + mark, sign * 2), (sign + mark, sign * 2), (f"{mark}([^{mark}\\n{sign}]+){mark}", "\\1"), (sign, mark[-1])]
+    for pattern, to in (*steps, ("\\\\([\\\\`*{}\\[\\]()#+.!_>-])", "\\1")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+_STRIP = lambda x: f"regexp_replace({x}, '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')"
+_RTRIM = lambda x: f"rtrim({x}, E' \\t')"
+_PLAIN_LINE = f"regexp_replace(q, '^(\\s*)[-+*]\\s+\\[[ xX]\\]\\s+', '\\1')"
+_MARKED = f"regexp_replace(regexp_replace(q, '^(\\s*)[-+*]\\s+\\[[xX]\\]\\s+', '\\1☑ '), '^(\\s*)[-+*]\\s+\\[ \\]\\s+', '\\1☐ ')"
+_TITLE = f"{_inline("regexp_replace(rtrim(regexp_extract(r, '^\\s{0,3}#{1,6}\\s+(.*)$', 1)), '\\s+#+$', '')")}"
+_CELLS = f"""array_to_string(list_transform(string_split(regexp_replace(regexp_replace({_STRIP('r')}, '^\\|', ''), '\\|$', ''), '|'), lambda c: {_inline(_STRIP('c'))}), chr(9))"""
+
+
+@query(
+    f"""WITH {_LINKS}, k AS (SELECT doc_id, n, line, regexp_replace(line, '{_LINK_RE2}', '\\2', 'g') AS r, regexp_matches(line, '^\\s*(?:\\|\\s*)?:?-{{3,}}:?\\s*(?:\\|\\s*:?-{{3,}}:?\\s*)+\\|?\\s*$') AS divider,
+        regexp_matches(line, '^\\s{{0,3}}(?:(?:\\*\\s*){{3,}}|(?:-\\s*){{3,}}|(?:_\\s*){{3,}})$') AS hr FROM tx),
+    q AS (SELECT *, regexp_matches(r, '^\\s{{0,3}}#{{1,6}}\\s+') AS heading, regexp_matches(r, '^\\s*\\|.*\\|\\s*$') AS cells, regexp_replace(r, '^\\s{{0,3}}>\\s?', '') AS q0, regexp_replace(r, '^\\s{{0,3}}>\\s?', '│ ') AS q1 FROM k),
+    o AS (SELECT doc_id, n, CASE WHEN divider OR hr THEN NULL WHEN heading THEN chr(10) || {_TITLE} || chr(10) WHEN cells THEN {_CELLS}
+            WHEN regexp_matches(q0, '^\\s*[-+*]\\s+\\[[ xX]\\]\\s+') THEN {_RTRIM(_inline(_PLAIN_LINE.replace("(q,", "(q0,")))} ELSE {_RTRIM(_inline("regexp_replace(regexp_replace(q0, '^\\s*[-+*]\\s+', ''), '^\\s*[0-9]+[.)]\\s+', '')"))} END AS plain,
+        CASE WHEN divider OR hr THEN NULL WHEN heading THEN chr(10) || {_TITLE} || chr(10) || repeat('─', least(greatest(length({_TITLE}), 3), 48)) || chr(10) WHEN cells THEN {_CELLS} ELSE {_RTRIM(_inline(_MARKED.replace("(q,", "(q1,")))} END AS readable,
+        CASE WHEN divider THEN regexp_replace(line, '[{WS_RE2}]+$', '') ELSE regexp_replace(regexp_replace(r, '[{WS_RE2}]+$', ''), '^\\s{{0,3}}(#{{1,6}})\\s+', '\\1 ') END AS ai FROM q),
+    j AS (SELECT doc_id, string_agg(plain, chr(10) ORDER BY n) FILTER (plain IS NOT NULL) AS plain, string_agg(readable, chr(10) ORDER BY n) FILTER (readable IS NOT NULL) AS readable, string_agg(ai, chr(10) ORDER BY n) AS ai FROM o GROUP BY doc_id),
+    f AS (SELECT doc_id, {", ".join(f"{_STRIP(f"regexp_replace(coalesce({c}, ''), '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS {c}" for c in ("plain", "readable", "ai"))} FROM j)
+    SELECT d.doc_id, coalesce(plain, '') AS plain, coalesce(readable, '') AS readable, CASE WHEN coalesce(ai, '') = '' THEN '' ELSE '<untrusted_document>' || chr(10) || ai || chr(10) || '</untrusted_document>' END AS ai FROM documents d LEFT JOIN f USING (doc_id)"""
+)
+def convert_bodies(spark, d):
+    """Each document in the three forms, without lists of references."""
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
+    modes = F.explode(F.array(*map(F.lit, ("plain", "readable", "ai")))).alias("mode")
+    each = docs.select("doc_id", "text", modes).withColumn("key", F.struct("doc_id", "mode"))
+    c = convert(each, "key", "text", mode_col="mode", append_references=False)
+    forms = c.groupBy(F.col("doc_id.doc_id").alias("doc_id")).agg(*[F.max(F.when(F.col("doc_id.mode") == m, F.col("text"))).alias(m) for m in ("plain", "readable", "ai")])
+    return forms
+
+
+@query(f"WITH {_LINKS} SELECT doc_id, kind, url FROM u")
+def document_targets(spark, d):
+    return references(convert(table(spark, d, "documents", spread=True), "doc_id", "text")).select("doc_id", "kind", "url")
+
+
 @query()
 def document_references(spark, d):
     return references(convert(table(spark, d, "documents", spread=True), "doc_id", "text"))
