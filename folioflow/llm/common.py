@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder, written  # noqa: F401 - for the operators
 from ..sources.tables import read_table as table  # noqa: F401 - for the queries
 
 #: Spark DDL types to Arrow types, for the few types the operators emit.
@@ -66,49 +62,12 @@ def map_rows(
     return df.mapInArrow(run, ddl)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where none is set a local session, as in tests, gets one of its own until it ends; a cluster has to name one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="folioflow-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame, by: str) -> DataFrame:
-    """The table written to the shared folder, in parts by a column, and read again: each use reads its part and columns only."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
-    df.write.partitionBy(by).parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _drop_written() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder's owner clears it then
-            return
-
-
 # ---- filters by hash ------------------------------------------------------
 
 #: Bounds of a bitmap, as powers of two; between them it has 16 bits for each hash.
