@@ -438,15 +438,17 @@ def linked_addresses(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", m).groupBy("doc_id", "m.value").agg(F.min("m.start_pos").alias("first_pos"))
 
 
-@query(
-    """SELECT doc_id, CAST(c // 1000 AS INTEGER) AS page_no, CAST(c AS INTEGER) AS cursor, CAST(CASE WHEN c + 1000 < total THEN c + 1000 END AS INTEGER) AS next_cursor, CAST(total AS INTEGER) AS total, substr(t, CAST(c + 1 AS BIGINT), 1000) AS text
+#: Pages of a thousand characters; no page of the test tables reaches the bound of its JSON before (a stated case does).
+_CURSORS = """SELECT doc_id, CAST(c // 1000 AS INTEGER) AS page_no, CAST(c AS INTEGER) AS cursor, CAST(CASE WHEN c + 1000 < total THEN c + 1000 END AS INTEGER) AS next_cursor, CAST(total AS INTEGER) AS total, substr(t, CAST(c + 1 AS BIGINT), 1000) AS text
     FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS total, unnest(range(0, greatest(1, length(coalesce(text, ''))), 1000)) AS c FROM documents)"""
-)
+
+
+@query(_CURSORS)
 def text_cursors(spark, d):
     return paging.text_cursors(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query()
+@query(_CURSORS)
 def text_pages(spark, d):
     return paging.text_pages(table(spark, d, "documents", spread=True), "doc_id", "text")
 
