@@ -69,7 +69,7 @@ _CUED = (
         rf"(?:regards|sincerely|faithfully|truly|wishes|Grüßen|Grüsse|Grüße|Cordialement|salutations|à vous|Atentamente|saludos?|saluti|groeten?|groet|cumprimentos),?[ ]*\n\s*(?:{_T})?(?P<n>{_N})",
     ),
     (
-        "witnessed signed issued ausgestellt au a intestato intestata op em parcels message call",
+        "witnessed signed issued ausgestellt au nombre intestato intestata op em parcels message call",
         rf"(?:witnessed by|signed by|issued to|ausgestellt auf|au nom de|a nombre de|intestat[oa] a|op naam van|em nome de|Parcels for|message for|call for)\s+(?:{_T})?(?P<n>{_N})",
     ),
     ("her his their my your our", rf"(?:Her|His|Their|My|Your|Our) (?:mother|father|sister|brother|wife|husband|partner|son|daughter|neighbour),\s+(?:{_T})?(?P<n>{_N}),"),
@@ -83,6 +83,8 @@ _NAMED: dict[str, list[tuple[int, re.Pattern]]] = {}
 for _rank, (_words, _pattern) in enumerate(_CUED):
     for _w in _words.split():
         _NAMED.setdefault(_w, []).append((_rank, re.compile(_pattern, re.I)))
+#: Words that are not the first of their pattern, and the characters before them.
+_BACK = {"nombre": 2}
 #: What follows a name; the name is looked for in the characters before it.
 _AFTER = re.compile(r"\s(?:asked us\b|wrote:|ist unter\b|est joignable\b|atiende\b|è raggiungibile\b|is bereikbaar\b|atende\b)", re.I)
 _AFTER_WORDS = frozenset("asked wrote ist est atiende è is atende".split())
@@ -159,6 +161,8 @@ _ANY_NUMBER = re.compile("|".join(f"(?:{p.pattern})" for p in (*_IDS, *_PHONES))
 _STRETCH = re.compile(r"\d(?:[\d ./()–-]|[A-Za-z] ?\d)*(?:[-– ]?[A-Za-z])?")
 #: Letters and marks of a number that may stand before its first digit.
 _AHEAD = 6
+#: Characters of the shortest of them from its first digit on.
+_LONG = 10
 #: The rank of numbers by their check digits: after all formats.
 _LAST = len(_IDS) + len(_PHONES)
 #: Numbers whose check digits alone say what they are.
@@ -185,7 +189,7 @@ for _rank, (_words, _back, _pattern, _flags) in enumerate(
     )
 ):
     for _w in _words.split():
-        (_STREET_ENDS if _w[0] == "*" else _STREETS).setdefault(_w.lstrip("*")[-3:] if _w[0] == "*" else _w, []).append((_rank, _back, re.compile(_pattern, _flags)))
+        (_STREET_ENDS if _w[0] == "*" else _STREETS).setdefault(_w.lstrip("*")[-4:] if _w[0] == "*" else _w, []).append((_rank, _back, re.compile(_pattern, _flags)))
 _STREET_ENDS = {k: list(dict.fromkeys(v)) for k, v in _STREET_ENDS.items()}
 _PLACE_REST = re.compile(
     rf"(?:,?\s+(?:Unit|Flat|Apt\.?)\s+\w{{1,4}}\b)?(?:,?\s+\d+\.?[ºª°]\s?\w?)?(?:,?\s+\d{{4,5}}\s+{_CITY}(?:[ -][A-ZÀ-Þ]{_CITY})?|,\s+(?-i:[A-ZÀ-Þ]){_CITY}(?:[ -](?-i:[A-ZÀ-Þ])[\w'’-]*)?(?:\s+\d{{4,5}}\b)?)?",
@@ -195,6 +199,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BEFORE = re.compile(r"([^\W\d_]+)\.?(?:\s+(?:no|nr|number|n°|n\.º|#)\.?)?[ :#]*$", re.I)
 _NOT = frozenset(NOT_A_VALUE.split())
 _PARTICLES = frozenset(PARTICLES.split())
+#: Words that begin a street only with a capital.
+_CAPITAL = frozenset("am an im in zum zur auf unter".split())
 _NO_SURNAME = frozenset([*_STREETS, *_FIRMS.split()])
 _ID_WORDS = frozenset("id passport ausweisnummer reisepass personalausweis pièce passeport documento pasaporte dni nif nino ssn identity carta paspoort".split())
 #: Every word that begins a pattern or counts in one, so that most words cost one look-up.
@@ -225,7 +231,7 @@ def _numbers(form: str) -> Iterator[tuple[int, int, int, str]]:
         if len(near) < _AHEAD or _DATE.fullmatch(near.strip(" .,-–")):
             continue
         a, b = max(0, s.start() - _AHEAD), min(len(form), s.end() + 4)
-        for m in _BY_CHECK.finditer(form, a, b):
+        for m in _BY_CHECK.finditer(form, a, b) if len(near) >= _LONG else ():
             if scheme_of(re.sub(r"\W", "", m[0])) is not None:
                 yield _LAST, m.start(), m.end(), "IDENTITY_DATA"
         if not _ANY_NUMBER.search(form, a, b):
@@ -278,23 +284,25 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
         low = form
     tokens = list(_WORD.finditer(low))
     words = [m[0].lower() for m in tokens] if low is form else [m[0] for m in tokens]
-    marked = [i for i, w in enumerate(words) if w in _CUES or w[-3:] in _STREET_ENDS]
+    marked = [i for i, w in enumerate(words) if w in _CUES or w[-4:] in _STREET_ENDS or w[-3:] in _STREET_ENDS]
     names_at: list[tuple[int, int, re.Pattern]] = []
     streets_at: list[tuple[int, int, int, re.Pattern]] = []
     titled_at: list[int] = []
     id_at: list[int] = []
     given_at: list[int] = []
-    after = born = False
+    after_at: list[int] = []
+    born = False
     spoken, run, before = [], 0, -2
     for i in marked:
         w, (a, b) = words[i], tokens[i].span()
         for rank, p in _NAMED.get(w, ()):
-            names_at.append((rank, a, p))
-        for rank, back, p in _STREETS.get(w, ()):
+            names_at.append((rank, max(0, a - _BACK.get(w, 0)), p))
+        for rank, back, p in _STREETS.get(w, ()) if form[a].isupper() or w not in _CAPITAL else ():
             streets_at.append((rank, a - back, b + 2 if back else a, p))
-        for rank, _, p in _STREET_ENDS.get(w[-3:], ()):
+        for rank, _, p in _STREET_ENDS.get(w[-4:]) or _STREET_ENDS.get(w[-3:], ()):
             streets_at.append((rank, a, a, p))
-        after = after or w in _AFTER_WORDS
+        if w in _AFTER_WORDS and a and _AFTER.match(form, a - 1):
+            after_at.append(a - 1)
         born = born or w in _BORN_WORDS
         if w in _ID_WORDS:
             id_at.append(a)
@@ -355,9 +363,9 @@ def find_values(text: str, transducer: Transducer) -> list[tuple[int, int, str]]
     if " - " in form or " – " in form or " — " in form:
         for m in _BULLETED.finditer(form):
             person(*m.span("n"))
-    for cue in _AFTER.finditer(form) if after else ():
-        at = max(0, cue.start() - _WINDOW)
-        m = _ENDING.search(form[at : cue.start()])
+    for cue in after_at:
+        at = max(0, cue - _WINDOW)
+        m = _ENDING.search(form[at:cue])
         if m:
             person(at + m.start("n"), at + m.end("n"))
     for a in titled_at:
