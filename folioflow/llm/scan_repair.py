@@ -67,6 +67,8 @@ _END = r"[.!?;:,…][\"'»”’)\]]*$"
 
 
 
+#: Rows that no single delivery of a page has.
+HOT_ROWS = 100_000
 #: Fixes that are broadcast; more are met in a shuffle.
 BROADCAST_ROWS = 200_000
 #: Word forms a task of the layout counts before it writes them.
@@ -264,15 +266,18 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from ready()
 
 
-def layout(words: DataFrame) -> DataFrame:
+def layout(words: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The facts of all pages (FACT_DDL), from words with doc_id, page, line, pos, text and confidence."""
     src = words.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in ("page", "line", "pos")],
         F.trim(F.col("text").cast("string")).alias("text"), F.col("confidence").cast("double").alias("confidence"),
     )
     src = src.filter("text <> '' AND doc_id IS NOT NULL AND page IS NOT NULL AND line IS NOT NULL")
-    # The one shuffle of all words; one number to sort by needs no comparisons.
     src = src.select(F.xxhash64("doc_id", "page").alias("at"), "doc_id", "page", "line", "pos", "text", "confidence")
+    # A page of so many rows was delivered again and again: copies are dropped where they lie before all its rows meet in one task.
+    if not src.groupBy("at").count().filter(F.col("count") > hot_rows).isEmpty():
+        src = src.distinct()
+    # The one shuffle of all words; one number to sort by needs no comparisons.
     return src.repartition("at").sortWithinPartitions("at").mapInArrow(_layout, FACT_DDL)
 
 

@@ -319,6 +319,14 @@ def test_odd_parts_of_cut_words_and_compounds(spark):
     assert got == {0, 2, 3, 4}
 
 
+def test_pages_delivered_many_times(spark):
+    rows = [r for d in range(1, 4) for r in page_rows(d, 1, [(0, "the archive of the office is kept in"), (1, "the records of the town.")])]
+    once = spark.createDataFrame(rows, OCR)
+    many = spark.createDataFrame(rows + rows[:12] * 50 + [(1, 1, 0, 0, "tha", 10.0), (1, 1, 0, 1, "archive", None)], OCR)
+    facts = lambda df, hot: sorted(map(str, scan_repair.layout(df, hot).filter("kind = 'page'").select("doc_id", "page", "lines", "poss", "texts").collect()))
+    assert facts(many, 100) == facts(many, 10**9) == facts(once, 10**9)
+
+
 def test_anagram_hash():
     h = scan_repair.anagram_hash
     assert h("abc") == h("cab") != h("abd") and h("") == 0
