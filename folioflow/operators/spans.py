@@ -195,7 +195,8 @@ def _marked(docs: DataFrame, findings: DataFrame, unknown: DataFrame | None, key
     from .batches import map_batches
 
     of = F.struct("id", "doc_fingerprint", "value", "start_pos", "end_pos", "placeholder", "type", priority().alias("prio"))
-    rows = findings.groupBy(key).agg(F.collect_list(of).alias("spans"))
+    # Copies of a finding are dropped where they lie, so what is gathered is bounded by the document.
+    rows = findings.filter(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(of).alias("spans"))
     joined = docs.select(key, F.col(text_col).alias("text")).join(rows, key, "left")
     if unknown is not None:
         joined = joined.join(unknown.groupBy(key).agg(F.collect_set("id").alias("unknown")), key, "left")
