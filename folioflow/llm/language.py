@@ -39,7 +39,7 @@ HIDDEN = 24
 #: A sentence is read in pieces of at most so many bytes; all pieces are pooled.
 PIECE_BYTES = 1024
 #: Pieces that are read in step.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1536
 #: A language counts from so many full sentences on.
 MIN_SENTENCES = 2
 MIN_WORDS = 4
@@ -90,9 +90,10 @@ def sentences(text: str) -> list[tuple[int, int, str, bool]]:
         block = []
 
     for line in text.split("\n"):
-        if not line.strip() or _HEADING.match(line):
+        begins = line.lstrip()[:1]
+        if not begins or begins == "#" and _HEADING.match(line):
             flush()
-        elif _ITEM.match(line):
+        elif (begins in "-*+•" or begins.isdigit()) and _ITEM.match(line):
             flush()
             begin, block = at, [line]
         else:
