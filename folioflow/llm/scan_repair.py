@@ -73,6 +73,8 @@ HOT_ROWS = 100_000
 BROADCAST_ROWS = 200_000
 #: Word forms a task of the layout counts before it writes them.
 KEPT_FORMS = 200_000
+#: Small facts in one row.
+PACK = 5_000
 #: Confidences are summed as whole millionths, so that sums can be taken off again.
 MILLION = 1_000_000
 
@@ -128,10 +130,10 @@ _CHAR_HASHES = _CharHashes()
 
 # ---- layout ---------------------------------------------------------------
 
-#: The facts of a page; ``kind`` says which columns a row has. Lists are those of a line's or a page's words.
+#: The facts of pages; ``kind`` says which columns a row has. Lists are those of a line's or a page's words, or, for titles, widths and forms, of many facts in one row.
 FACT_DDL = (
-    "kind string, doc_id bigint, page int, line int, pos int, text string, conf double, key string, n bigint, conf_sum bigint, conf_n bigint, "
-    "top boolean, bottom boolean, next_line int, next_pos int, next_text string, next_conf double, next_bottom boolean, flag boolean, lines array<int>, poss array<int>, texts array<string>, confs array<double>"
+    "kind string, doc_id bigint, page int, line int, pos int, text string, conf double, n bigint, "
+    "top boolean, bottom boolean, next_line int, next_pos int, next_text string, next_conf double, next_bottom boolean, flag boolean, lines array<int>, poss array<int>, texts array<string>, confs array<double>, ns array<bigint>, ms array<bigint>, ks array<bigint>"
 )
 _NAMES = [x.split()[0] for x in FACT_DDL.split(", ")]
 
@@ -188,6 +190,10 @@ def _ordered(rows: list[list]) -> Iterator[tuple]:
         yield docs[part[0]], pages[part[0]], *([c[i] for i in part] for c in (lines, poss, texts, confs))
 
 
+def _parts_of(facts: list) -> Iterator[list]:
+    return (facts[at : at + PACK] for at in range(0, len(facts), PACK))
+
+
 def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(FACT_DDL)
     memo = _Words()
@@ -203,8 +209,22 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_kind.values():
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in part], f.type) if any(n in r for r in (part[0], part[-1])) else pa.nulls(len(part), f.type) for n, f in zip(_NAMES, schema)], schema=schema)
 
+    titles: dict[bool, list[tuple[str, int]]] = {True: [], False: []}
+    all_widths: dict[tuple[int, int], int] = {}
+
+    def packed() -> None:
+        """Small facts go into rows of many."""
+        for flag, found in titles.items():
+            for part in _parts_of(found):
+                rows.append({"kind": "title", "flag": flag, "texts": [k for k, _ in part], "ns": [n for _, n in part]})
+            found.clear()
+        for part in _parts_of(list(all_widths.items())):
+            rows.append({"kind": "width", "ns": [k[0] for k, _ in part], "poss": [k[1] for k, _ in part], "ms": [n for _, n in part]})
+        all_widths.clear()
+
     def count() -> None:
-        rows.extend({"kind": "form", "key": w, "n": n, "conf_sum": s, "conf_n": k} for w, (n, s, k) in forms.items() if w)
+        for part in _parts_of([(w, f) for w, f in forms.items() if w]):
+            rows.append({"kind": "form", "texts": [w for w, _ in part], "ns": [f[0] for _, f in part], "ms": [f[1] for _, f in part], "ks": [f[2] for _, f in part]})
         forms.clear()
 
     for doc, page, lines, poss, texts, confs in _pages(batches):
@@ -222,7 +242,6 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append({"kind": "odd", **base, "line": line, "pos": pos})
         starts = [i for i in range(len(lines)) if not i or lines[i] != lines[i - 1]] + [len(lines)]
         spans = list(zip(starts, starts[1:]))
-        widths: dict[int, int] = {}
         for no, (a, b) in enumerate(spans):
             top, bottom = no == 0, no == len(spans) - 1
             text = " ".join(texts[a:b])
@@ -239,7 +258,7 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if top or bottom:
                 keys: list[str] = []
             else:
-                widths[len(text)] = widths.get(len(text), 0) + 1
+                all_widths[doc, len(text)] = all_widths.get((doc, len(text)), 0) + 1
             if opens:
                 # The last word and the last two without numbers: what a running title ends in, whatever firm or page it has.
                 parts = _NO_LETTERS.sub(" ", _SHORT_NUMBERS.sub(" ", text).lower()).split()
@@ -249,20 +268,21 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if mine and (top or not bottom or apart):
                     # Texts are only told apart, which their hashes do.
                     bare = xxhash.xxh3_64_intdigest(" ".join(parts)) - (1 << 63)
-                    rows.extend({"kind": "title", "key": k, "n": bare, "flag": top or bottom} for k in mine)
+                    titles[top or bottom].extend((k, bare) for k in mine)
             if top or bottom:
                 number = bool(_NUMBER_RE.search(text))
                 sure = (bottom and not top and (apart or number)) or (top and not bottom and opens and (number or bool(re.search(r"\s[|—]\s", text))))
                 maybe = top and not bottom and opens
                 rows.append({"kind": "edge", **own, **after, "flag": sure, "n": len(text) + 3 + len(after["next_text"] or "") if maybe else None, "texts": keys if maybe else []})
                 rows.append({"kind": "edge words", **own, "texts": [memo[t][0] for t in texts[a:b]], "confs": confs[a:b]})
-        rows.extend({"kind": "width", "doc_id": doc, "pos": k, "n": n} for k, n in widths.items())
         rows.append({"kind": "page", **base, "lines": lines, "poss": poss, "texts": texts})
         if len(forms) > KEPT_FORMS:
             count()
-        if len(rows) > 20_000:
+        if len(rows) > 10_000:
+            packed()
             yield from ready()
     count()
+    packed()
     yield from ready()
 
 
@@ -284,15 +304,21 @@ def layout(words: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 PAGE, LINE, PLACE = ["doc_id", "page"], ["doc_id", "page", "line"], ["doc_id", "page", "line", "pos"]
 
 
+def _each(facts: DataFrame, kind: str, *keep: str, **lists: str) -> DataFrame:
+    """The facts of a kind that lie in rows of many, with the names of their parts."""
+    each = F.explode(F.arrays_zip(*lists.values())).alias("x")
+    return facts.filter(F.col("kind") == kind).select(*keep, each).select(*keep, *[F.col(f"x.{c}").alias(n) for n, c in lists.items()])
+
+
 def running_lines(facts: DataFrame) -> DataFrame:
     """(doc_id, page, line): the running lines."""
     edge = facts.filter("kind = 'edge'").select(*LINE, "flag", "n", F.col("texts").alias("keys"))
     # Different texts of edge lines against different texts of body lines with the same end.
-    titles = facts.filter("kind = 'title'").select("key", "n", "flag").distinct().groupBy("key").agg(F.count_if("flag").alias("edges"), F.count_if(~F.col("flag")).alias("bodies"))
+    titles = _each(facts, "title", "flag", key="texts", n="ns").distinct().groupBy("key").agg(F.count_if("flag").alias("edges"), F.count_if(~F.col("flag")).alias("bodies"))
     titles = titles.filter(f"edges >= {EDGE_TEXTS} AND edges > 3 * bodies").select("key")
     titled = edge.select(*LINE, F.explode("keys").alias("key")).join(titles, "key").select(*LINE)
     # The width of a document: nine in ten of its lines within a page are no longer.
-    widths = facts.filter("kind = 'width'").groupBy("doc_id", F.col("pos").alias("len")).agg(F.sum("n").alias("n"))
+    widths = _each(facts, "width", doc_id="ns", len="poss", n="ms").groupBy("doc_id", "len").agg(F.sum("n").alias("n"))
     by_doc = Window.partitionBy("doc_id")
     widths = widths.withColumns({"so_far": F.sum("n").over(by_doc.orderBy("len")), "all": F.sum("n").over(by_doc)}).filter("so_far >= 0.9 * all").groupBy("doc_id").agg(F.min("len").alias("width"))
     had_room = edge.filter("n IS NOT NULL").join(widths, "doc_id").filter("n <= width").select(*LINE)
@@ -343,7 +369,7 @@ def _with_words(pairs: DataFrame) -> DataFrame:
 
 def word_forms(facts: DataFrame, running: DataFrame, pairs: DataFrame) -> DataFrame:
     """(w, n, conf): how often each form stands in body lines as a whole word, and its mean confidence."""
-    counts = facts.filter("kind = 'form'").select(F.col("key").alias("w"), "n", "conf_sum", "conf_n")
+    counts = _each(facts, "form", w="texts", n="ns", conf_sum="ms", conf_n="ks")
     off = facts.filter("kind = 'edge words'").join(running, LINE).select(F.explode(F.arrays_zip("texts", "confs")).alias("x")).select(F.col("x.texts").alias("w"), F.col("x.confs").alias("conf"))
     ends = pairs.select(*PLACE, F.col("last_form").alias("w"), "conf")
     starts = pairs.select("doc_id", F.col("n_page").alias("page"), F.col("n_line").alias("line"), F.col("n_pos").alias("pos"), F.col("rest_form").alias("w"), F.col("n_conf").alias("conf"))
