@@ -474,33 +474,30 @@ class Repair:
     def fixed_words(self) -> DataFrame:
         """(doc_id, page, line, pos, w, c): the whole words of body lines whose form has a fix."""
         only = bitmap(self.fixes.select(F.xxhash64("w").alias("hash")), self.n_fixes)
+        ddl = "doc_id bigint, page int, line int, pos int, w string"
+        schema = arrow_schema(ddl)
 
-        def make():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = Filter(only[0], only[1].value)
-            memo: dict[str, str | None] = {}
-
-            def fn(cols):
-                new = list({t for texts in cols["texts"] for t in texts if t not in memo})
-                if len(memo) > 500_000:
-                    memo.clear()
-                    new = list({t for texts in cols["texts"] for t in texts})
-                forms = [core(t) for t in new]
-                memo.update(dict.fromkeys(new))
-                for i in keep.passing(np.array([xxhash.xxh64_intdigest(w, 42) for w in forms], np.uint64)).tolist() if new else ():
-                    memo[new[i]] = forms[i]
-                out: dict[str, list] = {n: [] for n in (*PLACE, "w")}
-                for doc, page, lines, poss, texts in zip(*(cols[c] for c in (*PAGE, "lines", "poss", "texts"))):
-                    for i, t in enumerate(texts):
-                        w = memo[t]
-                        if w is not None:
-                            for n, v in zip(out, (doc, page, lines[i], poss[i], w)):
-                                out[n].append(v)
-                return out
-
-            return fn
-
-        pages = self.facts.filter("kind = 'page'").select(*PAGE, "lines", "poss", "texts")
-        words = map_rows(pages, make, "doc_id bigint, page int, line int, pos int, w string", batch_rows=500)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                doc, page, lines, poss, texts = batch.columns
+                # Each different word of a batch is looked at once; its places are told by number.
+                coded = texts.flatten().dictionary_encode()
+                forms = [core(t) for t in coded.dictionary.to_pylist()]
+                passes = np.zeros(len(forms), bool)
+                passes[keep.passing(np.array([xxhash.xxh64_intdigest(w, 42) for w in forms], np.uint64))] = True
+                number = coded.indices.to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(passes[number])
+                if len(at):
+                    ends = texts.offsets.to_numpy()
+                    row = pa.array(np.searchsorted(ends - ends[0], at, side="right") - 1)
+                    there = pa.array(at)
+                    columns = [doc.take(row), page.take(row), lines.flatten().take(there), poss.flatten().take(there), pa.array([forms[i] for i in number[at].tolist()])]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        words = self.facts.filter("kind = 'page'").select(*PAGE, "lines", "poss", "texts").mapInArrow(run, ddl)
         return self._of_body(words.join(self._met, "w"))
 
     def defects(self) -> DataFrame:
