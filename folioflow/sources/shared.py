@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATHS: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where none is set a local session, as in tests, gets one of its own until it ends; a cluster has to name one."""
@@ -22,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
             folder = tempfile.mkdtemp(prefix="folioflow-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+        # The part of the folder that is this application's own goes when it ends.
+        _PATHS.append((spark, sc.getCheckpointDir()))
     return sc.getCheckpointDir()
 
 
@@ -57,9 +61,6 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
 
 
-_PATHS: list[tuple[SparkSession, str]] = []
-
-
 @atexit.register
 def _remove() -> None:
     for spark, path in _PATHS:
