@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -371,20 +371,23 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, chunk_chars: int
     level = map_rows(pieces.repartition("row", "no"), parts, f"row bigint, key bigint, no int, {_PARTIAL_DDL}", batch_rows=1)
 
     def combine(last: bool):
-        import pandas as pd
+        def make():
+            def fn(cols):
+                rows = []
+                for row, key, no, parts in zip(cols["row"], cols["key"], cols["no"], cols["parts"]):
+                    parts.sort(key=lambda p: p["no"])
+                    root = tree([Partial([p[n] for n in COUNTS], *(p[n] for n in Partial.FIELDS)) for p in parts])
+                    rows.append((key, *_derive(finish(root))) if last else (row, key, no, *root.row()))
+                return dict(zip(("key", *names) if last else ("row", "key", "no", *pnames), zip(*rows)))
 
-        def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-            records = pdf.sort_values("no").to_dict("records")
-            root = tree([Partial([r[n] for n in COUNTS], *(r[n] for n in Partial.FIELDS)) for r in records])
-            row, key, no = records[0]["row"], records[0]["key"], records[0]["no"]
-            key = None if pd.isna(key) else int(key)
-            if last:
-                return pd.DataFrame([[key, *_derive(finish(root))]], columns=["key", *names])
-            return pd.DataFrame([[row, key, no // FAN_IN, *root.row()]], columns=["row", "key", "no", *pnames])
+            return fn
 
-        return fn
+        return make
+
+    def gathered(level: DataFrame, no: Column) -> DataFrame:
+        return level.groupBy("row", no.cast("int").alias("no")).agg(F.first("key").alias("key"), F.collect_list(F.struct(F.col("no"), *pnames)).alias("parts"))
 
     # One level of the tree in tasks of FAN_IN pieces, then the root of each document.
-    level = level.groupBy("row", F.floor(F.col("no") / FAN_IN)).applyInPandas(combine(False), f"row bigint, key bigint, no int, {_PARTIAL_DDL}")
-    spread = level.groupBy("row").applyInPandas(combine(True), f"key bigint, {STATS_DDL}")
+    level = map_rows(gathered(level, F.floor(F.col("no") / FAN_IN)), combine(False), f"row bigint, key bigint, no int, {_PARTIAL_DDL}", batch_rows=64)
+    spread = map_rows(gathered(level, F.lit(0)), combine(True), f"key bigint, {STATS_DDL}", batch_rows=64)
     return here.unionByName(spread).withColumnRenamed("key", id_col)
