@@ -9,7 +9,8 @@ those of all sentences to the document.
 The network is trained in numpy by backpropagation through time
 (``train_network``) on a bounded sample of labelled sentences; its weights are
 in ``models/language_gru.npz``. Inference is numpy over many sentences at once;
-sentences that occur more than once in a batch are read once.
+sentences that occur more than once in a task are read once, and what sentences
+have in common at their beginnings or ends is read once in each direction.
 
 Defined cases: a null or blank text gives one row with a null code, confidence
 0 and detected false; so does a text without a sentence. Whole duplicates of a
@@ -38,8 +39,9 @@ CLASSES = (*LANGUAGES, NONE)
 HIDDEN = 24
 #: A sentence is read in pieces of at most so many bytes; all pieces are pooled.
 PIECE_BYTES = 1024
-#: Pieces that are read in step.
-BLOCK_ROWS = 1536
+#: Pieces that are read in step, and bytes whose scores are kept at once.
+BLOCK_ROWS = 4096
+GROUP_BYTES = 1 << 22
 #: A language counts from so many full sentences on.
 MIN_SENTENCES = 2
 MIN_WORDS = 4
@@ -249,47 +251,140 @@ def load_network() -> dict[str, np.ndarray]:
         return {k: z[k].astype(np.float32) for k in z.files}
 
 
+def _lengths(texts: list[bytes]) -> np.ndarray:
+    """Classes of texts of like length."""
+    return np.array([max(7, (len(t) - 1).bit_length()) for t in texts], np.int64)
+
+
+def _alike(texts: list[bytes]) -> np.ndarray:
+    """An order of texts: those of like length together, and of these what begins alike."""
+    order = np.array(sorted(range(len(texts)), key=texts.__getitem__))
+    return order[np.argsort(_lengths(texts)[order], kind="stable")]
+
+
 class Reader:
-    """Pools the network's positions over whole texts; texts are read in pieces, all of them."""
+    """Pools the network's positions over whole texts; texts are read in pieces, all of them.
+
+    What the network has read of a beginning doesn't depend on what follows, so
+    pieces that begin alike are read together up to where they part, and
+    backwards so are those that end alike.
+    """
 
     def __init__(self, net: dict[str, np.ndarray]):
-        # Each gate has tables of its own, so that all arrays of a step are contiguous. The halves of the sigmoid, 0.5 tanh(v / 2) + 0.5, go into them.
+        # Each gate has tables of its own, so that all arrays of a step are contiguous. They hold what exp is taken of in sigmoid, 1 / (1 + exp(-v)), and tanh, 2 / (1 + exp(-2 v)) - 1.
         h = net["Uf"].shape[0]
         cut = [slice(0, h), slice(h, 2 * h), slice(2 * h, 3 * h)]
-        self.e = [[np.ascontiguousarray(((net[f"E{d}"] + net[f"B{d}"])[:, c]) * f) for c, f in zip(cut, (0.5, 0.5, 1))] for d in "fb"]
-        self.u = [[np.ascontiguousarray(net[f"U{d}"][:, c] * f) for c, f in zip(cut, (0.5, 0.5, 1))] for d in "fb"]
-        self.w, self.b, self.h = net["W"], net["b"], h
-
-    def _direction(self, x: np.ndarray, live: np.ndarray, d: int, scores: np.ndarray) -> None:
-        """Adds the scores of one direction to (classes, steps, rows)."""
-        (ez, er, ec), (uz, ur, uc) = self.e[d], self.u[d]
-        w = np.ascontiguousarray(self.w[d * self.h : (d + 1) * self.h].T)
-        rows = x.shape[1]
-        state = np.zeros((rows, self.h), np.float32)
-        work = np.empty((4, rows, self.h), np.float32)
-        for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
-            k = live[t]
-            xt, s = x[t, :k], state[:k]
-            z, r, c, a = work[:, :k]
-            # c = tanh(ec + r * (s uc)), s += z * (c - s)
-            np.take(er, xt, 0, out=r, mode="clip")
-            r += np.matmul(s, ur, out=a)
-            np.tanh(r, out=r)
-            r *= 0.5
-            r += 0.5
-            r *= np.matmul(s, uc, out=a)
-            np.take(ec, xt, 0, out=c, mode="clip")
-            c += r
-            np.tanh(c, out=c)
-            np.take(ez, xt, 0, out=z, mode="clip")
-            z += np.matmul(s, uz, out=a)
-            np.tanh(z, out=z)
-            z *= 0.5
-            z += 0.5
-            c -= s
-            c *= z
-            s += c
-            scores[:, t, :k] += w @ s.T
+        self.e = [[np.ascontiguousarray(((net[f"E{d}"] + net[f"B{d}"])[:, c]) * f) for c, f in zip(cut, (-1, -1, -2))] for d in "fb"]
+        self.u = [[np.ascontiguousarray(net[f"U{d}"][:, c] * f) for c, f in zip(cut, (-1, -1, -2))] for d in "fb"]
+        self.w, self.b, self.h = [np.ascontiguousarray(net["W"][i * h : (i + 1) * h]) for i in (0, 1)], net["b"], h
+        # States are between -1 and 1, which bounds the scores: where their exponentials don't fit into four bytes they take eight.
+        self.scores = [np.empty((0, len(CLASSES)), np.float32)] * 2
+        self.kind = np.float32 if max(np.abs(net["W"]).sum(0) + np.abs(self.b)) < 80 else np.float64
+
+    def _direction(self, pieces: list[bytes], d: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One direction over pieces: the state's number at each of their bytes in order, the classes' scores by that number, and their sum for each piece."""
+        (ez, er, ec), (uz, ur, uc), w = self.e[d], self.u[d], self.w[d]
+        read = [p[::-1] for p in pieces] if d else pieces
+        order = _alike(read)
+        size = np.array([len(p) for p in read])
+        begin = np.cumsum(size) - size
+        number = np.empty(size.sum(), np.int32)
+        if self.scores[d].shape[0] < len(number):
+            self.scores[d] = np.empty((len(number), len(CLASSES)), np.float32)
+        scores = self.scores[d]
+        sums = np.empty((len(read), len(CLASSES)), np.float32)
+        used = 0
+        for at in range(0, len(order), block):
+            part = order[at : at + block]
+            n = size[part]
+            steps = np.arange(n.max(), dtype=np.int32)
+            on = steps < n[:, None]
+            x = np.zeros(on.shape, np.uint8)
+            x[on] = np.frombuffer(b"".join([read[i] for i in part.tolist()]), np.uint8)
+            # Bytes that each row has in common with the one before it; at these it has that one's states.
+            same = np.zeros(len(part), np.int64)
+            differs = x[1:] != x[:-1]
+            same[1:] = np.minimum(np.where(differs.any(1), differs.argmax(1), len(steps)), np.minimum(n[1:], n[:-1]))
+            own = np.ascontiguousarray(((steps >= same[:, None]) & on).T)
+            x = np.ascontiguousarray(x.T)
+            place = np.cumsum(own, 1, dtype=np.int32)
+            place -= 1
+            count = place[:, -1] + 1
+            first = used + np.cumsum(count) - count
+            ends = np.argsort(n, kind="stable")
+            ended = np.searchsorted(n[ends], steps + 1, side="right").tolist()
+            done = np.empty((len(part), len(CLASSES)), np.float32)
+            gone = 0
+            most = int(count.max())
+            state, total = np.zeros((1, self.h), np.float32), np.zeros((1, len(CLASSES)), np.float32)
+            spare = [(np.empty((most, self.h), np.float32), np.empty((most, len(CLASSES)), np.float32)) for _ in range(2)]
+            gates = np.empty((4, most, self.h), np.float32)
+            for t, k in enumerate(count.tolist()):
+                rows = np.flatnonzero(own[t])
+                before = place[t - 1].take(rows) if t else np.zeros(k, np.int32)
+                xt = x[t].take(rows).astype(np.intp)
+                z, r, c, a = gates[:, :k]
+                s, now = spare[t % 2][0][:k], spare[t % 2][1][:k]
+                np.take(state, before, 0, out=s, mode="clip")
+                # c = tanh(ec + r * (s uc)), s += z * (c - s)
+                np.take(er, xt, 0, out=r, mode="clip")
+                r += np.matmul(s, ur, out=a)
+                np.exp(r, out=r)
+                r += 1
+                np.take(ec, xt, 0, out=c, mode="clip")
+                np.matmul(s, uc, out=a)
+                a /= r
+                c += a
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                np.take(ez, xt, 0, out=z, mode="clip")
+                z += np.matmul(s, uz, out=a)
+                np.exp(z, out=z)
+                z += 1
+                c -= s
+                c /= z
+                s += c
+                got = np.matmul(s, w, out=scores[used : used + k])
+                np.take(total, before, 0, out=now, mode="clip")
+                now += got
+                state, total = s, now
+                used += k
+                if ended[t] > gone:
+                    done[gone : ended[t]] = total.take(place[t].take(ends[gone : ended[t]]), 0)
+                    gone = ended[t]
+            sums[part[ends]] = done
+            place += first.astype(np.int32)[:, None]
+            flat = np.ascontiguousarray(place.T)[on]
+            n_before = np.cumsum(n) - n
+            if d:
+                number[np.repeat(begin[part] + n - 1 + n_before, n) - np.arange(len(flat))] = flat
+            else:
+                number[np.repeat(begin[part] - n_before, n) + np.arange(len(flat))] = flat
+        return number, scores[:used], sums
+
+    def _read(self, pieces: list[bytes], block: int) -> np.ndarray:
+        """Sum over a piece's bytes of the classes' log-probabilities, for each piece."""
+        with np.errstate(over="ignore"):  # a gate that is shut
+            (at_f, scores_f, sums), (at_b, scores_b, sums_b) = (self._direction(pieces, d, block) for d in (0, 1))
+        size = np.array([len(p) for p in pieces])
+        sums = sums.astype(np.float64) + sums_b + size[:, None] * self.b
+        scores_b += self.b
+        # The sum of the exponentials of a byte's scores is a product of those of both directions.
+        exp_f, exp_b = (np.exp(x, out=x if self.kind == np.float32 else None, dtype=self.kind) for x in (scores_f, scores_b))
+        norm = np.empty(len(at_f), self.kind)
+        some = 1 << 13
+        f, b = np.empty((2, some, len(CLASSES)), self.kind)
+        one = np.ones(len(CLASSES), self.kind)
+        for at in range(0, len(norm), some):
+            k = min(some, len(norm) - at)
+            np.take(exp_f, at_f[at : at + k], 0, out=f[:k], mode="clip")
+            np.take(exp_b, at_b[at : at + k], 0, out=b[:k], mode="clip")
+            f[:k] *= b[:k]
+            np.matmul(f[:k], one, out=norm[at : at + k])
+        np.log(norm, out=norm)
+        return sums - np.add.reduceat(norm, np.cumsum(size) - size, dtype=np.float64)[:, None]
 
     def pooled(self, texts: list[bytes], block: int = BLOCK_ROWS) -> np.ndarray:
         """Sum over a text's bytes of the classes' log-probabilities, and the bytes, for each text."""
@@ -300,18 +395,11 @@ class Reader:
                 pieces.append(t[at : at + PIECE_BYTES])
         sums = np.zeros((len(texts), len(CLASSES)), np.float64)
         count = np.array([len(t) for t in texts], np.float64)
-        by_length = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        for at in range(0, len(by_length), block):
-            part = by_length[at : at + block]
-            x, live, _ = steps_of([pieces[i] for i in part])
-            scores = np.empty((len(CLASSES), *x.shape), np.float32)
-            scores[:] = self.b[:, None, None]
-            for d in (0, 1):
-                self._direction(x, live, d, scores)
-            scores -= scores.max(0)
-            scores -= np.log(np.exp(scores).sum(0))
-            scores *= np.arange(x.shape[1]) < live[:, None]
-            np.add.at(sums, np.array([owner[i] for i in part]), scores.sum(1).T)
+        order = np.argsort(_lengths(pieces), kind="stable")
+        group = np.cumsum(np.array([len(p) for p in pieces], np.int64)[order]) // GROUP_BYTES
+        for part in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+            if len(part):
+                np.add.at(sums, np.array(owner)[part], self._read([pieces[i] for i in part.tolist()], block))
         return np.concatenate([sums, count[:, None]], 1)
 
 
@@ -370,6 +458,16 @@ def read_documents(spans: list[list], rows: np.ndarray) -> list[list[tuple]]:
 
 #: Sentences whose rows a task keeps; beyond that it begins anew.
 CACHE = 150_000
+#: Documents are read in parts of about so many characters, within batches of so many rows: the more at once, the more sentences begin or end alike.
+PART_CHARS = 1 << 23
+BATCH_ROWS = 10_000
+
+
+def parts_of(texts: list[str | None], chars: int = PART_CHARS) -> list[tuple[int, int]]:
+    """Rows from and to of parts that have, besides their first text, less than so many characters."""
+    part = np.cumsum([len(t or "") for t in texts]) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return list(zip(cuts, cuts[1:]))
 
 
 def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str | None = None) -> DataFrame:
@@ -394,6 +492,12 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str |
         pooled = np.zeros((0, len(CLASSES) + 1))
 
         def fn(cols):
+            out: dict[str, list] = {n: [] for n in ("key", *names, "counts", "is_case")}
+            for begin, end in parts_of(cols["body"]):
+                read({n: v[begin:end] for n, v in cols.items()}, out)
+            return out
+
+        def read(cols, out):
             nonlocal pooled
             spans = [sentences(clean_newlines(t)) if t else [] for t in cols["body"]]
             if len(keys) > CACHE:
@@ -403,7 +507,6 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str |
             if len(keys) > len(pooled):
                 new = list(keys)[len(pooled) :]
                 pooled = np.concatenate([pooled, reader.pooled([k.encode("utf-8", "replace") for k in new])])
-            out: dict[str, list] = {n: [] for n in ("key", *names, "counts", "is_case")}
             for key, body, label, segs in zip(cols["key"], cols["body"], cols["label"], read_documents(spans, pooled[at])):
                 per: dict[str, int] = {}
                 for s in segs:
@@ -419,8 +522,7 @@ def detect_languages(df: DataFrame, id_col: str, text_col: str, lang_col: str |
                         out[n].append(v)
                     out["counts"].append(s[3] in counted)
                     out["is_case"].append(case)
-            return out
 
         return fn
 
-    return map_rows(src, make, f"key bigint, {SEGMENT_DDL}, counts boolean, is_case boolean").withColumnRenamed("key", id_col)
+    return map_rows(src, make, f"key bigint, {SEGMENT_DDL}, counts boolean, is_case boolean", BATCH_ROWS).withColumnRenamed("key", id_col)

@@ -228,6 +228,38 @@ def test_reader_is_the_network():
         assert row[-1] == len(t) and np.allclose(row[:-1], want, atol=1e-3 * (1 + len(t)))
 
 
+def test_what_begins_or_ends_alike_is_read_once():
+    texts = [b"the records team", b"the records office", b"the", b"the records team", b"a post office", b"the\0", b"the\0\0"]
+    reader = language.Reader(language.load_network())
+    for d, read in enumerate((texts, [t[::-1] for t in texts])):
+        number, scores, _ = reader._direction(texts, d, 1000)
+        assert len(scores) == len({t[:n] for t in read for n in range(1, len(t) + 1)}) == len(set(number.tolist()))
+
+
+@pytest.mark.parametrize("factor", [1, 20])
+def test_shared_reading_is_the_network(monkeypatch, factor):
+    rng = random.Random(5)
+    net = language.load_network()
+    net["W"] *= factor  # such scores need wider exponentials
+    texts = [b"the records team " * 150, b"the records team " * 149 + b"the record", b"team", b"", b"e", b"\0", b"\0\0"]
+    texts += ["".join(rng.choices("aé \0", k=rng.randint(0, 9))).encode() * rng.choice((1, 1, 1, 40)) for _ in range(80)]
+    want = [sum((language.log_probabilities(net, t[at : at + language.PIECE_BYTES]).sum(0) for at in range(0, len(t), language.PIECE_BYTES)), np.zeros(len(language.CLASSES))) for t in texts]
+    for block, group in ((1, 1 << 21), (2, 50), (7, 3000), (5000, 1 << 21)):
+        monkeypatch.setattr(language, "GROUP_BYTES", group)
+        got = language.Reader(net).pooled(texts, block)
+        assert got[:, -1].tolist() == [len(t) for t in texts]
+        for t, row, w in zip(texts, got, want):
+            assert np.isfinite(row).all() and np.allclose(row[:-1], w, rtol=1e-4, atol=1e-4 * factor * (1 + len(t)))
+    assert language.Reader(net).pooled([]).shape == (0, len(language.CLASSES) + 1)
+
+
+def test_parts_hold_all_rows():
+    for texts in (["ab", None, "c", "", "d" * 9, "e"], ["x" * 20, "y"], [None], ["abc"] * 4):
+        parts = language.parts_of(texts, 3)
+        assert [i for a, b in parts for i in range(a, b)] == list(range(len(texts)))
+        assert all(a < b and sum(len(t or "") for t in texts[a + 1 : b]) < 3 for a, b in parts)
+
+
 def test_every_byte_has_a_label():
     net = language.load_network()
     text = "Wörter und Namen".encode()
